@@ -15,6 +15,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), k=50)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import drop_hot_lines
 
@@ -22,6 +28,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_hot_lines(docs, min_docs=10, min_chars=1, digest=True)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_components
+
+    return near_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import base_failed, judge, measures
 
@@ -31,7 +43,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op6_line_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_substring_dedup, op6_line_dedup, op8_ngram_jaccard, op9_quality_rules)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
