@@ -1,8 +1,8 @@
 """Jaccard self-join of word-shingle sets by prefix filters under several global token orders.
 
-A set's tokens are 64-bit shingle hashes. Every order sorts frequent tokens last (by the power of two of their count in
-a count sketch of fixed size) and differs in the hash that breaks ties; sets that reach the threshold share a token in
-their prefixes under each order. The first order finds candidates, the prefixes of the other orders must meet too, and
+A set's tokens are 64-bit shingle hashes. Every order puts shingles with a rare word first (by the power of two of the
+rarest word's count, in a count sketch of fixed size) and differs in the hash that breaks ties; sets that reach the
+threshold share a token in their prefixes under each order. The first order finds candidates, the prefixes of the other orders must meet too, and
 only then whole sets are compared.
 
 Equal sets are one class with one representative. Inside a token's bucket the member with the token earliest in its
@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import NO_ID, bloom_has, bloom_of, staged
-from ._words import U, Words, chunks, mix
+from ._shared import NO_ID, bloom_has, bloom_of, drop_staged, staged
+from ._words import U, Words, chunks, mix, sliding_min
 from .components import components
 
 SKETCH_BITS = 21
@@ -29,24 +29,32 @@ SKETCH_CHUNK = 1 << 15
 SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
-def shingle_sets(column, k: int):
-    """The sorted distinct shingle hashes of each text of an Arrow column (A-Z lower-cased)."""
+def shingle_sets(column, k: int, classes: np.ndarray | None = None):
+    """The sorted distinct shingle hashes of each text of an Arrow column (A-Z lower-cased), and their classes."""
     for _, data, offsets in chunks(column):
         w = Words(data, offsets, lower=True)
         g, whole = w.windows(k), w.whole()[0]
+        if classes is None:
+            rare = np.zeros(len(g), np.uint8)
+        else:
+            rare = sliding_min(classes[(w.h >> U(64 - SKETCH_BITS)).astype(np.int64)], k)
         for i in range(len(offsets) - 1):
             a, b = int(w.first[i]), int(w.first[i + 1])
-            yield np.unique(g[a : b - k + 1]) if b - a >= k else whole[i : i + 1] if b > a else g[:0]
+            if b - a >= k:
+                s, at = np.unique(g[a : b - k + 1], return_index=True)
+                yield s, rare[a : b - k + 1][at]
+            else:
+                yield (whole[i : i + 1] if b > a else g[:0]), np.zeros(min(1, b - a), np.uint8)
 
 
 def _need(n, t: int):
     return (n * t + 99) // 100
 
 
-def _prefix(s: np.ndarray, classes: np.ndarray, order: int, t: int) -> np.ndarray:
+def _prefix(s: np.ndarray, rare: np.ndarray, order: int, t: int) -> np.ndarray:
     """The set's prefix under an order, rare tokens first."""
     p = len(s) - _need(len(s), t) + 1
-    key = (classes[(s >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << U(56)) | (mix(s ^ U(SALTS[order])) >> U(8))
+    key = (rare.astype(np.uint64) << U(56)) | (mix(s ^ U(SALTS[order])) >> U(8))
     at = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
     return s[at[np.argsort(key[at])]]
 
@@ -65,10 +73,11 @@ def class_table(docs: DataFrame, k: int, text: str = "text", doc_id: str = "doc_
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             n, node = [], []
-            for s in shingle_sets(batch.column(0), k):
-                np.add.at(counts, (s >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
+            for s, _ in shingle_sets(batch.column(0), k):
                 n.append(len(s))
                 node.append(_node(s) if len(s) else None)
+            for _, data, offsets in chunks(batch.column(0)):
+                np.add.at(counts, (Words(data, offsets, lower=True).h >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
             m = len(n)
             yield pa.record_batch({"i": batch.column(1), "n": pa.array(n, pa.int32()), "node": pa.array(node, pa.int64()), "chunk": pa.nulls(m, pa.int32()), "data": pa.nulls(m, pa.binary())})
         import zlib
@@ -104,14 +113,14 @@ def _prefix_rows(docs: DataFrame, text: str, k: int, t: int, classes) -> DataFra
         seen: set[int] = set()
         for batch in batches:
             tokens, nodes, sizes, pos = [], [], [], []
-            for s in shingle_sets(batch.column(0), k):
+            for s, rare in shingle_sets(batch.column(0), k, classes.value):
                 if _need(len(s), t) == len(s) and len(s) * 100 < (len(s) + 1) * t:
                     continue
                 node = _node(s)
                 if node in seen:
                     continue
                 seen.add(node)
-                p = _prefix(s, classes.value, 0, t)
+                p = _prefix(s, rare, 0, t)
                 tokens.append(p)
                 nodes.append(np.full(len(p), node, np.int64))
                 sizes.append(np.full(len(p), len(s), np.int32))
@@ -122,28 +131,41 @@ def _prefix_rows(docs: DataFrame, text: str, k: int, t: int, classes) -> DataFra
     return docs.select(F.col(f"`{text}`")).mapInArrow(run, "token long, node long, n int, pos int")
 
 
-def _set_rows(docs: DataFrame, text: str, k: int, t: int, classes, wanted) -> DataFrame:
-    """(node, n, p1, p2, tokens) of the sets whose node may be in the Bloom filter `wanted`."""
+def _in_bloom(rows: DataFrame, column: str, bits) -> DataFrame:
+    """The rows whose long column may be in the filter."""
+    at = rows.columns.index(column)
 
     def run(batches):
-        seen: set[int] = set()
         for batch in batches:
+            h = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(bloom_has(bits.value, h, 24, 3)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _candidate_sets(docs: DataFrame, table: DataFrame, pairs: DataFrame, text: str, doc_id: str, k: int, t: int, classes) -> DataFrame:
+    """(node, n, p1, p2, tokens) of the sets in `pairs`, each from the document with its smallest id.
+
+    Documents are picked by a Bloom filter of fixed size; what it lets through beyond those does no harm.
+    """
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    least = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("i", F.lit(NO_ID))).alias("i"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(least.select(F.col("node").bitwiseXOR(F.col("i")).alias("x")), "x", 24, 3))
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(1).to_numpy(zero_copy_only=False)
             for start in range(0, batch.num_rows, 256):
-                rows = []
-                sets = [s for s in shingle_sets(batch.column(0).slice(start, 256), k) if len(s)]
-                nodes = np.array([_node(s) for s in sets], np.int64)
-                if not len(nodes):
-                    continue
-                for s, node, hit in zip(sets, nodes.tolist(), bloom_has(wanted.value, nodes.view(np.uint64), 24, 3)):
-                    if hit and node not in seen:
-                        seen.add(node)
-                        rows.append((node, len(s), *(_prefix(s, classes.value, o, t).view(np.int64) for o in (1, 2)), s.view(np.int64)))
+                sets = list(shingle_sets(batch.column(0).slice(start, 256), k, classes.value))
+                nodes = np.array([_node(s) if len(s) else 0 for s, _ in sets], np.int64)
+                hits = bloom_has(wanted.value, (nodes ^ ids[start : start + 256]).view(np.uint64), 24, 3)
+                rows = [(node, len(s), *(_prefix(s, rare, o, t).view(np.int64) for o in (1, 2)), s.view(np.int64)) for (s, rare), node, hit in zip(sets, nodes.tolist(), hits) if hit and len(s)]
                 if rows:
                     a = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())]
                     yield pa.RecordBatch.from_arrays([*a, *[pa.array([r[j] for r in rows], pa.list_(pa.int64())) for j in (2, 3, 4)]], names=["node", "n", "p1", "p2", "tokens"])
 
-    rows = docs.select(F.col(f"`{text}`")).mapInArrow(run, "node long, n int, p1 array<long>, p2 array<long>, tokens array<long>")
-    return rows.dropDuplicates(["node"])
+    rows = docs.select(F.col(f"`{text}`"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)))
+    return staged(rows.mapInArrow(run, "node long, n int, p1 array<long>, p2 array<long>, tokens array<long>"), "candidate-sets")
 
 
 def _may_reach(a_n, a_pos, b_n, b_pos, t: int) -> str:
@@ -168,23 +190,26 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
     table, found = class_table(docs, k, text, doc_id)
     classes = spark.sparkContext.broadcast(found)
     rows = staged(_prefix_rows(docs, text, k, t, classes), "prefixes")
-    shared = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct("pos", "node", "n")).alias("lead")).where("lo <> hi")
-    buckets = rows.join(shared.select("token", "lead"), "token").dropDuplicates(["token", "node"])
-    buckets = staged(buckets.select("token", "node", "n", "pos", F.col("lead.node").alias("l_node"), F.col("lead.n").alias("l_n"), F.col("lead.pos").alias("l_pos")), "buckets")
-    wanted = spark.sparkContext.broadcast(bloom_of(buckets.select("node").distinct(), "node", 24, 3))
-    sets = staged(_set_rows(docs, text, k, t, classes, wanted), "candidate-sets")
+    shared = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
+    shared = staged(shared, "shared-tokens")
+    few = _in_bloom(rows, "token", spark.sparkContext.broadcast(bloom_of(shared, "token", 24, 3))).join(shared, "token", "left_semi")
+    few = staged(few.dropDuplicates(["token", "node"]), "bucket-rows")
+    drop_staged(spark, rows.staged_path)
+    lead = few.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("lead"))
+    buckets = few.join(lead, "token").select("token", "node", "n", "pos", F.col("lead.node").alias("l_node"), F.col("lead.n").alias("l_n"), F.col("lead.pos").alias("l_pos")).where("node <> l_node")
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    first = buckets.where("node <> l_node").where(_may_reach("n", "pos", "l_n", "l_pos", t)).select(*pair("node", "l_node")).distinct()
-    links = staged(_verified(first, sets, t), "links-1")
-    comp = components(links)
-    held = buckets.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).where("node <> l_node")
+    first = staged(buckets.where(_may_reach("n", "pos", "l_n", "l_pos", t)).select(*pair("node", "l_node")).distinct(), "pairs-1")
+    links = staged(_verified(first, _candidate_sets(docs, table, first, text, doc_id, k, t, classes), t), "links-1")
+    held = buckets.join(components(links), "node", "left").withColumn("c", F.coalesce("component", "node"))
     held = staged(held.select("token", "node", "n", "pos", "c"), "unsettled")
     apart = held.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     held = held.join(apart, "token", "left_semi")
     x, y = held.alias("x"), held.alias("y")
     rest = x.join(y, F.expr("x.token = y.token AND x.node < y.node AND x.c <> y.c AND " + _may_reach("x.n", "x.pos", "y.n", "y.pos", t)))
-    more = _verified(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, t)
-    comp = staged(components(links.unionAll(more)), "components")
+    rest = staged(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs-2")
+    if rest.limit(1).count():
+        links = links.unionAll(_verified(rest, _candidate_sets(docs, table, rest, text, doc_id, k, t, classes), t))
+    comp = staged(components(links), "components")
     ids = table.withColumn("i", F.coalesce("i", F.lit(NO_ID))).join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = ids.where("c IS NOT NULL").groupBy("c").agg(F.min("i").alias("least"))
     out = ids.join(least, "c", "left").withColumn("least", F.coalesce("least", "i"))
