@@ -15,12 +15,30 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents"), k=50)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import digests
+
+    return digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import edited_pairs
+
+    return edited_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import drop_hot_lines
 
@@ -43,7 +61,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_substring_dedup, op6_line_dedup, op8_ngram_jaccard, op9_quality_rules)}
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op3_substring_dedup, op4_sentencepiece, op5_fingerprints, op6_line_dedup, op8_ngram_jaccard, op9_quality_rules, op10_url_filters)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
