@@ -46,6 +46,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_hot_lines(docs, min_docs=10, min_chars=1, digest=True)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_components
 
@@ -67,7 +73,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op3_substring_dedup, op4_sentencepiece, op5_fingerprints, op6_line_dedup, op8_ngram_jaccard, op9_quality_rules, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op3_substring_dedup, op4_sentencepiece, op5_fingerprints, op6_line_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_quality_rules, op10_url_filters)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 

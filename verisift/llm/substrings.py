@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import NO_ID, bloom_has, bloom_of, staged
+from ._shared import NO_ID, bloom_has, bloom_of, drop_staged, new_path, staged
 from ._words import Words, chunks, sliding_min
 
 BUCKETS = 24
@@ -34,52 +34,56 @@ class WindowIndex:
 
     def __init__(self, spark, buckets: int = BUCKETS, fanout: int = 4):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
-        self.runs: list[tuple[int, str]] = []  # (level, table)
+        self.runs: list[tuple[int, str, str]] = []  # (level, table, folder)
 
     def _write(self, rows: DataFrame, level: int) -> None:
+        """One shuffle: rows (g1, g2, least) meet by key and stay where their bucket is written."""
         name = f"verisift_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "g1").write.bucketBy(self.buckets, "g1").sortBy("g1").format("parquet").saveAsTable(name)
-        self.runs.append((level, name))
+        rows = rows.repartition(self.buckets, "g1").groupBy("g1", "g2").agg(F.min("least").alias("least"))
+        path = new_path(self.spark, "run")
+        rows.write.bucketBy(self.buckets, "g1").sortBy("g1").format("parquet").option("path", path).saveAsTable(name)
+        self.runs.append((level, name, path))
 
-    def history(self) -> DataFrame | None:
-        """All runs; a fingerprint may be in several."""
-        out = None
-        for _, name in self.runs:
-            run = self.spark.table(name)
-            out = run if out is None else out.unionAll(run)
-        return out
+    def history(self, runs: list | None = None) -> DataFrame | None:
+        """All runs; a fingerprint may be in several. Read as files: Spark 4.1 takes a union of bucketed tables for
+        bucketed and would leave out the shuffle that an aggregate over it needs."""
+        paths = [path for _, _, path in runs or self.runs]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def append(self, windows: DataFrame) -> None:
-        self._write(windows.groupBy("g1", "g2").agg(F.min("i").alias("least")), 0)
+        self._write(windows.select("g1", "g2", F.col("i").alias("least")), 0)
 
     def probe(self, windows: DataFrame) -> DataFrame:
-        """`windows` (i, g1, g2, ...) with `least`: the smallest id of the runs and of the batch itself."""
-        own = windows.groupBy("g1", "g2").agg(F.min("i").alias("least"))
-        for _, name in self.runs:
-            run = self.spark.table(name).withColumnRenamed("least", "old")
-            own = own.join(run, ["g1", "g2"], "left").select("g1", "g2", F.least("least", "old").alias("least"))
-        return windows.join(own, ["g1", "g2"])
+        """`windows` (i, g1, g2, ...) with `least`: the smallest id of the runs and of the batch itself.
+
+        The batch is dealt by g1 once, as the runs' buckets are; merge joins are on g1, and g2 verifies.
+        """
+        dealt = windows.repartition(self.buckets, "g1")
+        own = dealt.groupBy("g1", "g2").agg(F.min("i").alias("least"))
+        for _, name, _ in self.runs:
+            run = self.spark.table(name).select(F.col("g1").alias("r1"), F.col("g2").alias("r2"), F.col("least").alias("old"))
+            own = own.join(run, (F.col("g1") == F.col("r1")) & F.expr("(g2 ^ r2) = 0"), "left").select("g1", "g2", F.least("least", "old").alias("least"))
+        own = own.select(F.col("g1").alias("o1"), F.col("g2").alias("o2"), "least")
+        return dealt.join(own, (F.col("g1") == F.col("o1")) & F.expr("(g2 ^ o2) = 0")).drop("o1", "o2")
 
     def compact(self) -> None:
         """Merge the runs of every level that has `fanout` of them into one run of the next level."""
         level = 0
-        while any(at >= level for at, _ in self.runs):
-            mine = [name for at, name in self.runs if at == level]
+        while any(run[0] >= level for run in self.runs):
+            mine = [run for run in self.runs if run[0] == level]
             if len(mine) >= self.fanout:
-                merged = self.spark.table(mine[0])
-                for name in mine[1:]:
-                    merged = merged.unionAll(self.spark.table(name))
-                self._write(merged.groupBy("g1", "g2").agg(F.min("least").alias("least")), level + 1)
-                self.runs = [r for r in self.runs if r[1] not in mine]
+                self._write(self.history(mine), level + 1)
+                self.runs = [run for run in self.runs if run not in mine]
                 self._drop(mine)
             level += 1
 
-    def _drop(self, names: list[str]) -> None:
-        for name in names:
+    def _drop(self, runs: list) -> None:
+        for _, name, path in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_staged(self.spark, path)
 
     def drop(self) -> None:
-        self._drop([name for _, name in self.runs])
+        self._drop(self.runs)
         self.runs = []
 
 
