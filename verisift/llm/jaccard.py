@@ -5,6 +5,10 @@ rarest word's count, in a count sketch of fixed size) and differs in the hash th
 threshold share a token in their prefixes under each order. The first order finds candidates, the prefixes of the other orders must meet too, and
 only then whole sets are compared.
 
+Between the first order and the others stands an exact filter of 256 bits a set: the parity of the number of tokens in
+each of 256 cells. A token that only one of two sets has changes one parity, so sets whose parities differ in more
+cells than tokens may differ cannot link.
+
 Equal sets are one class with one representative. Inside a token's bucket the member with the token earliest in its
 prefix is the leader; pairs with the leader are compared first, and only pairs of members that are still in different
 components after that are compared as well, so a large group of near copies needs no pair of each two. Components do
@@ -66,26 +70,33 @@ def _node(s: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Whether the number of the set's tokens in each of 256 cells is odd: four 64-bit numbers."""
+    odd = np.bincount((mix(s ^ U(0xBE5466CF34E90C6C)) >> U(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def class_table(docs: DataFrame, k: int, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, np.ndarray]:
-    """(i, n, node) of each row, written down, and each sketch cell's class: the power of two of its count."""
+    """(i, n, node, q: parities) of each row, written down, and each sketch cell's class: the power of two of its count."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            n, node = [], []
+            n, node, q = [], [], []
             for s, _ in shingle_sets(batch.column(0), k):
                 n.append(len(s))
                 node.append(_node(s) if len(s) else None)
+                q.append(_parity(s))
             for _, data, offsets in chunks(batch.column(0)):
                 np.add.at(counts, (Words(data, offsets, lower=True).h >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
             m = len(n)
-            yield pa.record_batch({"i": batch.column(1), "n": pa.array(n, pa.int32()), "node": pa.array(node, pa.int64()), "chunk": pa.nulls(m, pa.int32()), "data": pa.nulls(m, pa.binary())})
+            yield pa.record_batch({"i": batch.column(1), "n": pa.array(n, pa.int32()), "node": pa.array(node, pa.int64()), "q": pa.array(q, pa.list_(pa.int64())), "chunk": pa.nulls(m, pa.int32()), "data": pa.nulls(m, pa.binary())})
         import zlib
 
         for c in range(0, len(counts), SKETCH_CHUNK):
             part = counts[c : c + SKETCH_CHUNK].astype(np.uint32)
             if part.any():
-                yield pa.record_batch({"i": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int32()), "node": pa.nulls(1, pa.int64()), "chunk": pa.array([c // SKETCH_CHUNK], pa.int32()), "data": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+                yield pa.record_batch({"i": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int32()), "node": pa.nulls(1, pa.int64()), "q": pa.nulls(1, pa.list_(pa.int64())), "chunk": pa.array([c // SKETCH_CHUNK], pa.int32()), "data": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
         import zlib
@@ -96,14 +107,14 @@ def class_table(docs: DataFrame, k: int, text: str = "text", doc_id: str = "doc_
         classes = np.where(total > 0, np.log2(np.maximum(total, 1)).astype(np.uint8), 0).astype(np.uint8)
         return pa.table({"chunk": table.column("chunk")[:1], "data": [zlib.compress(classes.tobytes(), 1)]})
 
-    rows = docs.select(F.col(f"`{text}`"), F.col(f"`{doc_id}`").cast("long")).mapInArrow(run, "i long, n int, node long, chunk int, data binary")
+    rows = docs.select(F.col(f"`{text}`"), F.col(f"`{doc_id}`").cast("long")).mapInArrow(run, "i long, n int, node long, q array<long>, chunk int, data binary")
     rows = staged(rows, "sets")
     import zlib
 
     classes = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in rows.where("chunk IS NOT NULL").select("chunk", "data").groupBy("chunk").applyInArrow(add, "chunk int, data binary").collect():
         classes[r.chunk * SKETCH_CHUNK : (r.chunk + 1) * SKETCH_CHUNK] = np.frombuffer(zlib.decompress(r.data), np.uint8)
-    return rows.where("chunk IS NULL").select("i", "n", "node"), classes
+    return rows.where("chunk IS NULL").select("i", "n", "node", "q"), classes
 
 
 def _prefix_rows(docs: DataFrame, text: str, k: int, t: int, classes) -> DataFrame:
@@ -168,9 +179,20 @@ def _candidate_sets(docs: DataFrame, table: DataFrame, pairs: DataFrame, text: s
     return staged(rows.mapInArrow(run, "node long, n int, p1 array<long>, p2 array<long>, tokens array<long>"), "candidate-sets")
 
 
+def _need_sql(a_n: str, b_n: str, t: int) -> str:
+    """Tokens that two sets must have in common."""
+    return f"ceil({t} * ({a_n} + {b_n}) / {100 + t})"
+
+
+def _even_enough(a: str, b: str, t: int) -> str:
+    """Parities differ in no more cells than the tokens that only one of two linked sets may have."""
+    cells = " + ".join(f"bit_count({a}.q[{j}] ^ {b}.q[{j}])" for j in range(4))
+    return f"{cells} <= {a}.n + {b}.n - 2 * {_need_sql(f'{a}.n', f'{b}.n', t)}"
+
+
 def _may_reach(a_n, a_pos, b_n, b_pos, t: int) -> str:
     """Sizes near enough, and the token early enough in both to be the first that they share."""
-    need = f"ceil({t} * ({a_n} + {b_n}) / {100 + t})"
+    need = _need_sql(a_n, b_n, t)
     return f"100 * least({a_n}, {b_n}) >= {t} * greatest({a_n}, {b_n}) AND {a_n} - {a_pos} >= {need} AND {b_n} - {b_pos} >= {need}"
 
 
@@ -198,14 +220,17 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
     lead = few.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("lead"))
     buckets = few.join(lead, "token").select("token", "node", "n", "pos", F.col("lead.node").alias("l_node"), F.col("lead.n").alias("l_n"), F.col("lead.pos").alias("l_pos")).where("node <> l_node")
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    first = staged(buckets.where(_may_reach("n", "pos", "l_n", "l_pos", t)).select(*pair("node", "l_node")).distinct(), "pairs-1")
+    parities = staged(table.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("q").alias("q")), "parities")
+    first = buckets.where(_may_reach("n", "pos", "l_n", "l_pos", t)).select(*pair("node", "l_node")).distinct()
+    first = first.join(parities.alias("x"), F.expr("a = x.node")).join(parities.alias("y"), F.expr("b = y.node")).where(_even_enough("x", "y", t))
+    first = staged(first.select("a", "b"), "pairs-1")
     links = staged(_verified(first, _candidate_sets(docs, table, first, text, doc_id, k, t, classes), t), "links-1")
     held = buckets.join(components(links), "node", "left").withColumn("c", F.coalesce("component", "node"))
     held = staged(held.select("token", "node", "n", "pos", "c"), "unsettled")
     apart = held.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    held = held.join(apart, "token", "left_semi")
+    held = held.join(apart, "token", "left_semi").join(parities.select("node", "q"), "node")
     x, y = held.alias("x"), held.alias("y")
-    rest = x.join(y, F.expr("x.token = y.token AND x.node < y.node AND x.c <> y.c AND " + _may_reach("x.n", "x.pos", "y.n", "y.pos", t)))
+    rest = x.join(y, F.expr("x.token = y.token AND x.node < y.node AND x.c <> y.c AND " + _may_reach("x.n", "x.pos", "y.n", "y.pos", t) + " AND " + _even_enough("x", "y", t)))
     rest = staged(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs-2")
     if rest.limit(1).count():
         links = links.unionAll(_verified(rest, _candidate_sets(docs, table, rest, text, doc_id, k, t, classes), t))
