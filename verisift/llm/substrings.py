@@ -26,20 +26,18 @@ from pyspark.sql import DataFrame, functions as F
 from ._shared import NO_ID, bloom_has, bloom_of, drop_staged, new_path, staged
 from ._words import Words, chunks, sliding_min
 
-BUCKETS = 24
-
-
 class WindowIndex:
     """Runs of (g1, g2, least): fingerprints and the smallest document id that starts each."""
 
-    def __init__(self, spark, buckets: int = BUCKETS, fanout: int = 4):
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+    def __init__(self, spark, buckets: int | None = None, fanout: int = 4):
+        """buckets: as many as shuffles have partitions if not given, so that they grow with what the session is set for."""
+        self.spark, self.buckets, self.fanout = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fanout
         self.runs: list[tuple[int, str, str]] = []  # (level, table, folder)
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        """One shuffle: rows (g1, g2, least) meet by key and stay where their bucket is written."""
+        """Rows (g1, g2, least), united by fingerprint, each bucket in one task."""
         name = f"verisift_run_{uuid.uuid4().hex}"
-        rows = rows.repartition(self.buckets, "g1").groupBy("g1", "g2").agg(F.min("least").alias("least"))
+        rows = rows.groupBy("g1", "g2").agg(F.min("least").alias("least")).repartition(self.buckets, "g1")
         path = new_path(self.spark, "run")
         rows.write.bucketBy(self.buckets, "g1").sortBy("g1").format("parquet").option("path", path).saveAsTable(name)
         self.runs.append((level, name, path))
@@ -56,15 +54,17 @@ class WindowIndex:
     def probe(self, windows: DataFrame) -> DataFrame:
         """`windows` (i, g1, g2, ...) with `least`: the smallest id of the runs and of the batch itself.
 
-        The batch is dealt by g1 once, as the runs' buckets are; merge joins are on g1, and g2 verifies.
+        The batch's own least ids are combined in each task before they are dealt as the runs' buckets are; those merge
+        joins are on g1, and g2 verifies. The last join may have a window that very many documents share on one side;
+        adaptive execution splits it.
         """
-        dealt = windows.repartition(self.buckets, "g1")
-        own = dealt.groupBy("g1", "g2").agg(F.min("i").alias("least"))
+        own = windows.groupBy("g1", "g2").agg(F.min("i").alias("least"))
+        if self.runs:
+            own = own.repartition(self.buckets, "g1")
         for _, name, _ in self.runs:
             run = self.spark.table(name).select(F.col("g1").alias("r1"), F.col("g2").alias("r2"), F.col("least").alias("old"))
             own = own.join(run, (F.col("g1") == F.col("r1")) & F.expr("(g2 ^ r2) = 0"), "left").select("g1", "g2", F.least("least", "old").alias("least"))
-        own = own.select(F.col("g1").alias("o1"), F.col("g2").alias("o2"), "least")
-        return dealt.join(own, (F.col("g1") == F.col("o1")) & F.expr("(g2 ^ o2) = 0")).drop("o1", "o2")
+        return windows.join(own, ["g1", "g2"])
 
     def compact(self) -> None:
         """Merge the runs of every level that has `fanout` of them into one run of the next level."""
@@ -132,7 +132,10 @@ def text_rows(docs: DataFrame, k: int) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, k: int, repeated=None) -> DataFrame:
-    """(i, s1, pos, g1, g2) of the windows of rows (t, i) whose anchor may be in the Bloom filter `repeated`."""
+    """(i, s1, g1, g2, at) of the windows of rows (t, i) whose anchor may be in the Bloom filter `repeated`.
+
+    at: the places of the window in its text, so a text that repeats itself gives a row for each different window.
+    """
 
     def run(batches):
         for batch in batches:
@@ -154,11 +157,19 @@ def window_rows(docs: DataFrame, k: int, repeated=None) -> DataFrame:
                     continue
                 g1, g2, one = w.windows(k), w.windows(k, second=True), w.whole()[0]
                 text = np.searchsorted(w.first, at, "right") - 1
-                for j in range(0, len(at), 200_000):
-                    p, x = at[j : j + 200_000], text[j : j + 200_000]
-                    yield pa.record_batch({"i": pa.array(ids[row + x], pa.int64()), "s1": pa.array(one[x].view(np.int64)), "pos": pa.array((p - w.first[x]).astype(np.int32)), "g1": pa.array(g1[p].view(np.int64)), "g2": pa.array(g2[p].view(np.int64))})
+                order = np.lexsort((at, g2[at], g1[at], text))
+                at, text = at[order], text[order]
+                new = np.ones(len(at) + 1, bool)
+                new[1:-1] = (g1[at[1:]] != g1[at[:-1]]) | (g2[at[1:]] != g2[at[:-1]]) | (text[1:] != text[:-1])
+                groups = np.flatnonzero(new)
+                places = (at - w.first[text]).astype(np.int32)
+                for j in range(0, len(groups) - 1, 200_000):
+                    some = groups[j : j + 200_001]
+                    p, x = at[some[:-1]], text[some[:-1]]
+                    lists = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), pa.array(places[some[0] : some[-1]]))
+                    yield pa.record_batch({"i": pa.array(ids[row + x], pa.int64()), "s1": pa.array(one[x].view(np.int64)), "g1": pa.array(g1[p].view(np.int64)), "g2": pa.array(g2[p].view(np.int64)), "at": lists})
 
-    return docs.mapInArrow(run, "i long, s1 long, pos int, g1 long, g2 long")
+    return docs.mapInArrow(run, "i long, s1 long, g1 long, g2 long, at array<int>")
 
 
 def _removed(rows: DataFrame, k: int) -> DataFrame:
@@ -217,7 +228,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str
     for j, (low, high) in enumerate(zip(bounds, bounds[1:])):
         inside = F.col("i") <= high if j == 0 else (F.col("i") > low) & (F.col("i") <= high)
         windows = staged(window_rows(source.where(inside), k, repeated), "windows")
-        hit = index.probe(windows).where("least < i").select("i", "s1", "pos")
+        hit = index.probe(windows).where("least < i").select("i", "s1", "at")
         hit = staged(hit, "hits")
         found = hit if found is None else found.unionAll(hit)
         if j < len(bounds) - 2:
@@ -225,7 +236,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str
             index.compact()
     first = rows.where(F.col("n_words") >= k).groupBy("s1", "s2", "n_words").agg(F.min("i").alias("first")).alias("f")
     whole = rows.drop("anchors").alias("r").join(first, F.expr("r.s1 = f.s1 AND r.s2 = f.s2 AND r.n_words = f.n_words"), "left").select("r.*", (F.col("f.first") < F.col("r.i")).alias("copy"))
-    starts = found.groupBy("i", "s1").agg(F.collect_set("pos").alias("starts"))
+    starts = found.groupBy("i", "s1").agg(F.flatten(F.collect_list("at")).alias("starts"))
     wanted = spark.sparkContext.broadcast(bloom_of(found.select("s1").distinct(), "s1", 22, 3))
     texts = _with_sequence(source, wanted).alias("t").join(starts.alias("s"), F.expr("t.i = s.i AND t.s1 = s.s1")).select("t.t", "t.i", "s.starts", "t.s1")
     cut = _removed(texts, k).dropDuplicates(["i", "s1"]).alias("c")
