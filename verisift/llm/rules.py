@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._shared import staged
 from ._words import U, Words, chunks
 
 RULES = ("symbols", "dup_lines", "repeats", "upper", "bars", "long_words", "short")
@@ -197,7 +198,7 @@ def judge(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratu
     lab = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good")).select(F.col("doc_id").alias("l_id"), "good")
     rows = measured.select(F.col(f"`{doc_id}`").alias("m_id"), F.col(f"`{stratum}`").cast("string").alias("stratum"), *_rule_columns())
     rows = rows.join(lab, F.col("m_id") == F.col("l_id")).select("stratum", "good", (F.crc32(F.concat(F.lit("h"), F.col("m_id").cast("string"))) % 2 == 0).alias("holdout"), *RULES)
-    found = cutoffs(rows, **how)
+    found = cutoffs(staged(rows, "labelled"), **how)  # few columns of labelled rows: texts are read once for them
     columns = dict(zip(RULES, _rule_columns()))
     passes = {}
     for s, cut in found.items():
@@ -207,5 +208,12 @@ def judge(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratu
     return _by_stratum(F.col(f"`{stratum}`"), passes)
 
 
+def passing(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", stratum: str = "lang", **how) -> DataFrame:
+    """The rows of `docs` that neither the base rules nor the cutoffs reject, with all their columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{stratum}`").alias("lang"))
+    verdict = judge(measures(rows.drop("row"), "t"), labels, **how)
+    return measures(rows, "t").where(~base_failed() & verdict).select("row.*")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
