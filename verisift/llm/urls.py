@@ -22,7 +22,7 @@ from ._shared import staged
 #: (host, path, verdict); a list of rules is short enough to be part of the plan.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-SIGNS = "abcdefghijklmnopqrstuvwxyz0:/.-_?=&#%+~@"  # other characters are one sign more; digits count as 0
+SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789:/.-_?=&#%+~@"  # other characters are one sign more
 BASE = len(SIGNS) + 3  # and a start and an end sign
 START, END = len(SIGNS) + 1, len(SIGNS) + 2
 ORDER = 4
@@ -54,9 +54,9 @@ def _codes(column: str) -> Column:
 
 
 def _plain(url: str) -> Column:
-    """The URL behind ://, letters in lower case, digits as 0."""
+    """The URL behind ://, letters in lower case."""
     rest = F.coalesce(F.regexp_replace(F.col(url), r"^[^:/?#]*://", ""), F.lit(""))
-    return F.translate(rest, _UPPER + "123456789", _LOWER + "000000000")
+    return F.translate(rest, _UPPER, _LOWER)
 
 
 def _slot(k: int, gram: str) -> str:
