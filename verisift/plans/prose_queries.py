@@ -71,7 +71,7 @@ def cell_kinds(spark, sf_dir):
     k = F.col("p_partkey") % 4
     cell = F.when(k == 0, F.concat(F.lit("<hit>"), "p_name", F.lit("</hit>"))).when(k == 1, F.concat(F.lit("**"), "p_name", F.lit("**"))).when(k == 2, F.concat(F.lit("x <safe>"), "p_name", F.lit("</safe>"))).otherwise(F.col("p_name"))
     kind = C.cell_kind(F.col("cell"))
-    return table(spark, sf_dir, "part").select(cell.alias("cell")).select(kind["kind"].alias("kind"), F.length(kind["text"]).alias("n")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("n_chars"))
+    return table(spark, sf_dir, "part").select(cell.alias("cell")).select(F.coalesce(kind["kind"], F.lit("plain")).alias("kind"), F.length(kind["text"]).alias("n")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("n_chars"))
 
 
 def group_rows(spark, sf_dir):
@@ -140,7 +140,7 @@ SELECT doc_id, count(*) AS n_caveats, count(*) FILTER (WHERE n > 0 AND n * 2 < z
         "script_languages": """WITH c AS (SELECT lang, len(regexp_extract_all(text, '[가-힣]')) AS h, len(regexp_extract_all(text, '[A-Za-z가-힣]')) AS l FROM documents) SELECT lang, CASE WHEN h * 2 > l OR l = 0 THEN 'ko' ELSE 'en' END AS script, count(*) AS n FROM c GROUP BY ALL""",
         "uncountable_lines": r"""SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_replace(line, '\s', '', 'g') <> '' AND NOT regexp_matches(line, '[A-Za-z0-9가-힣぀-ヿ一-鿿]') GROUP BY doc_id""",
         "line_widths": "SELECT doc_id, m AS mils FROM (SELECT doc_id, (length(string_split(text, chr(10))[1]) * 18 * 55 * 1000 // 7200)::BIGINT AS m FROM documents) WHERE m > 10000",
-        "cell_kinds": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'hit' WHEN 1 THEN 'b' WHEN 2 THEN 'safe' END AS kind, count(*) AS n_cells, sum(length(p_name) + CASE WHEN p_partkey % 4 = 2 THEN 2 ELSE 0 END)::BIGINT AS n_chars FROM part GROUP BY 1",
+        "cell_kinds": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'hit' WHEN 1 THEN 'b' WHEN 2 THEN 'safe' ELSE 'plain' END AS kind, count(*) AS n_cells, sum(length(p_name) + CASE WHEN p_partkey % 4 = 2 THEN 2 ELSE 0 END)::BIGINT AS n_chars FROM part GROUP BY 1",
         "group_rows": "SELECT p_brand, count(*) FILTER (WHERE trim(p_name) <> '' AND (p_size <= 25 OR trim(p_type) = '') AND (p_partkey % 3 = 0 OR trim(p_brand) = '')) AS n_groups, count(*) AS n_rows FROM part GROUP BY p_brand",
         "cap_heights": "SELECT p_size, count(*) AS n_parts, 100.0::DOUBLE * p_size / 200.0 AS percent FROM part GROUP BY p_size",
         "overfull_pages": """WITH e AS (SELECT user_id, event_id, event_type, value, max(CASE WHEN event_type = 'view' THEN event_id // 100 END) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)

@@ -58,7 +58,7 @@ def first_screen_vs_spoken(spark, sf_dir):
 
 def renumber_and_pages(spark, sf_dir):
     rows = Q.renumbered(_turns(spark, sf_dir), "conv_id", "turn", F.col("role") == "system", F.col("role") == "user")
-    return rows.select("conv_id", "turn", F.col("place").cast("long").alias("place"), "page")
+    return rows.select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.coalesce("page", F.lit(0)).alias("page"))
 
 
 def turn_gaps(spark, sf_dir):
@@ -66,10 +66,10 @@ def turn_gaps(spark, sf_dir):
 
 
 def as_of_event(spark, sf_dir):
-    """Each error with the user's last view before it."""
+    """Each error with the user's last view before it; -1 where there is none."""
     events = table(spark, sf_dir, "events")
     last = Q.as_of(events, F.col("event_type") == "view", "user_id", ["ts", "event_id"], "event_id")
-    return events.withColumn("view_id", last).where("event_type = 'error'").select("event_id", "user_id", "view_id")
+    return events.withColumn("view_id", F.coalesce(last, F.lit(-1))).where("event_type = 'error'").select("event_id", "user_id", "view_id")
 
 
 def event_islands(spark, sf_dir):
@@ -268,7 +268,7 @@ def violations_rollup(spark, sf_dir):
     from . import text_queries as X
 
     sections = [(n, X.QUERIES[n](spark, sf_dir)) for n in ("unsourced_values", "banned_words", "markup_leaks", "contradicting_values")]
-    return profile.roll_up(sections)
+    return profile.roll_up(sections).select(F.coalesce("section", F.lit("total")).alias("section"), "n")
 
 
 QUERIES = {
@@ -308,10 +308,10 @@ SELECT conv_id, turn, len(list_filter(w, lambda x: NOT list_contains(p, x) AND N
 f AS (SELECT conv_id, word, min(turn) FILTER (WHERE role = 'user') AS shown, min(turn) FILTER (WHERE role = 'assistant') AS said FROM w GROUP BY ALL)
 SELECT conv_id, count(*) AS n_early, min(said) AS first_said FROM f WHERE said IS NOT NULL AND (shown IS NULL OR said < shown) GROUP BY conv_id""",
         "renumber_and_pages": """WITH p AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY role = 'system', turn) AS place FROM conversations)
-SELECT conv_id, turn, place, CASE WHEN role = 'user' THEN sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY place)::BIGINT END AS page FROM p""",
+SELECT conv_id, turn, place, CASE WHEN role = 'user' THEN sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY place)::BIGINT ELSE 0 END AS page FROM p""",
         "turn_gaps": """WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role <> 'system'), m AS (SELECT conv_id, max(turn) AS m FROM t GROUP BY conv_id),
 a AS (SELECT conv_id, unnest(range(0, m)) AS missing FROM m) SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.conv_id = a.conv_id AND t.turn = a.missing)""",
-        "as_of_event": """SELECT e.event_id, e.user_id, (SELECT arg_max(v.event_id, (v.ts, v.event_id)) FROM events v WHERE v.user_id = e.user_id AND v.event_type = 'view' AND (v.ts, v.event_id) <= (e.ts, e.event_id)) AS view_id FROM events e WHERE event_type = 'error'""",
+        "as_of_event": """SELECT e.event_id, e.user_id, coalesce((SELECT arg_max(v.event_id, (v.ts, v.event_id)) FROM events v WHERE v.user_id = e.user_id AND v.event_type = 'view' AND (v.ts, v.event_id) <= (e.ts, e.event_id)), -1) AS view_id FROM events e WHERE event_type = 'error'""",
         "event_islands": """WITH e AS (SELECT *, epoch(ts)::BIGINT AS s FROM events), l AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600 OR lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS b FROM e),
 i AS (SELECT user_id, event_id, (sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS island FROM l)
 SELECT user_id, island, count(*) AS n_events, min(event_id) AS least_id, max(event_id) AS most_id FROM i GROUP BY ALL""",
@@ -360,5 +360,5 @@ SELECT c_nationkey, tick, floor((low * (4 - tick) + high * tick) / 4)::BIGINT AS
         "section_heads": """WITH l AS (SELECT doc_id, line, i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) d, LATERAL (SELECT unnest(d.a) AS line, generate_subscripts(d.a, 1) AS i)),
 h AS (SELECT doc_id, last_value(CASE WHEN NOT contains(line, '.') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS head FROM l)
 SELECT doc_id, count(DISTINCT head) AS n_heads, count(*) FILTER (WHERE head IS NULL) AS n_headless FROM h GROUP BY doc_id""",
-        "violations_rollup": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS section, count(*) AS n FROM ({text_sql[n]})" for n in ("unsourced_values", "banned_words", "markup_leaks", "contradicting_values")) + ") SELECT section, sum(n)::BIGINT AS n FROM v GROUP BY ROLLUP (section)",
+        "violations_rollup": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS section, count(*) AS n FROM ({text_sql[n]})" for n in ("unsourced_values", "banned_words", "markup_leaks", "contradicting_values")) + ") SELECT coalesce(section, 'total') AS section, sum(n)::BIGINT AS n FROM v GROUP BY ROLLUP (section)",
     }
