@@ -8,11 +8,12 @@ while scoring, so each escape's exclusions depend on the context alone and are w
 table entries. A text is read as its words in A-Z lower case with one space between, and an end byte.
 
 Counts of the longest contexts are gathered from all training texts by a shuffle; shorter contexts are sums of them.
-The tables are dealt into shards of at most `max_nodes` longest contexts (by a context's last two bytes) and
-`max_words` words (by hash); one shard is broadcast at a time and each pass scores what belongs to its shard, so memory
-is bounded and nothing is pruned however large the corpus is. Shards have no say in the result.
+The trie is dealt into shards of at most `max_nodes` longest contexts (by a context's last two bytes); one shard is
+broadcast at a time and each pass scores the bytes that belong to its shard, so memory is bounded and nothing is pruned
+however large the corpus is. Shards have no say in the result.
 
-The base is the smoothed unigram model of words, with an end token for each text.
+The base is the smoothed unigram model of words, with an end token for each text. The most frequent words, at most
+`max_words`, are broadcast; the words of a text that are not among them are joined with the counts of the others.
 
 Nulls: a null text is empty (its end token only); a null doc_id counts as the text "" in the fold. Rows that repeat get
 equal scores. Without training rows all counts are 0, and each byte has a probability of 1/256.
@@ -74,15 +75,16 @@ def _train(docs: DataFrame, order: int) -> DataFrame:
                 yield pa.record_batch({"kind": pa.array(np.full(len(k), kind, np.int8)), "key": pa.array(k.view(np.int64)), "n": pa.array(n[j : j + 500_000])})
 
         for batch in batches:
-            for _, data, offsets in chunks(batch.column(0)):
+            for _, data, offsets in chunks(batch.column(0), 1_000_000):
                 grams.append(np.unique(codes(*streams(data, offsets, order), order), return_counts=True))
                 w = Words(data, offsets, lower=True)
                 words.append(np.unique(np.append(w.h, np.full(len(offsets) - 1, EDGE)), return_counts=True))
                 for kind, parts in ((0, grams), (1, words)):
-                    if sum(len(p[0]) for p in parts) > 3_000_000:
+                    if sum(len(p[0]) for p in parts) > 1_500_000:
                         parts[:] = [merged(parts)]
-                        if len(parts[0][0]) > 2_000_000:
+                        if len(parts[0][0]) > 750_000:
                             yield from rows(kind, parts.pop())
+            pa.default_memory_pool().release_unused()
         for kind, parts in ((0, grams), (1, words)):
             if parts:
                 yield from rows(kind, merged(parts))
@@ -95,7 +97,7 @@ class Table:
     """An open-addressing hash table from 64-bit keys to rows of float32, searched for many keys at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, int(1.25 * len(keys)).bit_length())
         size = 1 << self.bits
         self.keys, self.values = np.full(size, U(2**64 - 1)), np.zeros((size, values.shape[1]), np.float32)
         left, at = np.arange(len(keys)), self._slot(keys)
@@ -196,7 +198,20 @@ def _shard_of(code: np.ndarray, shards: int) -> np.ndarray:
     return (((code >> U(8)) & U(0xFFFF)) * U(GOLDEN) >> U(40)) % U(shards)
 
 
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, max_nodes: int = 8_000_000, max_words: int = 12_000_000) -> DataFrame:
+def _common(counts: DataFrame, words: int, max_words: int) -> int:
+    """The count from which on at most max_words words are left; 1 if all of them fit."""
+    if words <= max_words:
+        return 1
+    sizes = counts.where("kind = 1").groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()
+    left = words
+    for r in sorted(sizes):
+        if left <= max_words:
+            return r.n
+        left -= r["count"]
+    return 10_001
+
+
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, max_nodes: int = 3_000_000, max_words: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; logarithms of base 10."""
     spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % 5 == 1
@@ -204,59 +219,83 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: in
     counts = staged(_train(rows.where("NOT held_out").select("t"), order), "counts")
     totals = {r.kind: (r.rows, r.n) for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
     nodes, (words, tokens) = totals.get(0, (0, 0))[0], totals.get(1, (0, 0))
-    shards = max(1, -(-nodes // max_nodes), -(-words // max_words))
+    shards = max(1, -(-nodes // max_nodes))
+    common = _common(counts, words, max_words)
     low_rows = counts.where("kind = 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # 65536 at most
     low = low_rows["key"].to_numpy().astype(np.uint64), low_rows["n"].to_numpy()
     kind = dict(rows.dtypes)["i"]
-    norm = np.log10(tokens + 0.5 * (words + 1)) if tokens else np.log10(0.5)
-    parts = None
+    norm = float(np.log10(tokens + 0.5 * (words + 1))) if tokens else float(np.log10(0.5))
+    done, more = None, None
     for shard in range(shards):
         mine = counts if shards == 1 else _of_shard(counts, shard, shards)
         got = mine.where("kind = 0").select("key", "n").toArrow()
         model = build(got["key"].to_numpy().view(np.uint64), got["n"].to_numpy(), order, low)
-        got = mine.where("kind = 1").select("key", "n").toArrow()
+        del got
+        if shard:
+            part = rows.mapInArrow(_pass(spark.sparkContext.broadcast((model, None, None)), shard, shards, order, norm, common), f"i {kind}, held_out boolean, h long, n_tokens long, n_known long, base_score double, score double, rare array<long>")
+            part = part.select("i", "h", "score")
+            more = part if more is None else more.unionAll(part)
+            continue
+        got = counts.where((F.col("kind") == 1) & (F.col("n") >= common)).select("key", "n").toArrow()
         key = got["key"].to_numpy().view(np.uint64)
         by = np.argsort(key)
-        sent = spark.sparkContext.broadcast((model, key[by], got["n"].to_numpy()[by].astype(np.float64)))
+        sent = spark.sparkContext.broadcast((model, key[by], np.log10(got["n"].to_numpy()[by] + 0.5)))
         del got, model, key, by
-        part = rows.mapInArrow(_pass(sent, shard, shards, order, float(norm)), f"i {kind}, held_out boolean, h long, n_tokens long, n_known long, base_score double, score double")
-        parts = part if parts is None else parts.unionAll(part)
-    if shards > 1:
-        # equal rows have equal parts: sum over shards, and give each row back as often as it came
-        parts = parts.groupBy("i", "held_out", "h").agg((F.count(F.lit(1)) / shards).cast("int").alias("times"), *[(F.sum(c) / (F.count(F.lit(1)) / shards)).alias(c) for c in ("n_known", "base_score", "score")], F.first("n_tokens").alias("n_tokens"))
-        parts = parts.withColumn("n_known", F.round("n_known").cast("long")).withColumn("again", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
-    return parts.select(F.col("i").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        done = rows.mapInArrow(_pass(sent, shard, shards, order, norm, common), f"i {kind}, held_out boolean, h long, n_tokens long, n_known long, base_score double, score double, rare array<long>")
+    done = staged(done.withColumn("r", F.monotonically_increasing_id()), "scored")
+    if common > 1:
+        asked = done.select("r", F.explode("rare").alias("key"))
+        known = counts.where((F.col("kind") == 1) & (F.col("n") < common)).select("key", "n")
+        answer = asked.join(known, "key", "left").groupBy("r").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5) - norm).alias("b"), F.count("n").alias("k"))
+        done = done.join(answer, "r", "left").withColumn("base_score", F.col("base_score") + F.coalesce("b", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("k", F.lit(0)))
+    if more is not None:
+        # equal rows have equal parts, so the mean over equal rows of a shard is each row's own part
+        sums = more.groupBy("i", "h").agg((F.sum("score") / (F.count(F.lit(1)) / (shards - 1))).alias("s")).alias("m")
+        done = done.alias("d").join(sums, F.expr("d.i <=> m.i AND d.h = m.h")).select("d.*", "m.s").withColumn("score", F.col("score") + F.col("s"))
+    return done.select(F.col("i").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _of_shard(counts: DataFrame, shard: int, shards: int) -> DataFrame:
+    """The context counts of a shard."""
+
     def run(batches):
         for batch in batches:
-            kind = batch.column(0).to_numpy(zero_copy_only=False)
-            key = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            at = np.where(kind == 0, _shard_of(key, shards), (key >> U(20)) % U(shards))
-            yield batch.filter(pa.array(at == shard))
-
-    return counts.mapInArrow(run, counts.schema)
-
-
-def _pass(sent, shard: int, shards: int, order: int, norm: float):
-    """Rows (t, i, held_out) to what the shard knows of each."""
+            yield batch.filter(pa.array(_shard_of(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), shards) == shard))
+
+    return counts.where("kind = 0").mapInArrow(run, counts.schema)
+
+
+def _unigrams(w: Words, words, logs, norm: float, common: int):
+    """(n_known, base, rare words) of each text; where not all words are in `words`, others are left to be asked for."""
+    many = len(w.first) - 1
+    h, at = np.unique(np.append(w.h, EDGE), return_inverse=True)
+    place = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
+    known = (words[place] == h) if len(words) else np.zeros(len(h), bool)
+    value = np.where(known, logs[place] if len(words) else 0.0, np.log10(0.5) if common == 1 else norm) - norm
+    value, known = value[at], known[at]
+    sums = [np.concatenate([[0], np.cumsum(x[:-1].astype(np.float64))]) for x in (value, known)]
+    base, n_known = [s[w.first[1:]] - s[w.first[:-1]] + float(x[-1]) for s, x in zip(sums, (value, known))]
+    rare = np.zeros(0, np.int64)
+    ends = np.zeros(many + 1, np.int64)
+    if common > 1:
+        # the end token is in each text; should it be rare, it is asked for like a word
+        missed = np.flatnonzero(~known[:-1])
+        rare, ends = w.h[missed].view(np.int64), np.searchsorted(missed, w.first)
+        if not known[-1]:
+            rare, ends = np.insert(rare, ends[1:], EDGE.astype(np.uint64).view(np.int64)), ends + np.arange(many + 1)
+    return np.round(n_known).astype(np.int64), base, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rare))
+
+
+def _pass(sent, shard: int, shards: int, order: int, norm: float, common: int):
+    """Rows (t, i, held_out) to what the shard knows of each; words are left to the first shard."""
 
     def run(batches):
-        model, words, n_words = sent.value
-        logs = np.log10(n_words + 0.5)
+        model, words, logs = sent.value
         for batch in batches:
-            for row, data, offsets in chunks(batch.column(0), 1_000_000):
+            for row, data, offsets in chunks(batch.column(0), 400_000):
                 many = len(offsets) - 1
                 w = Words(data, offsets, lower=True)
-                h, at = np.unique(np.append(w.h, EDGE), return_inverse=True)
-                place = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
-                known = (words[place] == h) if len(words) else np.zeros(len(h), bool)
-                value = np.where(known, logs[place] if len(words) else 0.0, np.log10(0.5)) - norm
-                own = (h >> U(20)) % U(shards) == shard
-                value, known = np.where(own, value, 0.0)[at], (known & own)[at]
-                sums = [np.concatenate([[0], np.cumsum(x[:-1].astype(np.float64))]) for x in (value, known)]
-                base, n_known = [s[w.first[1:]] - s[w.first[:-1]] + float(x[-1]) for s, x in zip(sums, (value, known))]
+                n_known, base, rare = _unigrams(w, words, logs, norm, common) if words is not None else (np.zeros(many, np.int64), np.zeros(many), pa.nulls(many, pa.list_(pa.int64())))
                 stream, first = streams(data, offsets, order)
                 code = codes(stream, first, order)
                 if shards > 1:
@@ -265,14 +304,13 @@ def _pass(sent, shard: int, shards: int, order: int, norm: float):
                     log_p[mine] = log_probabilities(model, code[mine])
                 else:
                     log_p = log_probabilities(model, code)
-                lens = np.diff(first) - order
-                ends = np.concatenate([[0], np.cumsum(lens)])
+                ends = np.concatenate([[0], np.cumsum(np.diff(first) - order)])
                 total = np.add.reduceat(log_p, ends[:-1]) / np.log(10)
                 one, two = w.whole()
                 part = batch.slice(row, many)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), part.column(2), pa.array((one ^ mix(two)).view(np.int64)), pa.array(w.n.astype(np.int64) + 1), pa.array(np.round(n_known).astype(np.int64)), pa.array(base), pa.array(total)],
-                    names=["i", "held_out", "h", "n_tokens", "n_known", "base_score", "score"],
+                    [part.column(1), part.column(2), pa.array((one ^ mix(two)).view(np.int64)), pa.array(w.n.astype(np.int64) + 1), pa.array(n_known), pa.array(base), pa.array(total), rare],
+                    names=["i", "held_out", "h", "n_tokens", "n_known", "base_score", "score", "rare"],
                 )
 
     return run
