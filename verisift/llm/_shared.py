@@ -61,11 +61,22 @@ def _forget_all() -> None:
             return
 
 
+BATCH_ROWS = 2000  # of texts at once between the JVM and Python, where the session allows more
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: cuts lineage and survives lost executors."""
+    """Written to the shared folder and read again: cuts lineage and survives lost executors.
+
+    While it is written, Python is handed BATCH_ROWS rows at most: an Arrow batch is held several times over.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, rows = new_path(spark, name), spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ROWS, rows)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
