@@ -81,6 +81,7 @@ def test_substrings_repeated_and_empty(spark, docs, rows, no_docs):
     from verisift.llm.substrings import WindowIndex, remove_repeats, window_rows
 
     assert remove_repeats(no_docs).count() == 0
+    assert sorted(map(tuple, remove_repeats(docs, 20, filter_keys=7).collect()), key=str) == sorted(removed(rows, 20), key=str)  # many shards
     twice = docs.unionAll(docs)
     assert sorted(map(tuple, remove_repeats(twice, 20).collect()), key=str) == sorted(removed(rows, 20) * 2, key=str)
     # an index that is filled batch by batch and compacted finds what a single pass finds

@@ -93,37 +93,42 @@ def _train(docs: DataFrame, order: int) -> DataFrame:
     return counts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-class Table:
-    """An open-addressing hash table from 64-bit keys to rows of float32, searched for many keys at once."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(1.25 * len(keys)).bit_length())
-        size = 1 << self.bits
-        self.keys, self.values = np.full(size, U(2**64 - 1)), np.zeros((size, values.shape[1]), np.float32)
-        left, at = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = self.keys[at] == U(2**64 - 1)
-            self.keys[at[free]] = keys[left[free]]  # of several the last stays
-            won = self.keys[at] == keys[left]
-            self.values[at[won]] = values[left[won]]
-            left, at = left[~won], (at[~won] + 1) & (size - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys ^ (keys >> U(29))) * U(GOLDEN) >> U(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in `values`, found)."""
-        at = self._slot(keys)
-        slot = self.keys[at]
-        found = slot == keys
-        left = np.flatnonzero(~found & (slot != U(2**64 - 1)))
-        while len(left):
-            at[left] = (at[left] + 1) & (len(self.keys) - 1)
-            slot = self.keys[at[left]]
-            hit = slot == keys[left]
-            found[left[hit]] = True
-            left = left[~hit & (slot != U(2**64 - 1))]
-        return at, found
+# An open-addressing hash table from 64-bit keys to rows of float32: (bits, keys, values). Plain data, as models are
+# broadcast and workers need no class of this package to read them.
+FREE = np.uint64(2**64 - 1)
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys ^ (keys >> U(29))) * U(GOLDEN) >> U(64 - bits)).astype(np.int64)
+
+
+def table(keys: np.ndarray, rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    bits = max(4, int(1.25 * len(keys)).bit_length())
+    held, values = np.full(1 << bits, FREE), np.zeros((1 << bits, rows.shape[1]), np.float32)
+    left, at = np.arange(len(keys)), _slots(keys, bits)
+    while len(left):
+        free = held[at] == FREE
+        held[at[free]] = keys[left[free]]  # of several the last stays
+        won = held[at] == keys[left]
+        values[at[won]] = rows[left[won]]
+        left, at = left[~won], (at[~won] + 1) & ((1 << bits) - 1)
+    return bits, held, values
+
+
+def find(among: tuple[int, np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the values, found) for many keys at once."""
+    bits, held, _ = among
+    at = _slots(keys, bits)
+    slot = held[at]
+    found = slot == keys
+    left = np.flatnonzero(~found & (slot != FREE))
+    while len(left):
+        at[left] = (at[left] + 1) & (len(held) - 1)
+        slot = held[at[left]]
+        hit = slot == keys[left]
+        found[left[hit]] = True
+        left = left[~hit & (slot != FREE)]
+    return at, found
 
 
 def build(keys: np.ndarray, n: np.ndarray, order: int, low: tuple[np.ndarray, np.ndarray]) -> dict:
@@ -148,7 +153,7 @@ def build(keys: np.ndarray, n: np.ndarray, order: int, low: tuple[np.ndarray, np
         g, c = by_order[k]
         ctx, at, total, kinds = sums[k]
         with np.errstate(divide="ignore"):
-            tables["grams"].append(Table(g, np.stack([np.log(c), np.log(c) - np.log(total + kinds)[at]], axis=1) if len(g) else np.zeros((0, 2))))
+            tables["grams"].append(table(g, np.stack([np.log(c), np.log(c) - np.log(total + kinds)[at]], axis=1) if len(g) else np.zeros((0, 2))))
             if k == 0:
                 tables["root"] = (float(np.log(kinds[0]) - np.log(total[0] + kinds[0])), int(kinds[0])) if len(ctx) else (0.0, 0)
                 tables["contexts"].append(None)
@@ -161,7 +166,7 @@ def build(keys: np.ndarray, n: np.ndarray, order: int, low: tuple[np.ndarray, np
             rest, rest_kinds = (up_total[up] - known, up_kinds[up] - kinds) if len(ctx) else (np.zeros(0), np.zeros(0))
             some = rest_kinds > 0
             values = np.stack([np.log(kinds) - np.log(total + kinds), np.where(some, np.log(np.maximum(rest + rest_kinds, 1)), 0), np.where(some, np.log(np.maximum(rest_kinds, 1)), 0), some], axis=1) if len(ctx) else np.zeros((0, 4))
-            tables["contexts"].append(Table(ctx, values))
+            tables["contexts"].append(table(ctx, values))
     return tables
 
 
@@ -174,8 +179,8 @@ def log_probabilities(model: dict, code: np.ndarray) -> np.ndarray:
     escaped = np.zeros(len(code), bool)
     for k in range(order, -1, -1):
         key = code[left] & U((1 << (8 * (k + 1))) - 1)
-        at, found = grams[k].find(key)
-        values = grams[k].values[at[found]]
+        at, found = find(grams[k], key)
+        values = grams[k][2][at[found]]
         from_above, got = escaped[left[found]], left[found]
         out[got] += np.where(from_above, values[:, 0] - above[got, 0], values[:, 1])
         left = left[~found]
@@ -185,8 +190,8 @@ def log_probabilities(model: dict, code: np.ndarray) -> np.ndarray:
             root, kinds = model["root"]
             out[left] += np.where(escaped[left], np.where(above[left, 2] > 0, above[left, 1] - above[left, 0], 0.0), root) - np.log(256 - kinds)
             break
-        at, found = contexts[k].find(code[left] >> U(8) & U((1 << (8 * k)) - 1))
-        know, values = left[found], contexts[k].values[at[found]]
+        at, found = find(contexts[k], code[left] >> U(8) & U((1 << (8 * k)) - 1))
+        know, values = left[found], contexts[k][2][at[found]]
         out[know] += np.where(escaped[know], np.where(above[know, 2] > 0, above[know, 1] - above[know, 0], 0.0), values[:, 0])
         above[know] = values[:, 1:4]
         escaped[know] = True
