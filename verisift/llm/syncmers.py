@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 K, S = 8, 2
-_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+# fixed values: Thai and Lao, Myanmar, Khmer, and the East Asian ideographs and syllables, as ranges, which match much
+# faster than script names
+_ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 _TOKEN = rf"[^\x20\x09-\x0D{_ALONE}]{{1,24}}+|[{_ALONE}]"
 
 
@@ -96,12 +98,13 @@ def _ranges(docs: DataFrame, per_range: int, max_ranges: int) -> tuple[Column, C
     return -F.expr(find), of_null
 
 
-def with_next(docs: DataFrame, per_range: int = 256, max_ranges: int = 1_000_000) -> DataFrame:
+def with_next(docs: DataFrame, per_range: int = 256, max_ranges: int = 200_000) -> DataFrame:
     """Rows (doc_id, t) with a range (`bucket`) and `h`; sorted in it, each row's next stands right behind it.
 
     Order: doc_id descending, nulls last (by a hash of the text), and the first again after the last. Ids are cut into
     ranges at their quantiles; a null id's range comes from the hash. Each range also gets a copy of the next range's
-    first row (`guest`), so no window spans the table; only one row a range (max_ranges at most) is put in order at once.
+    first row (`guest`), so no window spans the table; only one row a range (about max_ranges at most) is put in order at
+    once, and broadcast.
     """
     h = F.xxhash64(F.coalesce("t", F.lit("")))
     of_known, of_null = _ranges(docs, per_range, max_ranges)
@@ -111,7 +114,7 @@ def with_next(docs: DataFrame, per_range: int = 256, max_ranges: int = 1_000_000
     heads = first.select("bucket", F.col("top.doc_id").alias("head_id"), F.bitwise_not("top.g").alias("head_h"), F.lag("bucket").over(over).alias("before"), F.max("bucket").over(W.partitionBy()).alias("final"))
     heads = heads.select("bucket", "head_id", "head_h", F.coalesce("before", "final").alias("before"))
     a, b = rows.alias("a"), heads.alias("b")
-    joined = a.join(b, F.expr("a.bucket = b.bucket AND a.doc_id <=> b.head_id AND a.h = b.head_h"), "left")
+    joined = a.join(F.broadcast(b), F.expr("a.bucket = b.bucket AND a.doc_id <=> b.head_id AND a.h = b.head_h"), "left")
     own = F.struct(F.col("a.bucket").alias("bucket"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("b.before").alias("bucket"), F.lit(True).alias("guest"))
     both = joined.select("a.doc_id", "a.t", "a.h", F.explode(F.when(F.col("b.before").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("o"))
