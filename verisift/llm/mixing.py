@@ -19,6 +19,7 @@ from ._shared import WORD, staged
 
 BITS = 10  # of the hash, for each histogram
 LEVELS = 6
+FEW_SOURCES, FEW_CHARS = 100_000, 8_000_000  # up to which the table of sources is broadcast
 
 
 def hash60(key: Column) -> Column:
@@ -88,7 +89,9 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     plan = staged(targets(per.withColumn("weight", weight), cap, share), "mix-targets")
     cut = thresholds(sized, plan).alias("c")
     p = plan.alias("p")
-    decided = p.join(cut, F.expr("p.source <=> c.source")).select("p.source", "p.source_size", "p.target", "c.copies", "c.below").alias("q")
+    decided = p.join(cut, F.expr("p.source <=> c.source")).select("p.source", "p.source_size", "p.target", "c.copies", "c.below")
+    n, chars = plan.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("source")), F.lit(0))).first()
+    decided = (F.broadcast(decided) if n <= FEW_SOURCES and chars <= FEW_CHARS else decided).alias("q")  # else texts are joined by source
     copies = F.col("q.copies") + (F.col("r.h") < F.col("q.below")).cast("int")
     if keep:
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("source"), hash60(F.col(f"`{doc_id}`")).alias("h")).alias("r")
