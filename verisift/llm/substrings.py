@@ -8,7 +8,8 @@ then becomes a run itself; `compact` merges runs of one level into one of the ne
 
 For a whole table, windows that cannot repeat are left out first: every window has an anchor, the least hash among its
 inner runs of half its length, equal windows have equal anchors, so only windows whose anchor occurs in two different
-texts are fingerprinted (a Bloom filter of fixed size holds those anchors; when full it lets more windows through).
+texts are fingerprinted. Bloom filters of fixed size hold those anchors, as many as fit well into one; if there are more,
+anchors are dealt into shards by hash and texts are read once for each.
 Whole copies need no windows: all but those of the smallest id lose every word if they have a window at all.
 
 Nulls: a null text has no words; a null doc_id comes after every other id. Equal ids take nothing from each other.
@@ -26,6 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 from ._shared import NO_ID, bloom_has, bloom_of, drop_staged, new_path, staged
 from ._words import Words, chunks, sliding_min
 
+FILTER_BITS, FILTER_KEYS = 27, 11_000_000  # log2 of a filter's bits, and how many anchors fit well
+
+
 class WindowIndex:
     """Runs of (g1, g2, least): fingerprints and the smallest document id that starts each."""
 
@@ -131,8 +135,8 @@ def text_rows(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "i long, n_words int, s1 long, s2 long, sha string, anchors array<long>")
 
 
-def window_rows(docs: DataFrame, k: int, repeated=None) -> DataFrame:
-    """(i, s1, g1, g2, at) of the windows of rows (t, i) whose anchor may be in the Bloom filter `repeated`.
+def window_rows(docs: DataFrame, k: int, repeated=None, shard: int = 0, shards: int = 1) -> DataFrame:
+    """(i, s1, g1, g2, at) of the windows of rows (t, i) whose anchor is of the shard and may be in its Bloom filter.
 
     at: the places of the window in its text, so a text that repeats itself gives a row for each different window.
     """
@@ -150,7 +154,9 @@ def window_rows(docs: DataFrame, k: int, repeated=None) -> DataFrame:
                     at = np.flatnonzero(ok)
                     # neighbours share anchors: ask the filter once for each run of equal ones
                     change = np.flatnonzero(np.concatenate([[True], m[at[1:]] != m[at[:-1]]]))
-                    hit = bloom_has(repeated.value, m[at[change]], 24, 3)
+                    hit = bloom_has(repeated.value, m[at[change]], FILTER_BITS, 3)
+                    if shards > 1:
+                        hit &= m[at[change]] % np.uint64(shards) == shard
                     ok[at] = np.repeat(hit, np.diff(np.append(change, len(at))))
                 at = np.flatnonzero(ok)
                 if not len(at):
@@ -211,7 +217,7 @@ def _with_sequence(docs: DataFrame, wanted) -> DataFrame:
     return docs.mapInArrow(run, "t string, i long, s1 long")
 
 
-def remove_repeats(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str = "doc_id", batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str = "doc_id", batches: int = 2, filter_keys: int = FILTER_KEYS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): words go that a window covers which also starts in a smaller doc_id.
 
     The table is merged into a window index in `batches` ranges of doc_id.
@@ -220,14 +226,21 @@ def remove_repeats(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str
     source = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("i"))
     rows = staged(text_rows(source, k), "texts")
     # anchors of two different texts
-    shared = rows.select(F.explode("anchors").alias("h"), "s1").groupBy("h").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi")
-    repeated = spark.sparkContext.broadcast(bloom_of(shared, "h", 24, 3))
+    shared = rows.select(F.explode("anchors").alias("h"), "s1").groupBy("h").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("h")
+    shared = staged(shared, "anchors")
+    shards = max(1, -(-shared.count() // filter_keys))
+    shard_of = F.expr(f"pmod(conv(hex(h), 16, 10) :: decimal(20, 0), {shards})") if shards > 1 else F.lit(0)
+    filters = [spark.sparkContext.broadcast(bloom_of(shared.where(shard_of == j), "h", FILTER_BITS, 3)) for j in range(shards)]
     cuts = rows.agg(F.percentile_approx("i", [x / batches for x in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     bounds = [-(2**63), *sorted(set(cuts or [])), NO_ID]
     index, found = WindowIndex(spark), None
     for j, (low, high) in enumerate(zip(bounds, bounds[1:])):
         inside = F.col("i") <= high if j == 0 else (F.col("i") > low) & (F.col("i") <= high)
-        windows = staged(window_rows(source.where(inside), k, repeated), "windows")
+        windows = None
+        for shard, repeated in enumerate(filters):
+            some = window_rows(source.where(inside), k, repeated, shard, shards)
+            windows = some if windows is None else windows.unionAll(some)
+        windows = staged(windows, "windows")
         hit = index.probe(windows).where("least < i").select("i", "s1", "at")
         hit = staged(hit, "hits")
         found = hit if found is None else found.unionAll(hit)
