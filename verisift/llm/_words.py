@@ -10,7 +10,33 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_cache: dict = {}
+
+
+def kept(name: str) -> dict:
+    """A dict that lasts as long as the worker process. Functions travel to workers by value, so a global of this
+    module would be a new one in each task, and the old one garbage in a cycle that is collected late."""
+    import sys
+    import types
+
+    return sys.modules.setdefault(f"_kept_{name}", types.ModuleType(f"_kept_{name}")).__dict__
+
+
+def tidy(step_mb: int = 150) -> None:
+    """Collect garbage when the process has grown by step_mb since the last time: what tasks before this one held
+    (models, tables, batches) hangs in cycles that Python alone would keep for long."""
+    import gc
+
+    try:
+        with open("/proc/self/statm") as f:
+            now = int(f.read().split()[1]) * 4096 / 1e6
+        seen = kept("memory")
+        if now > seen.get("mb", 150) + step_mb:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with open("/proc/self/statm") as f:
+                seen["mb"] = int(f.read().split()[1]) * 4096 / 1e6
+    except OSError:
+        pass  # no /proc here
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -29,14 +55,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _byte_values() -> np.ndarray:
-    if "bytes" not in _cache:
-        _cache["bytes"] = mix(np.arange(1, 257, dtype=np.uint64) * U(0xA0761D6478BD642F))
-    return _cache["bytes"]
+    held = kept("powers")
+    if "bytes" not in held:
+        held["bytes"] = mix(np.arange(1, 257, dtype=np.uint64) * U(0xA0761D6478BD642F))
+    return held["bytes"]
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n at least."""
-    got = _cache.get(base)
+    held = kept("powers")
+    got = held.get(str(base))
     if got is None or len(got[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
         out = []
@@ -44,7 +72,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        _cache[base] = got = tuple(out)
+        held[str(base)] = got = tuple(out)
     return got
 
 
@@ -118,8 +146,9 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
 
 
-def chunks(column, limit: int = 2_000_000):
+def chunks(column, limit: int = 1_000_000):
     """An Arrow column of texts in runs of rows of at most `limit` bytes, or one row: (first row, bytes, offsets)."""
+    tidy()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())

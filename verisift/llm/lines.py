@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._shared import NO_ID, CHUNK, bitmap_or, bitmap_rows, bloom_bits, staged
+from ._words import tidy
 
 _EDGE = b" \t\n\x0b\x0c\r"
 
@@ -36,6 +37,7 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
 
 
 def _texts(column):
+    tidy()
     return (b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist())
 
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._words import U, mix
+from ._words import U, kept, mix, tidy
 
 SPACE = 0x2581
 SPELLED = 0x110000  # stands for a literal U+2581
@@ -217,14 +217,15 @@ class Codec:
         return [data[a + 1 : b] if b > a else b"" for a, b in zip(at, at[1:])]  # without the first space
 
 
-_codecs: dict = {}
-
-
-def _codec(vocab, alpha: float) -> Codec:
-    """One codec a worker; its tables are built from the broadcast vocabulary."""
-    if (got := _codecs.get(alpha)) is None:
-        got = _codecs[alpha] = Codec(vocab.value, alpha)
-    return got
+def _codec(vocab, name: str, alpha: float) -> "Codec":
+    """One codec a worker process, not a task; its tables are built from the broadcast vocabulary of that name."""
+    held = kept("codecs")
+    key = f"{name} {alpha} {Codec.__name__}"
+    if key not in held:
+        for old in [k for k in held if not k.startswith("__")]:
+            del held[old]
+        held[key] = Codec(vocab.value, alpha)
+    return held[key]
 
 
 def row_seeds(keys: pa.Array) -> np.ndarray:
@@ -237,6 +238,7 @@ def row_seeds(keys: pa.Array) -> np.ndarray:
 
 def encoded_batches(batch: pa.RecordBatch, codec: Codec, limit: int = 1_000_000):
     """(texts, ids, offsets) of runs of a batch's rows (text, key), about `limit` characters each."""
+    tidy()
     texts = ["" if t is None else t for t in batch.column(0).to_pylist()]
     seeds, at = row_seeds(batch.column(1)), 0
     while at < len(texts):
@@ -250,12 +252,12 @@ def encoded_batches(batch: pa.RecordBatch, codec: Codec, limit: int = 1_000_000)
 
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "pieces", model: str | None = None, alpha: float = 1.0) -> DataFrame:
     """`docs` with the sampled piece ids of each whole text (array<int>)."""
-    vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
+    vocab, name = docs.sparkSession.sparkContext.broadcast(vocabulary(model)), str(model)
     names = [f"c{i}" for i in range(len(docs.columns))]
     df = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{key}`").cast("string").alias("k"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
 
     def run(batches):
-        codec = _codec(vocab, alpha)
+        codec = _codec(vocab, name, alpha)
         for batch in batches:
             for at, texts, ids, offsets in encoded_batches(batch, codec):
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
@@ -269,13 +271,13 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str =
 
 def decode(rows: DataFrame, pieces: str = "pieces", out: str = "text", model: str | None = None) -> DataFrame:
     """`rows` with the text that the piece ids stand for; null ids give an empty text."""
-    vocab = rows.sparkSession.sparkContext.broadcast(vocabulary(model))
+    vocab, name = rows.sparkSession.sparkContext.broadcast(vocabulary(model)), str(model)
     rest = [c for c in rows.columns if c != out]
     names = [f"c{i}" for i in range(len(rest))]
     df = rows.select(F.coalesce(F.col(f"`{pieces}`"), F.array().cast("array<int>")).alias("p"), *[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)])
 
     def run(batches):
-        codec = _codec(vocab, 1.0)
+        codec = _codec(vocab, name, 1.0)
         for batch in batches:
             p = batch.column(0)
             offsets = p.offsets.to_numpy().astype(np.int64)
@@ -293,14 +295,14 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
 
     pieces_sha256 is over the ids as little-endian 32-bit integers; decoded_sha256 over the decoded UTF-8 text.
     """
-    vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
+    vocab, name = docs.sparkSession.sparkContext.broadcast(vocabulary(model)), str(model)
     kind = dict(docs.dtypes)[key]
     df = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{key}`").alias("i"))
 
     def run(batches):
         import hashlib
 
-        codec = _codec(vocab, alpha)
+        codec = _codec(vocab, name, alpha)
         for batch in batches:
             for at, texts, ids, offsets in encoded_batches(batch, codec):
                 back = codec.decode(ids, offsets)
