@@ -65,6 +65,16 @@ BATCH_ROWS = 2000  # of texts at once between the JVM and Python, where the sess
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on this session hands Python BATCH_ROWS rows at once at most.
+
+    Queries and pipeline stages call it, as what they return runs only when it is written: an Arrow batch of 10,000 texts
+    is held several times over by the JVM's buffers, which keep their size, and by each worker.
+    """
+    rows = int(spark.conf.get(_ROWS))
+    spark.conf.set(_ROWS, min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: cuts lineage and survives lost executors.
 

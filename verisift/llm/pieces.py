@@ -125,12 +125,7 @@ class Codec:
         size = 1
         while True:
             mine = np.flatnonzero((length > size // 2) & (length <= size) if size > 1 else length == 1)
-            step = max(1, 1_500_000 // (size * min(size, self.longest)))
-            if size <= 64:
-                self._segments(cps, value, start, length, seed, mine, size, piece_at)
-            else:
-                for j in range(0, len(mine), max(1, step)):
-                    self._segments(cps, value, start, length, seed, mine[j : j + max(1, step)], size, piece_at)
+            self._segments(cps, value, start, length, seed, mine, size, piece_at)
             if size >= length.max():
                 break
             size *= 2
@@ -149,12 +144,10 @@ class Codec:
         return ids, np.concatenate([[0], ends])[np.searchsorted(at, first)]
 
     def _segments(self, cps, value, start, length, seed, mine, size, piece_at) -> None:
-        """Filter the distinct ones of the segments `mine` (no longer than size), then sample each."""
+        """Find the distinct ones of the segments `mine` (no longer than size); filter and sample some at a time."""
         if not len(mine):
             return
-        reach = np.arange(size)
         s, n = start[mine], length[mine]
-        # the distinct segments
         h = np.zeros(len(mine), np.uint64)
         for j in range(size):
             live = n > j
@@ -162,12 +155,23 @@ class Codec:
                 break
             h = np.where(live, h * U(0xD6E8FEB86659FD93) + value[np.minimum(s + j, len(value) - 1)], h)
         _, pick, of = np.unique(mix(h ^ n.astype(np.uint64)), return_index=True, return_inverse=True)
-        us, un = s[pick], n[pick]
+        order = np.argsort(of, kind="stable")
+        first = np.searchsorted(of[order], np.arange(len(pick) + 1))
+        some = max(1, 2_000_000 // ((size + 1) * min(size, self.longest)))  # so the tables stay small
+        for a in range(0, len(pick), some):
+            b = min(a + some, len(pick))
+            uses = order[first[a] : first[b]]
+            tables = self._filtered(cps, value, s[pick[a:b]], n[pick[a:b]], size)
+            self._sampled(*tables, of[uses] - a, s[uses], n[uses], seed[mine[uses]], piece_at)
+
+    def _filtered(self, cps, value, us, un, size) -> tuple[np.ndarray, np.ndarray]:
+        """(ids by length and first character, cumulative chances of the last piece's length at each place)."""
+        reach = np.arange(size)
         inside = reach[None, :] < un[:, None]
         place = np.minimum(us[:, None] + reach[None, :], len(cps) - 1)
         v = np.where(inside, value[place], U(0))
         top = min(size, self.longest)
-        ids = np.full((top + 1, len(us), size), -1, np.int32)  # by piece length and first character
+        ids = np.full((top + 1, len(us), size), -1, np.int32)
         key = np.zeros(v.shape, np.uint64)
         for k in range(1, top + 1):
             wide = size - k + 1
@@ -179,11 +183,10 @@ class Codec:
             ids[k, :, :wide] = got.reshape(fits.shape)
         one = ids[1]
         one[(one == -1) & inside] = -2
-        # forward filtering, and the cumulative chances of the length of the last piece at each place
         weight = np.append(self.weight, [self.spelled_weight, -np.inf])  # [-2] and [-1]
         forward = np.full((len(us), size + 1), -np.inf)
         forward[:, 0] = 0
-        chance = np.ones((len(us), size + 1, top), np.float64)
+        chance = np.ones((len(us), size + 1, top), np.float32)
         for j in range(1, size + 1):
             most = min(top, j)
             terms = np.stack([forward[:, j - k] + weight[ids[k, :, j - k]] for k in range(1, most + 1)], axis=1)
@@ -194,10 +197,14 @@ class Codec:
             with np.errstate(divide="ignore", invalid="ignore"):
                 forward[:, j] = peak + np.log(total)
                 chance[:, j, :most] = np.where(total[:, None] > 0, part / total[:, None], 1.0)
-        # backward sampling
-        at, live, step = n.copy(), np.arange(len(mine)), 0
+        return ids, chance
+
+    def _sampled(self, ids, chance, of, s, n, seed, piece_at) -> None:
+        """Draw each use's pieces from its end, by the tables of its segment."""
+        top = chance.shape[2]
+        at, live, step = n.copy(), np.arange(len(s)), 0
         while len(live):
-            draw = (mix(seed[mine[live]] + U((step + 1) * 0xBF58476D1CE4E5B9 % 2**64)) >> U(11)).astype(np.float64) * 2.0**-53
+            draw = (mix(seed[live] + U((step + 1) * 0xBF58476D1CE4E5B9 % 2**64)) >> U(11)).astype(np.float64) * 2.0**-53
             u, j = of[live], at[live]
             k = (chance[u, j] <= draw[:, None]).sum(axis=1) + 1
             k = np.minimum(k, np.minimum(j, top))
