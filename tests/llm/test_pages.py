@@ -97,3 +97,38 @@ def test_url_model(spark):
     assert sum((got[i] == "allow") == ok for i, _, ok in test) >= 30
     assert m.threshold([(5, 0, 10), (9, 10, 0)]) == pytest.approx(9 / m.BINS * 2 * m.SPAN - m.SPAN)
     assert m.threshold([(5, 3, 0)]) is None and math.isfinite(m.SPAN)
+
+
+def test_url_scores_are_exact(spark):
+    """Scores follow the formula over exact counts, however many grams there are, with and without a broadcast."""
+    import math
+    import random
+    import zlib
+    from collections import defaultdict
+
+    from verisift.llm import urls as m
+
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20))
+    urls = [f"http://{name()}.{end}/{name()}" for _ in range(400) for end in ("org", "com/fr", "com/de", "net")]
+    got = [{r.url: r.score for r in m.judge(spark.createDataFrame([(u,) for u in urls], "url string"), keep=("url",), broadcast=n).collect()} for n in (m.BROADCAST, 0)]
+    codes = lambda u: [m.START] * m.ORDER + [m.SIGNS.find(c) + 1 for c in u.split("://")[1]] + [m.END]
+    grams, contexts, n = defaultdict(int), defaultdict(int), [0, 0]
+    for u in urls:
+        if ".net/" not in u and zlib.crc32(u.encode()) % 5:
+            c, side = codes(u), int("com/de/" in u)
+            for i in range(m.ORDER, len(c)):
+                n[side] += 1
+                for k in range(m.ORDER + 1):
+                    grams[side, *c[i - k : i + 1]] += 1
+                    contexts[side, *c[i - k : i], "of", k] += 1
+    assert len([g for g in grams if len(g) == m.ORDER + 2]) > 32768  # more than a table of fixed size had cells
+    for u in urls:
+        c, want = codes(u), 0.0
+        for i in range(m.ORDER, len(c)):
+            for side in (0, 1):
+                p, even = 1 / m.BASE, sum(n) / (2 * n[side])
+                for k in range(m.ORDER + 1):
+                    p = (grams[side, *c[i - k : i + 1]] * even + p) / (contexts[side, *c[i - k : i], "of", k] * even + 1)
+                want += math.log(p) * (1 - 2 * side)
+        assert got[0][u] == got[1][u] == pytest.approx(want / (len(c) - m.ORDER), abs=1e-8)

@@ -3,8 +3,10 @@
 Rules name a host (and its subdomains) and the start of a path; the longest that fits decides. URLs that rules decide
 also teach two smoothed variable-order Markov models, of accepted and of rejected URLs: a character's probability is
 interpolated from order 0 up to ORDER, each order with `weight` virtual observations of the order below, so contexts
-that were never seen fall back by themselves. Counts of contexts are kept in tables of a fixed size (SLOTS cells an
-order, by hash), so what is broadcast is one row of 4 x (ORDER + 1) x SLOTS numbers at any input size.
+that were never seen fall back by themselves. Counts are exact: a row for each (context, sign) that occurs. What the
+last ORDER + 1 signs add to the score is worked out once for each such gram that any URL has, by joins of these
+counts order by order (a gram has at most BASE neighbours of one context or suffix, so no key is hot). URLs fetch it
+by a join on their grams: broadcast up to BROADCAST grams, shuffled beyond, where adaptive execution splits hot grams.
 
 The score is the difference of the two log-likelihoods divided by the length. One in five of the decided URLs is held
 out of the counts; on them the threshold with the best balanced accuracy is chosen from a histogram of fixed size.
@@ -26,7 +28,8 @@ SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789:/.-_?=&#%+~@"  # other characters
 BASE = len(SIGNS) + 3  # and a start and an end sign
 START, END = len(SIGNS) + 1, len(SIGNS) + 2
 ORDER = 4
-SLOTS = 1 << 15
+BROADCAST = 1 << 18  # grams
+UNIT = 2.0**36  # of the scores that grams add: sums of whole numbers do not depend on their order
 BINS, SPAN = 2000, 4.0  # of scores
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,62 +62,58 @@ def _plain(url: str) -> Column:
     return F.translate(rest, _UPPER, _LOWER)
 
 
-def _slot(k: int, gram: str) -> str:
-    return f"int({k * SLOTS} + pmod(xxhash64({k}, {gram}), {SLOTS}))"
-
+def _places(urls: DataFrame, *keep: str) -> DataFrame:
+    """The columns in `keep` and g, the last ORDER + 1 signs at each place of `codes` as one number."""
+    padded = F.concat(F.array_repeat(F.lit(START), ORDER), F.col("codes"))
+    gram = " + ".join(f"bigint(p[i + {ORDER - j}]) * {BASE**j}L" for j in range(ORDER + 1))
+    return urls.select(*keep, padded.alias("p")).selectExpr(*keep, f"explode(transform(sequence(0, size(p) - {ORDER + 1}), i -> {gram})) AS g")
 
-_FIRST = sum(START * BASE**i for i in range(ORDER + 1))  # start signs before the URL
-_NEXT = f"pmod(s.g * {BASE}L + c, {BASE ** (ORDER + 1)}L)"
 
+def gram_scores(urls: DataFrame, weight: float = 1.0) -> DataFrame:
+    """(g, s): the difference of log-likelihoods that each gram of `urls` adds.
 
-def count_table(decided: DataFrame) -> DataFrame:
-    """One row: counts of (context, sign) and of contexts, by class, order and slot. `decided`: codes, accepted."""
-    # the last ORDER + 1 signs at each place as one number
-    padded = F.concat(F.array_repeat(F.lit(START), ORDER), F.col("codes"))
-    gram = " + ".join(f"bigint(p[i + {ORDER - j}]) * {BASE**j}L" for j in range(ORDER + 1))
-    places = decided.select("accepted", padded.alias("p")).selectExpr("accepted", f"explode(transform(sequence(0, size(p) - {ORDER + 1}), i -> {gram})) AS g")
-    grams = places.groupBy("g").agg(F.sum(F.col("accepted").cast("long")).alias("a"), F.sum((~F.col("accepted")).cast("long")).alias("r"))
-    each = grams.select("a", "r", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"pmod(g, {BASE ** (k + 1)}L)").alias("x")) for k in range(ORDER + 1)])).alias("o"))
-    each = each.select("a", "r", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.expr(f"int(o.k * {SLOTS} + pmod(xxhash64(o.k, {x}), {SLOTS}))").alias("slot")) for kind, x in ((0, "o.x"), (1, f"o.x div {BASE}L"))])).alias("s"))
-    cells = each.groupBy("s.kind", "s.slot").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    `urls`: codes, and how many accepted (a) and rejected (r) URLs to count they stand for, 0 for those only to judge.
+    """
+    sums = lambda df, key: df.groupBy(key.alias("x")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    grams = staged(sums(_places(urls, "a", "r"), F.col("g")), "url-grams")
+    counts = {ORDER: grams}
+    for k in range(ORDER - 1, -1, -1):
+        counts[k] = sums(counts[k + 1], F.expr(f"pmod(x, {BASE ** (k + 1)}L)"))
+    total = counts[0].agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("r"), F.lit(0)).alias("n_r")).first()
     # as if both classes had equally many characters: else the larger one would find all that is new less likely
-    sums = grams.agg(F.sum("a").alias("n_a"), F.sum("r").alias("n_r")).withColumn("one", F.lit(1))
-    spark = decided.sparkSession
-    size = (ORDER + 1) * SLOTS
-    every = spark.range(0, 2 * size, 1, 4).select((F.col("id") / size).cast("int").alias("kind"), (F.col("id") % size).cast("int").alias("slot"))
-    full = every.join(cells, ["kind", "slot"], "left").fillna(0).withColumn("one", F.lit(1)).join(F.broadcast(sums), "one")
-    even = lambda c, n: F.coalesce(F.col(c) * (F.col("n_a") + F.col("n_r")) / (2 * F.nullif(F.col(n), F.lit(0))), F.lit(0.0)).cast("float").alias(c)
-    full = full.select("kind", "slot", even("a", "n_a"), even("r", "n_r"))
-    lists = full.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("slot", "a", "r"))).alias("v")).groupBy().agg(F.first(F.when(F.col("kind") == 0, F.col("v")), True).alias("grams"), F.first(F.when(F.col("kind") == 1, F.col("v")), True).alias("contexts"))
-    pick = lambda c, f: F.transform(c, lambda x: x[f]).alias(f"{c}_{f}")
-    return lists.select(pick("grams", "a"), pick("grams", "r"), pick("contexts", "a"), pick("contexts", "r"))
-
-
-def score(codes: str, weight: float = 1.0) -> Column:
-    """Length-normalised difference of log-likelihoods, given the columns of `count_table`."""
-    sides = {}
-    for side in "ar":
-        p = f"{1.0 / BASE}D"
-        for k in range(ORDER + 1):
-            gram, context = f"pmod(s.g, {BASE ** (k + 1)}L)", f"(pmod(s.g, {BASE ** (k + 1)}L) div {BASE}L)"
-            p = f"((grams_{side}[{_slot(k, gram)}] + {weight}D * {p}) / (contexts_{side}[{_slot(k, context)}] + {weight}D))"
-        sides[side] = p
-    step = f"named_struct('g', s.g, 'x', s.x + ln({sides['a']}) - ln({sides['r']}))"
-    fold = f"aggregate({codes}, named_struct('g', {_FIRST % BASE ** (ORDER + 1)}L, 'x', 0D), (t, c) -> transform(array(named_struct('g', {_NEXT.replace('s.g', 't.g')}, 'x', t.x)), s -> {step})[0], s -> s.x / size({codes}))"
-    return F.expr(fold)
-
-
-def judge(pages: DataFrame, url: str = "url", rules=RULES, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    even = {"a": (total.n_a + total.n_r) / (2 * total.n_a) if total.n_a else 0.0, "r": (total.n_a + total.n_r) / (2 * total.n_r) if total.n_r else 0.0}
+    below = None
+    for k in range(ORDER + 1):
+        rows = counts[k].withColumn("c", F.expr(f"x div {BASE}L"))
+        contexts = rows.groupBy("c").agg(F.sum("a").alias("c_a"), F.sum("r").alias("c_r"))
+        rows = rows.join(contexts, "c").withColumn("y", F.expr(f"pmod(x, {BASE**k}L)"))
+        rows = rows.withColumn("q_a", F.lit(1.0 / BASE)).withColumn("q_r", F.lit(1.0 / BASE)) if below is None else rows.join(below, "y")
+        p = {side: (F.col(side) * even[side] + weight * F.col(f"q_{side}")) / (F.col(f"c_{side}") * even[side] + weight) for side in "ar"}
+        below = rows.select(F.col("x").alias("y"), p["a"].alias("q_a"), p["r"].alias("q_r"))
+    return below.select(F.col("y").alias("g"), (F.log("q_a") - F.log("q_r")).alias("s"))
+
+
+def scores(urls: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+    """(plain, score): the length-normalised difference of log-likelihoods of each row of `urls` (plain, codes, a, r)."""
+    urls = staged(urls.withColumn("id", F.monotonically_increasing_id()), "urls")  # written, so that ids stay
+    table = staged(gram_scores(urls).select("g", F.round(F.col("s") * UNIT).cast("long").alias("s")), "url-model")
+    if table.count() <= broadcast:
+        table = F.broadcast(table)
+    sums = _places(urls, "id").join(table, "g").groupBy("id").agg(F.sum("s").alias("s"))
+    return staged(urls.join(sums, "id").select("plain", (F.col("s") / UNIT / F.size("codes")).alias("score")), "url-scores")
+
+
+def judge(pages: DataFrame, url: str = "url", rules=RULES, keep: tuple[str, ...] = ("page_id",), broadcast: int = BROADCAST) -> DataFrame:
     """The columns in `keep`, then host, path, rule and verdict, and the models' score of each URL."""
     host, path = split_url(F.col("u"))
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{url}`").cast("string").alias("u"))
     rows = rows.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("given", verdict).withColumn("plain", _plain("u")).withColumn("codes", _codes("plain")).drop("plain")
+    rows = rows.withColumn("rule", rule).withColumn("given", verdict).withColumn("plain", _plain("u"))
     held = F.crc32(F.coalesce("u", F.lit("")).cast("binary")) % 5 == 0
-    decided = rows.where("given IS NOT NULL").withColumn("accepted", F.col("given") == "allow")
-    table = staged(count_table(decided.where(~held).select("codes", "accepted")), "url-model").withColumn("one", F.lit(1))
-    scored = rows.withColumn("one", F.lit(1)).join(F.broadcast(table), "one").withColumn("score", score("codes"))
+    learnt = lambda v: F.sum((~held & (F.col("given") == v)).cast("long"))
+    urls = rows.groupBy("plain").agg(F.coalesce(learnt("allow"), F.lit(0)).alias("a"), F.coalesce(learnt("block"), F.lit(0)).alias("r"))
+    scored = rows.join(scores(urls.withColumn("codes", _codes("plain")), broadcast), "plain")
     cell = F.floor((F.greatest(F.least("score", F.lit(SPAN)), F.lit(-SPAN)) + SPAN) / (2 * SPAN) * BINS).cast("int")
     seen = scored.where(F.col("given").isNotNull() & held).groupBy(cell.alias("cell")).agg(F.sum((F.col("given") == "allow").cast("long")).alias("a"), F.sum((F.col("given") != "allow").cast("long")).alias("r")).collect()
     cut = threshold([(x.cell, x.a, x.r) for x in seen])
