@@ -204,6 +204,29 @@ def test_rules(spark, docs, rows, no_docs):
     assert 10 <= found["x"]["symbols"] < 300 and 250 <= found["y"]["symbols"] < 300 and found[None] == {}
 
 
+def test_rules_by_own_labels_only(spark):
+    """Strata with few labels, none or no name have no rules, and no number of strata is too large."""
+    from verisift.llm.rules import MEASURES, RULES, cutoffs, judge
+
+    data = []
+    for s in range(90):
+        for j in range(1200 if s < 70 else 100):
+            good = int(j % 8 > 0)
+            data.append((f"s{s}", good, j // 8 % 2 == 0, *[300 * (1 - good) if rule == "symbols" else 0 for rule in RULES]))
+    found = cutoffs(spark.createDataFrame(data, "stratum string, good int, holdout boolean, " + ", ".join(f"{r} int" for r in RULES)))
+    assert set(found) == {None, *[f"s{s}" for s in range(70)]} and all(c.get("symbols", 1000) < 300 for s, c in found.items() if s)
+    # one language has labels; documents of others that look like its bad ones stay
+    names = [x.split()[0] for x in MEASURES.split(", ")]
+    row = lambda i, lang, n: (i, lang, *[{"n_words": 100, "word_chars": 500, "n_symbols": n, "n_lines": 10}.get(x, 0) for x in names])
+    rows = [row(i, "en", 0 if i % 4 else 250) for i in range(4000)]
+    rows += [row(4000 + i, "few", 0 if i % 4 else 250) for i in range(100)]
+    rows += [row(5000, None, 250), row(5001, "none", 250), row(5002, "en", 250), row(5003, "en", 0)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(4100)], "doc_id long, quality int")
+    measured = spark.createDataFrame(rows, f"doc_id long, lang string, {MEASURES}")
+    kept = {r.doc_id for r in measured.where(judge(measured, labels)).select("doc_id").collect()}
+    assert kept == {i for i in range(4000) if i % 4} | set(range(4000, 4100)) | {5000, 5001, 5003}
+
+
 def test_fingerprints(spark, docs, rows, no_docs):
     from verisift.llm.syncmers import K, S, edited_pairs, with_anchors
 

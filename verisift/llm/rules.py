@@ -6,18 +6,23 @@ to tight (a rule takes part only where it rejects low-quality documents clearly
 decides how far to go: at each step the exact binomial (Clopper-Pearson) upper bound of the false-rejection rate of all
 rules together must not exceed `risk`. The walk stops at the first failure (fixed-sequence testing, so the steps of one
 walk need no correction); over strata the error probability is split by Bonferroni. With probability 1 - `error` no
-stratum loses more than `risk` of its good documents. Where labels are too few for the bound, no rule is on.
+stratum loses more than `risk` of its good documents to these rules.
 
-Strata with fewer than `min_good` good holdout documents, and all but the `max_strata` largest, share one pooled
-stratum, so the table of cutoffs has a fixed size bound: (max_strata + 1) rows of one cutoff a rule.
+A stratum has rules only by its own labels: null strata, strata without labels and those with fewer than `min_good` good
+holdout documents have none. There is no limit on the number of strata. Histograms come to the driver one stratum at a
+time; what it keeps is a few numbers a stratum that has enough labels.
 
-Nulls: a null text counts as empty, a null stratum belongs to the pooled one. Texts without words, repeated rows and
+Nulls: a null text counts as empty, a null stratum has no rules. Texts without words, repeated rows and
 an empty table need no special case; without labels no rule is on. Only the named columns are read, so extra ones
 cannot clash.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import groupby
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -135,55 +140,54 @@ def _upper_bound(k: int, n: int, error: float) -> float:
     return hi
 
 
-def _histograms(labelled: DataFrame, by: list[str], n: int) -> dict:
-    """Counts by the columns before the last, which is a number below n."""
-    out: dict = {}
-    for r in labelled.groupBy(*by).count().collect():
-        out.setdefault(tuple(r)[:-2], np.zeros(n, np.int64))[r[-2]] += r["count"]
-    return out
-
-
-def _by_stratum(stratum: Column, values: dict[str | None, Column]) -> Column:
-    out, pooled = None, values[None]
-    for s, value in values.items():
-        if s is not None:
-            out = (F.when if out is None else out.when)(stratum == s, value)
-    return pooled if out is None else out.otherwise(pooled)
-
-
-def cutoffs(labelled: DataFrame, risk: float = 0.02, error: float = 0.05, min_good: int = 250, max_strata: int = 64, gain: float = 5.0, steps: int = 6) -> dict[str | None, dict[str, int]]:
-    """Cutoffs of each stratum (None: the pooled one) from rows (stratum, good 0/1, holdout boolean, a column a rule).
-
-    Only histograms leave the executors: (strata + 1) x rules x 2 x GRID counts, then (strata + 1) x steps.
+def _histograms(labelled: DataFrame, by: list[str], n: int):
+    """(stratum, {columns between: counts by the last column, a number below n}), one stratum at a time."""
+    rows = labelled.groupBy("stratum", *by).count().orderBy("stratum").toLocalIterator()
+    for stratum, part in groupby(rows, lambda r: r.stratum):
+        out: dict = {}
+        for r in part:
+            out.setdefault(tuple(r)[1:-2], np.zeros(n, np.int64))[r[-2]] += r["count"]
+        yield stratum, out
+
+
+def _path(hist: dict, allowed: list[float], gain: float) -> dict[str, list[int]]:
+    """A stratum's cutoffs from loose to tight of each rule that takes part, from its tuning histograms."""
+    path, zero = {}, np.zeros(GRID + 2, np.int64)
+    for i, rule in enumerate(RULES):
+        over = {good: np.cumsum(hist.get((good, i), zero)[::-1])[::-1] for good in (0, 1)}
+        hit, miss = over[0][1:] / max(over[0][0], 1), over[1][1:] / max(over[1][0], 1)
+        useful = (hit >= 0.005) & (hit >= gain * miss)
+        cuts: list[int] = []
+        for rate in allowed:
+            at = np.flatnonzero(useful & (miss <= rate))
+            cuts.append(min([GRID, *cuts[-1:], *at[:1].tolist()]))
+        if cuts[-1] < GRID:
+            path[rule] = cuts
+    return path
+
+
+def cutoffs(labelled: DataFrame, risk: float = 0.02, error: float = 0.05, min_good: int = 250, gain: float = 5.0, steps: int = 6) -> dict[str | None, dict[str, int]]:
+    """Cutoffs of each stratum with enough labels, from rows (stratum, good 0/1, holdout boolean, a column a rule).
+
+    None stands for all others and has no rules. Only counts leave the executors: rules x 2 x GRID of a stratum, then steps.
     """
+    spark = labelled.sparkSession
     sizes = labelled.where("holdout AND good = 1 AND stratum IS NOT NULL").groupBy("stratum").count().where(F.col("count") >= min_good)
-    named = [r.stratum for r in sizes.orderBy(F.desc("count"), "stratum").limit(max_strata).collect()]
-    strata = [*named, None]
-    stratum = F.when(F.col("stratum").isin(named), F.col("stratum")) if named else F.lit(None).cast("string")
-    rows = labelled.withColumn("stratum", stratum)
+    strata = sorted(r.stratum for r in sizes.collect())
+    out: dict = {None: {}}
+    if not strata:
+        return out
+    rows = labelled.join(F.broadcast(spark.createDataFrame([(s,) for s in strata], "stratum string")), "stratum")
     long = rows.where("NOT holdout").select("stratum", "good", F.expr(f"stack({len(RULES)}, {', '.join(f'{i}, `{r}`' for i, r in enumerate(RULES))}) AS (rule, bin)"))
-    hist, zero = _histograms(long, ["stratum", "good", "rule", "bin"], GRID + 2), np.zeros(GRID + 2, np.int64)
     # tuning: at step j a rule is as tight as a false-rejection rate of allowed[j] among tuning documents lets it be
     allowed = [0.0, *[risk / 2 ** (steps - 2 - j) for j in range(steps - 1)]]
-    path: dict = {s: {} for s in strata}
-    for s in strata:
-        for i, rule in enumerate(RULES):
-            over = {good: np.cumsum(hist.get((s, good, i), zero)[::-1])[::-1] for good in (0, 1)}
-            hit, miss = over[0][1:] / max(over[0][0], 1), over[1][1:] / max(over[1][0], 1)
-            useful = (hit >= 0.005) & (hit >= gain * miss)
-            cuts = []
-            for rate in allowed:
-                at = np.flatnonzero(useful & (miss <= rate))
-                cuts.append(min([GRID, *cuts[-1:], *at[:1].tolist()]))
-            if cuts[-1] < GRID:
-                path[s][rule] = cuts
+    path = dict.fromkeys(strata, {}) | {s: _path(hist, allowed, gain) for s, hist in _histograms(long, ["good", "rule", "bin"], GRID + 2)}
     # holdout: walk down the path while the bound for all rules together holds
-    first = {s: F.least(*[sum((F.col(r) <= c).cast("int") for c in cuts) for r, cuts in p.items()], F.lit(steps), F.lit(steps)) if p else F.lit(steps) for s, p in path.items()}
-    tested = rows.where("holdout AND good = 1").select("stratum", _by_stratum(F.col("stratum"), first).cast("int").alias("step"))
-    lost = _histograms(tested, ["stratum", "step"], steps + 1)
-    out: dict = {}
-    for s in strata:
-        counts = lost.get((s,), np.zeros(steps + 1, np.int64))
+    table = spark.createDataFrame([(s, [p.get(r, [GRID] * steps) for r in RULES]) for s, p in path.items()], "stratum string, cuts array<array<int>>")
+    tests = [F.expr(f"size(filter(cuts[{i}], c -> `{r}` <= c))") for i, r in enumerate(RULES)]
+    tested = rows.where("holdout AND good = 1").join(F.broadcast(table), "stratum").select("stratum", F.least(*tests).alias("step"))
+    for s, lost in _histograms(tested, ["step"], steps + 1):
+        counts = lost[()]
         n, passed = int(counts.sum()), -1
         for j in range(steps):
             if _upper_bound(int(counts[: j + 1].sum()), n, error / len(strata)) > risk:
@@ -199,13 +203,12 @@ def judge(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratu
     rows = measured.select(F.col(f"`{doc_id}`").alias("m_id"), F.col(f"`{stratum}`").cast("string").alias("stratum"), *_rule_columns())
     rows = rows.join(lab, F.col("m_id") == F.col("l_id")).select("stratum", "good", (F.crc32(F.concat(F.lit("h"), F.col("m_id").cast("string"))) % 2 == 0).alias("holdout"), *RULES)
     found = cutoffs(staged(rows, "labelled"), **how)  # few columns of labelled rows: texts are read once for them
-    columns = dict(zip(RULES, _rule_columns()))
-    passes = {}
-    for s, cut in found.items():
-        passes[s] = F.lit(True)
-        for r, c in cut.items():
-            passes[s] = passes[s] & (columns[r] <= c)
-    return _by_stratum(F.col(f"`{stratum}`"), passes)
+    table = [x for s, cut in found.items() if cut for x in (F.lit(s), F.array(*[F.lit(cut.get(r, GRID)) for r in RULES]))]
+    if not table:
+        return F.lit(True)
+    cuts = F.try_element_at(F.create_map(*table), F.col(f"`{stratum}`").cast("string"))  # a constant, looked up by the row's stratum
+    passes = reduce(and_, [c <= cuts[i] for i, c in enumerate(_rule_columns())])
+    return F.coalesce(passes, F.lit(True))  # no cutoffs: no rules
 
 
 def passing(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", stratum: str = "lang", **how) -> DataFrame:
