@@ -73,3 +73,31 @@ def test_empty(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_near_duplicates_by_row(spark, sf_dir):
+    """Rows with a null or a repeated id go or stay by their own texts."""
+    import random
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(100)) for _ in range(9)]
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [
+        (1, texts[0]), (None, near(texts[0])),  # a null id's row goes for a copy with an id
+        (None, texts[1]),  # a clean one stays
+        (None, texts[2]), (None, near(texts[2])), (None, texts[2]),  # one of a group without ids
+        (5, texts[3]), (5, texts[3]), (5, texts[3]),  # one of repeated rows
+        (6, texts[4]), (7, near(texts[4])), (7, texts[5]),  # an id goes with one text and stays with another
+        (8, texts[6]), (8, near(texts[6])), (9, near(texts[6])),
+        (10, texts[7]), (10, texts[8]),  # nothing goes
+        (None, None), (None, ""), (11, ""), (11, ""), (5, None),  # without words nothing is a copy
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    either = [(None, texts[2], near(texts[2])), (8, texts[6], near(texts[6]))]
+    for i, a, b in either:
+        assert got.pop((i, a), 0) + got.pop((i, b), 0) == 1
+    want = [(1, texts[0]), (None, texts[1]), (5, texts[3]), (6, texts[4]), (7, texts[5]), (10, texts[7]), (10, texts[8]), (None, None), (None, ""), (11, ""), (11, ""), (5, None)]
+    assert out.columns == docs.columns and got == Counter(want)

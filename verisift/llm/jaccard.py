@@ -14,6 +14,8 @@ prefix is the leader; pairs with the leader are compared first, and only pairs o
 components after that are compared as well, so a large group of near copies needs no pair of each two. Components do
 not depend on this: each pair that shares a prefix token is compared or already connected.
 
+`one_of_each` decides by row, not by id: rows that share an id, or have none, go or stay by their own texts.
+
 Nulls: a null text or one without words has an empty set, links with nothing and is its own component; a null doc_id
 counts as larger than any other. Repeated rows are equal sets. An empty table gives an empty result.
 """
@@ -206,8 +208,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return both.withColumn("c", common).where(F.expr(f"100L * c >= {t}L * (a_n + b_n - c)")).select("a", "b")
 
 
-def near_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id): sets link when 100 * common >= percent * united."""
+def _members(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> DataFrame:
+    """(i, n, node, c) of each row: its id (NO_ID for null), number of shingles, set's hash and component (null: no words)."""
     t, spark = percent, docs.sparkSession
     table, found = class_table(docs, k, text, doc_id)
     classes = spark.sparkContext.broadcast(found)
@@ -235,15 +237,53 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
     if rest.limit(1).count():
         links = links.unionAll(_verified(rest, _candidate_sets(docs, table, rest, text, doc_id, k, t, classes), t))
     comp = staged(components(links), "components")
-    ids = table.withColumn("i", F.coalesce("i", F.lit(NO_ID))).join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    ids = table.withColumn("i", F.coalesce("i", F.lit(NO_ID))).join(comp, "node", "left")
+    return ids.select("i", "n", "node", F.coalesce("component", "node").alias("c"))
+
+
+def near_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id): sets link when 100 * common >= percent * united."""
+    ids = _members(docs, k, percent, text, doc_id)
     least = ids.where("c IS NOT NULL").groupBy("c").agg(F.min("i").alias("least"))
     out = ids.join(least, "c", "left").withColumn("least", F.coalesce("least", "i"))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(known("i").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), known("least").alias("component_id"))
 
 
+def _with_node(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
+    """(row: all columns, t, i, node) of each row, as in `_members`."""
+
+    def run(batches):
+        for batch in batches:
+            nodes = [_node(s) if len(s) else None for s, _ in shingle_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=["row", "t", "i", "node"])
+
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("t"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("i"))
+    return df.mapInArrow(run, df.withColumn("node", F.lit(None).cast("long")).schema)
+
+
 def one_of_each(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents with the smallest id of their component; rows that repeat one id are one document."""
-    groups = near_components(docs, k, percent, text, doc_id)
-    gone = groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("gone_id")), "left_anti")
+    """One row of each component, that with the smallest (id, set's hash, text, other columns), nulls last; and all without words.
+
+    An id that one row has decides by itself. Only rows with a null or repeated id, some of which go, are told apart by
+    their sets.
+    """
+    rows = staged(_members(docs, k, percent, text, doc_id), "members")
+    first = rows.where("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("i", "node")).alias("first"), F.count(F.lit(1)).alias("size"))
+    stays = (F.col("first.i") == F.col("i")) & (F.col("first.node") == F.col("node"))
+    marked = rows.join(first, "c", "left").withColumn("stays", F.col("c").isNull() | stays)
+    # a row that stays by its key may have equals with the same key
+    alone = F.col("c").isNull() | (F.col("size") == 1)
+    ids = marked.groupBy("i").agg(F.count(F.lit(1)).alias("rows"), F.count_if("stays").alias("stay"), F.bool_and(alone).alias("alone"))
+    ids = staged(ids.where("NOT alone AND (stay < rows OR rows > 1)").select("i", F.expr("rows > 1 AND stay > 0").alias("several")), "ids-to-drop")
+    key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID))
+    out = docs.join(ids.select(F.col("i").alias("gone_id")), key == F.col("gone_id"), "left_anti")
+    several = ids.where("several").select("i")
+    if not several.limit(1).count():
+        return out
+    some = docs.join(several.select(F.col("i").alias("some_id")), key == F.col("some_id"), "left_semi")
+    some = _with_node(some, k, text, doc_id)
+    keys = first.select(F.col("first.i").alias("i"), F.col("first.node").alias("node")).join(several, "i", "left_semi")
+    chosen = some.where("node IS NOT NULL").join(keys, ["i", "node"], "left_semi")
+    chosen = chosen.groupBy("i", "node").agg(F.min_by("row", F.struct("t", F.to_json("row"))).alias("row"))
+    return out.unionByName(some.where("node IS NULL").select("row.*")).unionByName(chosen.select("row.*"))
