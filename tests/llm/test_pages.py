@@ -40,6 +40,23 @@ def test_main_text():
     assert main_text(long).count("\n\n") == 4999
 
 
+def test_wrappers_named_like_parts():
+    """A name does not drop what holds the article; parts of the page still go."""
+    from verisift.llm.html import main_text
+
+    one, two = "First paragraph, long enough to count as text, is it not?", "Second one, also long enough, as all can see at once."
+    side = "Elsewhere, other things happen all the time."
+    text = f"<p>{one}</p><p>{two}</p>"
+    want = f"{one}\n\n{two}"
+    for tag in ("article", "main", "div"):
+        assert main_text(f"<div id='page' class='site sticky-header'><div class='content has-sidebar'><{tag}>{text}</{tag}><div class='sidebar'><p>{side}</p></div></div></div>") == want
+    assert main_text(f"<div class='social'><p>{side}</p></div><article>{text}</article>") == want
+    long = f"<p>{side} {side} {side}</p>" * 9
+    assert main_text(f"<article>{text}</article><div class='related'>{long}</div>") == want
+    assert main_text(f"<div>{text}</div><div id='comments'><article class='comment-body'>{long}</article></div>") == want
+    assert main_text(f"<div class='cookie-notice'>{long}</div><div>{text}</div>") == want
+
+
 def test_extract(spark):
     from verisift.llm.html import extract, main_text
 

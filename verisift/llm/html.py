@@ -2,6 +2,8 @@
 
 A page is cut into tags and text once; a light tree of its containers is kept. Parts that are no article by their tag,
 role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers) are left out.
+A class or id names a wrapper, not a part, where the element holds a main element, the page's only articles or more than
+half of its paragraph text; scoring then decides. Notices, adverts and comments are no wrappers unless they hold a main.
 Every paragraph passes points for its length and commas to its ancestors, half as many with each level; a container's
 points are discounted by the share of its text inside links. The best container, widened to the article around it, and
 its siblings that have enough points or read like text are kept, with all their blocks.
@@ -39,6 +41,12 @@ NAMES = frozenset(
     "notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup signin login register share sharing "
     "social related recommended recommendations widget widgets toc search searchbox form skip skiplink paywall outbrain taboola hidden".split()
 )
+# of these, names that no wrapper of an article has
+NEVER = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adunit banner banners sponsor sponsored sponsors promo promos "
+    "comment comments commentlist commentform respond disqus discussion reply replies cookie cookies consent gdpr notice notices notification alert popup "
+    "newsletter subscribe subscription signup signin login register outbrain taboola".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {  # an opening tag ends these open elements, up to the nearest of the second set
     "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
@@ -60,32 +68,36 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dropped", "points", "chars", "linked", "article")
+    __slots__ = ("tag", "parent", "dropped", "points", "chars", "linked", "article", "named")
 
     def __init__(self, tag, parent, dropped):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.points = 0.0
         self.chars = self.linked = 0
         self.article = tag in ("article", "main")
+        self.named = 0  # 1: left out by its class or id unless it is a wrapper, 2: by one of NEVER
 
 
-def _left_out(tag: str, attrs: str, parent: _Node) -> bool:
+def _left_out(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether an element is left out whatever it holds, and `named` of its node."""
     if tag in DROPPED:
-        return True
+        return True, 0
     if not attrs:
-        return False
+        return False, 0
+    named = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             # the page's own frame is never left out by its name
-            if tag not in ("html", "body", "article", "main") and any(w.lower() in NAMES for w in _SPLIT.split(value)):
-                return True
+            if tag not in ("html", "body", "article", "main"):
+                found = {w.lower() for w in _SPLIT.split(value)} & NAMES
+                named = max(named, 2 if found & NEVER else 1 if found else 0)
         elif name == "role":
             if value.strip().lower() in ROLES:
-                return True
+                return True, named
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value.lower()):
-            return True
-    return False
+            return True, named
+    return False, named
 
 
 def _blocks(page: str):
@@ -163,7 +175,8 @@ def _blocks(page: str):
                 flush()
             continue
         is_block = tag in BLOCK
-        out_now = _left_out(tag, m[3], owner)
+        hard, named = _left_out(tag, m[3])
+        out_now = hard or named > 0 and not is_block
         if is_block:
             flush()
             if tag in _CLOSES:
@@ -193,6 +206,7 @@ def _blocks(page: str):
             node = _Node(tag, flush_inline, True)
         else:
             node = _Node(tag, owner, dropped)
+            node.named = named
         nodes.append(node)
         if not is_block:
             # an inline part that is left out: its text is skipped, the block around it goes on
@@ -222,11 +236,40 @@ def _in_article(node: _Node | None) -> bool:
     return False
 
 
+def _without_parts(nodes: list[_Node], blocks: list) -> list:
+    """The blocks outside elements that are left out by their names; those elements are marked as dropped."""
+    if not any(n.named for n in nodes):
+        return blocks
+    held: dict[int, int] = {}  # characters of paragraph text
+    mains, articles, everything, outside = set(), set(), 0, False
+    for node, text, linked in blocks:
+        size = len(text) - linked if len(text) >= 25 and node.tag not in HEADINGS else 0
+        everything += size
+        path, up = [], node
+        while up is not None:
+            path.append(up)
+            held[id(up)] = held.get(id(up), 0) + size
+            up = up.parent
+        for kind, found in (("main", mains), ("article", articles)):
+            at = max((i for i, n in enumerate(path) if n.tag == kind), default=-1)  # the outermost
+            if at >= 0:
+                found.update(id(n) for n in path[at + 1 :])
+                outside |= not any(n.named for n in path[at + 1 :])
+    gone = set()
+    for n in nodes:  # parents come first
+        wrapper = id(n) in mains or n.named == 1 and not outside and (id(n) in articles or 2 * held.get(id(n), 0) > everything)
+        if id(n.parent) in gone or n.named and not wrapper:
+            gone.add(id(n))
+            n.dropped = True
+    return [b for b in blocks if not b[0].dropped]
+
+
 def main_text(page: str | None) -> str:
     """The page's main text, its blocks joined by two line feeds."""
     if not page:
         return ""
     nodes, blocks = _blocks(page)
+    blocks = _without_parts(nodes, blocks)
     if not blocks:
         return ""
     for node, text, linked in blocks:
