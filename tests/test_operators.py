@@ -124,3 +124,14 @@ def test_canaries_raise_the_count(spark):
     }
     for check in checks.values():
         assert check(clean).count() == 0 < check(planted).count()
+
+
+def test_fingerprint_duplicates(spark, tmp_path):
+    """Vectors that differ in any component are no duplicates."""
+    from verisift.plans.table_queries import fingerprint_duplicates
+
+    base = [((i * 7) % 31 - 15) / 16 for i in range(64)]
+    same, late = [x + 0.001 for x in base], base[:60] + [0.9] + base[61:]
+    spark.createDataFrame([(1, base), (2, same), (3, late)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    (got,) = fingerprint_duplicates(spark, str(tmp_path)).collect()
+    assert (len(got.print), got.n, got.first_id) == (64, 2, 1)

@@ -131,9 +131,9 @@ def sidecar_upsert(spark, sf_dir):
 
 
 def fingerprint_duplicates(spark, sf_dir):
-    """Vectors whose first eight components agree at 16 levels: a hexadecimal key and an exact match on it."""
+    """Vectors whose components all agree at 16 levels: a hexadecimal key and an exact match on it."""
     level = lambda x: F.least(F.greatest(F.floor((x.cast("double") + 1.0) * 8.0), F.lit(0)), F.lit(15))
-    key = F.array_join(F.transform(F.slice("embedding", 1, 8), lambda x: F.lower(F.hex(level(x).cast("long")))), "")
+    key = F.array_join(F.transform("embedding", lambda x: F.lower(F.hex(level(x).cast("long")))), "")
     return table(spark, sf_dir, "embeddings").groupBy(key.alias("print")).agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id")).where("n > 1")
 
 
