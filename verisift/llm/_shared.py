@@ -17,13 +17,14 @@ cloudpickle.register_pickle_by_value(sys.modules["verisift.llm"])
 
 #: One word: a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-NO_ID = 2**63 - 1  # a null doc_id sorts after every other id
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; only where that is unset, a temporary one."""
+    """The folder all machines share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="verisift-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -92,11 +93,33 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-# ---- Bloom filters of a fixed size -------------------------------------------------------------
+HOT = 2000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, share: int = HOT) -> DataFrame:
+    """`rows`, a staged table, left-joined with `table`, which has one row for each value of `key`.
+
+    Keys of more than one in `share` rows, fewer than `share` in number whatever the size, are joined by a broadcast, so
+    their rows are not dealt by the key; all others by a shuffle.
+    """
+    many = rows.count()
+    hot = staged(rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") * share > many).select(key), "hot-keys")
+    warm = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), key, "left_semi")), key, "left")
+    cold = rows.join(F.broadcast(hot), key, "left_anti").join(table, key, "left")
+    return warm.unionByName(cold)
+
+
+# ---- Bloom filters of a bounded size -----------------------------------------------------------
 
 CHUNK = 1 << 16  # bytes of a bitmap that travel in one row
 
 
+def filter_bits(keys: int, least: int = 20, most: int = 28) -> int:
+    """log2 of the bits of a filter of three probes for so many keys: twelve each, 32 MB at most. Beyond that a filter lets
+    more through, never less."""
+    return min(most, max(least, (12 * keys).bit_length()))
+
+
 def bloom_bits(h: np.ndarray, log2_bits: int, hashes: int) -> list[np.ndarray]:
     """Bit positions of 64-bit hashes: double hashing, one array for each probe."""
     mask, step = np.uint64((1 << log2_bits) - 1), (h >> np.uint64(32)) | np.uint64(1)

@@ -1,7 +1,9 @@
 """Words, their hashes and hashes of word windows, for many texts at once, on UTF-8 bytes with numpy.
 
-Hashes are polynomials modulo 2^64 over random 64-bit values (of bytes, then of words) and finished by a mixer;
-a window has two, of different bases, so that equal pairs of them stand for equal word sequences (128 bits).
+A word's hash chains its 8-byte lanes through a bijective mixer; words beyond 32 bytes are hashed by XXH3. A window's
+hash joins those of its halves through a mixer, so it is no polynomial and texts built to cancel do not collide. There
+are two independent sets of them (other mixer, other constants, other chain); where a match decides a result, operators
+compare digests of the words' bytes besides (see `substrings` and `jaccard`).
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ def kept(name: str) -> dict:
     return sys.modules.setdefault(f"_kept_{name}", types.ModuleType(f"_kept_{name}")).__dict__
 
 
-def tidy(step_mb: int = 150) -> None:
-    """Collect garbage when the process has grown by step_mb since the last time: what tasks before this one held
-    (models, tables, batches) hangs in cycles that Python alone would keep for long."""
+def tidy(step_mb: int = 40) -> None:
+    """Collect garbage and give freed memory back when the process has grown by step_mb since the last time: what tasks
+    before this one held (models, tables, batches) hangs in cycles and in the allocators' pools, which keep it for long."""
+    import ctypes
     import gc
 
     try:
@@ -33,58 +36,43 @@ def tidy(step_mb: int = 150) -> None:
         if now > seen.get("mb", 150) + step_mb:
             gc.collect()
             pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
             with open("/proc/self/statm") as f:
                 seen["mb"] = int(f.read().split()[1]) * 4096 / 1e6
-    except OSError:
-        pass  # no /proc here
+    except (OSError, AttributeError):
+        pass  # neither /proc nor malloc_trim here
+
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Splitmix64's finisher."""
-    x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U(27))
-    x = x * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def _byte_values() -> np.ndarray:
-    held = kept("powers")
-    if "bytes" not in held:
-        held["bytes"] = mix(np.arange(1, 257, dtype=np.uint64) * U(0xA0761D6478BD642F))
-    return held["bytes"]
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n at least."""
-    held = kept("powers")
-    got = held.get(str(base))
-    if got is None or len(got[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        held[str(base)] = got = tuple(out)
-    return got
-
-
-def polynomial(values: np.ndarray, base: int) -> np.ndarray:
-    """Prefix sums S with S[j] - S[i] = sum of values[i:j] times base^position."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(base, len(values) + 1)[0][: len(values)], out=out[1:])
-    return out
-
-
-def spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    return (prefix[end] - prefix[start]) * _powers(base, len(prefix))[1][start]
+LANES = 4  # of 8 bytes; longer words are hashed one by one
+_MASKS = np.array([(1 << (8 * min(n, 8))) - 1 for n in range(9)], np.uint64)
+#: first multiplier, second multiplier, shifts and seed of each of the two sets of hashes
+_KINDS = ((0xBF58476D1CE4E5B9, 0x94D049BB133111EB, (30, 27, 31), 0x5851F42D4C957F2D), (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, (33, 29, 32), 0xD6E8FEB86659FD93))
+
+
+def mix(x: np.ndarray, kind: int = 0) -> np.ndarray:
+    """A 64-bit finisher: splitmix64's, or murmur's multipliers."""
+    one, two, (a, b, c), _ = _KINDS[kind]
+    x = x ^ (x >> U(a))
+    x = x * U(one)
+    x = x ^ (x >> U(b))
+    x = x * U(two)
+    return x ^ (x >> U(c))
+
+
+def join(a: np.ndarray, b: np.ndarray, kind: int = 0) -> np.ndarray:
+    """The hash of what a and b stand for, in this order; bijective in each of them."""
+    one, two, (s, t, u), _ = _KINDS[kind]
+    x = a ^ (a >> U(s))
+    x *= U(two)
+    x += b
+    x ^= x >> U(u)
+    x *= U(one)
+    x ^= x >> U(t)
+    return x
 
 
 class Words:
@@ -108,16 +96,49 @@ class Words:
         self.data, self.start, self.end = data, np.flatnonzero(begins[: len(data)]), np.flatnonzero(ends)
         self.first = np.searchsorted(self.start, offsets)
         self.n = np.diff(self.first)
-        self.h = mix(spans(polynomial(_byte_values()[data], BASES[0]), self.start, self.end, BASES[0]) ^ (self.end - self.start).astype(np.uint64))
-
-    def windows(self, k: int, second: bool = False) -> np.ndarray:
+        self.h = self.hashes()
+
+    def hashes(self, kind: int = 0) -> np.ndarray:
+        """One of the two independent 64-bit hashes of each word."""
+        size = self.end - self.start
+        h = mix(size.astype(np.uint64) + U(_KINDS[kind][3]), kind)
+        if not len(h):
+            return h
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        lanes = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        live, at, left = None, self.start, size
+        for _ in range(LANES):
+            lane = lanes[at] & _MASKS[np.minimum(left, 8)]
+            if live is None:
+                h = mix(h ^ lane, kind)
+            else:
+                h[live] = mix(h[live] ^ lane, kind)
+            more = np.flatnonzero(left > 8)
+            if not len(more):
+                return h
+            live, at, left = more if live is None else live[more], at[more] + 8, left[more] - 8
+        import xxhash
+
+        for j in live.tolist():
+            h[j] = xxhash.xxh3_64_intdigest(self.data[self.start[j] : self.end[j]].tobytes(), seed=_KINDS[kind][3])
+        return h
+
+    def windows(self, k: int, kind: int = 0) -> np.ndarray:
         """The hash of words i .. i + k - 1, also of windows that cross texts (see `within`)."""
-        if len(self.h) < k:
+        level, many = self.h if kind == 0 else self.hashes(kind), len(self.h) - k + 1
+        if many <= 0:
             return np.zeros(0, np.uint64)
-        at = np.arange(len(self.h) - k + 1)
-        h = mix(self.h ^ U(0x5851F42D4C957F2D)) if second else self.h
-        base = BASES[1] if second else BASES[0]
-        return mix(spans(polynomial(h, base), at, at + k, base))
+        out, done, size = None, 0, 1
+        while True:
+            if k & size:
+                part = level[done : done + many]
+                out = part if out is None else join(out, part, kind)
+                done += size
+            if size * 2 > k:
+                return out
+            level = join(level[:-size], level[size:], kind)
+            size *= 2
 
     def within(self, k: int) -> np.ndarray:
         """Which windows of k words lie in one text."""
@@ -126,13 +147,19 @@ class Words:
         last = np.repeat(self.first[1:], self.n)
         return np.arange(len(self.h) - k + 1) + k <= last[: len(self.h) - k + 1]
 
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each text's word sequence."""
-        length = self.n.astype(np.uint64)
-        out = []
-        for base, h in ((BASES[0], self.h), (BASES[1], mix(self.h ^ U(0x5851F42D4C957F2D)))):
-            out.append(mix(spans(polynomial(h, base), self.first[:-1], self.first[1:], base) + length * U(0xE7037ED1A0B428DB)))
-        return out[0], out[1]
+    def plain(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words in a row, those of one text with one space between, and where each begins and ends there."""
+        size = len(self.data)
+        stays = np.zeros(size + 1, np.int8)
+        np.add.at(stays, self.start, 1)
+        np.add.at(stays, self.end, -1)
+        stays = np.cumsum(stays, dtype=np.int8)
+        gaps = self.end[(stays[self.end] == 0) & (self.end < size)]  # the first of the white space behind each word
+        stays[gaps] = 1
+        place = np.cumsum(stays, dtype=np.int64)
+        out = self.data[stays[:size] > 0]
+        out[place[gaps] - 1] = 32
+        return out.tobytes(), place[self.start] - 1, place[self.end - 1]
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -2,14 +2,16 @@
 
 A first pass sets each document's line keys in a once-seen bitmap and, where it was set before, in a twice-seen one;
 the bitmaps of all tasks are united chunk by chunk (twice = both twice, or once in two tasks). Only keys that the
-twice-seen filter holds are suspected repeats: their 128-bit hashes are counted exactly, pre-aggregated in each task.
-Filters have a fixed size (2^log2_bits bits each): a full filter suspects more, it never misses.
+twice-seen filter holds are suspected repeats: their 128-bit hashes (XXH3) are counted exactly, pre-aggregated in each
+task. Filters have 64 bits or more a document up to 2^28 bits (32 MB) each: a full filter suspects more, it never misses.
 
 Keys found in enough documents are hot. They are broadcast while their number is at most `max_broadcast`; beyond that
 each document's suspects are joined with them instead. `keep_first` leaves a hot key's first line, in the document with
 the smallest id (ties: every document of that id).
 
 A row is a document: repeated rows count as many. A null text is one empty line; a null doc_id comes after all others.
+Very long texts are one list of lines. An empty table stays empty. Columns of the input keep their names; one called
+n_lines, n_dropped or kept_sha256 is replaced where that is returned (not with `counts=False`).
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import NO_ID, CHUNK, bitmap_or, bitmap_rows, bloom_bits, staged
+from ._shared import CHUNK, bitmap_or, bitmap_rows, bloom_bits, staged
 from ._words import tidy
 
 _EDGE = b" \t\n\x0b\x0c\r"
@@ -87,9 +89,10 @@ def twice_seen(docs: DataFrame, text: str, min_chars: int, log2_bits: int) -> np
     return bitmap_or(((r.chunk, r.data) for r in rows), size)
 
 
-def hot_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, log2_bits: int = 25) -> DataFrame:
-    """Exact: (key, n_docs, first_id) of the keys in at least min_docs documents."""
+def hot_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, log2_bits: int | None = None) -> DataFrame:
+    """Exact: (key, n_docs, first_id) of the keys in at least min_docs documents; first_id is null if none has an id."""
     spark = docs.sparkSession
+    log2_bits = log2_bits or min(28, max(22, (64 * docs.count()).bit_length()))
     filters = spark.sparkContext.broadcast(twice_seen(docs, text, min_chars, log2_bits) if min_docs > 1 else None)
 
     def suspects(batches):
@@ -115,13 +118,13 @@ def hot_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_do
                 else:
                     picked = range(len(keys))
                 for j in picked:
-                    i = NO_ID if ids[of[j]] is None else ids[of[j]]
-                    got = seen.get(keys[j])
+                    i, got = ids[of[j]], seen.get(keys[j])
                     if got is None:
                         seen[keys[j]] = [1, i]
                     else:
                         got[0] += 1
-                        got[1] = min(got[1], i)
+                        if i is not None and (got[1] is None or i < got[1]):
+                            got[1] = i
             if len(seen) > 200_000:
                 yield out()
         if seen:
@@ -131,11 +134,13 @@ def hot_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_do
     return found.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first_id")).where(F.col("n_docs") >= min_docs)
 
 
-def drop_hot_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, log2_bits: int = 25, max_broadcast: int = 500_000, digest: bool = False) -> DataFrame:
-    """`docs` with hot lines out of `text`, plus n_lines and n_dropped; with `digest` the SHA-256 stands for the text."""
+def drop_hot_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, log2_bits: int | None = None, max_broadcast: int = 500_000, digest: bool = False, counts: bool = True) -> DataFrame:
+    """`docs` with hot lines out of `text`, plus n_lines and n_dropped; with `digest` the SHA-256, kept_sha256, stands for
+    the text. Without `counts` (and `digest`) the columns are those of `docs`, in their order."""
     spark = docs.sparkSession
     hot = staged(hot_keys(docs, text, doc_id, min_docs, min_chars, log2_bits), "hot-lines")
-    rest = [c for c in docs.columns if c != text]
+    made = {"n_lines", "n_dropped", "kept_sha256"} if digest else {"n_lines", "n_dropped"} if counts else set()
+    rest = [c for c in docs.columns if c != text and c not in made]
     names = [f"c{i}" for i in range(len(rest))]
     df = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").cast("long").alias("i"), *[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)])
     small = hot.limit(max_broadcast + 1).count() <= max_broadcast
@@ -179,10 +184,9 @@ def drop_hot_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     known = table.value if table is not None else {x["key"]: x["first_id"] for x in lists[start + j] or ()}
                     lines, stay, own = t.split(b"\n"), [], set()
                     for line, key in zip(lines, line_keys(t, min_chars)):
-                        first = known.get(key) if key else None
-                        if first is None:
+                        if not key or key not in known:
                             stay.append(line)
-                        elif keep_first and first == (NO_ID if i is None else i) and key not in own:
+                        elif keep_first and known[key] == i and key not in own:
                             own.add(key)
                             stay.append(line)
                     n_lines.append(len(lines))
@@ -194,4 +198,7 @@ def drop_hot_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     kinds = dict(df.dtypes)
     out = df.mapInArrow(apply, ", ".join([*[f"{n} {kinds[n]}" for n in names], "n_lines long, n_dropped long, kept string"]))
+    if not counts and not digest:
+        back = dict(zip(rest, names)) | {text: "kept"}
+        return out.select(*[F.col(back[c]).alias(c) for c in docs.columns])
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, rest)], "n_lines", "n_dropped", F.col("kept").alias("kept_sha256" if digest else text))

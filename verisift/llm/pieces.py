@@ -6,24 +6,33 @@ segmentation from the end, each with its exact probability. Draws come from a ha
 and the step, so a row has the same pieces wherever and whenever it is encoded.
 
 No piece of such a vocabulary spans the start of a space run, so the lattice falls into segments (spaces and the word behind them), and
-characters that occur in no longer piece are segments of their own; each distinct segment of a batch is filtered once,
-however long it is. A character that no piece has, and a literal U+2581, is spelled in byte pieces. As in the library a
-space precedes each text that is not empty; decoding takes it off, so decode(encode(x)) == x for every text.
+characters that occur in no longer piece are segments of their own; each distinct segment of a batch is filtered once.
+Segments are the same when their characters are (a hash finds them, a comparison decides), and pieces are found by a trie
+of code points. A segment beyond LONG characters, however long, is filtered by itself in blocks: time grows with its
+length, memory by a number a character. A character that no piece has, and a literal U+2581, is spelled in byte pieces.
+As in the library a space precedes each text that is not empty; decoding takes it off, so decode(encode(x)) == x for
+every text.
 
 A null text encodes to no pieces, as an empty one does; a null key is a key of its own. Rows with equal keys and texts
-have equal pieces.
+have equal pieces. An empty table stays empty. Columns of the input keep their names, but for one called as the output.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._words import U, kept, mix, tidy
+from ._words import U, join, kept, mix, tidy
 
 SPACE = 0x2581
 SPELLED = 0x110000  # stands for a literal U+2581
+LONG = 512  # characters of a segment from which on it is filtered by itself
+BLOCK = 1 << 14
+FREE = np.uint64(2**64 - 1)
 
 
 def vocabulary(model: str | None = None) -> dict:
@@ -54,14 +63,29 @@ class Codec:
         self.byte_id = vocab["byte_id"]
         self.longest = max(len(p) for _, p in vocab["pieces"])
         ids = np.array([i for i, _ in vocab["pieces"]], np.int64)
-        keys = np.array([self._key(np.array([ord(c) for c in p], np.int64)) for _, p in vocab["pieces"]], np.uint64)
-        self.bits = max(8, int(4 * len(ids) - 1).bit_length())
-        self.keys, self.ids = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        for key, i in zip(keys.tolist(), ids.tolist()):
-            at = key >> (64 - self.bits)
-            while self.keys[at]:
-                at = (at + 1) & ((1 << self.bits) - 1)
-            self.keys[at], self.ids[at] = key, i
+        # a trie: (node, code point) to the next node, in an open-addressing table of exact keys; each node's piece or -1
+        edges: dict[int, int] = {}
+        ends = [-1]
+        for i, p in vocab["pieces"]:
+            node = 0
+            for c in p:
+                step = node << 21 | ord(c)
+                if step not in edges:
+                    edges[step] = len(ends)
+                    ends.append(-1)
+                node = edges[step]
+            ends[node] = i
+        self.ends = np.array(ends, np.int32)
+        self.bits = max(8, int(2 * len(edges)).bit_length())
+        self.edges, self.next = np.full(1 << self.bits, FREE), np.zeros(1 << self.bits, np.int32)
+        keys, nodes = np.array(list(edges), np.uint64), np.array(list(edges.values()), np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.edges[at] == FREE
+            self.edges[at[free]] = keys[left[free]]  # of several the last stays
+            won = self.edges[at] == keys[left]
+            self.next[at[won]] = nodes[left[won]]
+            left, at = left[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
         self.weight = np.full(vocab["size"], -np.inf)
         self.weight[ids] = -alpha * np.log(np.maximum(ids, 2))
         self.spelled_weight = -alpha * np.log(vocab["size"]) * 4
@@ -79,24 +103,20 @@ class Codec:
         self.raw_at = np.concatenate([[0], np.cumsum(self.raw_len)])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
-    @staticmethod
-    def _key(cps: np.ndarray) -> int:
-        h = 0
-        for v in mix(cps.astype(np.uint64) + U(1)).tolist():
-            h = (h * 0x9E3779B97F4A7C15 + v) & (2**64 - 1)
-        return int(mix(np.array([h], np.uint64))[0]) or 1
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """Ids of piece keys, -1 where there is none."""
-        keys = np.where(keys == 0, U(1), keys)
-        at = (keys >> U(64 - self.bits)).astype(np.int64)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * U(0x9E3779B97F4A7C15) >> U(64 - self.bits)).astype(np.int64)
+
+    def _step(self, nodes: np.ndarray, cps: np.ndarray) -> np.ndarray:
+        """The trie's nodes behind `nodes` by these code points, -1 where there is none."""
+        keys = nodes.astype(np.uint64) << U(21) | cps.astype(np.uint64)
+        at = self._slot(keys)
         out = np.full(len(keys), -1, np.int32)
         left = np.arange(len(keys))
         while len(left):
-            slot = self.keys[at]
+            slot = self.edges[at]
             hit = slot == keys[left]
-            out[left[hit]] = self.ids[at[hit]]
-            go = ~hit & (slot != 0)
+            out[left[hit]] = self.next[at[hit]]
+            go = ~hit & (slot != FREE)
             left, at = left[go], (at[go] + 1) & ((1 << self.bits) - 1)
         return out
 
@@ -120,15 +140,17 @@ class Codec:
         row = np.searchsorted(first, start, "right") - 1
         number = np.arange(len(start)) - np.searchsorted(start, first[row])
         seed = mix(keys[row] + number.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-        value = mix(cps.astype(np.uint64) + U(1))
         piece_at = np.full(n, -1, np.int32)  # at a piece's first character: its id; -1: none starts here; -2: spelled
         size = 1
         while True:
             mine = np.flatnonzero((length > size // 2) & (length <= size) if size > 1 else length == 1)
-            self._segments(cps, value, start, length, seed, mine, size, piece_at)
-            if size >= length.max():
+            self._segments(cps, start, length, seed, mine, size, piece_at)
+            if size >= min(length.max(), LONG):
                 break
             size *= 2
+        for j in np.flatnonzero(length > LONG).tolist():
+            a, b = int(start[j]), int(start[j] + length[j])
+            self._long(cps[a:b], int(seed[j]), piece_at[a:b])
         # ids in order; spelled characters take as many as their bytes
         at = np.flatnonzero(piece_at != -1)
         found = piece_at[at]
@@ -143,46 +165,52 @@ class Codec:
             ids[ends[j] - counts[j] : ends[j]] = self.byte_id[list(chr(cp[j]).encode("utf-8", "surrogatepass"))]
         return ids, np.concatenate([[0], ends])[np.searchsorted(at, first)]
 
-    def _segments(self, cps, value, start, length, seed, mine, size, piece_at) -> None:
+    def _segments(self, cps, start, length, seed, mine, size, piece_at) -> None:
         """Find the distinct ones of the segments `mine` (no longer than size); filter and sample some at a time."""
-        if not len(mine):
-            return
-        s, n = start[mine], length[mine]
-        h = np.zeros(len(mine), np.uint64)
-        for j in range(size):
-            live = n > j
-            if not live.any():
+        while len(mine):
+            s, n = start[mine], length[mine]
+            h = mix(n.astype(np.uint64))
+            for j in range(size):
+                live = np.flatnonzero(n > j) if j > size // 2 else slice(None)
+                h[live] = join(h[live], cps[s[live] + j].astype(np.uint64))
+            _, pick, of = np.unique(h, return_index=True, return_inverse=True)
+            # the hash finds the first of equal segments, their characters decide; others wait for the next turn
+            same, first = n == n[pick][of], s[pick][of]
+            for j in range(size):
+                live = np.flatnonzero(same & (n > j)) if j > size // 2 else np.flatnonzero(same)
+                same[live] = cps[s[live] + j] == cps[first[live] + j]
+            order = np.argsort(of, kind="stable")
+            order = order[same[order]]
+            first = np.searchsorted(of[order], np.arange(len(pick) + 1))
+            some = max(1, 2_000_000 // ((size + 1) * min(size, self.longest)))  # so the tables stay small
+            for a in range(0, len(pick), some):
+                b = min(a + some, len(pick))
+                uses = order[first[a] : first[b]]
+                tables = self._filtered(cps, s[pick[a:b]], n[pick[a:b]], size)
+                self._sampled(*tables, of[uses] - a, s[uses], n[uses], seed[mine[uses]], piece_at)
+            mine = mine[~same]
+
+    def _pieces(self, cps: np.ndarray, start: np.ndarray, room: np.ndarray, top: int) -> np.ndarray:
+        """[length, place]: the id of the piece of that length from a place that has room for it; -1: none, -2: spelled."""
+        ids = np.full((top + 1, len(start)), -1, np.int32)
+        live, node = np.flatnonzero(room > 0), np.zeros(int((room > 0).sum()), np.int32)
+        for k in range(1, top + 1):
+            node = self._step(node, cps[start[live] + (k - 1)])
+            on = node >= 0
+            ids[k, live[on]] = self.ends[node[on]]
+            if k == 1:
+                ids[1, live[ids[1, live] == -1]] = -2
+            on &= room[live] > k
+            live, node = live[on], node[on]
+            if not len(live):
                 break
-            h = np.where(live, h * U(0xD6E8FEB86659FD93) + value[np.minimum(s + j, len(value) - 1)], h)
-        _, pick, of = np.unique(mix(h ^ n.astype(np.uint64)), return_index=True, return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        first = np.searchsorted(of[order], np.arange(len(pick) + 1))
-        some = max(1, 2_000_000 // ((size + 1) * min(size, self.longest)))  # so the tables stay small
-        for a in range(0, len(pick), some):
-            b = min(a + some, len(pick))
-            uses = order[first[a] : first[b]]
-            tables = self._filtered(cps, value, s[pick[a:b]], n[pick[a:b]], size)
-            self._sampled(*tables, of[uses] - a, s[uses], n[uses], seed[mine[uses]], piece_at)
-
-    def _filtered(self, cps, value, us, un, size) -> tuple[np.ndarray, np.ndarray]:
+        return ids
+
+    def _filtered(self, cps, us, un, size) -> tuple[np.ndarray, np.ndarray]:
         """(ids by length and first character, cumulative chances of the last piece's length at each place)."""
-        reach = np.arange(size)
-        inside = reach[None, :] < un[:, None]
-        place = np.minimum(us[:, None] + reach[None, :], len(cps) - 1)
-        v = np.where(inside, value[place], U(0))
-        top = min(size, self.longest)
-        ids = np.full((top + 1, len(us), size), -1, np.int32)
-        key = np.zeros(v.shape, np.uint64)
-        for k in range(1, top + 1):
-            wide = size - k + 1
-            key = key[:, :wide] * U(0x9E3779B97F4A7C15) + v[:, k - 1 : k - 1 + wide]
-            fits = (reach[None, :wide] + k) <= un[:, None]
-            at = np.flatnonzero(fits.ravel())
-            got = np.full(fits.size, -1, np.int32)
-            got[at] = self._find(mix(key.ravel()[at]))
-            ids[k, :, :wide] = got.reshape(fits.shape)
-        one = ids[1]
-        one[(one == -1) & inside] = -2
+        reach, top = np.arange(size), min(size, self.longest)
+        room = np.maximum(un[:, None] - reach[None, :], 0).ravel()
+        ids = self._pieces(cps, (us[:, None] + reach[None, :]).ravel(), room, top).reshape(top + 1, len(us), size)
         weight = np.append(self.weight, [self.spelled_weight, -np.inf])  # [-2] and [-1]
         forward = np.full((len(us), size + 1), -np.inf)
         forward[:, 0] = 0
@@ -213,6 +241,43 @@ class Codec:
             live = live[at[live] > 0]
             step += 1
 
+    def _long(self, cps: np.ndarray, seed: int, piece_at: np.ndarray) -> None:
+        """Filter and sample one segment of any length; the pieces are looked up again, block by block, on the way back."""
+        n, top = len(cps), self.longest
+        weight = np.append(self.weight, [self.spelled_weight, -np.inf])
+
+        def found(a: int, b: int):
+            """(place, length, id, weight) of the pieces from places a to b."""
+            at = np.arange(a, b)
+            ids = self._pieces(cps, at, np.minimum(n - at, top), top).T
+            place, k = np.nonzero(ids != -1)
+            i = ids[place, k]
+            return (place + a).tolist(), k.tolist(), i.tolist(), weight[i].tolist()
+
+        exp, log, low = math.exp, math.log, -math.inf
+        forward = array("d", [low]) * (n + 1)
+        forward[0] = 0.0
+        for a in range(0, n, BLOCK):
+            for at, k, _, w in zip(*found(a, min(a + BLOCK, n))):
+                old, new = forward[at + k], forward[at] + w
+                forward[at + k] = new if old == low else max(old, new) + log(1 + exp(-abs(old - new)))
+        end, step = n, 0
+        for b in range(n, 0, -BLOCK):
+            a = max(b - BLOCK, 0)
+            ends: dict[int, list] = {}
+            for at, k, i, w in zip(*found(max(a - top, 0), b)):
+                if a < at + k <= b:
+                    ends.setdefault(at + k, []).append((k, i, forward[at] + w))
+            while end > a:
+                draw = int(mix(np.array([(seed + (step + 1) * 0xBF58476D1CE4E5B9) % 2**64], np.uint64))[0]) >> 11
+                left, total = draw * 2.0**-53, forward[end]
+                for k, i, w in sorted(ends[end]):
+                    left -= exp(w - total)
+                    if left < 0:
+                        break
+                piece_at[end - k] = i
+                end, step = end - k, step + 1
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The UTF-8 texts of rows of ids."""
         lens = self.raw_len[ids]
@@ -273,7 +338,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str =
 
     kinds = dict(df.dtypes)
     got = df.mapInArrow(run, ", ".join([*[f"{n} {kinds[n]}" for n in names], "p array<int>"]))
-    return got.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)], F.col("p").alias(out))
+    return got.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns) if c != out], F.col("p").alias(out))
 
 
 def decode(rows: DataFrame, pieces: str = "pieces", out: str = "text", model: str | None = None) -> DataFrame:

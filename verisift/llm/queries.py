@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import bounded_batches
+from ._shared import bounded_batches, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import base_failed, judge, measures
 
-    measured = measures(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    measured = staged(measures(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "measures")  # texts are read once
     verdict = judge(measured, _table(spark, sf_dir, "labels"))
     out = measured.withColumn("base_failed", base_failed())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"))

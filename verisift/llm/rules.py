@@ -12,22 +12,25 @@ A stratum has rules only by its own labels: null strata, strata without labels a
 holdout documents have none. There is no limit on the number of strata. Histograms come to the driver one stratum at a
 time; what it keeps is a few numbers a stratum that has enough labels.
 
-Nulls: a null text counts as empty, a null stratum has no rules. Texts without words, repeated rows and
-an empty table need no special case; without labels no rule is on. Only the named columns are read, so extra ones
-cannot clash.
+Nulls: a null text counts as empty, a null stratum has no rules, a null doc_id has no label. Texts without words, very
+long ones, repeated rows (each a document) and an empty table need no special case; several labels of one id count as
+good if one is; equal shares are on the same side of a cutoff. Without labels no rule is on. Columns of the input that
+are called like a measure are replaced by it in `measures`; `passing` returns the input's columns, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 from itertools import groupby
+from math import exp, lgamma, log, log1p
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import staged
+from ._shared import bloom_has, bloom_of, filter_bits, staged
 from ._words import U, Words, chunks
 
 RULES = ("symbols", "dup_lines", "repeats", "upper", "bars", "long_words", "short")
@@ -85,14 +88,24 @@ def measure_batch(column) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, pa.int64()) for x in out], names=[x.split()[0] for x in MEASURES.split(", ")])
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input's other columns and the measures of each row's whole text."""
-    rest = [c for c in docs.columns if c != text]
+def measures(docs: DataFrame, text: str = "text", among: DataFrame | None = None, doc_id: str = "doc_id") -> DataFrame:
+    """The input's other columns and the measures of each row's whole text; with `among`, of the rows whose id may be
+    in its column doc_id (a Bloom filter picks them; it may let others through)."""
+    made = [x.split()[0] for x in MEASURES.split(", ")]
+    rest = [c for c in docs.columns if c != text and c not in made]
     names = [f"c{i}" for i in range(len(rest))]
     df = docs.select(F.col(f"`{text}`").alias("t"), *[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)])
+    bits, wanted = 0, None
+    if among is not None:
+        bits, key = filter_bits(among.count()), rest.index(doc_id) + 1
+        wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(among, "doc_id", bits, 3))
 
     def run(batches):
         for batch in batches:
+            if wanted is not None:
+                ids = batch.column(key).cast(pa.int64())
+                known = pa.compute.fill_null(ids, 0).to_numpy().view(np.uint64)
+                batch = batch.filter(pa.array(bloom_has(wanted.value, known, bits, 3) & ids.is_valid().to_numpy(zero_copy_only=False)))
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 m = measure_batch(part.column(0))
@@ -100,7 +113,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     kinds = dict(df.dtypes)
     out = df.mapInArrow(run, ", ".join([*[f"{n} {kinds[n]}" for n in names], MEASURES]))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, rest)], *[x.split()[0] for x in MEASURES.split(", ")])
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, rest)], *made)
 
 
 def _rule_columns() -> list[Column]:
@@ -118,22 +131,36 @@ def _rule_columns() -> list[Column]:
     return [F.least(F.floor(shares[r] * GRID), F.lit(GRID)).cast("int").alias(r) for r in RULES]
 
 
+def _at_most(k: int, n: int, p: float) -> float:
+    """The probability of at most k of n at a rate of p: an incomplete beta function, as a continued fraction (Lentz)."""
+    if k >= n or p <= 0:
+        return 1.0
+    a, b, x = n - k, k + 1, 1 - p
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        a, b, x = b, a, p
+    tiny, front = 1e-300, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / a
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    f, m = d, 0
+    while True:
+        m += 1
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + term * d, 1 + term / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            f *= d * c
+        if abs(d * c - 1) < 1e-14 or m > 1_000_000:
+            return 1 - front * f if swap else front * f
+
+
 def _upper_bound(k: int, n: int, error: float) -> float:
     """Clopper-Pearson: the largest p under which at most k of n have a probability of `error`."""
     if n == 0 or k >= n:
         return 1.0
-    from math import exp, lgamma, log, log1p
-
-    def tail(p: float) -> float:
-        top = lgamma(n + 1)
-        terms = [top - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p) for i in range(k + 1)]
-        m = max(terms)
-        return exp(m) * sum(exp(t - m) for t in terms)
-
     lo, hi = k / n, 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        if 0 < mid < 1 and tail(mid) > error:
+        if 0 < mid < 1 and _at_most(k, n, mid) > error:
             lo = mid
         else:
             hi = mid
@@ -197,9 +224,14 @@ def cutoffs(labelled: DataFrame, risk: float = 0.02, error: float = 0.05, min_go
     return out
 
 
+def _labelled(labels: DataFrame) -> DataFrame:
+    return labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
+
+
 def judge(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", **how) -> Column:
-    """A boolean column over `measured`: whether every rule of the row's stratum lets it pass."""
-    lab = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good")).select(F.col("doc_id").alias("l_id"), "good")
+    """A boolean column over rows with measures: whether every rule of the row's stratum lets it pass. `measured` has
+    the rows with labels at least."""
+    lab = _labelled(labels).select(F.col("doc_id").alias("l_id"), "good")
     rows = measured.select(F.col(f"`{doc_id}`").alias("m_id"), F.col(f"`{stratum}`").cast("string").alias("stratum"), *_rule_columns())
     rows = rows.join(lab, F.col("m_id") == F.col("l_id")).select("stratum", "good", (F.crc32(F.concat(F.lit("h"), F.col("m_id").cast("string"))) % 2 == 0).alias("holdout"), *RULES)
     found = cutoffs(staged(rows, "labelled"), **how)  # few columns of labelled rows: texts are read once for them
@@ -213,9 +245,9 @@ def judge(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratu
 
 def passing(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", stratum: str = "lang", **how) -> DataFrame:
     """The rows of `docs` that neither the base rules nor the cutoffs reject, with all their columns."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{stratum}`").alias("lang"))
-    verdict = judge(measures(rows.drop("row"), "t"), labels, **how)
-    return measures(rows, "t").where(~base_failed() & verdict).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{stratum}`").alias("lang"))
+    verdict = judge(measures(rows.drop("row"), "t", _labelled(labels).select("doc_id")), labels, **how)
+    return measures(rows, "t").where(~base_failed() & verdict).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def base_failed() -> Column:

@@ -1,19 +1,22 @@
 """Substring dedup with a log-structured index of window fingerprints.
 
-A window is k consecutive words; its fingerprint has 128 bits (two independent 64-bit hashes: the first is the merge
-key, the second verifies). The index is a list of immutable runs in the shared folder. A run holds, for each
+A window is k consecutive words; its fingerprint is the BLAKE2b digest (128 bits) of the words' bytes: the first half is
+the merge key, the second verifies. The index is a list of immutable runs in the shared folder. A run holds, for each
 fingerprint, the smallest document id, dealt into buckets by the key and sorted in them, as a bucketed table, so that
 runs are merge-joined with a batch and with each other without shuffling them again. A batch is joined with all runs,
-then becomes a run itself; `compact` merges runs of one level into one of the next.
+then becomes a run itself; `compact` merges `fanout` runs of one level into one of the next. A table is taken in
+`batches` ranges of ascending id, more than `fanout`, so that its windows meet compacted and fresh runs.
 
 For a whole table, windows that cannot repeat are left out first: every window has an anchor, the least hash among its
 inner runs of half its length, equal windows have equal anchors, so only windows whose anchor occurs in two different
-texts are fingerprinted. Bloom filters of fixed size hold those anchors, as many as fit well into one; if there are more,
-anchors are dealt into shards by hash and texts are read once for each.
-Whole copies need no windows: all but those of the smallest id lose every word if they have a window at all.
-
-Nulls: a null text has no words; a null doc_id comes after every other id. Equal ids take nothing from each other.
-Texts shorter than a window keep all words. Rows that repeat give equal results.
+texts are fingerprinted. Up to `filter_keys` such anchors are broadcast as a Bloom filter; if there are more, each text
+gets its own list of them by a join. Given an `index` of earlier tables, all windows are fingerprinted and appended.
+Texts are the same when their SHA-256 over the words is. Whole copies need no windows: all but those of the smallest id
+lose every word if they have a window at all.
+
+Nulls: a null text has no words; a null doc_id comes after every other id. Equal ids take nothing from each other, nor do
+null ids. Texts shorter than a window keep all words. Very long texts are read in one piece, window by window. Rows that
+repeat give equal results. An empty table gives an empty result. Only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import NO_ID, bloom_has, bloom_of, drop_staged, new_path, staged
+from ._shared import bloom_has, bloom_of, drop_staged, filter_bits, join_hot, new_path, staged
 from ._words import Words, chunks, sliding_min
 
-FILTER_BITS, FILTER_KEYS = 27, 11_000_000  # log2 of a filter's bits, and how many anchors fit well
+FILTER_KEYS = 20_000_000  # anchors that one broadcast filter holds well: 32 MB
 
 
 class WindowIndex:
-    """Runs of (g1, g2, least): fingerprints and the smallest document id that starts each."""
+    """Runs of (g1, g2, least): fingerprints and the smallest document id that starts each; null: only documents without."""
 
     def __init__(self, spark, buckets: int | None = None, fanout: int = 4):
         """buckets: as many as shuffles have partitions if not given, so that they grow with what the session is set for."""
@@ -70,6 +73,10 @@ class WindowIndex:
             own = own.join(run, (F.col("g1") == F.col("r1")) & F.expr("(g2 ^ r2) = 0"), "left").select("g1", "g2", F.least("least", "old").alias("least"))
         return windows.join(own, ["g1", "g2"])
 
+    def repeats(self, windows: DataFrame) -> DataFrame:
+        """The windows that a document with a smaller id starts as well."""
+        return self.probe(windows).where("least < i OR (i IS NULL AND least IS NOT NULL)").drop("least")
+
     def compact(self) -> None:
         """Merge the runs of every level that has `fanout` of them into one run of the next level."""
         level = 0
@@ -97,169 +104,222 @@ def _anchors(w: Words, k: int) -> np.ndarray:
     return sliding_min(w.windows(inner), k - inner + 1)
 
 
-def _kept(data: bytes, w: Words, a: int, b: int, gone=None) -> bytes:
-    if gone is None:
-        return b" ".join(data[w.start[a] : w.end[b - 1]].split()) if b > a else b""
-    return b" ".join(data[w.start[j] : w.end[j]] for j in range(a, b) if not gone[j - a])
+def _sequences(w: Words):
+    """The SHA-256 over each text's words, joined by single spaces."""
+    import hashlib
+
+    raw, start, end = w.plain()
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+        yield hashlib.sha256(raw[start[a] : end[b - 1]] if b > a else b"").digest()
+
+
+def _short(sha: bytes) -> int:
+    return int.from_bytes(sha[:8], "little", signed=True)
 
 
 def text_rows(docs: DataFrame, k: int) -> DataFrame:
-    """(i, n_words, s1, s2, sha, anchors) of rows (t, i): hashes of the word sequence, the SHA-256 of all words."""
+    """(i, n_words, sha, x, anchors) of rows (t, i): the word sequence's SHA-256, its first 64 bits, its windows' anchors."""
 
     def run(batches):
-        import hashlib
-
         for batch in batches:
-            n, s1, s2, sha, anchors = [], [], [], [], []
+            n, sha, anchors = [], [], []
             for _, data, offsets in chunks(batch.column(0)):
                 w = Words(data, offsets)
-                one, two = w.whole()
                 n.append(w.n)
-                s1.append(one)
-                s2.append(two)
-                m, ok, raw = _anchors(w, k), w.within(k), data.tobytes()
+                sha += _sequences(w)
+                m = _anchors(w, k)
                 new = np.ones(len(m), bool)
                 new[1:] = m[1:] != m[:-1]
-                for i in range(len(offsets) - 1):
-                    a, b = int(w.first[i]), int(w.first[i + 1])
-                    sha.append(hashlib.sha256(_kept(raw, w, a, b)).hexdigest())
+                for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
                     if b - a >= k:
                         new[a] = True
-                        mine = m[a : b - k + 1][new[a : b - k + 1]]
-                        anchors.append(np.unique(mine).view(np.int64))
+                        anchors.append(np.unique(m[a : b - k + 1][new[a : b - k + 1]]).view(np.int64))
                     else:
                         anchors.append(None)
             if n:
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.concatenate(n), pa.int32()), pa.array(np.concatenate(s1).view(np.int64)), pa.array(np.concatenate(s2).view(np.int64)), pa.array(sha), pa.array(anchors, pa.list_(pa.int64()))], names=["i", "n_words", "s1", "s2", "sha", "anchors"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.concatenate(n), pa.int32()), pa.array(sha, pa.binary()), pa.array([_short(s) for s in sha], pa.int64()), pa.array(anchors, pa.list_(pa.int64()))], names=["i", "n_words", "sha", "x", "anchors"])
 
-    return docs.mapInArrow(run, "i long, n_words int, s1 long, s2 long, sha string, anchors array<long>")
+    return docs.mapInArrow(run, "i long, n_words int, sha binary, x long, anchors array<long>")
 
 
-def window_rows(docs: DataFrame, k: int, repeated=None, shard: int = 0, shards: int = 1) -> DataFrame:
-    """(i, s1, g1, g2, at) of the windows of rows (t, i) whose anchor is of the shard and may be in its Bloom filter.
+def window_rows(docs: DataFrame, k: int, repeated=None, bits: int = 0) -> DataFrame:
+    """(i, x, g1, g2, at) of the windows of rows (t, i): all of them, those whose anchor may be in the Bloom filter
+    `repeated`, or, if rows have a third column `mine`, those whose anchor it lists.
 
     at: the places of the window in its text, so a text that repeats itself gives a row for each different window.
     """
+    listed = "mine" in docs.columns
 
     def run(batches):
+        import hashlib
+
+        digest = hashlib.blake2b
         for batch in batches:
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
+            ids = batch.column(1)
             for row, data, offsets in chunks(batch.column(0)):
                 w = Words(data, offsets)
                 ok = w.within(k)
                 if not ok.any():
                     continue
-                if repeated is not None:
+                if repeated is not None or listed:
                     m = _anchors(w, k)
                     at = np.flatnonzero(ok)
-                    # neighbours share anchors: ask the filter once for each run of equal ones
-                    change = np.flatnonzero(np.concatenate([[True], m[at[1:]] != m[at[:-1]]]))
-                    hit = bloom_has(repeated.value, m[at[change]], FILTER_BITS, 3)
-                    if shards > 1:
-                        hit &= m[at[change]] % np.uint64(shards) == shard
-                    ok[at] = np.repeat(hit, np.diff(np.append(change, len(at))))
+                    if listed:
+                        for j, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
+                            if b - a >= k:
+                                ok[a : b - k + 1] = np.isin(m[a : b - k + 1], batch.column(2)[row + j].values.to_numpy().view(np.uint64))
+                    else:
+                        # neighbours share anchors: ask the filter once for each run of equal ones
+                        change = np.flatnonzero(np.concatenate([[True], m[at[1:]] != m[at[:-1]]]))
+                        ok[at] = np.repeat(bloom_has(repeated.value, m[at[change]], bits, 3), np.diff(np.append(change, len(at))))
                 at = np.flatnonzero(ok)
                 if not len(at):
                     continue
-                g1, g2, one = w.windows(k), w.windows(k, second=True), w.whole()[0]
+                raw, start, end = w.plain()
                 text = np.searchsorted(w.first, at, "right") - 1
-                order = np.lexsort((at, g2[at], g1[at], text))
-                at, text = at[order], text[order]
-                new = np.ones(len(at) + 1, bool)
-                new[1:-1] = (g1[at[1:]] != g1[at[:-1]]) | (g2[at[1:]] != g2[at[:-1]]) | (text[1:] != text[:-1])
-                groups = np.flatnonzero(new)
-                places = (at - w.first[text]).astype(np.int32)
-                for j in range(0, len(groups) - 1, 200_000):
-                    some = groups[j : j + 200_001]
-                    p, x = at[some[:-1]], text[some[:-1]]
-                    lists = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), pa.array(places[some[0] : some[-1]]))
-                    yield pa.record_batch({"i": pa.array(ids[row + x], pa.int64()), "s1": pa.array(one[x].view(np.int64)), "g1": pa.array(g1[p].view(np.int64)), "g2": pa.array(g2[p].view(np.int64)), "at": lists})
-
-    return docs.mapInArrow(run, "i long, s1 long, g1 long, g2 long, at array<int>")
-
-
-def _removed(rows: DataFrame, k: int) -> DataFrame:
-    """(i, n_removed, sha) of rows (t, i, starts): words in windows that start at `starts` are left out."""
+                x = np.zeros(len(offsets) - 1, np.int64)
+                for j in np.unique(text).tolist():
+                    x[j] = _short(hashlib.sha256(raw[start[w.first[j]] : end[w.first[j + 1] - 1]]).digest())
+                for j in range(0, len(at), 200_000):
+                    p, of = at[j : j + 200_000], text[j : j + 200_000]
+                    g = np.frombuffer(b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(start[p].tolist(), end[p + k - 1].tolist())]), "<i8").reshape(-1, 2)
+                    order = np.lexsort((p, g[:, 1], g[:, 0], of))
+                    p, of, g = p[order], of[order], g[order]
+                    new = np.ones(len(p) + 1, bool)
+                    new[1:-1] = (g[1:] != g[:-1]).any(axis=1) | (of[1:] != of[:-1])
+                    groups = np.flatnonzero(new)
+                    head = groups[:-1]
+                    lists = pa.ListArray.from_arrays(pa.array(groups.astype(np.int32)), pa.array((p - w.first[of]).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + of[head])), pa.array(x[of[head]]), pa.array(g[head, 0]), pa.array(g[head, 1]), lists], names=["i", "x", "g1", "g2", "at"])
+
+    return docs.mapInArrow(run, "i long, x long, g1 long, g2 long, at array<int>")
+
+
+def _cut(rows: DataFrame, k: int, digest: bool) -> DataFrame:
+    """(i, x, ..., n_removed, kept) of rows (t, i, starts, x, ...): words in windows that start at `starts` are left out,
+    all where it is null. kept: what stays, joined by single spaces, or its SHA-256.
+    """
+    out = rows.drop("t", "starts").withColumn("n_removed", F.lit(0).cast("long")).withColumn("kept", F.lit(b""))
+    names, schema = out.columns, out.schema
 
     def run(batches):
         import hashlib
 
         for batch in batches:
             starts = batch.column(2).to_pylist()
-            n, sha = [], []
+            n, kept = [], []
             for row, data, offsets in chunks(batch.column(0)):
-                w, raw = Words(data, offsets), data.tobytes()
-                for i in range(len(offsets) - 1):
-                    a, b = int(w.first[i]), int(w.first[i + 1])
+                w = Words(data, offsets)
+                raw, start, end = w.plain()
+                for j, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
                     edge = np.zeros(b - a + k + 1, np.int64)
-                    at = np.array(starts[row + i], np.int64)
+                    at = np.array(starts[row + j] or (), np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + k, -1)
-                    gone = np.cumsum(edge)[: b - a] > 0
-                    n.append(int(gone.sum()))
-                    sha.append(hashlib.sha256(_kept(raw, w, a, b, gone.tolist())).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(3), pa.array(n, pa.int64()), pa.array(sha)], names=["i", "s1", "n_removed", "sha"])
+                    gone = np.cumsum(edge)[: b - a] > 0 if starts[row + j] is not None else np.ones(b - a, bool)
+                    stay = np.flatnonzero(~gone) + a
+                    n.append(b - a - len(stay))
+                    text = b" ".join([raw[c:d] for c, d in zip(start[stay].tolist(), end[stay].tolist())])
+                    kept.append(hashlib.sha256(text).digest() if digest else text)
+            rest = [batch.column(1), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(kept, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, "i long, s1 long, n_removed long, sha string")
+    return rows.mapInArrow(run, schema)
 
 
-def _with_sequence(docs: DataFrame, wanted) -> DataFrame:
-    """(t, i, s1) of the rows whose sequence hash may be in the Bloom filter `wanted`."""
+def _with_sequence(docs: DataFrame, wanted=None, bits: int = 0) -> DataFrame:
+    """Rows (t, i, ...) with x; with a Bloom filter only those whose x may be in it."""
 
     def run(batches):
         for batch in batches:
-            for row, data, offsets in chunks(batch.column(0)):
-                one = Words(data, offsets).whole()[0]
-                hit = pa.array(bloom_has(wanted.value, one, 22, 3))
-                part = batch.slice(row, len(one))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(one.view(np.int64))], names=["t", "i", "s1"]).filter(hit)
+            x = []
+            for _, data, offsets in chunks(batch.column(0)):
+                x += [_short(s) for s in _sequences(Words(data, offsets))]
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.int64())], names=[*batch.schema.names, "x"])
+            yield out if wanted is None else out.filter(pa.array(bloom_has(wanted.value, np.array(x, np.int64).view(np.uint64), bits, 3)))
+
+    return docs.mapInArrow(run, docs.withColumn("x", F.lit(0).cast("long")).schema)
+
 
-    return docs.mapInArrow(run, "t string, i long, s1 long")
+def _windows(source: DataFrame, rows: DataFrame, sequences: DataFrame, k: int, filter_keys: int) -> DataFrame:
+    """The windows of the whole table that may occur in two different texts."""
+    # an anchor is listed once a text, so two counts are two texts
+    shared = staged(sequences.select(F.explode("anchors").alias("h")).groupBy("h").count().where("count > 1").select("h"), "anchors")
+    many = shared.count()
+    if many <= filter_keys:
+        bits = filter_bits(many)
+        return window_rows(source, k, source.sparkSession.sparkContext.broadcast(bloom_of(shared, "h", bits, 3)), bits)
+    lists = rows.select("x", F.explode("anchors").alias("h")).join(shared, "h", "left_semi").groupBy("x").agg(F.collect_set("h").alias("mine"))
+    return window_rows(_with_sequence(source).join(lists, "x").select("t", "i", "mine"), k)
 
 
-def remove_repeats(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str = "doc_id", batches: int = 2, filter_keys: int = FILTER_KEYS) -> DataFrame:
+def _found(source: DataFrame, k: int, batches: int, filter_keys: int, index: WindowIndex | None) -> tuple[DataFrame, DataFrame]:
+    """((i, n_words, sha, x, copy) of each row, (i, x, starts) of those with repeated windows) of rows (t, i)."""
+    spark = source.sparkSession
+    rows = staged(text_rows(source, k), "texts")
+    sequences = rows.where(F.col("n_words") >= k).groupBy("sha").agg(F.min("i").alias("first"), F.first("anchors").alias("anchors"))
+    sequences = staged(sequences, "sequences")
+    cuts = rows.agg(F.percentile_approx("i", [x / batches for x in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    cuts = sorted(set(cuts or []))
+    number = F.lit(len(cuts))  # null ids are in the last batch
+    for j, cut in reversed(list(enumerate(cuts))):
+        number = F.when(F.col("i") <= cut, j).otherwise(number)
+    windows = window_rows(source, k) if index else _windows(source, rows, sequences, k, filter_keys)
+    windows = staged(windows.withColumn("batch", number), "windows")
+    runs, found = index or WindowIndex(spark), None
+    try:
+        for j in range(len(cuts) + 1):
+            mine = windows.where(F.col("batch") == j).drop("batch")
+            hit = staged(runs.repeats(mine).select("i", "x", "at"), "hits")
+            found = hit if found is None else found.unionAll(hit)
+            if index or j < len(cuts):
+                runs.append(mine)
+                runs.compact()
+    finally:
+        if not index:
+            runs.drop()
+    drop_staged(spark, windows.staged_path)
+    copy = F.col("first").isNotNull() & (F.col("i").isNull() | (F.col("first") < F.col("i")))
+    whole = join_hot(rows.drop("anchors"), sequences.select("sha", "first"), "sha").withColumn("copy", copy).drop("first")
+    starts = found.groupBy("i", "x").agg(F.flatten(F.collect_set("at")).alias("starts"))
+    return whole, staged(starts, "starts")
+
+
+def remove_repeats(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str = "doc_id", batches: int = 6, filter_keys: int = FILTER_KEYS, index: WindowIndex | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): words go that a window covers which also starts in a smaller doc_id.
 
-    The table is merged into a window index in `batches` ranges of doc_id.
+    The table is merged into a window index in `batches` ranges of doc_id. An `index` given holds earlier tables with
+    smaller ids and keeps all windows of this one.
     """
     spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("i"))
-    rows = staged(text_rows(source, k), "texts")
-    # anchors of two different texts
-    shared = rows.select(F.explode("anchors").alias("h"), "s1").groupBy("h").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("h")
-    shared = staged(shared, "anchors")
-    shards = max(1, -(-shared.count() // filter_keys))
-    shard_of = F.expr(f"pmod(conv(hex(h), 16, 10) :: decimal(20, 0), {shards})") if shards > 1 else F.lit(0)
-    filters = [spark.sparkContext.broadcast(bloom_of(shared.where(shard_of == j), "h", FILTER_BITS, 3)) for j in range(shards)]
-    cuts = rows.agg(F.percentile_approx("i", [x / batches for x in range(1, batches)], 1000)).first()[0] if batches > 1 else None
-    bounds = [-(2**63), *sorted(set(cuts or [])), NO_ID]
-    index, found = WindowIndex(spark), None
-    for j, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        inside = F.col("i") <= high if j == 0 else (F.col("i") > low) & (F.col("i") <= high)
-        windows = None
-        for shard, repeated in enumerate(filters):
-            some = window_rows(source.where(inside), k, repeated, shard, shards)
-            windows = some if windows is None else windows.unionAll(some)
-        windows = staged(windows, "windows")
-        hit = index.probe(windows).where("least < i").select("i", "s1", "at")
-        hit = staged(hit, "hits")
-        found = hit if found is None else found.unionAll(hit)
-        if j < len(bounds) - 2:
-            index.append(windows)
-            index.compact()
-    first = rows.where(F.col("n_words") >= k).groupBy("s1", "s2", "n_words").agg(F.min("i").alias("first")).alias("f")
-    whole = rows.drop("anchors").alias("r").join(first, F.expr("r.s1 = f.s1 AND r.s2 = f.s2 AND r.n_words = f.n_words"), "left").select("r.*", (F.col("f.first") < F.col("r.i")).alias("copy"))
-    starts = found.groupBy("i", "s1").agg(F.flatten(F.collect_list("at")).alias("starts"))
-    wanted = spark.sparkContext.broadcast(bloom_of(found.select("s1").distinct(), "s1", 22, 3))
-    texts = _with_sequence(source, wanted).alias("t").join(starts.alias("s"), F.expr("t.i = s.i AND t.s1 = s.s1")).select("t.t", "t.i", "s.starts", "t.s1")
-    cut = _removed(texts, k).dropDuplicates(["i", "s1"]).alias("c")
-    out = whole.alias("w").join(cut, F.expr("w.i = c.i AND w.s1 = c.s1"), "left")
-    copy, empty = F.coalesce("copy", F.lit(False)), F.sha2(F.lit("").cast("binary"), 256)
-    result = out.select(
-        F.when(F.col("w.i") != NO_ID, F.col("w.i")).alias("doc_id"),
+    source = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"), F.col(f"`{doc_id}`").cast("long").alias("i"))
+    whole, starts = _found(source, k, batches, filter_keys, index)
+    bits = filter_bits(starts.count())
+    wanted = spark.sparkContext.broadcast(bloom_of(starts, "x", bits, 3))
+    texts = _with_sequence(source, wanted, bits).alias("t").join(starts.alias("s"), F.expr("t.i <=> s.i AND t.x = s.x")).select("t.t", "t.i", "s.starts", "t.x")
+    cut = _cut(texts, k, True).dropDuplicates(["i", "x"]).alias("c")
+    out = whole.alias("w").join(cut, F.expr("w.i <=> c.i AND w.x = c.x"), "left")
+    nothing, gone = F.unhex(F.sha2(F.lit("").cast("binary"), 256)), F.col("n_words").cast("long")
+    kept = F.when(F.col("copy"), nothing).otherwise(F.coalesce("c.kept", "w.sha"))
+    return out.select(
+        F.col("w.i").alias("doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
-        F.when(copy, F.col("n_words").cast("long")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(copy, empty).otherwise(F.coalesce("c.sha", "w.sha")).alias("kept_sha256"),
+        F.when(F.col("copy"), gone).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.lower(F.hex(kept)).alias("kept_sha256"),
     )
-    index.drop()
-    return result
+
+
+def deduplicated(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """`docs` with all its columns; a text that loses words becomes those left, joined by single spaces, others stay as
+    they are."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"), F.col(f"`{doc_id}`").cast("long").alias("i"), row.alias("row"))
+    whole, starts = _found(rows.select("t", "i"), k, how.pop("batches", 6), how.pop("filter_keys", FILTER_KEYS), how.pop("index", None))
+    copies = whole.where("copy").select("i", "x", F.lit(None).cast("array<int>").alias("starts")).distinct()
+    same = F.expr("a.i <=> b.i AND a.x = b.x")
+    marks = starts.alias("a").join(copies.alias("b"), same, "left_anti").unionByName(copies)
+    texts = _with_sequence(rows).alias("a").join(marks.alias("b"), same, "left")
+    texts = texts.select("a.t", "a.i", F.when(F.col("b.x").isNull(), F.array().cast("array<int>")).otherwise(F.col("b.starts")).alias("starts"), "a.x", "a.row", F.col("b.x").isNotNull().alias("hit"))
+    out = _cut(texts, k, False)
+    new = F.when(F.col("hit"), F.col("kept").cast("string")).otherwise(F.col(f"row.`{text}`"))
+    return out.select(*[(new if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
