@@ -1,7 +1,10 @@
 """A training corpus in five stages, each over all that the one before kept.
 
 Each stage is a function of (spark, docs, sf_dir). All but the last return the columns of documents; extra columns of
-the input are carried along. An empty table runs through all stages. Stages bound their session's Arrow batches.
+the input are carried along, whatever their names. A null text is an empty one (the rules reject it), a null doc_id comes
+after all others, a null source is a source of its own and a null lang a stratum without rules. Rows that repeat are
+copies: one stays; rows that share an id go or stay by their own texts. Very long texts are read whole, ties are broken by
+id and hash, so runs agree. An empty table runs through all stages. Stages bound their session's Arrow batches.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go everywhere; n_chars follows the text."""
     bounded_batches(spark)
-    out = lines.drop_hot_lines(docs, min_docs=10, min_chars=1).select(*docs.columns)
+    out = lines.drop_hot_lines(docs, min_docs=10, min_chars=1, counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
