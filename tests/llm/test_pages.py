@@ -1,4 +1,4 @@
-"""Operators on web pages."""
+"""Operators on web pages: extraction against a naive tree, URL rules and models against the formula."""
 
 from collections import Counter
 
@@ -149,3 +149,170 @@ def test_url_scores_are_exact(spark):
                     p = (grams[side, *c[i - k : i + 1]] * even + p) / (contexts[side, *c[i - k : i], "of", k] * even + 1)
                 want += math.log(p) * (1 - 2 * side)
         assert got[0][u] == got[1][u] == pytest.approx(want / (len(c) - m.ORDER), abs=1e-8)
+
+
+class Tree:
+    """The extraction as it is told, on well-formed pages: a tree by the library's parser, every ancestor climbed for every block."""
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        from verisift.llm import html as m
+
+        self.root = at = {"tag": "#", "up": None, "kids": [], "named": 0, "hard": False}
+        tree = self
+
+        class Parser(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                nonlocal at
+                hard, named = m._left_out(tag, " ".join(f'{k}="{v}"' for k, v in attrs))
+                node = {"tag": tag, "up": at, "kids": [], "named": named, "hard": hard, "link": tag == "a" and "href" in dict(attrs)}
+                at["kids"].append(node)
+                at = node
+
+            def handle_endtag(self, tag):
+                nonlocal at
+                at = at["up"]
+
+            def handle_data(self, data):
+                at["kids"].append(data)
+
+        Parser(convert_charrefs=True).feed(page)
+        self.m, self.blocks, self.pieces = m, [], []
+        self.walk(self.root, self.root, False, False)
+        self.flush(self.root)
+
+    def path(self, n):
+        while n is not None:
+            yield n
+            n = n["up"]
+
+    def flush(self, block):
+        text = " ".join("".join(x for x, _ in self.pieces).split(" ")).strip()
+        if text:
+            self.blocks.append((block, text, sum(len(x.strip()) for x, linked in self.pieces if linked)))
+        self.pieces = []
+
+    def walk(self, n, block, linked, dropped):
+        tags = [x["tag"] for x in self.path(n)]
+        in_article = "article" in tags or "main" in tags
+        heading = n["tag"] in self.m.HEADINGS and n["up"]["tag"] == "header" and in_article and n["up"]["named"] < 2
+        n["dropped"] = dropped = n["hard"] or n["tag"] == "header" or (n["up"]["up"]["dropped"] if heading else dropped)
+        named = any(x["named"] and not self.wrapper(x) for x in self.path(n) if not (heading and x is n["up"]))
+        for kid in n["kids"]:
+            if isinstance(kid, str):
+                if not dropped and not named:
+                    self.pieces.append((kid, linked))
+            else:
+                inner = kid["tag"] in self.m.BLOCK
+                if inner:
+                    self.flush(block)
+                self.walk(kid, kid if inner else block, linked or bool(kid.get("link")), dropped)
+                if inner:
+                    self.flush(kid)
+
+    def size(self, n):
+        """Paragraph text outside links below a node (pages here have plain paragraphs of one run of text)."""
+        own = sum(len(k) for k in n["kids"] if isinstance(k, str)) if n["tag"] not in self.m.HEADINGS else 0
+        hidden = any(x["hard"] or x["tag"] == "header" for x in self.path(n))
+        return (own if own >= 25 and not hidden and n["tag"] != "a" else 0) + sum(self.size(k) for k in n["kids"] if not isinstance(k, str))
+
+    def below(self, n):
+        for k in n["kids"]:
+            if not isinstance(k, str):
+                yield k
+                yield from self.below(k)
+
+    def wrapper(self, n):
+        inner = [x["tag"] for x in self.below(n) if x["tag"] in ("article", "main") and self.size(x) and x["named"] < 2]
+        outside = any(x["tag"] in ("article", "main") and self.size(x) and not any(y["named"] for y in self.path(x)) for x in self.below(self.root))
+        return "main" in inner or n["named"] == 1 and not outside and ("article" in inner or 2 * self.size(n) > self.size(self.root))
+
+    def text(self):
+        if not self.blocks:
+            return ""
+        points, chars, links = Counter(), Counter(), Counter()
+        nodes = [self.root, *self.below(self.root)]
+        for block, text, linked in self.blocks:
+            for x in self.path(block):
+                chars[id(x)] += len(text)
+                links[id(x)] += linked
+            if len(text) >= 25 or block["tag"] in self.m.HEADINGS:
+                worth = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+                for k, x in enumerate(self.path(block["up"] if block["tag"] in self.m.LIKE_P else block)):
+                    points[id(x)] += worth / 2**k
+        score = lambda x: points[id(x)] * (1 - links[id(x)] / chars[id(x)]) * (2 if x["tag"] in ("article", "main") else 1) if chars[id(x)] else 0
+        best = max(nodes, key=score)
+        if score(best) <= 0:
+            return "\n\n".join(b[1] for b in self.blocks)
+        around = next((x for x in self.path(best) if x["tag"] in ("article", "main")), None)
+        if around and score(around) >= score(best) / 5:
+            best = around
+        kept = [best]
+        for x in best["up"]["kids"] if best["up"] else ():
+            if not isinstance(x, str) and x is not best and chars[id(x)]:
+                like = best["tag"] not in ("article", "main") and x["tag"] == "p" and links[id(x)] < chars[id(x)] / 4 and chars[id(x)] > 80
+                if score(x) >= max(10, score(best) / 5) or like:
+                    kept.append(x)
+        return "\n\n".join(b[1] for b in self.blocks if any(x is y for x in self.path(b[0]) for y in kept))
+
+
+def test_against_naive_tree():
+    import random
+
+    from verisift.llm.html import main_text
+
+    rng, seen = random.Random(5), set()
+    words = "alpha beta, gamma delta epsilon, zeta eta theta iota".split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+    def element(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.45:
+            return f"<p>{prose(rng.choice([2, 8, 30, 60]))}</p>"
+        if kind < 0.52:
+            return "<ul>" + "".join(f'<li><a href="/{k}">{prose(2)}</a></li>' for k in range(4)) + "</ul>"
+        if kind < 0.58:
+            return f"<h2>{prose(3)}</h2>"
+        if kind < 0.62:
+            return f"<p>{prose(9)} <b>{prose(2)}</b> <a href='x'>{prose(2)}</a></p>"
+        tag = rng.choice(["div", "div", "div", "section", "article", "main", "aside", "header", "nav", "footer", "blockquote"])
+        name = rng.choice(["", "", "", "", " class='content has-sidebar'", " class='sidebar'", " id='comments'", " class='ad-box'", " class='site-header'", " class='article-header'", " hidden"])
+        return f"<{tag}{name}>" + "".join(element(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(1500):
+        page = "<body>" + "".join(element(rng.randint(1, 4)) for _ in range(rng.randint(1, 5))) + "</body>"
+        want = Tree(page).text()
+        assert main_text(page) == want, page
+        seen.add(bool(want))
+    assert seen == {True, False}
+
+
+def test_odd_markup():
+    from verisift.llm.html import main_text
+
+    one = "First paragraph, long enough to count as text, is it not?"
+    assert main_text(f'<ul><li>Home Shop Blog Cart Sale</ul><div><a name="top"><p>{one}</p><p>{one} Yes</p></div>') == f"{one}\n\n{one} Yes"
+    assert main_text(f'<p><a href="x">link<p>{one}') == one
+    assert main_text(f"<article><p>{one}</p><div class='search-results'>{one}</div><div class='article-header'>{one}</div><a class='ad' hidden>buy</a></article>") == "\n\n".join([one] * 3)
+    assert main_text(f"<head><title>t</title><p>{one}") == one
+    assert main_text(f"<article><p>{one} <span class='ad'>buy <span>it</span> now</span>end</p></article>") == f"{one} end"
+    assert main_text(f"<p title=\"a > b\" data-x='\">'>{one}<p don't>{one}") == f"{one}\n\n{one}"
+    assert main_text(f"<table><tr><td>a<td>{one}<tr><td>b</table>") == f"a\n\n{one}\n\nb"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    from verisift.llm.html import main_text
+
+    n, text = 20_000, "some words, long enough to count as a paragraph"
+    pages = [
+        "<div>" * n + f"<p>{text}", f"<div>{text}" * n, "<span class=ad>x" * n, "<p>" + "<span class=ad>x</span> y " * n, '<a href="x>' * n, "<a href=\"x> '>" * (n + 1), "<a " * n, "<textarea>x" * n,
+        "<!--x" * n, "<li><div>" * n + "<li>" * n, "<b hidden><div>" + "<span hidden>" * n + "</b>" * n, "<table>" + "<td><div>" * n + "<td>" * n, "<p>x</p><p " * n, "</p>" * n, "<div>" * n + "</section>" * n, "&" * n + "<p>" * n,
+        "<div class='sidebar'>" * n + text, "<x" + " a" * n + ">" + text, "<x a=" + "' \"" * n,
+    ]
+    for page in pages:
+        start = time.process_time()
+        main_text(page)
+        assert time.process_time() - start < 1.5, page[:60]

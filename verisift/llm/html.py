@@ -1,15 +1,22 @@
 """Main text of web pages by tree scoring.
 
-A page is cut into tags and text once; a light tree of its containers is kept. Parts that are no article by their tag,
-role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers) are left out.
-A class or id names a wrapper, not a part, where the element holds a main element, the page's only articles or more than
-half of its paragraph text; scoring then decides. Notices, adverts and comments are no wrappers unless they hold a main.
-Every paragraph passes points for its length and commas to its ancestors, half as many with each level; a container's
-points are discounted by the share of its text inside links. The best container, widened to the article around it, and
-its siblings that have enough points or read like text are kept, with all their blocks.
-
-A null or empty page, or one without text, gives an empty text. Broken markup is read as browsers do where it matters:
-paragraphs end where the next block begins, unclosed elements end with their parent, a cut-off tag at the end is dropped.
+A page is read once, in time linear in its length whatever its markup: a light tree of its containers, and the blocks of
+text in them. Parts that are no article by their tag or role (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, comments of readers), or by a class or id made up of words for such parts, are left out. Such a name is that of
+a wrapper, and ignored, where the element holds a main element, the page's only articles or more than half of its
+paragraph text; adverts, cookie notices and comments are no wrappers unless they hold a main.
+
+Every paragraph passes points for its length and commas to its parent, half as many to the next ancestor, and so on. A
+container's score are its points, discounted by the share of its text inside links, twice as much for an article or main
+element. The best container is kept with all its blocks, or the article or main element around it if that has a fifth
+of its score, and its siblings that have a fifth of it or, beside a container of another kind, read like text.
+
+A null or empty page, or one without text, gives an empty text; if nothing has a score, all text that is not left out is
+kept. Broken markup is read as browsers do where it matters: paragraphs end where the next block begins, list items and
+cells where the next one does, unclosed elements end with their parent, links with their parent at the latest (and an
+anchor without href is none), a cut-off tag at the end is dropped. An unclosed quotation mark ends at the next ">".
+Of equal scores the outermost, first container counts. Pages that repeat are judged alike, an empty table stays empty, and
+only the columns that are asked for are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -33,65 +40,77 @@ DROPPED = frozenset(
     "head title canvas audio video map search datalist fieldset label optgroup option legend".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist note status".split())
-# a class or id is cut at anything but letters and digits, and where a capital follows a small letter
-NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adunit banner banners sponsor sponsored sponsors promo promos "
-    "promotion promoted nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs pagination pager sidebar sidebars sidenav aside rail "
-    "footer foot masthead topbar toolbar header comment comments commentlist commentform respond disqus discussion reply replies cookie cookies consent gdpr "
-    "notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup signin login register share sharing "
-    "social related recommended recommendations widget widgets toc search searchbox form skip skiplink paywall outbrain taboola hidden".split()
-)
-# of these, names that no wrapper of an article has
+IN_HEAD = frozenset("title meta link script style base noscript template head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LIKE_P = HEADINGS | frozenset("p pre blockquote td li dd".split())
+# one of these in a class or id names an advert, a notice or comments; a name is cut at anything but letters and digits, and
+# where a capital follows a small letter
 NEVER = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adunit banner banners sponsor sponsored sponsors promo promos "
-    "comment comments commentlist commentform respond disqus discussion reply replies cookie cookies consent gdpr notice notices notification alert popup "
-    "newsletter subscribe subscription signup signin login register outbrain taboola".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adunit sponsor sponsors sponsored promo promos promoted "
+    "comment comments commentlist commentform disqus cookie cookies consent gdpr popup newsletter outbrain taboola".split()
+)
+# parts of a page, where nothing but these and the words below them make up a name
+PARTS = frozenset(
+    "banner banners promotion promotions nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs pagination pager sidebar sidebars sidenav "
+    "aside rail footer foot masthead topbar toolbar header respond discussion reply replies notice notices notification notifications alert alerts modal "
+    "overlay lightbox subscribe subscription signup signin login register share sharing social related recommended recommendations widget widgets toc "
+    "search searchbox form skip skiplink paywall hidden".split()
+)
+NEUTRAL = frozenset(
+    "site page main top bottom left right primary secondary global mobile desktop sticky fixed outer inner wrap wrapper container box bar area section block "
+    "panel column col row list item items link links button buttons icon icons text title content body group unit slot posts stories articles region the "
+    "small large first last to".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_CLOSES = {  # an opening tag ends these open elements, up to the nearest of the second set
-    "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
-    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])),
-    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "option": (frozenset(["option"]), frozenset(["select"])),
-}
 # --------------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|</?[a-zA-Z][^<]*\Z", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+# kind of element that a next one of its kind ends, and what such an end does not reach beyond
+_ENDS = {"li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+_BOUNDS = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dir": ("li",), "dl": ("dd",), "table": ("tr", "td"), "tr": ("td",), "select": ("option",)}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dropped", "points", "chars", "linked", "article", "named")
+    __slots__ = ("tag", "parent", "block", "at", "near", "inside", "dropped", "named", "article", "points", "chars", "linked", "size", "holds", "under")
 
-    def __init__(self, tag, parent, dropped):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: _Node | None, at: int, dropped: bool, named: int, is_block: bool = True):
+        self.tag, self.parent, self.at, self.dropped, self.named = tag, parent, at, dropped, named
+        self.block = self if is_block else parent.block  # the block it stands in
+        self.near = parent.near if parent else {}  # the places on the stack of open elements that a next one ends
+        self.inside: dict[str, int] = {}  # open inline elements of a block
+        self.article = tag in ("article", "main") or parent is not None and parent.article  # it is one or is in one
         self.points = 0.0
-        self.chars = self.linked = 0
-        self.article = tag in ("article", "main")
-        self.named = 0  # 1: left out by its class or id unless it is a wrapper, 2: by one of NEVER
+        self.chars = self.linked = self.size = self.holds = 0
+        self.under = parent is not None and (parent.under or parent.named > 0)
+
+
+def _named(value: str) -> int:
+    """2: an advert, a notice, comments; 1: another part of a page; 0: neither."""
+    found = 0
+    for name in value.split():
+        words = [w.lower() for w in _SPLIT.split(name) if w]
+        if not NEVER.isdisjoint(words):
+            return 2
+        if not PARTS.isdisjoint(words) and all(w in PARTS or w in NEUTRAL for w in words):
+            found = 1
+    return found
 
 
 def _left_out(tag: str, attrs: str) -> tuple[bool, int]:
     """Whether an element is left out whatever it holds, and `named` of its node."""
     if tag in DROPPED:
         return True, 0
-    if not attrs:
-        return False, 0
     named = 0
-    for m in _ATTR.finditer(attrs):
+    for m in _ATTR.finditer(attrs) if attrs else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             # the page's own frame is never left out by its name
-            if tag not in ("html", "body", "article", "main"):
-                found = {w.lower() for w in _SPLIT.split(value)} & NAMES
-                named = max(named, 2 if found & NEVER else 1 if found else 0)
+            if tag not in ("html", "body", "article", "main") or _named(value) == 2 and tag == "article":
+                named = max(named, _named(value))
         elif name == "role":
             if value.strip().lower() in ROLES:
                 return True, named
@@ -100,225 +119,228 @@ def _left_out(tag: str, attrs: str) -> tuple[bool, int]:
     return False, named
 
 
-def _blocks(page: str):
-    """(node, text, characters in links) of every block that is not left out, in page order; all container nodes."""
-    root = _Node("#", None, False)
-    nodes, stack, out = [root], [root], []
-    text: list[str] = []
-    links = linked = 0  # open links, characters in them
-    owner = root
+def _title(tag: str, parent: _Node) -> bool:
+    """A heading in the header of an article: of headers it alone is kept."""
+    return tag in HEADINGS and parent.tag == "header" and parent.article and parent.named != 2
 
-    def flush():
-        nonlocal linked
-        if text:
-            block = _SPACE.sub(" ", _html.unescape("".join(text))).strip(" ")
-            if block:
-                out.append((owner, block, min(linked, len(block))))
-            text.clear()
-        linked = 0
-
-    def close(upto: int):
-        nonlocal owner
-        flush()
-        del stack[upto:]
-        owner = stack[-1]
-
-    at, size = 0, len(page)
-    search = _TOKEN.search
-    while at < size:
-        m = search(page, at)
-        begin = m.start() if m else size
-        if begin > at and not owner.dropped:
-            piece = page[at:begin]
-            text.append(piece)
-            if links:
-                linked += len(piece.strip())
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "a":
-            links = 0 if m[1] else 1
-            continue
-        if tag == "br":
-            if not owner.dropped:
-                text.append(" ")
-            continue
-        if m[1]:
-            if tag in BLOCK or tag == "header":
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        close(i)
-                        break
+
+class _Reader:
+    """One pass over a page: `nodes`, parents first, and `blocks`: (node, pieces of text: (node, text, whether linked))."""
+
+    def __init__(self, page: str):
+        self.page = page
+        root = _Node("#", None, 0, False, 0)
+        self.nodes, self.stack, self.open = [root], [root], {}
+        self.blocks: list[tuple[_Node, list]] = []
+        self.pieces: list[tuple[_Node, str, bool]] = []
+        self.link = 0  # how many elements were open when the open link began
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.endless: set[str] = set()  # raw elements that nothing closes from here on
+
+    def flush(self) -> None:
+        if self.pieces:
+            self.blocks.append((self.stack[-1].block, self.pieces))
+            self.pieces = []
+
+    def push(self, tag: str, dropped: bool, named: int, is_block: bool) -> None:
+        top, at = self.stack[-1], len(self.stack)
+        node = _Node(tag, top, at, dropped, named, is_block)
+        if tag in _ENDS or tag in _BOUNDS:
+            node.near = node.near | {kind: None for kind in _BOUNDS.get(tag, ())}
+            if tag in _ENDS:
+                node.near[_ENDS[tag]] = at
+        if not is_block:
+            node.block.inside[tag] = node.block.inside.get(tag, 0) + 1
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.nodes.append(node)
+        self.stack.append(node)
+
+    def close(self, at: int) -> None:
+        """End the open elements from this place on the stack on."""
+        if self.stack[at].block is self.stack[at]:
+            self.flush()
+        for node in self.stack[at:]:
+            self.open[node.tag] -= 1
+            if node.block is not node:
+                node.block.inside[node.tag] -= 1
+        del self.stack[at:]
+        if self.link > at:
+            self.link = 0
+
+    def tag_end(self, at: int) -> int:
+        """Behind the ">" that ends a tag; -1 if none does."""
+        while at <= self.last[">"]:
+            m = _STOP.search(self.page, at)
+            if not m:
+                return -1
+            if not m[1]:
+                return m.end()
+            if m.end() > self.last[m[1]]:  # the quotation does not end
+                return self.page.find(">", m.end()) + 1 or -1
+            at = self.page.find(m[1], m.end()) + 1
+        return -1
+
+    def read(self) -> None:
+        page, at = self.page, 0
+        while True:
+            m = _OPEN.search(page, at)
+            begin = m.start() if m else len(page)
+            if begin > at:
+                top = self.stack[-1]
+                if not top.dropped:
+                    self.pieces.append((top, page[at:begin], self.link > 0))
+            if not m:
+                break
+            if m[1]:
+                ends = [e + n for e, n in ((page.find("-->", m.end() - 2), 3), (page.find("--!>", m.end() - 2), 4)) if e >= 0] if "--" not in self.endless else []
+                if not ends:
+                    break
+                at = min(ends)
+                continue
+            end = self.tag_end(m.end())
+            if end < 0:
+                break
+            at = end
+            if m[3]:
+                at = self.tag(m[3].lower(), bool(m[2]), page[m.end() : end - 1], end)
+        self.flush()
+
+    def tag(self, tag: str, is_end: bool, attrs: str, at: int) -> int:
+        """Act on a tag; where to read on."""
+        is_block = tag in BLOCK
+        if is_end:
+            if tag == "a":
+                self.link = 0
+            if is_block:
+                if self.open.get(tag):
+                    place = next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag == tag)
+                    self.close(place)
                 else:
-                    flush()
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        close(i)
-                        break
-                    if stack[i].tag in BLOCK:
-                        break
-            continue
+                    self.flush()
+            elif self.stack[-1].block.inside.get(tag):
+                self.close(next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag == tag))
+            return at
+        if tag == "br":
+            self.pieces.append((self.stack[-1], " ", False))
+            return at
+        block = self.stack[-1].block
+        if block.tag == "head" and tag not in IN_HEAD:
+            self.close(block.at)
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at) if m[4] == "" or tag not in ("svg", "math") else None
+            if attrs.endswith("/") and tag in ("svg", "math"):
+                return at
+            end = None if tag in self.endless else re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(self.page, at)
             if end:
-                at = end.end()
-            elif m[4] == "":
-                at = size if tag in ("script", "style") else at
-            continue
+                return end.end()
+            self.endless.add(tag)
+            return len(self.page) if tag in ("script", "style") else at
         if tag in VOID:
             if tag == "hr":
-                flush()
-            continue
-        is_block = tag in BLOCK
-        hard, named = _left_out(tag, m[3])
-        out_now = hard or named > 0 and not is_block
+                self.flush()
+            return at
+        if tag in ("html", "body") and self.open.get(tag):
+            return at
+        hard, named = _left_out(tag, attrs)
         if is_block:
-            flush()
-            if tag in _CLOSES:
-                ends, stop = _CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in stop:
-                        break
-                    if stack[i].tag in ends:
-                        close(i)
-                        break
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph or heading
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag not in ("p",) and stack[i].tag in BLOCK:
-                    break
-        elif not out_now:
-            continue  # an inline element changes nothing
-        if owner.dropped and not (tag in HEADINGS and owner.tag == "header" and _in_article(owner)):
-            dropped = True
+            self.flush()
+            block = self.stack[-1].block
+            if block.tag == "p" or block.tag in HEADINGS and tag in HEADINGS:
+                self.close(block.at)  # a block ends an open paragraph
+            place = self.stack[-1].near.get(_ENDS[tag]) if tag in _ENDS else None
+            if place is not None:
+                self.close(place)
+        top = self.stack[-1]
+        if _title(tag, top):
+            hard = hard or top.parent.dropped
+        elif top.dropped:
+            hard = True
         elif tag == "header":
-            dropped = True
-        else:
-            dropped = out_now
-        if not is_block and dropped:
-            flush_inline = owner  # text before stays in its block
-            node = _Node(tag, flush_inline, True)
-        else:
-            node = _Node(tag, owner, dropped)
-            node.named = named
-        nodes.append(node)
-        if not is_block:
-            # an inline part that is left out: its text is skipped, the block around it goes on
-            depth, name = 1, tag
-            for x in _LOOSE.finditer(page, at):
-                if x[2].lower() == name:
-                    depth += -1 if x[1] else 1
-                    if not depth:
-                        at = x.end()
-                        break
-                elif x[1] and x[2].lower() in BLOCK:
-                    at = x.start()
-                    break
-            nodes.pop()
-            continue
-        stack.append(node)
-        owner = node
-    flush()
-    return nodes, out
+            hard = True
+        if is_block or hard or named or top.block is not top:
+            self.push(tag, hard, named, is_block)
+        if tag == "a":
+            self.link = len(self.stack) if re.search(r"(?:^|\s)href\s*=", attrs, re.I) else 0
+        return at
 
 
-def _in_article(node: _Node | None) -> bool:
-    while node is not None:
-        if node.article:
-            return True
-        node = node.parent
-    return False
+def _up(nodes: list[_Node], add) -> None:
+    """Children to parents, the last first."""
+    for n in reversed(nodes):
+        if n.parent is not None:
+            add(n.parent, n)
 
 
-def _without_parts(nodes: list[_Node], blocks: list) -> list:
-    """The blocks outside elements that are left out by their names; those elements are marked as dropped."""
+def _without_parts(nodes: list[_Node], blocks: list) -> None:
+    """Mark the elements as dropped that are left out by their names."""
     if not any(n.named for n in nodes):
-        return blocks
-    held: dict[int, int] = {}  # characters of paragraph text
-    mains, articles, everything, outside = set(), set(), 0, False
-    for node, text, linked in blocks:
-        size = len(text) - linked if len(text) >= 25 and node.tag not in HEADINGS else 0
-        everything += size
-        path, up = [], node
-        while up is not None:
-            path.append(up)
-            held[id(up)] = held.get(id(up), 0) + size
-            up = up.parent
-        for kind, found in (("main", mains), ("article", articles)):
-            at = max((i for i, n in enumerate(path) if n.tag == kind), default=-1)  # the outermost
-            if at >= 0:
-                found.update(id(n) for n in path[at + 1 :])
-                outside |= not any(n.named for n in path[at + 1 :])
-    gone = set()
-    for n in nodes:  # parents come first
-        wrapper = id(n) in mains or n.named == 1 and not outside and (id(n) in articles or 2 * held.get(id(n), 0) > everything)
-        if id(n.parent) in gone or n.named and not wrapper:
-            gone.add(id(n))
+        return
+    for node, pieces in blocks:
+        size = sum(len(text) for _, text, linked in pieces if not linked)
+        if size >= 25 and node.tag not in HEADINGS:
+            node.size += size
+
+    def add(up: _Node, n: _Node) -> None:
+        up.size += n.size
+        # 1: holds an article with text, 2: a main
+        up.holds |= n.holds | (0 if not n.size else 2 if n.tag == "main" else 1 if n.tag == "article" and n.named != 2 else 0)
+
+    _up(nodes, add)
+    everything = nodes[0].size
+    outside = any(n.tag in ("article", "main") and n.size and not n.under and not n.named for n in nodes)
+    for n in nodes:
+        wrapper = n.holds & 2 or n.named == 1 and not outside and (n.holds & 1 or 2 * n.size > everything)
+        if n.parent is not None and ((n.parent.parent if _title(n.tag, n.parent) else n.parent).dropped or n.named and not wrapper):
             n.dropped = True
-    return [b for b in blocks if not b[0].dropped]
 
 
 def main_text(page: str | None) -> str:
     """The page's main text, its blocks joined by two line feeds."""
     if not page:
         return ""
-    nodes, blocks = _blocks(page)
-    blocks = _without_parts(nodes, blocks)
+    reader = _Reader(page)
+    reader.read()
+    nodes = reader.nodes
+    _without_parts(nodes, reader.blocks)
+    blocks = []
+    for node, pieces in reader.blocks:
+        text = _SPACE.sub(" ", _html.unescape("".join(text for n, text, _ in pieces if not n.dropped))).strip(" ")
+        if text:
+            linked = min(len(text), sum(len(x.strip()) for n, x, is_linked in pieces if is_linked and not n.dropped))
+            blocks.append((node, text))
+            node.chars += len(text)
+            node.linked += linked
+            if len(text) >= 25 or node.tag in HEADINGS:
+                commas = sum(map(text.count, ",，、،"))
+                (node.parent if node.tag in LIKE_P and node.parent else node).points += (1 + commas + min(len(text) / 100, 3)) * (1 - linked / len(text))
     if not blocks:
         return ""
-    for node, text, linked in blocks:
-        up = node
-        while up is not None:
-            up.chars += len(text)
-            up.linked += linked
-            up = up.parent
-        if len(text) < 25 and node.tag not in HEADINGS:
-            continue
-        points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - linked / len(text))
-        up = node.parent if node.tag in ("p", "pre", "blockquote", "td", "li", "dd") or node.tag in HEADINGS else node
-        while up is not None and points > 0.01:
-            up.points += points
-            points /= 2
-            up = up.parent
-    score = lambda n: n.points * (1 - n.linked / n.chars) if n.chars else 0.0
+
+    def add(up: _Node, n: _Node) -> None:
+        up.chars += n.chars
+        up.linked += n.linked
+        up.points += n.points / 2
+
+    _up(nodes, add)
+    score = lambda n: n.points * (1 - n.linked / n.chars) * (2 if n.tag in ("article", "main") else 1) if n.chars and not n.dropped else 0.0
     best = max(nodes, key=score)
     if score(best) <= 0:
-        best = blocks[0][0] if len(blocks) == 1 else nodes[0]
-    up = best
-    while up is not None:
-        if up.article:
-            best = up
-        up = up.parent
-    kept, parent = {id(best)}, best.parent
-    if parent is not None:
-        floor = max(10.0, 0.2 * score(best))
+        return "\n\n".join(text for _, text in blocks)
+    around = best
+    while around is not None and around.tag not in ("article", "main"):
+        around = around.parent
+    if around is not None and 5 * score(around) >= score(best):
+        best = around
+    kept = {id(best)}
+    if best.parent is not None:
+        floor, plain = max(10.0, 0.2 * score(best)), best.tag not in ("article", "main")
         for n in nodes:
-            if n.parent is parent and n is not best and n.chars and not n.dropped:
-                density = n.linked / n.chars
-                if score(n) >= floor or n.tag in ("p", "pre", "blockquote") and density < 0.25 and n.chars > 80:
+            if n.parent is best.parent and n is not best and n.chars and not n.dropped:
+                if score(n) >= floor or plain and n.tag in ("p", "pre", "blockquote") and n.linked < 0.25 * n.chars and n.chars > 80:
                     kept.add(id(n))
-    inside: dict[int, bool] = {}
-
-    def is_kept(n: _Node | None) -> bool:
-        path = []
-        while n is not None and id(n) not in inside:
-            if id(n) in kept:
-                inside[id(n)] = True
-                break
-            path.append(n)
-            n = n.parent
-        found = n is not None and inside[id(n)]
-        for x in path:
-            inside[id(x)] = found
-        return found
-
-    return "\n\n".join(text for node, text, _ in blocks if is_kept(node))
+    for n in nodes:  # parents come first
+        if n.parent is not None and id(n.parent) in kept:
+            kept.add(id(n))
+    return "\n\n".join(text for node, text in blocks if id(node) in kept)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
