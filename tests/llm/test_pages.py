@@ -293,12 +293,12 @@ def test_odd_markup():
 
     one = "First paragraph, long enough to count as text, is it not?"
     assert main_text(f'<ul><li>Home Shop Blog Cart Sale</ul><div><a name="top"><p>{one}</p><p>{one} Yes</p></div>') == f"{one}\n\n{one} Yes"
-    assert main_text(f'<p><a href="x">link<p>{one}') == one
+    assert main_text(f'<div><p><a href="x">link<p>{one}</div><div><a href="y">{one}') == f"link\n\n{one}"
     assert main_text(f"<article><p>{one}</p><div class='search-results'>{one}</div><div class='article-header'>{one}</div><a class='ad' hidden>buy</a></article>") == "\n\n".join([one] * 3)
     assert main_text(f"<head><title>t</title><p>{one}") == one
     assert main_text(f"<article><p>{one} <span class='ad'>buy <span>it</span> now</span>end</p></article>") == f"{one} end"
     assert main_text(f"<p title=\"a > b\" data-x='\">'>{one}<p don't>{one}") == f"{one}\n\n{one}"
-    assert main_text(f"<table><tr><td>a<td>{one}<tr><td>b</table>") == f"a\n\n{one}\n\nb"
+    assert main_text(f"<article><table><tr><td>a<td>{one}<tr><td>b</table></article>") == f"a\n\n{one}\n\nb"
 
 
 def test_hostile_pages_take_linear_time():
