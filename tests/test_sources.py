@@ -21,6 +21,21 @@ We gain \gain{} at 100\% load. \iffalse hidden 8.8 \fi
 \end{document}"""
 
 
+def test_accents_leave_commands_alone():
+    texts = {
+        r"\cite{a} \caption{Fig} \vspace{1em} \cline{1-2} \centering \hline \ref{r} \k \underline{u}": None,
+        r"R{\'e}, R\'{e}, R\'e, {\'{e}}": "Ré, Ré, Ré, é", r"{R{\'e}}": "{Ré}", r"\c{c}a \v{s} \H{o} {\u{a}} \r{a} \k{e}": "ça š ő ă å ę", r"{\ss} \ss{} {\o} \o {\l}ód\'z \AA": "ß ß{} ø \\o łódź Å",
+        r"\"o {\=a} \.z {\.z} \^o \^{o}": "ö ā \\.z ż \\^o ô", r"\i \ae x": "\\i æ x",
+    }
+    for text, want in texts.items():
+        assert M.with_accents(text) == (text if want is None else want)
+
+
+def test_wrap_count(spark):
+    rows = spark.createDataFrame([("",), ("a b c",), ("a b cde",), ("abcdefgh ij",), ("abcde f",), (None,)], "t string")
+    assert [r.n for r in rows.select(M.wrap_count(rows.t, 5).alias("n")).collect()] == [0, 1, 2, 3, 2, None]
+
+
 def test_plain_functions():
     assert M.closing("{a{b}c}d", 0) == 7 and M.closing(r"{a\}b}", 0) == 6 and M.closing("{open", 0) == 5
     assert M.without_commands(r"a \x{b{c}}d \y", ["x"]) == r"a d \y" and M.without_commands(r"\emph{a \emph{b}}", ["emph"], True) == "a b"
@@ -30,9 +45,13 @@ def test_plain_functions():
     assert "short text" in M.with_toggles(TEX) and "long text" in M.with_toggles(r"\toggletrue{long}" + TEX)
     assert M.with_accents(r"caf\'{e} \"o") == "café ö"
     assert M.math_text(r"$\alpha_{12} \leq \frac{1}{2} x^{2}$") == "α₁₂ ≤ 1/2 x²"
-    assert M.number_words("Three hundred and twelve cases, twenty-five percent, one thousand two") == "312 cases, 25%, 1002"
+    spoken = {
+        "Three hundred and twelve cases, twenty-five percent": "312 cases, 25%", "five and six": "5 and 6", "one two three": "1 2 3", "a percent of it": "a percent of it", "nine hundred ninety-nine": "999",
+        "forty nine, sixty and two hundred": "49, 60 and 200", "one thousand two": "1 thousand 2", "twenty-twelve one_two tone": "20-12 one_two tone", "4 per cent": "4%", "hundred and one": "hundred and 1",
+        "two hundred and": "200 and", "three hundred\nand\tforty": "340", "": "",
+    }
+    assert {x: M.number_words(x) for x in spoken} == spoken
     assert "12.5" not in M.clean_prose(r"We $12.5$ see \cite{a} \textbf{bold} \& more") and "bold & more" in M.clean_prose(r"We \textbf{bold} \& more")
-    assert [M.wrapped_lines(t, 5) for t in ("", "a b c", "a b cde", "abcdefgh ij", "abcde f")] == [0, 1, 2, 3, 2]
     assert S.column_spec(r"l*{2}{r}@{\hskip 5pt}p{3cm}|c>{\bf}S") == ["l", "r", "r", "l", "c", "S"]
 
 

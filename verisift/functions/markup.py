@@ -1,7 +1,6 @@
 """Nested grammar that regular expressions cannot read: braces, macros, toggles, math, number words.
 
-Each is a plain function of one text and a Pandas UDF around it; texts without a backslash skip Python altogether where
-the function could not change them.
+Each is a plain function of one text and a Pandas UDF around it; texts that a function could not change skip Python.
 """
 
 from __future__ import annotations
@@ -19,10 +18,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # ---- fixed values --------------------------------------------------------------------------------
 UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
-SCALES = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
 GREEK = {w: c for w, c in zip("alpha beta gamma delta epsilon theta lambda mu pi rho sigma tau phi chi psi omega Delta Sigma Omega".split(), "αβγδεθλμπρστφχψωΔΣΩ")}
 SYMBOLS = {"times": "×", "pm": "±", "approx": "≈", "leq": "≤", "le": "≤", "geq": "≥", "ge": "≥", "to": "→", "rightarrow": "→", "cdot": "·", "infty": "∞", "textminus": "−", "neq": "≠", "ldots": "…", "dots": "…"}
-ACCENTS = {"'": "\u0301", "`": "\u0300", '"': "\u0308", "^": "\u0302", "~": "\u0303", "c": "\u0327", "v": "\u030c"}
+ACCENTS = {
+    "'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307",
+    "u": "\u0306", "v": "\u030c", "H": "\u030b", "c": "\u0327", "k": "\u0328", "r": "\u030a",
+}
+LETTERS = {"i": "ı", "o": "ø", "O": "Ø", "ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "aa": "å", "AA": "Å", "l": "ł", "L": "Ł"}
+BARE_MARKS = "'`\"~="  # of the marks, those that a letter may follow without braces
 SUPERSCRIPT = str.maketrans("0123456789+-n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻ⁿ")
 SUBSCRIPT = str.maketrans("0123456789+-", "₀₁₂₃₄₅₆₇₈₉₊₋")
 # --------------------------------------------------------------------------------------------------
@@ -117,9 +120,26 @@ def with_toggles(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
+_ACCENT = re.compile(r"""(?P<open>\{)?\\(?:
+    (?P<mark>['`^"~=.])\s*(?:\{(?P<inner>[A-Za-z])\}|(?P<bare>[A-Za-z]))   # \'e  \'{e}
+    | (?P<name>[uvHckr])\s*\{(?P<under>[A-Za-z])\}                       # \c{c}, but neither \cite{c} nor \c c
+    | (?P<letter>ss|ae|AE|oe|OE|aa|AA|[ioOlL])(?![A-Za-z])               # {\ss}
+    )(?(open)\})""", re.X)
+
+
 def with_accents(text: str) -> str:
-    """Accent commands as letters, composed."""
-    return unicodedata.normalize("NFC", re.sub(r"\\(['`\"^~cv])\s*\{?\\?([A-Za-z])\}?", lambda m: m[2] + ACCENTS[m[1]], text))
+    """Accent commands as letters, composed; a pair of braces right around one goes with it, all other commands stay."""
+
+    def letter(m) -> str:
+        closed = m["open"] is not None
+        if m["letter"]:
+            return LETTERS[m["letter"]] if closed or len(m["letter"]) == 2 else m[0]
+        if m["bare"] and not closed and m["mark"] not in BARE_MARKS:
+            return m[0]
+        plain = m["inner"] or m["bare"] or m["under"]
+        return unicodedata.normalize("NFC", plain + ACCENTS[m["mark"] or m["name"]])
+
+    return _ACCENT.sub(letter, text)
 
 
 def math_text(text: str) -> str:
@@ -133,27 +153,44 @@ def math_text(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[{}$]", "", text)).strip()
 
 
-_NUMBER_WORD = "|".join([*UNITS, *TENS, *SCALES])
-_NUMBER_RUN = re.compile(rf"\b(?:{_NUMBER_WORD})(?:(?:[\s-]+and)?[\s-]+(?:{_NUMBER_WORD}))*\b", re.I)
+_WORD = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z]+(?![A-Za-z0-9_])")
+_NUMBER = "|".join([*UNITS, *TENS])
 
 
 def number_words(text: str) -> str:
-    """Spelled numbers as digits, "percent" as %."""
-
-    def value(m) -> str:
-        total = group = 0
-        for w in re.findall(r"[a-z]+", m[0].lower()):
-            if w in TENS:
-                group += TENS[w]
-            elif w == "hundred":
-                group = max(group, 1) * 100
-            elif w in SCALES:
-                total, group = total + max(group, 1) * SCALES[w], 0
-            elif w != "and":
-                group += UNITS.index(w)
-        return str(total + group)
-
-    return re.sub(r"\s*\bper\s?cent\b", "%", _NUMBER_RUN.sub(value, text), flags=re.I)
+    """Spelled numbers up to 999 as digits, and percent behind digits as %: "forty-nine", "three hundred and twelve".
+
+    Words are read one by one: tens may have a unit, a number below a hundred may be followed by hundred, that by another
+    number. Neighbouring numbers stay apart: "one two" is "1 2", "five and six" is "5 and 6".
+    """
+    words = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
+    name = lambda i: words[i][2] if i < len(words) else ""
+    gap = lambda i: text[words[i][1] : words[i + 1][0]]  # noqa: E731  between word i and the next
+
+    def small(i: int) -> tuple[int, int]:
+        """(value, words) of the number below a hundred that begins at word i; no words if there is none."""
+        if name(i) in UNITS:
+            return UNITS.index(name(i)), 1
+        if name(i) not in TENS:
+            return 0, 0
+        more = name(i + 1) in UNITS[1:10] and re.fullmatch(r"[-\s]+", gap(i))
+        return TENS[name(i)] + (UNITS.index(name(i + 1)) if more else 0), 2 if more else 1
+
+    out, at, i = [], 0, 0
+    while i < len(words):
+        value, used = small(i)
+        if not used:
+            i += 1
+            continue
+        if name(i + used) == "hundred" and gap(i + used - 1).isspace():
+            value, used = value * 100, used + 1
+            skip = 1 if name(i + used) == "and" and gap(i + used - 1).isspace() else 0
+            rest, more = small(i + used + skip)
+            if more and all(gap(j).isspace() for j in range(i + used - 1, i + used + skip)):
+                value, used = value + rest, used + skip + more
+        out += [text[at : words[i][0]], str(value)]
+        at, i = words[i + used - 1][1], i + used
+    return re.sub(r"(\d)\s*(?:percent|per\s+cent)\b", r"\1%", "".join([*out, text[at:]]), flags=re.I)
 
 
 def clean_prose(text: str) -> str:
@@ -167,16 +204,19 @@ def clean_prose(text: str) -> str:
     return re.sub(r"[ \t]+", " ", re.sub(r"[{}~]", " ", text)).strip()
 
 
-def wrapped_lines(text: str, width: int) -> int:
+def wrap_count(text: Column, width: int) -> Column:
     """Lines that greedy word wrap needs at so many characters; a longer word breaks."""
-    lines, used = 0, 0
-    for w in text.split():
-        if used and used + 1 + len(w) <= width:
-            used += 1 + len(w)
-            continue
-        lines += max(1, -(-len(w) // width))
-        used = len(w) if len(w) <= width else len(w) % width or width
-    return lines
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    start = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("used"))
+
+    def place(s: Column, w: Column) -> Column:
+        n = F.length(w)
+        fits = (s["used"] > 0) & (s["used"] + 1 + n <= width)
+        on = F.struct(s["lines"].alias("lines"), (s["used"] + 1 + n).alias("used"))
+        tail = F.when(n % width == 0, F.lit(width)).otherwise(n % width)
+        return F.when(fits, on).otherwise(F.struct((s["lines"] + F.greatest(F.lit(1), F.ceil(n / width).cast("int"))).alias("lines"), F.when(n <= width, n).otherwise(tail).alias("used")))
+
+    return F.aggregate(words, start, place, lambda s: s["lines"])
 
 
 def _apply(f, kind: str = "string"):
@@ -192,19 +232,18 @@ def _apply(f, kind: str = "string"):
     return column
 
 
-def _tex(f):
-    """Only texts with a backslash or a dollar sign go through Python."""
-    slow = _apply(f)
-    return lambda text, *args: F.when(F.contains(text, F.lit("\\")) | F.contains(text, F.lit("$")) | F.contains(text, F.lit("%")), slow(text, *args)).otherwise(text)
+def _where(f, pattern: str, kind: str = "string"):
+    """Only texts in which the pattern is found, the others cannot change, go through Python."""
+    slow = _apply(f, kind)
+    return lambda text, *args: F.when(text.rlike(pattern), slow(text, *args)).otherwise(text)
 
 
-drop_commands = _tex(without_commands)
-strip_comments = _tex(without_comments)
-expand_macros = _tex(with_macros)
-resolve_toggles = _tex(with_toggles)
-fold_accents = _tex(with_accents)
-prose = _tex(clean_prose)
+drop_commands = _where(without_commands, r"\\")
+strip_comments = _where(without_comments, r"[\\%]")
+expand_macros = _where(with_macros, r"\\")
+resolve_toggles = _where(with_toggles, r"\\")
+fold_accents = _where(with_accents, r"\\")
+prose = _where(clean_prose, r"[\\$%{}~]|[ \t]{2}|\t|^\s|\s$")
 math_to_text = _apply(math_text)
-digits_for_words = _apply(number_words)
+digits_for_words = _where(number_words, rf"(?i)(?<![A-Za-z0-9_])(?:{_NUMBER})(?![A-Za-z0-9_])|[0-9]\s*per\s*cent")
 caption_list = _apply(captions, "array<string>")
-wrap_count = _apply(wrapped_lines, "int")

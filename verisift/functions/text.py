@@ -18,7 +18,7 @@ ABBREVIATIONS = "i\\.e|e\\.g|et al|etc|vs|cf|resp|approx|figs|fig|eqs|eq|sec|no|
 WHY = r"because|so that|therefore|thus|hence|otherwise|in order to|the reason|this is why|that is why|follows from|denotes?|refers? to|is defined as|we call|means? that"
 HEDGE = r"may|might|could|often|usually|typically|generally|largely|mostly|some|up to|roughly|approximately|comparable|suggests?|appears?|plans? to|seems?|likely|potentially|possibly|perhaps|partially|partly|slightly|competitive|nearly|close to|we observe|in practice|so far"
 STRONG = r"always|never|every|entirely|completely|fully|guarantee[sd]?|prove[sd]?|proof|best|outperforms?|beats?|superior|significantly|dramatically|universally|cannot|impossible|must|solves?"
-CAVEAT = r"cannot be compared|not directly comparable|not comparable|incomparable|do not compare"
+CAVEAT = r"(?:should|must|can|could)\s*not\s+be\s+compared|not\s+(?:directly\s+)?comparable|incomparable|do\s+not\s+compare"
 NEGATION = r"not|no|nor|neither|never"
 TOPIC_STOP = """result results value values model models test tests case cases number numbers point points setting settings change changes
 report reports show shows give gives make makes take takes apply applies use uses used using each every other same both more most only just also
@@ -27,7 +27,17 @@ STOP_WORDS = "the a an of to in on for and or with by is are was were be been th
 SYMBOL_WORDS = {"%": 1, "≈": 1, "×": 1, "±": 3, "≤": 2, "≥": 2, "→": 1}
 SUFFIXES = ("ences", "ence", "ances", "ance", "ments", "ment", "ness", "ities", "ity", "ations", "ation", "ally", "ly")
 ENDINGS = ("ing", "ed", "es", "s")
+IRREGULAR = {
+    "kept": "keep", "held": "hold", "led": "lead", "left": "leave", "lost": "lose", "made": "make", "meant": "mean", "ran": "run", "rose": "rise",
+    "risen": "rise", "shown": "show", "seen": "see", "saw": "see", "taken": "take", "took": "take", "gave": "give", "given": "give", "found": "find",
+    "fell": "fall", "fallen": "fall", "grew": "grow", "grown": "grow", "knew": "know", "known": "know", "went": "go", "gone": "go", "brought": "bring",
+    "built": "build", "chose": "choose", "chosen": "choose", "drove": "drive", "driven": "drive", "spent": "spend", "split": "split", "stood": "stand",
+    "told": "tell", "thought": "think", "won": "win", "wrote": "write", "written": "write", "broke": "break", "broken": "break", "began": "begin",
+    "begun": "begin", "sent": "send",
+}
 CJK = "[가-힣぀-ヿ一-鿿]"
+QUOTE_GAP = r"[^a-z0-9'\x{00C0}-\x{024F}\x{AC00}-\x{D7A3}]+"
+CUT = r"\[\s*\.\.\.\s*\]|\.\.\.|\x{2026}"  # where a quotation leaves something out
 WORDS_PER_MINUTE, SYLLABLES_PER_SECOND = 135, 5.0
 # --------------------------------------------------------------------------------------------------
 
@@ -100,8 +110,8 @@ def first_line(text: Column) -> Column:
 
 
 def normal_quote(text: Column) -> Column:
-    """Lower case, one apostrophe, everything else but letters and digits as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, "’‘", "''")), "[^a-z0-9']+", " "))
+    """Lower case, one apostrophe, everything else but digits and Latin or Hangul letters as single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(text, "’‘", "''")), QUOTE_GAP, " "))
 
 
 def despaced(text: Column) -> Column:
@@ -113,8 +123,11 @@ def masked_digits(text: Column) -> Column:
 
 
 def folded(word: Column) -> Column:
-    """A rough stem for comparison: case, hyphens, -ies, -ably, one noun or adverb suffix, one ending, a last e."""
+    """A rough stem for comparison: case, hyphens, irregular forms, -ies, -ably, one noun or adverb suffix, one ending, a
+    last e."""
+    irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
     steps = (
+        lambda w: F.coalesce(F.try_element_at(irregular, w), w),
         lambda w: F.when((F.length(w) > 4) & w.endswith("ies"), F.concat(F.substring(w, F.lit(1), F.length(w) - 3), F.lit("y"))).otherwise(w),
         lambda w: F.when((F.length(w) > 6) & (w.endswith("ably") | w.endswith("ibly")), F.concat(F.substring(w, F.lit(1), F.length(w) - 1), F.lit("e"))).otherwise(w),
         lambda w: F.regexp_replace(w, "^(.{4,}?)(?:" + "|".join(SUFFIXES) + ")$", "$1"),

@@ -7,7 +7,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import text as T
 
 # ---- fixed values --------------------------------------------------------------------------------
-MODAL = r"could|may|might|potentially|possibly|perhaps|likely|suggests?|suggested|plans? to|planned to|intends? to|hopes? to|exhibits? traits"
+# lower case but for the first four; "may 2018" is a date, "suggest choosing" advice, "appears in Table 2" a place
+MODAL = (
+    r"(?:^|[\s(])(?:[Cc]ould|[Mm]ay(?!\s+[0-9])|[Mm]ight|[Pp]ossibly|[Pp]erhaps|potentially|likely|suggest(?:s|ed)?(?!\s+[A-Za-z]+ing\b)|plan(?:s|ned)?\s+to|intends?\s+to|"
+    r"hopes?\s+to|exhibits?\s+(?:the\s+)?traits|(?:appears?|seems?)\s+(?!(?:in|on|at|as|when|where|while|if|below|above|last|first|only|once|twice|after|before|here|there|"
+    r"again|with|alongside|throughout|under|between|near|next|both|together|and|or|for|from|of)\b)[a-z]+)\b"
+)
 CLAUSE = r"[,;:()]|\s(?:and|but|while|whereas|which|who|that)\s"
 ANNOUNCE = r"(?:two|three|four|five|several|[0-9]) (?:[A-Za-z]+ )?(?:reasons|causes|mechanisms|explanations|limits|limitations|factors|effects|things|ways|lessons)"
 # --------------------------------------------------------------------------------------------------
@@ -56,13 +61,13 @@ def dropped_modals(units: DataFrame, paper: DataFrame, group: str) -> DataFrame:
     nearly as near without a modal clears the unit.
     """
     flat = units.where(F.col("s").rlike(r"[.!][\"'”’)]*$") & ~F.col("s").rlike(T.whole_word(T.NEGATION)) & ~F.col("s").rlike(T.whole_word(T.HEDGE)))
-    near = _pairs(flat, paper, group, 4, 60).withColumn("modal", F.col("s").rlike(T.whole_word(MODAL)))
+    near = _pairs(flat, paper, group, 4, 60).withColumn("modal", F.col("s").rlike(MODAL))
     over = W.partitionBy(group, "unit")
     ranked = near.withColumn("top", F.max("shared").over(over)).withColumn("k", F.row_number().over(over.orderBy(F.desc("shared"), "no")))
     ranked = ranked.withColumn("cleared", F.bool_or(~F.col("modal") & (F.col("shared") * 10 >= F.col("top") * 8)).over(over))
     best = ranked.where("k = 1 AND modal AND NOT cleared").withColumn("c", F.split("s", CLAUSE))
     share = lambda text: F.size(F.array_intersect("t", T.alpha_words(text)))
-    clause = F.exists(F.sequence(F.lit(1), F.size("c")), lambda i: F.element_at("c", i).rlike(T.whole_word(MODAL)) & (share(F.element_at("c", i)) >= 2) & (share(F.array_join(F.slice("c", F.greatest(i - 1, F.lit(1)), F.lit(3)), " ")) >= 3))
+    clause = F.exists(F.sequence(F.lit(1), F.size("c")), lambda i: F.element_at("c", i).rlike(MODAL) & (share(F.element_at("c", i)) >= 2) & (share(F.array_join(F.slice("c", F.greatest(i - 1, F.lit(1)), F.lit(3)), " ")) >= 3))
     return best.where(clause).select(group, "unit", "no")
 
 

@@ -111,14 +111,21 @@ def coined(derived: DataFrame, source: DataFrame, floor: int = 3, text: str = "t
 def quotes(texts: DataFrame, sources: DataFrame, key: str = "doc_id", text: str = "text", least: int = 5) -> DataFrame:
     """(key, n_quotes, n_missing): quotations of `least` words or more that no source has.
 
-    A quotation is looked up by its first `least` words (an equi-join on shingles), then whole in the texts found.
+    A quotation that leaves something out (... or [...]) is cut there; its parts of two words or more must occur in one
+    source, in order. Sources are looked up by the first words of the longest part (an equi-join on shingles of as many
+    words as that part has, `least` at most), then the parts are matched in the texts found.
     """
-    quoted = F.transform(F.regexp_extract_all(F.translate(F.col(text), "“”", '""'), F.lit('"([^"]{8,400})"'), F.lit(1)), T.normal_quote)
-    rows = texts.select(key, F.explode(quoted).alias("q")).where(F.size(F.split("q", " ")) >= least)
-    rows = rows.withColumn("gram", F.array_join(F.slice(F.split("q", " "), 1, least), " "))
-    normal = sources.select(T.normal_quote(F.col(text)).alias("s"))
-    grams = normal.select("s", F.explode(F.array_distinct(T.shingles(F.split("s", " "), least))).alias("gram"))
-    found = rows.select("q", "gram").distinct().join(grams, "gram").where(F.contains(F.col("s"), F.col("q"))).select("q").distinct()
+    quoted = F.regexp_extract_all(F.translate(F.col(text), "“”", '""'), F.lit('"([^"]{8,400})"'), F.lit(1))
+    parts = F.filter(F.transform(F.split("q", T.CUT), T.normal_quote), lambda p: F.contains(p, F.lit(" ")))
+    n_words = lambda p: F.size(F.split(p, " "))
+    rows = texts.select(key, F.explode(quoted).alias("q")).select(key, parts.alias("p")).where((F.size("p") > 0) & (n_words(F.array_join("p", " ")) >= least))
+    longest = F.array_max(F.transform("p", lambda p: F.struct(n_words(p).alias("n"), p.alias("part"))))
+    rows = rows.withColumn("n", F.least(longest["n"], F.lit(least))).withColumn("gram", F.array_join(F.slice(F.split(longest["part"], " "), F.lit(1), F.col("n")), " "))
+    rows = rows.withColumn("q", F.array_join("p", ".*")).drop("p")  # a pattern: what is left are letters, digits and apostrophes
+    normal = sources.select(T.normal_quote(F.col(text)).alias("s")).withColumn("w", F.split("s", " "))
+    asked = rows.select("q", "n", "gram").distinct()
+    grams = normal.select("s", F.explode(F.array_distinct(F.flatten(F.array(*[T.shingles(F.col("w"), n) for n in range(2, least + 1)])))).alias("gram"))
+    found = asked.join(grams, "gram").where("s RLIKE q").select("q").distinct()
     marked = rows.join(found.withColumn("hit", F.lit(1)), "q", "left")
     return marked.groupBy(key).agg(F.count(F.lit(1)).alias("n_quotes"), F.count_if(F.col("hit").isNull()).alias("n_missing"))
 

@@ -125,7 +125,7 @@ def sql() -> dict[str, str]:
 
     stop = ", ".join(repr(w) for w in [*C.STOP, "n/a", "w/o", "w/", "i.e", "e.g"])
     topic = f"list_filter({_ALPHA.format('s')}, lambda w: length(w) > 4 AND NOT list_contains([{', '.join(repr(x) for x in T.TOPIC_STOP)}], w))"
-    forms = ", ".join(repr(f) for f in sorted({f for v in C.VERBS for f in (v, v + "s", v + "ed", v + "ing", v.rstrip("e") + "ing", v.rstrip("e") + "ed", v + v[-1] + "ed", v + v[-1] + "ing")}))
+    forms = ", ".join(repr(f) for f in C.verb_set())
     return {
         "jargon_terms": f"""SELECT word, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9/+-]*')) AS word FROM documents)
 WHERE length(word) >= 2 AND lower(word) NOT IN ({stop}) AND NOT regexp_matches(word, '^[IVX]{{2,4}}$') AND NOT regexp_matches(word, '(?i)^x?[0-9]+(?:x[0-9]+)*x?$') AND NOT regexp_matches(word, '^(?:[A-Za-z][-+]?[0-9]{{1,3}}|[0-9]{{1,3}}[-+]?[A-Za-z])$')
@@ -143,6 +143,19 @@ SELECT doc_id, count(*) AS n_caveats, count(*) FILTER (WHERE n > 0 AND n * 2 < z
         "cell_kinds": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'hit' WHEN 1 THEN 'b' WHEN 2 THEN 'safe' ELSE 'plain' END AS kind, count(*) AS n_cells, sum(length(p_name) + CASE WHEN p_partkey % 4 = 2 THEN 2 ELSE 0 END)::BIGINT AS n_chars FROM part GROUP BY 1",
         "group_rows": "SELECT p_brand, count(*) FILTER (WHERE trim(p_name) <> '' AND (p_size <= 25 OR trim(p_type) = '') AND (p_partkey % 3 = 0 OR trim(p_brand) = '')) AS n_groups, count(*) AS n_rows FROM part GROUP BY p_brand",
         "cap_heights": "SELECT p_size, count(*) AS n_parts, 100.0::DOUBLE * p_size / 200.0 AS percent FROM part GROUP BY p_size",
+        "wrapped_titles": """WITH RECURSIVE t AS (SELECT page_id, list_filter(regexp_split_to_array(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+'), lambda w: w <> '') AS w FROM pages),
+r AS (SELECT page_id, w, 0 AS i, 0 AS n, 0 AS used FROM t
+UNION ALL SELECT page_id, w, i + 1, CASE WHEN used > 0 AND used + 1 + length(w[i + 1]) <= 40 THEN n ELSE n + greatest(1, (length(w[i + 1]) + 39) // 40) END,
+CASE WHEN used > 0 AND used + 1 + length(w[i + 1]) <= 40 THEN used + 1 + length(w[i + 1]) WHEN length(w[i + 1]) <= 40 THEN length(w[i + 1]) WHEN length(w[i + 1]) % 40 = 0 THEN 40 ELSE length(w[i + 1]) % 40 END FROM r WHERE i < len(w))
+SELECT n::INT AS n_lines, count(*) AS n_pages FROM r WHERE i = len(w) GROUP BY n""",
+        "snapped_columns": """WITH RECURSIVE p AS (SELECT p_size, list_sort(list(((p_partkey * 37) % 400)::DOUBLE)) AS x FROM part GROUP BY p_size),
+r AS (SELECT p_size, x, 0 AS i, []::DOUBLE[] AS k FROM p
+UNION ALL SELECT p_size, x, i + 1, CASE WHEN len(list_filter(k, lambda w: abs(w - x[i + 1]) < 3)) > 0 THEN k ELSE list_append(k, x[i + 1]) END FROM r WHERE i < len(x))
+SELECT p_size, len(list_distinct(x))::BIGINT AS n_before, len(k)::BIGINT AS n_after FROM r WHERE i = len(x)""",
+        "spelled_forms": r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z0-9_])([A-Za-z0-9]{1,4}\s+over\s+[A-Za-z0-9]{1,4})(?:$|[^A-Za-z0-9_])', 1)) AS x FROM documents),
+b AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z0-9_])([A-Za-z]{1,4}\s+sub\s+[A-Za-z0-9]{1,4})(?:$|[^A-Za-z0-9_])', 1)) AS x FROM documents),
+c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-Za-z](?:[-\s][A-Za-z]){1,7})(?:$|[^A-Za-z])', 1)) AS x FROM documents)
+SELECT DISTINCT doc_id, form FROM (SELECT doc_id, regexp_replace(x, '(?i)\s+over\s+', '/') AS form FROM a UNION ALL SELECT doc_id, regexp_replace(x, '(?i)\s+sub\s+', '_') FROM b UNION ALL SELECT doc_id, regexp_replace(x, '[-\s]', '', 'g') FROM c)""",
         "overfull_pages": """WITH e AS (SELECT user_id, event_id, event_type, value, max(CASE WHEN event_type = 'view' THEN event_id // 100 END) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
 SELECT user_id, (coalesce(p, 0) + 1)::INT AS page, max(value) AS pt FROM e WHERE event_type = 'error' AND value > 6.0 GROUP BY ALL""",
     }

@@ -327,7 +327,7 @@ SELECT conv_id, turn, len(list_intersect(f, p))::BIGINT AS n_shared, len(f)::BIG
         "column_alignment": " UNION ALL ".join(rf"SELECT '{c}' AS col, count(*) FILTER (WHERE regexp_matches({c}::VARCHAR, '^[-+−]?[0-9][0-9.,]*%?$')) AS n_numeric, count(*) AS n_cells, CASE WHEN count(*) FILTER (WHERE regexp_matches({c}::VARCHAR, '^[-+−]?[0-9][0-9.,]*%?$')) * 2 > count(*) THEN 'right' ELSE 'left' END AS align FROM part WHERE trim({c}::VARCHAR) <> ''" for c in ("p_name", "p_brand", "p_size", "p_type")),
         "unpivot_cells": "SELECT 'nation' AS tag, n_nationkey::VARCHAR AS row, 'n_name' AS col, n_name AS value FROM nation UNION ALL SELECT 'nation', n_nationkey::VARCHAR, 'n_regionkey', n_regionkey::VARCHAR FROM nation UNION ALL SELECT 'region', r_regionkey::VARCHAR, 'r_name', r_name FROM region",
         "sidecar_upsert": "SELECT n_regionkey::VARCHAR AS tag, n_name AS value FROM nation WHERE n_regionkey >= 2 UNION ALL SELECT r_regionkey::VARCHAR, r_name FROM region WHERE r_regionkey < 2",
-        "fingerprint_duplicates": """SELECT print, count(*) AS n, min(vec_id) AS first_id FROM (SELECT vec_id, array_to_string(list_transform(embedding[1:8], lambda x: lower(to_hex(least(greatest(floor((x::DOUBLE + 1.0) * 8.0), 0), 15)::BIGINT))), '') AS print FROM embeddings) GROUP BY print HAVING count(*) > 1""",
+        "fingerprint_duplicates": """SELECT print, count(*) AS n, min(vec_id) AS first_id FROM (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: lower(to_hex(least(greatest(floor((x::DOUBLE + 1.0) * 8.0), 0), 15)::BIGINT))), '') AS print FROM embeddings) GROUP BY print HAVING count(*) > 1""",
         "cell_number_parse": """SELECT (l_orderkey + l_linenumber) % 5 AS kind, (count(*) FILTER (WHERE (l_orderkey + l_linenumber) % 5 = 4)) AS n_blank,
 sum(CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 1000 WHEN 1 THEN -1 WHEN 2 THEN 1000000 WHEN 3 THEN 100 ELSE 0 END * trunc(l_quantity)) AS total FROM lineitem GROUP BY 1""",
         "box_overlap_pairs": f"""WITH b AS {_BOX}, p AS (SELECT x.page, x.box AS a, y.box AS b, (least(x.x1, y.x1) - greatest(x.x0, y.x0)) * (least(x.y1, y.y1) - greatest(x.y0, y.y0)) AS area, least((x.x1 - x.x0) * (x.y1 - x.y0), (y.x1 - y.x0) * (y.y1 - y.y0)) AS small

@@ -211,6 +211,7 @@ _ENDING = "regexp_replace({}, '^(.{{3,}}?)(?:" + "|".join(T.ENDINGS) + r")$', '\
 def _folded(w: str) -> str:
     """The stem of a column, in a subquery-free chain."""
     a = f"regexp_replace(lower({w}), '[-/]', '', 'g')"
+    a = f"(CASE {a} {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in T.IRREGULAR.items())} ELSE {a} END)"
     b = f"CASE WHEN length({a}) > 4 AND {a} LIKE '%ies' THEN substr({a}, 1, length({a}) - 3) || 'y' ELSE {a} END"
     return b
 
@@ -220,6 +221,8 @@ _FOLD = f"""SELECT @KEY w, CASE WHEN length(f4) > 3 AND f4 LIKE '%e' THEN substr
   SELECT *, CASE WHEN length(f1) > 6 AND (f1 LIKE '%ably' OR f1 LIKE '%ibly') THEN substr(f1, 1, length(f1) - 1) || 'e' ELSE f1 END AS f2 FROM (
   SELECT *, {_folded('w')} AS f1 FROM @SOURCE))))"""
 
+_QUOTE = "trim(regexp_replace(lower(translate({}, '’‘', '''''')), '" + T.QUOTE_GAP.replace("'", "''").replace("{", "{{").replace("}", "}}") + "', ' ', 'g'))"
+
 SQL = {
     "unsourced_values": f"""WITH d AS ({_values(_D, f"source <> '{SOURCE}'")}), s AS ({_values(_SD, f"source = '{SOURCE}'")})
 SELECT doc_id, count(*) AS n_unsourced FROM d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.value = d.value) GROUP BY doc_id""",
@@ -249,10 +252,11 @@ k AS (SELECT DISTINCT w FROM (SELECT unnest(a) AS w FROM s UNION ALL SELECT a[i]
 kf AS (SELECT DISTINCT f FROM ({_FOLD.replace('@KEY', '').replace('@SOURCE', 'k')})),
 mf AS ({_FOLD.replace('@KEY', 'n,').replace('@SOURCE', '(SELECT word AS w, n FROM m)')})
 SELECT w AS word, n FROM mf WHERE f NOT IN (SELECT f FROM kf)""",
-    "quote_containment": r"""WITH q AS (SELECT doc_id, trim(regexp_replace(lower(translate(unnest(regexp_extract_all(translate(text, '“”', '""'), '"([^"]{8,400})"', 1)), '’‘', '''''')), '[^a-z0-9'']+', ' ', 'g')) AS q FROM documents),
-s AS (SELECT trim(regexp_replace(lower(translate(text, '’‘', '''''')), '[^a-z0-9'']+', ' ', 'g')) AS s FROM benchmark),
-l AS (SELECT * FROM q WHERE len(string_split(q, ' ')) >= 5)
-SELECT doc_id, count(*) AS n_quotes, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM s WHERE contains(s.s, l.q))) AS n_missing FROM l GROUP BY doc_id""",
+    "quote_containment": f"""WITH q AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '“”', '""'), '"([^"]{{8,400}})"', 1)) AS q FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(q, '{T.CUT}'), lambda x: {_QUOTE.format('x')}), lambda x: contains(x, ' ')) AS p FROM q),
+s AS (SELECT {_QUOTE.format('text')} AS s FROM benchmark),
+l AS (SELECT * FROM p WHERE len(p) > 0 AND len(string_split(array_to_string(p, ' '), ' ')) >= 5)
+SELECT doc_id, count(*) AS n_quotes, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM s WHERE regexp_matches(s.s, array_to_string(p, '.*')))) AS n_missing FROM l GROUP BY doc_id""",
     "fragment_arrival": f"""WITH f AS (SELECT item_id, {_RUN} AS w FROM benchmark), o AS (SELECT row_number() OVER () AS o, ' ' || list_aggregate({_RUN}, 'string_agg', ' ') || ' ' AS t FROM documents)
 SELECT f.item_id, count(DISTINCT o.o) AS n_arrived FROM f LEFT JOIN o ON len(w) > 0 AND contains(o.t, ' ' || list_aggregate(w[1:6], 'string_agg', ' ') || ' ') GROUP BY f.item_id""",
     "page_match_jaccard": f"""WITH t AS (SELECT DISTINCT list_sort({_ALPHA.format("coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '')")}) AS s FROM documents),

@@ -33,8 +33,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("text", F.when(F.col("syntax") == "latex", tex).otherwise(F.col("text")))
 
 
-def with_includes(files: DataFrame, rounds: int = 8) -> DataFrame:
-    """(path, text) with \\input and \\include replaced by the text of the named file, to a fixpoint.
+def with_includes(files: DataFrame) -> DataFrame:
+    """(path, text) with \\input and \\include replaced by the text of the named file, until none is left.
 
     Each round is one join on the names. An inserted text's own includes are written with the files they came through
     (name|file|file), so a file that includes itself, at once or through others, is left out there and only there.
@@ -46,14 +46,15 @@ def with_includes(files: DataFrame, rounds: int = 8) -> DataFrame:
     def step(df: DataFrame) -> DataFrame:
         parts = df.select("path", F.posexplode(F.split("text", f"(?={pattern})|(?<=\\}})")).alias("pos", "part"))
         inner = F.split(F.regexp_extract("part", r"^\\(?:input|include)\{([^}]*)\}", 1), r"\|")
-        parts = parts.withColumn("name", name(inner[0])).withColumn("via", F.array_union(F.slice(inner, 2, 1000), F.array(name(F.col("path")))))
+        parts = parts.withColumn("name", name(inner[0])).withColumn("via", F.array_union(F.slice(inner, F.lit(2), F.size(inner)), F.array(name(F.col("path")))))
         got = parts.join(bodies, (F.col("name") == F.col("b_name")) & (F.col("name") != "") & ~F.array_contains("via", F.col("name")), "left")
         mark = F.concat(F.lit("\\\\input{$1|"), F.array_join("via", "|"), F.lit("|"), F.col("name"), F.lit("}"))
         inserted = F.regexp_replace(F.coalesce("body", F.lit("")), F.lit(r"\\(?:input|include)\{([^}]*)\}"), mark)
         rows = got.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("name") == "", F.col("part")).otherwise(inserted).alias("x")))).alias("p"))
         return rows.select("path", F.array_join(F.transform("p", lambda x: x["x"]), "").alias("text"))
 
-    return staged_loop(files.select("path", "text"), step, lambda df: df.where(F.col("text").rlike(pattern)).limit(1).count() == 0, rounds)
+    # a chain of includes without cycles is no longer than there are files
+    return staged_loop(files.select("path", "text"), step, lambda df: df.where(F.col("text").rlike(pattern)).limit(1).count() == 0, files.count() + 1)
 
 
 def sections(docs: DataFrame, key: str = "path", text: str = "text", syntax: str = "syntax") -> DataFrame:
