@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +48,11 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def broadcast_if(df: DataFrame, most: int) -> DataFrame:
+    """`df` marked for broadcast if it has at most so many rows; counted first, so a large one is shuffled as ever."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def staged_loop(df: DataFrame, step: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame], bool], rounds: int) -> DataFrame:
     """step until done, each round written down and the one before deleted; an error if it is not done after `rounds`."""
     path = None

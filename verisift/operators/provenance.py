@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .._staging import broadcast_if
 from ..functions import text as T
 
+SMALL = 200_000  # rows of a side that is broadcast
+
 
 def exploded(df: DataFrame, key: str, values: Column, name: str = "value") -> DataFrame:
     """(key, value) rows of an array column."""
@@ -83,10 +86,11 @@ def banned(texts: DataFrame, lines: list[str], key: str = "doc_id", text: str =
 def containment(texts: DataFrame, passages: DataFrame, k: int = 5, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """(key, item, n_common, max_run): distinct k-word shingles of a passage in a text, and the longest copied run.
 
-    An equi-join on shingles; positions on one diagonal that follow each other make a run (gaps and islands).
+    An equi-join on shingles, broadcast while the passages have at most SMALL of them; positions on one diagonal that
+    follow each other make a run (gaps and islands).
     """
     places = lambda df, i: df.select(i, F.posexplode(T.shingles(T.word_run(F.col(text)), k)).alias(f"{i}_pos", "gram"))
-    hits = places(texts, key).join(places(passages, item), "gram")
+    hits = places(texts, key).join(broadcast_if(places(passages, item), SMALL), "gram")
     diagonal = hits.withColumn("d", F.col(f"{key}_pos") - F.col(f"{item}_pos"))
     over = W.partitionBy(key, item, "d").orderBy(f"{item}_pos")
     islands = diagonal.withColumn("g", F.col(f"{item}_pos") - F.row_number().over(over))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import sys
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .._staging import broadcast_if
 from ..functions import text as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
@@ -19,15 +21,22 @@ def similar_sets(sets: DataFrame, words: str = "words", num: int = 1, den: int =
     Candidates share a word of their prefixes, rare words first (by their exact frequency), so frequent words bring
     nobody together; each pair is verified once.
     """
-    sets = sets.select(F.array_sort(F.array_distinct(words)).alias("s")).where(F.size("s") > 0).distinct().withColumn("id", F.array_join("s", " "))
+    sets = sets.select(F.array_sort(F.array_distinct(words)).alias("s")).where(F.size("s") > 0).distinct()
     freq = sets.select(F.explode("s").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ranked = sets.select("id", F.explode("s").alias("w")).join(freq, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
+    ranked = sets.select("s", F.explode("s").alias("w")).join(freq, "w").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
     size = F.size("r")
-    prefix = ranked.select("id", size.alias("z"), F.explode(F.slice("r", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1)).alias("x")).select("id", "z", "x.w")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    pairs = a.join(b, F.expr(f"a.w = b.w AND a.id < b.id AND {den} * least(a.z, b.z) >= {num} * greatest(a.z, b.z)")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    both = pairs.withColumn("common", F.size(F.array_intersect(F.split("a", " "), F.split("b", " "))).cast("long")).withColumn("united", F.size(F.array_union(F.split("a", " "), F.split("b", " "))).cast("long"))
-    return both.where(F.col("common") * den >= F.col("united") * num)
+    # a rarer word first; sizes that may match fall into the same band of a factor den / num or the next one
+    band = F.floor(F.log(size) / math.log(den / num)).cast("int")
+    prefix = ranked.select("s", size.alias("z"), band.alias("band"), F.posexplode(F.slice("r", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1)).alias("pos", "x"))
+    prefix = prefix.select("s", "z", "band", "pos", F.xxhash64("x.w").alias("h"))
+    a, b = prefix.alias("a"), prefix.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("b")
+    near = f"a.h = b.h AND a.band = b.band AND a.s < b.s AND {den} * least(a.z, b.z) >= {num} * greatest(a.z, b.z)"
+    # what is left of both behind the shared word must be enough
+    enough = f"least(a.z - a.pos, b.z - b.pos) * {den + num} >= {num} * (a.z + b.z)"
+    pairs = a.join(b, F.expr(f"{near} AND {enough}")).select(F.col("a.s").alias("x"), F.col("b.s").alias("y")).distinct()
+    both = pairs.withColumn("common", F.size(F.array_intersect("x", "y")).cast("long")).withColumn("united", F.size(F.array_union("x", "y")).cast("long"))
+    name = lambda c: F.array_join(c, " ")
+    return both.where(F.col("common") * den >= F.col("united") * num).select(F.least(name("x"), name("y")).alias("a"), F.greatest(name("x"), name("y")).alias("b"), "common", "united")
 
 
 def greedy_pairs(left: DataFrame, right: DataFrame, group: str, order: str, words: str, floor: float = 0.5) -> DataFrame:
@@ -62,12 +71,12 @@ def greedy_pairs(left: DataFrame, right: DataFrame, group: str, order: str, word
 def uncovered(texts: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text", least: int = 5, percent: int = 34) -> DataFrame:
     """(key, n_sentences, n_uncovered): sentences that give a reason, and those whose words the vocabulary hardly has.
 
-    Words are looked up by a join on the distinct words of such sentences, not by carrying the vocabulary along.
+    Words are looked up by a join on the distinct words of such sentences, broadcast while the vocabulary is small.
     """
     rows = texts.select(key, F.posexplode(T.sentences(F.col(text))).alias("no", "s")).where(F.col("s").rlike(T.whole_word(T.WHY)))
     rows = rows.withColumn("w", T.alpha_words(F.col("s"))).where(F.size("w") >= least)
     known = vocabulary.select(F.explode(T.alpha_words(F.col(text))).alias("x")).distinct()
-    hits = rows.select(key, "no", F.size("w").alias("z"), F.explode("w").alias("x")).join(known.withColumn("hit", F.lit(1)), "x", "left")
+    hits = rows.select(key, "no", F.size("w").alias("z"), F.explode("w").alias("x")).join(broadcast_if(known, 100_000).withColumn("hit", F.lit(1)), "x", "left")
     each = hits.groupBy(key, "no", "z").agg(F.count("hit").alias("n"))
     return each.groupBy(key).agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if(F.col("n") * 100 < F.col("z") * percent).alias("n_uncovered"))
 

@@ -78,9 +78,12 @@ def page_match_jaccard(spark, sf_dir):
 
 
 def sentence_flags(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
-    flag = lambda p: F.count_if(F.col("s").rlike(T.whole_word(p)))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), *[flag(p).alias(n) for n, p in (("n_why", T.WHY), ("n_hedge", T.HEDGE), ("n_strong", T.STRONG), ("n_caveat", T.CAVEAT), ("n_negated", T.NEGATION))])
+    """Sentences of each document by what they hold; counted in the row, so only numbers are grouped."""
+    kinds = (("n_why", T.WHY), ("n_hedge", T.HEDGE), ("n_strong", T.STRONG), ("n_caveat", T.CAVEAT), ("n_negated", T.NEGATION))
+    count = lambda s, p: F.size(F.filter(s, lambda x: x.rlike(T.whole_word(p)))).cast("long")
+    flags = T.let(T.sentences(F.col("text")), lambda s: F.struct(F.size(s).cast("long").alias("n_sentences"), *[count(s, p).alias(n) for n, p in kinds]))
+    rows = _docs(spark, sf_dir).select("doc_id", flags.alias("f")).where("f.n_sentences > 0")
+    return rows.groupBy("doc_id").agg(*[F.sum(f"f.{n}").alias(n) for n in ("n_sentences", *[n for n, _ in kinds])])
 
 
 def up_to_dropped(spark, sf_dir):
