@@ -280,6 +280,84 @@ def test_rules_by_own_labels_only(spark):
     assert kept == {i for i in range(4000) if i % 4} | set(range(4000, 4100)) | {5000, 5001, 5003}
 
 
+def test_rules_on_planted_labels(spark):
+    """What the query keeps, with certified cutoffs, against a plain version: exact binomial sums, cutoffs by search."""
+    import math
+    import random
+    from fractions import Fraction
+
+    from verisift.llm import rules as m
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+
+    def text(good):
+        w = [rng.choice(words) for _ in range(rng.randint(12, 30))]
+        for j in range(len(w)):
+            if rng.random() < (0.01 if good else 0.3):
+                w[j] += rng.choice(["###", "$$", "&*"])
+            elif rng.random() < (0.02 if good else 0.2):
+                w[j] = w[j].upper()
+        return " ".join(w)
+
+    rows, labels = [], []
+    for i in range(9000):
+        lang, good = ("en", "de", "xx", None)[0 if i % 10 < 5 else 1 if i % 10 < 8 else 2 if i % 10 < 9 else 3], int(rng.random() < 0.7)
+        rows.append((i, text(good), lang))
+        if lang != "xx" or i % 30 == 8:
+            labels.append((i, good, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    risk, error, min_good, gain, steps = 0.02, 0.05, 250, 5.0, 6
+
+    def shares(t):
+        w = W.findall(t)
+        n, chars = max(len(w), 1), max(sum(map(len, w)), 1)
+        lines = [x for x in t.split("\n") if x.strip()]
+        upper, bars = sum(c.isascii() and c.isupper() for c in t), t.count("|")
+        grams = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+        cover = {x for j in range(len(w) - 4) if grams[tuple(w[j : j + 5])] > 1 for x in range(j, j + 5)}
+        raw = (sum(c in "#*$%&|<>" for c in t) / chars, (len(lines) - len(set(lines))) / max(len(lines), 1), len(cover) / n, upper / chars, bars / n, chars / n / 100, 1 / (len(w) + 1))
+        return [min(math.floor(x * 1000), 1000) for x in raw], len(w) < 10 or 100 * len(cover) > 20 * len(w)
+
+    measured = {i: (*shares(t), lang) for i, t, lang in rows}
+    parts = {}
+    for i, good, _ in labels:
+        share, _, lang = measured[i]
+        if lang is not None:
+            held = zlib.crc32(f"h{i}".encode()) % 2 == 0
+            parts.setdefault(lang, {(h, g): [] for h in (True, False) for g in (0, 1)})[held, good].append(share)
+    cuts, strata = {}, [s for s, p in parts.items() if len(p[True, 1]) >= min_good]
+    for s in strata:
+        tune, good = parts[s], parts[s][True, 1]
+        path = []
+        for rule in range(7):
+            steps_of, last = [], 1000
+            for rate in [0.0, *[risk / 2 ** (steps - 2 - j) for j in range(steps - 1)]]:
+                for cut in range(1001):
+                    hit = sum(x[rule] > cut for x in tune[False, 0]) / max(len(tune[False, 0]), 1)
+                    miss = sum(x[rule] > cut for x in tune[False, 1]) / max(len(tune[False, 1]), 1)
+                    if hit >= 0.005 and hit >= gain * miss and miss <= rate:
+                        last = min(last, cut)
+                        break
+                steps_of.append(last)
+            path.append(steps_of)
+        passed = None
+        for j in range(steps):
+            lost = sum(any(x[r] > path[r][j] for r in range(7)) for x in good)
+            p = Fraction(risk)
+            if sum(math.comb(len(good), i) * p**i * (1 - p) ** (len(good) - i) for i in range(lost + 1)) > error / len(strata):
+                break
+            passed = [c[j] for c in path]
+        cuts[s] = passed
+    assert strata == ["en", "de"] and all(cuts[s] for s in strata)
+    want = {i: not failed and all(x <= c for x, c in zip(share, cuts.get(lang) or [1000] * 7)) for i, (share, failed, lang) in measured.items()}
+    got = m.measures(docs)
+    got = {r.doc_id: r.k for r in got.select("doc_id", (~m.base_failed() & m.judge(got, lab)).alias("k")).collect()}
+    assert got == want and 1500 < sum(not k for k in want.values()) < 2600
+    assert {r.doc_id for r in m.passing(docs, lab).select("doc_id").collect()} == {i for i, k in want.items() if k}
+
+
 def test_fingerprints(spark, docs, rows, no_docs):
     from verisift.llm.syncmers import K, S, edited_pairs, with_anchors
 
@@ -313,6 +391,56 @@ def test_fingerprints(spark, docs, rows, no_docs):
     assert places == row.p and len(row.a) == len(places)
 
 
+def test_fingerprints_by_hand(docs, rows):
+    """Fingerprints and likenesses of all documents against a plain version with the library's hash."""
+    import xxhash
+
+    from verisift.llm.syncmers import _ALONE, K, S, edited_pairs
+
+    spread = {"\\x{20000}-\\x{3FFFF}": "\U00020000-\U0003FFFF"}
+    alone = _ALONE
+    for a, b in spread.items():
+        alone = alone.replace(a, b)
+    token = re.compile(rf"[^\x20\x09-\x0D{alone}]{{1,24}}|[{alone}]")
+
+    def of_text(w):
+        return xxhash.xxh64_intdigest(w.encode(), 42)
+
+    def of_many(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed)
+        return seed
+
+    signed = lambda x: x - 2**64 if x >> 63 else x
+
+    def anchors(text):
+        tokens = [of_text(w) for w in token.findall(text)]
+        if not tokens:
+            return []
+        tokens = [of_text(f"<{i}") for i in range(K - 1)] + tokens + [of_text(f">{i}") for i in range(K - 1)]
+        inner = [of_many(tokens[i : i + S]) for i in range(len(tokens) - S + 1)]
+        out = []
+        for p in range(len(tokens) - K + 1):
+            window = [signed(x) for x in inner[p : p + K - S + 1]]
+            if min(window) in (window[0], window[-1]):
+                out.append(of_many([inner[p + j] for j in range(0, K - S + 1, S)]) >> 32)
+        return out
+
+    like = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
+    key = lambda t: signed(of_text(t))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), key(r[1] or "")))
+    want = []
+    for r, nxt in zip(order, order[1:] + order[:1]):
+        t, u = r[1] or "", nxt[1] or ""
+        e = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
+        a, b, c = anchors(t), anchors(e), anchors(u)
+        hexes = lambda x: "".join(f"{v:08x}" for v in x)
+        want.append((r[0], len(t), sha(e), hexes(a), hexes(b), like(a, b), like(a, c)))
+    got = [tuple(g) for g in edited_pairs(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_fingerprint_ranges(spark):
     from verisift.llm.syncmers import edited_pairs
 

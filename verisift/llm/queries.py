@@ -103,6 +103,28 @@ k AS (SELECT u.source, u.h, CASE WHEN u.upto <= b.left_over THEN b.left_over > 0
 SELECT d.doc_id, d.size, b.source_size, b.target, (d.size * (b.copies + k.more::INT))::BIGINT AS taken, (b.copies + k.more::INT)::INT AS copies
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h""",
+    "op3_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS (SELECT r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+h AS (SELECT r, i FROM g JOIN f USING (g) WHERE least < doc_id),
+p AS (SELECT r, doc_id, j, w[j] AS word FROM (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+c AS (SELECT p.*, coalesce(max(h.i) OVER (PARTITION BY p.r ORDER BY p.j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) > 0 AS gone FROM p LEFT JOIN h ON h.r = p.r AND h.i = p.j),
+k AS (SELECT r, count(*) FILTER (WHERE gone) AS n, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.r = k.r""",
+    "op8_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))
+                             WHEN len(w) > 0 THEN [md5('all ' || array_to_string(w, ' '))] ELSE []::VARCHAR[] END AS s FROM d),
+k AS (SELECT r, doc_id, len(s) AS n, md5(array_to_string(list_sort(s), '')) AS c FROM s),
+x AS (SELECT c, any_value(n) AS n, any_value(r) AS r FROM k WHERE n > 0 GROUP BY c),
+t AS (SELECT x.c, x.n, unnest(s.s) AS t FROM x JOIN s USING (r)),
+l AS (SELECT a.c AS a, b.c AS b FROM t a JOIN t b ON a.t = b.t AND a.c <> b.c AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY a.c, b.c
+      HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+z(a, b) AS (SELECT c, c FROM x UNION SELECT z.a, l.b FROM z JOIN l ON z.b = l.a),
+m AS (SELECT z.a AS c, min(k.doc_id) AS component_id FROM z JOIN k ON k.c = z.b AND k.n > 0 GROUP BY z.a)
+SELECT k.doc_id, k.n::BIGINT AS n_shingles, CASE WHEN k.n > 0 THEN m.component_id ELSE k.doc_id END AS component_id FROM k LEFT JOIN m ON k.c = m.c""",
     "op6_line_dedup": r"""
 WITH l AS (
   SELECT d.doc_id, d.rowid AS r, i, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
