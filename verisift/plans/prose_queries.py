@@ -154,7 +154,7 @@ UNION ALL SELECT p_size, x, i + 1, CASE WHEN len(list_filter(k, lambda w: abs(w
 SELECT p_size, len(list_distinct(x))::BIGINT AS n_before, len(k)::BIGINT AS n_after FROM r WHERE i = len(x)""",
         "spelled_forms": r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z0-9_])([A-Za-z0-9]{1,4}\s+over\s+[A-Za-z0-9]{1,4})(?:$|[^A-Za-z0-9_])', 1)) AS x FROM documents),
 b AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z0-9_])([A-Za-z]{1,4}\s+sub\s+[A-Za-z0-9]{1,4})(?:$|[^A-Za-z0-9_])', 1)) AS x FROM documents),
-c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-Za-z](?:[-\s][A-Za-z]){1,7})(?:$|[^A-Za-z])', 1)) AS x FROM documents)
+c AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^A-Za-z])', '\1\1', 'g'), '(?:^|[^A-Za-z])([A-Za-z](?:(?:--|\s\s)[A-Za-z]){1,7})(?:$|[^A-Za-z])', 1)) AS x FROM documents)
 SELECT DISTINCT doc_id, form FROM (SELECT doc_id, regexp_replace(x, '(?i)\s+over\s+', '/') AS form FROM a UNION ALL SELECT doc_id, regexp_replace(x, '(?i)\s+sub\s+', '_') FROM b UNION ALL SELECT doc_id, regexp_replace(x, '[-\s]', '', 'g') FROM c)""",
         "overfull_pages": """WITH e AS (SELECT user_id, event_id, event_type, value, max(CASE WHEN event_type = 'view' THEN event_id // 100 END) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
 SELECT user_id, (coalesce(p, 0) + 1)::INT AS page, max(value) AS pt FROM e WHERE event_type = 'error' AND value > 6.0 GROUP BY ALL""",
