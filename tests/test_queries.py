@@ -10,10 +10,10 @@ duckdb = pytest.importorskip("duckdb")
 if not os.path.isdir(SF):
     pytest.skip("no test tables", allow_module_level=True)
 
-from verisift.plans import prose_queries, table_queries, text_queries  # noqa: E402
+from verisift.plans import prose_queries, report_queries, table_queries, text_queries  # noqa: E402
 
-SQL = {**text_queries.SQL, **table_queries.sql(text_queries.SQL), **prose_queries.sql()}
-QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES, **prose_queries.QUERIES}
+SQL = {**text_queries.SQL, **table_queries.sql(text_queries.SQL), **prose_queries.sql(), **report_queries.sql()}
+QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES, **prose_queries.QUERIES, **report_queries.QUERIES}
 
 
 @pytest.fixture(scope="module")
