@@ -1,9 +1,10 @@
 """Substring dedup with a log-structured index of window fingerprints.
 
-A window is k consecutive words; its fingerprint is the BLAKE2b digest (128 bits) of the words' bytes: the first half is
-the merge key, the second verifies. The index is a list of immutable runs in the shared folder. A run holds, for each
-fingerprint, the smallest document id, dealt into buckets by the key and sorted in them, as a bucketed table, so that
-runs are merge-joined with a batch and with each other without shuffling them again. A batch is joined with all runs,
+A window is k consecutive words; its fingerprint is the BLAKE2b digest (128 bits) of the words' bytes: two halves, by
+both of which runs are dealt, sorted and merged, so that equal fingerprints stand for equal words. The index is a list of
+immutable runs in the shared folder. A run holds, for each fingerprint, the smallest document id, dealt into buckets by
+the fingerprint and sorted in them, as a bucketed table, so that runs are merge-joined with a batch and with each other
+without shuffling them again. A batch is joined with all runs,
 then becomes a run itself; `compact` merges `fanout` runs of one level into one of the next. A table is taken in
 `batches` ranges of ascending id, more than `fanout`, so that its windows meet compacted and fresh runs.
 
@@ -44,11 +45,16 @@ class WindowIndex:
     def _write(self, rows: DataFrame, level: int) -> None:
         """Rows (g1, g2, least), united by fingerprint, each bucket in one task."""
         name = f"verisift_run_{uuid.uuid4().hex}"
-        rows = rows.groupBy("g1", "g2").agg(F.min("least").alias("least")).repartition(self.buckets, "g1")
+        rows = self._dealt(rows.groupBy("g1", "g2").agg(F.min("least").alias("least")))
         path = new_path(self.spark, "run")
-        rows.write.bucketBy(self.buckets, "g1").sortBy("g1").format("parquet").option("path", path).saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "g1", "g2").sortBy("g1", "g2").format("parquet").option("path", path).saveAsTable(name)
         self.runs.append((level, name, path))
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows grouped by fingerprint as the buckets are; shuffles of as many partitions do that already."""
+        same = int(self.spark.conf.get("spark.sql.shuffle.partitions")) == self.buckets
+        return rows if same else rows.repartition(self.buckets, "g1", "g2")
+
     def history(self, runs: list | None = None) -> DataFrame | None:
         """All runs; a fingerprint may be in several. Read as files: Spark 4.1 takes a union of bucketed tables for
         bucketed and would leave out the shuffle that an aggregate over it needs."""
@@ -61,16 +67,16 @@ class WindowIndex:
     def probe(self, windows: DataFrame) -> DataFrame:
         """`windows` (i, g1, g2, ...) with `least`: the smallest id of the runs and of the batch itself.
 
-        The batch's own least ids are combined in each task before they are dealt as the runs' buckets are; those merge
-        joins are on g1, and g2 verifies. The last join may have a window that very many documents share on one side;
-        adaptive execution splits it.
+        The batch's own least ids are combined in each task before they are dealt as the runs' buckets are, for merge joins
+        on the whole fingerprint. The last join may have a window that very many documents share on one side; adaptive
+        execution splits it.
         """
         own = windows.groupBy("g1", "g2").agg(F.min("i").alias("least"))
         if self.runs:
-            own = own.repartition(self.buckets, "g1")
+            own = self._dealt(own)
         for _, name, _ in self.runs:
-            run = self.spark.table(name).select(F.col("g1").alias("r1"), F.col("g2").alias("r2"), F.col("least").alias("old"))
-            own = own.join(run, (F.col("g1") == F.col("r1")) & F.expr("(g2 ^ r2) = 0"), "left").select("g1", "g2", F.least("least", "old").alias("least"))
+            run = self.spark.table(name).withColumnRenamed("least", "old")
+            own = own.join(run, ["g1", "g2"], "left").select("g1", "g2", F.least("least", "old").alias("least"))
         return windows.join(own, ["g1", "g2"])
 
     def repeats(self, windows: DataFrame) -> DataFrame:
@@ -265,7 +271,7 @@ def _found(source: DataFrame, k: int, batches: int, filter_keys: int, index: Win
     for j, cut in reversed(list(enumerate(cuts))):
         number = F.when(F.col("i") <= cut, j).otherwise(number)
     windows = window_rows(source, k) if index else _windows(source, rows, sequences, k, filter_keys)
-    windows = staged(windows.withColumn("batch", number), "windows")
+    windows = staged(windows.withColumn("batch", number.cast("int")), "windows", "batch")
     runs, found = index or WindowIndex(spark), None
     try:
         for j in range(len(cuts) + 1):
