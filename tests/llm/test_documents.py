@@ -52,6 +52,7 @@ def test_mix(docs, rows, no_docs):
         assert abs(taken[s] - target[s]) <= max(x for x, r in zip(sizes(rows), rows) if r[3] == s) + unsure
     again = mix(docs.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+    assert sorted(map(str, got)) == sorted(map(str, mix(docs, few_sources=0).collect()))  # the way beyond a broadcast
     kept = mix(docs, keep=True)
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(g.doc_id for g in got for _ in range(g.copies))
 
@@ -453,6 +454,23 @@ def test_fingerprint_ranges(spark):
         assert got[a].edited_sha256 == sha(t[: len(t) - n] + (f"text{b} " * 3)[:n]), (a, b)
 
 
+def test_fingerprints_of_one_id(spark):
+    """Ids that hold most rows are cut into parts, and each row still has its own next one."""
+    from verisift.llm.syncmers import with_next
+
+    import pyspark.sql.functions as F
+    from pyspark.sql import Window
+
+    rows = [(7 if i % 3 else i, f"text {i} of some") for i in range(9000)] + [(None, f"null {i}") for i in range(50)]
+    got = with_next(spark.createDataFrame(rows, "doc_id long, t string"), per_range=64)
+    order = Window.partitionBy("bucket", "part").orderBy("guest", F.desc_nulls_last("doc_id"), "h")
+    after = {r.t: r.after for r in got.withColumn("after", F.lead("t").over(order)).where("NOT guest").collect()}
+    own = got.where("NOT guest").select("doc_id", "t", "h").collect()
+    want = [r.t for r in sorted(own, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))]
+    assert all(after[a] == b for a, b in zip(want, want[1:] + want[:1]))
+    assert got.groupBy("bucket", "part").count().agg(F.max("count")).first()[0] < 900
+
+
 def test_pieces(spark, docs, rows, no_docs):
     from verisift.llm.pieces import Codec, decode, digests, encode, vocabulary
 

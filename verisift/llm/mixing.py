@@ -8,14 +8,16 @@ Documents are never sorted; a filter on the hash gives the mix, and a larger bud
 The boundary document is taken if that brings the source nearer to its target. Documents with equal ids have equal
 hashes and are taken together. A null source is a source of its own, last in order; a null text has size 0; a null id
 hashes as the empty string. An empty table gives an empty mix. Summaries have a row for each source, no matter how
-many documents it has.
+many documents it has; they are put in order of their names and ratios in one task, three numbers a source. Very long
+texts count whole, rows that repeat each by themselves; reruns agree. With `keep`, columns keep their names whatever these
+are; else only the named ones are read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ._shared import WORD, staged
+from ._shared import WORD, join_hot, staged
 
 BITS = 10  # of the hash, for each histogram
 LEVELS = 6
@@ -77,7 +79,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", "copies", F.col("low").alias("below"))
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, share: float = 1.0, keep: bool = False) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, share: float = 1.0, keep: bool = False, few_sources: int = FEW_SOURCES) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes) and copies; with `keep` the input's columns, each
     row as often as the mix takes it. Weights repeat over the sources in code point order, null last."""
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
@@ -91,11 +93,18 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     p = plan.alias("p")
     decided = p.join(cut, F.expr("p.source <=> c.source")).select("p.source", "p.source_size", "p.target", "c.copies", "c.below")
     n, chars = plan.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("source")), F.lit(0))).first()
-    decided = (F.broadcast(decided) if n <= FEW_SOURCES and chars <= FEW_CHARS else decided).alias("q")  # else texts are joined by source
-    copies = F.col("q.copies") + (F.col("r.h") < F.col("q.below")).cast("int")
+    few = n <= few_sources and chars <= FEW_CHARS
+    key = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))
+
+    def with_plan(rows: DataFrame) -> DataFrame:
+        """Rows (source, h, ...) with their source's plan and `copies`; beyond a broadcast, hot sources are not dealt by key."""
+        if few:
+            out = rows.alias("r").join(F.broadcast(decided).alias("q"), F.expr("r.source <=> q.source")).select("r.*", "q.source_size", "q.target", "q.copies", "q.below")
+        else:
+            out = join_hot(rows.withColumn("k", key), decided.withColumn("k", key).drop("source"), "k").drop("k")
+        return out.withColumn("copies", F.col("copies") + (F.col("h") < F.col("below")).cast("int"))
+
     if keep:
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("source"), hash60(F.col(f"`{doc_id}`")).alias("h")).alias("r")
-        rows = rows.join(decided, F.expr("r.source <=> q.source")).select("r.row", copies.alias("copies"))
-        return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
-    rows = sized.alias("r")
-    return rows.join(decided, F.expr("r.source <=> q.source")).select("r.doc_id", "r.size", "q.source_size", "q.target", (F.col("r.size") * copies).alias("taken"), copies.alias("copies"))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("source"), hash60(F.col(f"`{doc_id}`")).alias("h"))
+        return with_plan(rows).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return with_plan(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

@@ -7,11 +7,15 @@ nor removes it, and the order and place of anchors can be matched position by po
 anchors' 32-bit hashes, in order, as eight hexadecimal digits each.
 
 A null text is an empty one; an empty text, or one of white space only, has the empty fingerprint. Equal texts have
-equal fingerprints. Two empty fingerprints are wholly alike (1), an empty and another not at all (0).
+equal fingerprints. Two empty fingerprints are wholly alike (1), an empty and another not at all (0). Very long texts are
+fingerprinted whole; rows that repeat follow each other; an empty table gives an empty result. Only the named columns are
+read, so others cannot clash.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 K, S = 8, 2
@@ -79,46 +83,55 @@ def aligned(a: str, a_places: str, b: str, b_places: str) -> Column:
 CELLS = 1000  # quantile cells of the ids; cells are cut evenly from there
 
 
-def _ranges(docs: DataFrame, per_range: int, max_ranges: int) -> tuple[Column, Column]:
-    """(range of a known id, range of a null id by `h`): numbers that grow in the order wanted."""
+def _ranges(docs: DataFrame, per_range: int, max_ranges: int) -> tuple[Column, Column, Column]:
+    """(range of a known id, range of a null id by `h`, part of a range by `h`): numbers that grow in the order wanted.
+
+    Only ids that hold more than a cell's share of the rows, so fewer than CELLS, have ranges of more than one part.
+    """
     n, known, low, high = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
     per_range = max(per_range, n // max_ranges)
     bits = min(40, ((n - known) // per_range).bit_length())
     of_null = F.shiftright("h", 64 - bits) + ((1 << (bits - 1)) + 1) if bits else F.lit(1)
     wanted = known // per_range
     if wanted < 2:
-        return F.lit(0), of_null
+        return F.lit(0), of_null, F.lit(0)
     cells = min(CELLS, wanted)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], 10 * CELLS)).first()[0]
-    edges = [low - 1, *[c for c in sorted(set(cuts)) if c < high], high]
+    often = {c: k for c, k in Counter(cuts).items() if k > 1}  # an id between two cuts has at least a cell of its own
+    edges = sorted({low - 1, high, *[c for c in cuts if c < high], *[c - 1 for c in often if c - 1 >= low]})
+    part = F.lit(0).cast("long")
+    for c, k in often.items():
+        parts = min(40, ((k + 1) * wanted // cells).bit_length())
+        part = F.when(F.col("doc_id") == c, F.shiftright("h", 64 - parts)).otherwise(part) if parts else part
     steps, m = (len(edges) - 1).bit_length() + 1, -(-wanted // (len(edges) - 1))
     array = "array(" + ", ".join(f"{e}L" if e > -(2**63) else "bigint(-9223372036854775807)" for e in edges) + ")"
     # binary search for the cell (edges[x], edges[x + 1]] that holds the id, then an even share of that cell
     find = f"aggregate(sequence(1, {steps}), struct(0 AS lo, {len(edges) - 1} AS hi, {array} AS e), (s, _) -> IF(s.hi - s.lo <= 1, s, IF(s.e[(s.lo + s.hi) div 2] < doc_id, named_struct('lo', int((s.lo + s.hi) div 2), 'hi', s.hi, 'e', s.e), named_struct('lo', s.lo, 'hi', int((s.lo + s.hi) div 2), 'e', s.e))), s -> bigint(s.lo) * {m} + least({m - 1}, bigint(floor((double(doc_id) - double(s.e[s.lo]) - 1) * {m} / (double(s.e[s.hi]) - double(s.e[s.lo]))))))"
-    return -F.expr(find), of_null
+    return -F.expr(find), of_null, part
 
 
 def with_next(docs: DataFrame, per_range: int = 256, max_ranges: int = 200_000) -> DataFrame:
-    """Rows (doc_id, t) with a range (`bucket`) and `h`; sorted in it, each row's next stands right behind it.
+    """Rows (doc_id, t) with a range (`bucket`, `part`) and `h`; sorted in it, each row's next stands right behind it.
 
-    Order: doc_id descending, nulls last (by a hash of the text), and the first again after the last. Ids are cut into
-    ranges at their quantiles; a null id's range comes from the hash. Each range also gets a copy of the next range's
-    first row (`guest`), so no window spans the table; only one row a range (about max_ranges at most) is put in order at
-    once, and broadcast.
+    Order: doc_id descending, nulls last (equal ids and nulls by a hash of the text), and the first again after the last.
+    Ids are cut into ranges at their quantiles; the range of a null id, and the parts of a range that one id fills, come
+    from the hash. Each range also gets a copy of the next range's first row (`guest`), so no window spans the table; only
+    one row a range (about max_ranges at most) is put in order at once, and broadcast.
     """
     h = F.xxhash64(F.coalesce("t", F.lit("")))
-    of_known, of_null = _ranges(docs, per_range, max_ranges)
-    rows = docs.withColumn("h", h).withColumn("bucket", F.when(F.col("doc_id").isNull(), of_null).otherwise(of_known).cast("long"))
-    first = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("g"))).alias("top"))
-    over = W.orderBy("bucket")
-    heads = first.select("bucket", F.col("top.doc_id").alias("head_id"), F.bitwise_not("top.g").alias("head_h"), F.lag("bucket").over(over).alias("before"), F.max("bucket").over(W.partitionBy()).alias("final"))
-    heads = heads.select("bucket", "head_id", "head_h", F.coalesce("before", "final").alias("before"))
+    of_known, of_null, part = _ranges(docs, per_range, max_ranges)
+    rows = docs.withColumn("h", h).withColumn("bucket", F.when(F.col("doc_id").isNull(), of_null).otherwise(of_known).cast("long")).withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("long"))
+    place = F.struct("bucket", "part")
+    first = rows.groupBy("bucket", "part").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("g"))).alias("top"))
+    over = W.orderBy("bucket", "part")
+    heads = first.select("bucket", "part", F.col("top.doc_id").alias("head_id"), F.bitwise_not("top.g").alias("head_h"), F.lag(place).over(over).alias("before"), F.max(place).over(W.partitionBy()).alias("final"))
+    heads = heads.select("bucket", "part", "head_id", "head_h", F.coalesce("before", "final").alias("before"))
     a, b = rows.alias("a"), heads.alias("b")
-    joined = a.join(F.broadcast(b), F.expr("a.bucket = b.bucket AND a.doc_id <=> b.head_id AND a.h = b.head_h"), "left")
-    own = F.struct(F.col("a.bucket").alias("bucket"), F.lit(False).alias("guest"))
-    guest = F.struct(F.col("b.before").alias("bucket"), F.lit(True).alias("guest"))
+    joined = a.join(F.broadcast(b), F.expr("a.bucket = b.bucket AND a.part = b.part AND a.doc_id <=> b.head_id AND a.h = b.head_h"), "left")
+    own = F.struct(F.col("a.bucket").alias("bucket"), F.col("a.part").alias("part"), F.lit(False).alias("guest"))
+    guest = F.struct(F.col("b.before.bucket").alias("bucket"), F.col("b.before.part").alias("part"), F.lit(True).alias("guest"))
     both = joined.select("a.doc_id", "a.t", "a.h", F.explode(F.when(F.col("b.before").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("o"))
-    return both.select("doc_id", "t", "h", "o.bucket", "o.guest")
+    return both.select("doc_id", "t", "h", "o.bucket", "o.part", "o.guest")
 
 
 def edited_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -127,7 +140,7 @@ def edited_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     Edited: the last third of the code points (rounded down) gives way to as many of the next document's first.
     """
     rows = with_next(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t")))
-    order = W.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), "h")
+    order = W.partitionBy("bucket", "part").orderBy("guest", F.desc_nulls_last("doc_id"), "h")
     third = (F.length("t") / 3).cast("int")
     rows = rows.withColumn("t", F.coalesce("t", F.lit(""))).withColumn("next_t", F.lead("t").over(order))
     rows = with_anchors(rows, "t", "a").withColumn("next_a", F.lead("a").over(order)).where("NOT guest")
