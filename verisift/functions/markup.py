@@ -31,6 +31,9 @@ SUBSCRIPT = str.maketrans("0123456789+-", "₀₁₂₃₄₅₆₇₈₉₊₋"
 # --------------------------------------------------------------------------------------------------
 
 
+HELD = 0xF0000  # private signs that stand for escaped ones while a text is worked on
+
+
 def closing(text: str, at: int) -> int:
     """Behind the brace that closes the one at `at`; the end if none does. Escaped braces do not count."""
     depth, i = 0, at
@@ -143,14 +146,16 @@ def with_accents(text: str) -> str:
 
 
 def math_text(text: str) -> str:
-    """Formulas as text: Greek letters, symbols, fractions, sub- and superscripts."""
+    """Formulas as text: Greek letters, symbols, fractions, sub- and superscripts; escaped signs stand for themselves."""
+    text = re.sub(r"\\([&%_$#{}^])", lambda m: chr(HELD + ord(m[1])), text)
     for _ in range(4):
         text = re.sub(r"\\[dt]?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"\1/\2", text)
         text = re.sub(r"\\(?:text|mathrm|mathbf|mathit|operatorname|textbf|emph)\s*\{([^{}]*)\}", r"\1", text)
     text = re.sub(r"\\([A-Za-z]+)", lambda m: GREEK.get(m[1]) or SYMBOLS.get(m[1]) or " ", text)
     text = re.sub(r"\^\s*(?:\{([^{}]*)\}|(\S))", lambda m: (m[1] or m[2]).translate(SUPERSCRIPT), text)
     text = re.sub(r"_\s*(?:\{([^{}]*)\}|(\S))", lambda m: (m[1] or m[2]).translate(SUBSCRIPT), text)
-    return re.sub(r"\s+", " ", re.sub(r"[{}$]", "", text)).strip()
+    text = re.sub(r"\s+", " ", re.sub(r"[{}$]", "", text)).strip()
+    return re.sub(f"[{chr(HELD)}-{chr(HELD + 127)}]", lambda m: chr(ord(m[0]) - HELD), text)
 
 
 _WORD = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z]+(?![A-Za-z0-9_])")

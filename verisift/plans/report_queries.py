@@ -307,13 +307,68 @@ def prose_of_markup(spark, sf_dir):
     return _part(spark, sf_dir).select(M.prose(M.strip_comments(text)).alias("prose")).groupBy("prose").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _said(*parts) -> Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
+def accented_names(spark, sf_dir):
+    """Part names with accents as commands, among commands that only look like some."""
+    k = F.col("p_partkey") % 4
+    accent = F.when(k == 0, "R{\\'e}").when(k == 1, "\\c{c}a").when(k == 2, '{\\"o}').otherwise("{\\ss}")
+    return _part(spark, sf_dir).select(M.fold_accents(_said(accent, " \\cite{a} ", F.col("p_name"), " \\caption{v}")).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def expanded_macros(spark, sf_dir):
+    text = _said("\\newcommand{\\what}{", F.col("p_name"), "}\\def\\kind{", F.col("p_type"), "}See \\what{} and \\kind, not \\whatever.")
+    return _part(spark, sf_dir).select(F.trim(M.expand_macros(text)).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def resolved_toggles(spark, sf_dir):
+    toggle = F.when(F.col("p_partkey") % 3 == 0, "\\toggletrue{x}").when(F.col("p_partkey") % 3 == 1, "\\togglefalse{x}").otherwise("")
+    text = _said(toggle, "a \\iftoggle{x}{", F.col("p_name"), "}{\\iftoggle{y}{z}{", F.col("p_type"), "}} b")
+    return _part(spark, sf_dir).select("p_partkey", M.resolve_toggles(text).alias("text")).where("p_partkey % 7 = 0")
+
+
+def caption_texts(spark, sf_dir):
+    text = _said("\\begin{figure}\\caption[short]{", F.col("p_name"), " in {\\bf braces} \\}}\\end{figure} \\caption{", F.col("p_type"), "}")
+    return _part(spark, sf_dir).select(F.explode(M.caption_list(text)).alias("caption")).groupBy("caption").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dropped_commands(spark, sf_dir):
+    text = _said("a \\note{", F.col("p_name"), "{x}}[b] \\emph{", F.col("p_type"), "} % c\n d \\iffalse gone \\fi e")
+    return _part(spark, sf_dir).select(M.strip_comments(M.drop_commands(text, ["note"])).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def formula_texts(spark, sf_dir):
+    text = _said("$\\alpha_{", F.col("p_size").cast("string"), "} \\times x^2 \\le \\frac{\\mathrm{", F.col("p_type"), "}}{2}$")
+    return _part(spark, sf_dir).select(M.math_to_text(text).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tabular_cells(spark, sf_dir):
+    """Nations written as a tabular for each region, with a cell over both columns at the end, read back as cells."""
+    line = F.concat(F.replace("n_name", F.lit("_"), F.lit("\\_")), F.lit(" & \\textbf{"), F.col("n_nationkey").cast("string"), F.lit("} \\\\ \\hline"))
+    docs = _region_texts(spark, sf_dir, line, "\\begin{tabular}{l*{1}{r}}\nName & Key \\\\\n").withColumn("text", F.concat("text", F.lit(" \\multicolumn{2}{c}{all} \\\\\n\\end{tabular}")))
+    docs = docs.withColumn("text", F.regexp_replace("text", "\nend ", "\n"))
+    return I.tex_tables(docs).select("path", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "cell")
+
+
+def included_files(spark, sf_dir):
+    """Regions as files that include their nations' files, which include one another's in a circle."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    key = lambda c: F.col(c).cast("string")
+    mains = r.select(F.concat(F.lit("/x/r"), key("r_regionkey"), F.lit(".tex")).alias("path"), F.concat("r_name", F.lit(": \\input{n"), key("r_regionkey"), F.lit("} end")).alias("text"))
+    parts = n.where("n_nationkey < 5").select(F.concat(F.lit("/x/n"), key("n_nationkey"), F.lit(".tex")).alias("path"), F.concat(F.lit("["), "n_name", F.lit(" \\include{n"), ((F.col("n_nationkey") + 1) % 5).cast("string"), F.lit("}]")).alias("text"))
+    return I.with_includes(mains.unionAll(parts)).where("path LIKE '%/r%'")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         top_warnings, page_structure, accepted_denominators, ban_line_kinds, density_against_baseline, fit_feedback, table_column_widths, small_text_warnings, sibling_sizes, binding_sides, colour_keys_missing,
         labels_never_drawn, standouts_off_thesis, thesis_overlaps, focus_boxes, named_grid_cells, concepts_before_results, pasted_figures, author_affiliations, cited_figures, label_runs, shown_before_said,
         new_words_by_turn, talk_lengths, clipped_texts, line_inches, content_stems, contractions, notation_sentences, cell_indents, slide_headings, pipe_tables, image_lines, reference_years, manuscript_syntax,
-        front_matter_keys, span_lines, spec_violations, audit_of_specs, prose_of_markup,
+        front_matter_keys, span_lines, spec_violations, audit_of_specs, prose_of_markup, accented_names, expanded_macros, resolved_toggles, caption_texts, dropped_commands, formula_texts, tabular_cells,
+        included_files,
     )
 }
 
@@ -423,6 +478,16 @@ UNION ALL SELECT 'syntax', 'not a slide list' FROM (SELECT DISTINCT path FROM s
 CASE k WHEN 0 THEN length(p_name) + 1 + length(path) WHEN 1 THEN length(p_name) WHEN 2 THEN length(p_name) * 2 + length(p_type) + 8 WHEN 3 THEN 2 * length(p_name) + 2 * length(p_type) + 7 ELSE length(p_name) + 10 END AS n_screen FROM s),
 p AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY backup, n) AS place, NOT backup AND kind <> 'standout' AS numbered FROM k)
 SELECT path, n, kind, backup, n_screen::BIGINT AS n_screen, (length(p_name) + 7)::BIGINT AS n_say, place, CASE WHEN numbered THEN sum(numbered::INT) OVER (PARTITION BY path ORDER BY place) END::BIGINT AS page FROM p""",
+        "accented_names": r"SELECT text, count(*) AS n FROM (SELECT ['Ré', 'ça', 'ö', 'ß'][p_partkey % 4 + 1] || ' \cite{a} ' || p_name || ' \caption{v}' AS text FROM part) GROUP BY text",
+        "expanded_macros": r"SELECT text, count(*) AS n FROM (SELECT 'See ' || p_name || ' and ' || p_type || ', not \whatever.' AS text FROM part) GROUP BY text",
+        "resolved_toggles": r"SELECT p_partkey, ['\toggletrue{x}', '\togglefalse{x}', ''][p_partkey % 3 + 1] || 'a ' || CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_type END || ' b' AS text FROM part WHERE p_partkey % 7 = 0",
+        "caption_texts": r"SELECT caption, count(*) AS n FROM (SELECT p_name || ' in {\bf braces} \}' AS caption FROM part UNION ALL SELECT p_type FROM part) GROUP BY caption",
+        "dropped_commands": r"SELECT text, count(*) AS n FROM (SELECT 'a [b] \emph{' || p_type || '} ' || chr(10) || ' d  e' AS text FROM part) GROUP BY text",
+        "formula_texts": "SELECT text, count(*) AS n FROM (SELECT 'α' || translate(p_size::VARCHAR, '0123456789', '₀₁₂₃₄₅₆₇₈₉') || ' × x² ≤ ' || p_type || '/2' AS text FROM part) GROUP BY text",
+        "tabular_cells": """WITH n AS (SELECT n_regionkey AS path, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r, n_name, n_nationkey FROM nation),
+a AS (SELECT path, r, unnest([0, 1]) AS c, unnest([n_name, n_nationkey::VARCHAR]) AS cell FROM n)
+SELECT * FROM a UNION ALL SELECT r_regionkey, 0, c, cell FROM region, (VALUES (0, 'Name'), (1, 'Key')) v(c, cell) UNION ALL SELECT path, max(r) + 1, c, 'all' FROM a GROUP BY path, c""",
+        "included_files": """SELECT '/x/r' || r_regionkey || '.tex' AS path, r_name || ': ' || string_agg('[' || n_name || ' ', '' ORDER BY (n_nationkey - r_regionkey + 5) % 5) || ']]]]] end' AS text FROM region, nation WHERE n_nationkey < 5 GROUP BY r_regionkey, r_name""",
         "prose_of_markup": "SELECT p_name || ' ' || chr(10) || 'We see ' || p_type || ' and now .' AS prose, count(*) AS n FROM part GROUP BY ALL",
     }
 
