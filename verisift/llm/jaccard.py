@@ -254,7 +254,7 @@ def _members(docs: DataFrame, k: int, percent: int, text: str, doc_id: str, crow
     drop_staged(spark, rows.staged_path)
     few = every.where("pos < p")
     lead = few.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("lead"))
-    buckets = few.join(lead, "token").select("token", "node", "n", "pos", F.col("lead.node").alias("l_node"), F.col("lead.n").alias("l_n"), F.col("lead.pos").alias("l_pos")).where("node <> l_node")
+    buckets = join_hot(few, lead, "token").select("token", "node", "n", "pos", F.col("lead.node").alias("l_node"), F.col("lead.n").alias("l_n"), F.col("lead.pos").alias("l_pos")).where("node <> l_node")
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     parities = staged(table.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("q").alias("q")), "parities")
     first = buckets.where(_may_reach("n", "pos", "l_n", "l_pos", t)).select(*pair("node", "l_node")).distinct()
@@ -264,7 +264,8 @@ def _members(docs: DataFrame, k: int, percent: int, text: str, doc_id: str, crow
     held = buckets.join(components(links), "node", "left").withColumn("c", F.coalesce("component", "node"))
     held = staged(held.select("token", "node", "n", "pos", "c"), "unsettled")
     apart = held.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("token", "size")
-    held = staged(held.join(apart, "token").join(parities.select("node", "q"), "node"), "apart")
+    held = join_hot(held, apart, "token").where("size IS NOT NULL")
+    held = staged(held.join(parities.select("node", "q"), "node"), "apart")
     x, y = held.where(F.col("size") <= crowd).alias("x"), held.where(F.col("size") <= crowd).alias("y")
     near = "x.node < y.node AND x.c <> y.c AND " + _may_reach("x.n", "x.pos", "y.n", "y.pos", t) + " AND " + _even_enough("x", "y", t)
     rest = x.join(y, F.expr(f"x.token = y.token AND {near}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
