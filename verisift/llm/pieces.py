@@ -86,9 +86,12 @@ class Codec:
             won = self.edges[at] == keys[left]
             self.next[at[won]] = nodes[left[won]]
             left, at = left[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
-        self.weight = np.full(vocab["size"], -np.inf)
-        self.weight[ids] = -alpha * np.log(np.maximum(ids, 2))
-        self.spelled_weight = -alpha * np.log(vocab["size"]) * 4
+        self.first = np.full(0x110001, -1, np.int32)  # the root's edges
+        root = keys < U(1 << 21)
+        self.first[keys[root].astype(np.int64)] = nodes[root]
+        weight = np.full(vocab["size"], -np.inf)
+        weight[ids] = -alpha * np.log(np.maximum(ids, 2))
+        self.weights = np.append(weight, [-alpha * np.log(vocab["size"]) * 4, -np.inf])  # [-2]: a spelled character, [-1]: no piece
         self.in_longer = np.zeros(0x110001, bool)
         for _, p in vocab["pieces"]:
             if len(p) > 1:
@@ -193,9 +196,9 @@ class Codec:
     def _pieces(self, cps: np.ndarray, start: np.ndarray, room: np.ndarray, top: int) -> np.ndarray:
         """[length, place]: the id of the piece of that length from a place that has room for it; -1: none, -2: spelled."""
         ids = np.full((top + 1, len(start)), -1, np.int32)
-        live, node = np.flatnonzero(room > 0), np.zeros(int((room > 0).sum()), np.int32)
+        live = np.flatnonzero(room > 0)
         for k in range(1, top + 1):
-            node = self._step(node, cps[start[live] + (k - 1)])
+            node = self._step(node, cps[start[live] + (k - 1)]) if k > 1 else self.first[cps[start[live]]]
             on = node >= 0
             ids[k, live[on]] = self.ends[node[on]]
             if k == 1:
@@ -207,25 +210,42 @@ class Codec:
         return ids
 
     def _filtered(self, cps, us, un, size) -> tuple[np.ndarray, np.ndarray]:
-        """(ids by length and first character, cumulative chances of the last piece's length at each place)."""
+        """([length, place, segment]: ids of the pieces; [end, segment, length]: cumulative chances of the last one's)."""
         reach, top = np.arange(size), min(size, self.longest)
-        room = np.maximum(un[:, None] - reach[None, :], 0).ravel()
-        ids = self._pieces(cps, (us[:, None] + reach[None, :]).ravel(), room, top).reshape(top + 1, len(us), size)
-        weight = np.append(self.weight, [self.spelled_weight, -np.inf])  # [-2] and [-1]
-        forward = np.full((len(us), size + 1), -np.inf)
-        forward[:, 0] = 0
-        chance = np.ones((len(us), size + 1, top), np.float32)
+        room = np.maximum(un[None, :] - reach[:, None], 0).ravel()
+        ids = self._pieces(cps, (us[None, :] + reach[:, None]).ravel(), room, top).reshape(top + 1, size, len(us))
+        got = self._sums(np.exp(self.weights)[ids], un, size, top) if size <= 32 else None
+        return ids, got if got is not None else self._log_sums(self.weights[ids], size, top)
+
+    @staticmethod
+    def _sums(weight, un, size, top) -> np.ndarray | None:
+        """The chances from sums of products; None if these become too small for that."""
+        forward = np.zeros((size + 1, len(un)))
+        forward[0] = 1
+        chance = np.ones((size + 1, len(un), top), np.float32)
         for j in range(1, size + 1):
-            most = min(top, j)
-            terms = np.stack([forward[:, j - k] + weight[ids[k, :, j - k]] for k in range(1, most + 1)], axis=1)
-            peak = terms.max(axis=1)
+            k = np.arange(1, min(top, j) + 1)
+            part = np.cumsum(forward[j - k] * weight[k, j - k], axis=0)
+            forward[j] = part[-1]
+            chance[j, :, : len(k)] = (part / np.where(part[-1] > 0, part[-1], 1)).T
+        return chance if (forward[un, np.arange(len(un))] > 1e-280).all() else None
+
+    @staticmethod
+    def _log_sums(weight, size, top) -> np.ndarray:
+        """The same by logarithms, for long segments and small weights."""
+        forward = np.full((size + 1, weight.shape[2]), -np.inf)
+        forward[0] = 0
+        chance = np.ones((size + 1, weight.shape[2], top), np.float32)
+        for j in range(1, size + 1):
+            k = np.arange(1, min(top, j) + 1)
+            terms = forward[j - k] + weight[k, j - k]
+            peak = terms.max(axis=0)
             peak = np.where(np.isfinite(peak), peak, 0.0)
-            part = np.cumsum(np.exp(terms - peak[:, None]), axis=1)
-            total = part[:, -1]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                forward[:, j] = peak + np.log(total)
-                chance[:, j, :most] = np.where(total[:, None] > 0, part / total[:, None], 1.0)
-        return ids, chance
+            part = np.cumsum(np.exp(terms - peak), axis=0)
+            with np.errstate(divide="ignore"):
+                forward[j] = peak + np.log(part[-1])
+            chance[j, :, : len(k)] = (part / np.where(part[-1] > 0, part[-1], 1)).T
+        return chance
 
     def _sampled(self, ids, chance, of, s, n, seed, piece_at) -> None:
         """Draw each use's pieces from its end, by the tables of its segment."""
@@ -234,9 +254,9 @@ class Codec:
         while len(live):
             draw = (mix(seed[live] + U((step + 1) * 0xBF58476D1CE4E5B9 % 2**64)) >> U(11)).astype(np.float64) * 2.0**-53
             u, j = of[live], at[live]
-            k = (chance[u, j] <= draw[:, None]).sum(axis=1) + 1
+            k = (chance[j, u] <= draw[:, None]).sum(axis=1) + 1
             k = np.minimum(k, np.minimum(j, top))
-            piece_at[s[live] + j - k] = ids[k, u, j - k]
+            piece_at[s[live] + j - k] = ids[k, j - k, u]
             at[live] = j - k
             live = live[at[live] > 0]
             step += 1
@@ -244,7 +264,7 @@ class Codec:
     def _long(self, cps: np.ndarray, seed: int, piece_at: np.ndarray) -> None:
         """Filter and sample one segment of any length; the pieces are looked up again, block by block, on the way back."""
         n, top = len(cps), self.longest
-        weight = np.append(self.weight, [self.spelled_weight, -np.inf])
+        weight = self.weights
 
         def found(a: int, b: int):
             """(place, length, id, weight) of the pieces from places a to b."""
