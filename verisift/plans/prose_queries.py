@@ -97,9 +97,14 @@ def spelled_forms(spark, sf_dir):
 
 
 def number_words(spark, sf_dir):
-    """Documents that spelled numbers change, with the numbers they then have."""
-    rows = _docs(spark, sf_dir).select("doc_id", "text", M.digits_for_words(F.col("text")).alias("digits"))
-    return rows.where("text <> digits").select("doc_id", F.size(F.regexp_extract_all("digits", F.lit("[0-9]+"), F.lit(0))).cast("long").alias("n_numbers"))
+    """Parts with their keys below a thousand spelled out, beside words that are no numbers, read back as digits."""
+    n = (F.col("p_partkey") % 1000).cast("int")
+    word = lambda words, at: F.element_at(F.array(*[F.lit(w) for w in words]), (at + 1).cast("int"))
+    small = lambda x: F.when(x < 20, word(M.UNITS, x)).otherwise(F.concat(word(list(M.TENS), F.floor(x / 10) - 2), F.when(x % 10 > 0, F.concat(F.when(n % 2 == 0, "-").otherwise(" "), word(M.UNITS, x % 10))).otherwise("")))
+    large = F.concat(word(M.UNITS, F.floor(n / 100)), F.lit(" Hundred"), F.when(n % 100 > 0, F.concat(F.when(n % 3 == 0, " and ").otherwise(" "), small(n % 100))).otherwise(""))
+    spelled = F.when(n < 100, small(F.least(n, F.lit(99)))).otherwise(large)
+    text = F.concat(spelled, F.lit(" percent of someone, "), "p_name", F.lit(" and one two"))
+    return table(spark, sf_dir, "part").select("p_partkey", M.digits_for_words(text).alias("text"))
 
 
 def wrapped_titles(spark, sf_dir):
@@ -143,6 +148,7 @@ SELECT doc_id, count(*) AS n_caveats, count(*) FILTER (WHERE n > 0 AND n * 2 < z
         "cell_kinds": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'hit' WHEN 1 THEN 'b' WHEN 2 THEN 'safe' ELSE 'plain' END AS kind, count(*) AS n_cells, sum(length(p_name) + CASE WHEN p_partkey % 4 = 2 THEN 2 ELSE 0 END)::BIGINT AS n_chars FROM part GROUP BY 1",
         "group_rows": "SELECT p_brand, count(*) FILTER (WHERE trim(p_name) <> '' AND (p_size <= 25 OR trim(p_type) = '') AND (p_partkey % 3 = 0 OR trim(p_brand) = '')) AS n_groups, count(*) AS n_rows FROM part GROUP BY p_brand",
         "cap_heights": "SELECT p_size, count(*) AS n_parts, 100.0::DOUBLE * p_size / 200.0 AS percent FROM part GROUP BY p_size",
+        "number_words": "SELECT p_partkey, (p_partkey % 1000) || '% of someone, ' || p_name || ' and 1 2' AS text FROM part",
         "wrapped_titles": """WITH RECURSIVE t AS (SELECT page_id, list_filter(regexp_split_to_array(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+'), lambda w: w <> '') AS w FROM pages),
 r AS (SELECT page_id, w, 0 AS i, 0 AS n, 0 AS used FROM t
 UNION ALL SELECT page_id, w, i + 1, CASE WHEN used > 0 AND used + 1 + length(w[i + 1]) <= 40 THEN n ELSE n + greatest(1, (length(w[i + 1]) + 39) // 40) END,

@@ -327,6 +327,14 @@ SELECT conv_id, turn, len(list_intersect(f, p))::BIGINT AS n_shared, len(f)::BIG
         "column_alignment": " UNION ALL ".join(rf"SELECT '{c}' AS col, count(*) FILTER (WHERE regexp_matches({c}::VARCHAR, '^[-+−]?[0-9][0-9.,]*%?$')) AS n_numeric, count(*) AS n_cells, CASE WHEN count(*) FILTER (WHERE regexp_matches({c}::VARCHAR, '^[-+−]?[0-9][0-9.,]*%?$')) * 2 > count(*) THEN 'right' ELSE 'left' END AS align FROM part WHERE trim({c}::VARCHAR) <> ''" for c in ("p_name", "p_brand", "p_size", "p_type")),
         "unpivot_cells": "SELECT 'nation' AS tag, n_nationkey::VARCHAR AS row, 'n_name' AS col, n_name AS value FROM nation UNION ALL SELECT 'nation', n_nationkey::VARCHAR, 'n_regionkey', n_regionkey::VARCHAR FROM nation UNION ALL SELECT 'region', r_regionkey::VARCHAR, 'r_name', r_name FROM region",
         "sidecar_upsert": "SELECT n_regionkey::VARCHAR AS tag, n_name AS value FROM nation WHERE n_regionkey >= 2 UNION ALL SELECT r_regionkey::VARCHAR, r_name FROM region WHERE r_regionkey < 2",
+        "greedy_turns": f"""WITH RECURSIVE w AS (SELECT conv_id, turn, role, {_ALPHA.format('text')} AS w FROM conversations),
+u AS (SELECT conv_id, turn, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM w WHERE role = 'user'),
+s AS (SELECT u.conv_id, u.i, a.turn AS p, len(list_intersect(u.w, a.w))::DOUBLE / len(list_distinct(u.w || a.w)) AS score FROM u JOIN w a ON a.role = 'assistant' AND a.conv_id = u.conv_id WHERE len(list_intersect(u.w, a.w)) > 0),
+g AS (SELECT conv_id, i, list(p ORDER BY score DESC, p) FILTER (WHERE score >= 0.05) AS best FROM s GROUP BY conv_id, i),
+r(conv_id, i, used, matched) AS (SELECT DISTINCT conv_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT FROM u
+UNION ALL SELECT r.conv_id, u.i, CASE WHEN x.p IS NULL THEN used ELSE list_append(used, x.p) END, x.p FROM r JOIN u ON u.conv_id = r.conv_id AND u.i = r.i + 1
+LEFT JOIN g ON g.conv_id = u.conv_id AND g.i = u.i, LATERAL (SELECT list_filter(coalesce(g.best, []), lambda p: NOT list_contains(r.used, p))[1] AS p) x)
+SELECT u.conv_id, u.turn, r.matched FROM r JOIN u USING (conv_id, i)""",
         "fingerprint_duplicates": """SELECT print, count(*) AS n, min(vec_id) AS first_id FROM (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: lower(to_hex(least(greatest(floor((x::DOUBLE + 1.0) * 8.0), 0), 15)::BIGINT))), '') AS print FROM embeddings) GROUP BY print HAVING count(*) > 1""",
         "cell_number_parse": """SELECT (l_orderkey + l_linenumber) % 5 AS kind, (count(*) FILTER (WHERE (l_orderkey + l_linenumber) % 5 = 4)) AS n_blank,
 sum(CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 1000 WHEN 1 THEN -1 WHEN 2 THEN 1000000 WHEN 3 THEN 100 ELSE 0 END * trunc(l_quantity)) AS total FROM lineitem GROUP BY 1""",
