@@ -135,3 +135,22 @@ def test_fingerprint_duplicates(spark, tmp_path):
     spark.createDataFrame([(1, base), (2, same), (3, late)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     (got,) = fingerprint_duplicates(spark, str(tmp_path)).collect()
     assert (len(got.print), got.n, got.first_id) == (64, 2, 1)
+
+
+def test_arrived_in_every_way(spark):
+    """As it is, by its first words, without spaces, by its words where there is mathematics; empty ones everywhere."""
+    from verisift.operators.provenance import arrived
+
+    bodies = ["The valve opens at dawn and closes at noon each day", "thevalveopensatdawnandclosesatnoon", "each noon the valve, then opens", "x", "β-decay rate over time grows"]
+    fragments = {1: "valve opens", 2: "valve opens at dawn and closes at midnight", 3: "thevalve", 4: "", 5: "rate of √β decay grows", 6: "rate of beta decay grows", 7: "x", 8: "nothing like it"}
+    words = lambda t: "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()
+    want = {}
+    for i, f in fragments.items():
+        n, w = 0, words(f)
+        for b in bodies:
+            v, head = words(b), w[:6]
+            plain = any(v[j : j + len(head)] == head for j in range(len(v)))
+            n += not w or plain or "".join(head) in "".join(v) or ("√" in f and all(x in v for x in w if len(x) > 2 and x.isalpha()))
+        want[i] = n
+    got = arrived(spark.createDataFrame(list(fragments.items()), "item_id int, text string"), spark.createDataFrame([(b,) for b in bodies], "text string"))
+    assert {r.item_id: r.n_arrived for r in got.collect()} == want and want[2] == 2 and want[5] == 1 and want[6] == 0

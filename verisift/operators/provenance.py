@@ -8,6 +8,7 @@ from .._staging import broadcast_if
 from ..functions import text as T
 
 SMALL = 200_000  # rows of a side that is broadcast
+MATH = r"[\x{0300}-\x{03FF}√∑∏∫$\\^_⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻ⁿ₀₁₂₃₄₅₆₇₈₉₊₋]"  # a fixed value: signs that a page's text layer puts elsewhere
 
 
 def exploded(df: DataFrame, key: str, values: Column, name: str = "value") -> DataFrame:
@@ -134,20 +135,51 @@ def quotes(texts: DataFrame, sources: DataFrame, key: str = "doc_id", text: str
     return marked.groupBy(key).agg(F.count(F.lit(1)).alias("n_quotes"), F.count_if(F.col("hit").isNull()).alias("n_missing"))
 
 
+def _grams(chars: Column, q: int) -> Column:
+    """Hashes of the runs of q signs of an array; none where there are fewer."""
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(chars) >= q, F.transform(F.sequence(F.lit(1), F.size(chars) - (q - 1)), lambda i: F.xxhash64(F.slice(chars, i, q)))).otherwise(none)
+
+
+def _least_grams(chars: Column, q: int = 8, w: int = 9) -> Column:
+    """The least hash of each w neighbouring grams: equal runs of q + w - 1 signs have one in common."""
+    none = F.array().cast("array<bigint>")
+    return T.let(_grams(chars, q), lambda g: F.when(F.size(g) >= w, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(g) - (w - 1)), lambda i: F.array_min(F.slice(g, i, w))))).otherwise(none))
+
+
 def arrived(fragments: DataFrame, outputs: DataFrame, item: str = "item_id", text: str = "text", lead: int = 6) -> DataFrame:
-    """(item, n_arrived): in how many outputs a fragment arrives: as it is, without spaces, or by its first words.
+    """(item, n_arrived): in how many outputs a fragment arrives: its first `lead` words (all of a shorter one) as they
+    are or with all spaces left out, or, where it holds mathematics, all its words of three letters or more in any order.
+    A fragment without words arrives everywhere.
 
-    Every rule implies that the first `lead` normalised words occur, spaces aside, so candidates come from an equi-join
-    on them; fragments shorter than that must match whole.
+    Equi-joins find candidates: on runs of words; without spaces on the least hash of neighbouring runs of signs, which a
+    long enough head shares with any text around it, or on whole heads of up to 15 signs; on words for mathematics.
     """
-    words = lambda c: T.word_run(c)
-    frag = fragments.select(item, words(F.col(text)).alias("w")).withColumn("gram", F.array_join(F.slice("w", 1, lead), " "))
-    short, long = frag.where(F.size("w") < lead).where(F.size("w") > 0), frag.where(F.size("w") >= lead)
-    rows = outputs.select(F.monotonically_increasing_id().alias("o"), words(F.col(text)).alias("w"))
-    every = long.join(rows.select("o", F.explode(F.array_distinct(T.shingles(F.col("w"), lead))).alias("gram")), "gram").select(item, "o")
+    frag = fragments.select(item, F.col(text).rlike(MATH).alias("math"), T.word_run(F.col(text)).alias("w")).withColumn("gram", F.array_join(F.slice("w", 1, lead), " ")).withColumn("head", F.replace("gram", F.lit(" "), F.lit("")))
+    rows = outputs.select(F.monotonically_increasing_id().alias("o"), T.word_run(F.col(text)).alias("w"))
+    rows = rows.withColumn("flat", F.array_join("w", "")).withColumn("chars", F.filter(F.split("flat", ""), lambda c: c != ""))
+    long = frag.where(F.size("w") >= lead)
+    found = long.join(rows.select("o", F.explode(F.array_distinct(T.shingles(F.col("w"), lead))).alias("gram")), "gram").select(item, "o")
     for n in range(1, lead):
-        every = every.unionAll(short.where(F.size("w") == n).join(rows.select("o", F.explode(F.array_distinct(T.shingles(F.col("w"), n))).alias("gram")), "gram").select(item, "o"))
-    return fragments.select(item).join(every.groupBy(item).agg(F.count_distinct("o").alias("n")), item, "left").select(item, F.coalesce("n", F.lit(0)).cast("long").alias("n_arrived"))
+        found = found.unionAll(frag.where(F.size("w") == n).join(rows.select("o", F.explode(F.array_distinct(T.shingles(F.col("w"), n))).alias("gram")), "gram").select(item, "o"))
+    # spaces aside
+    first = F.filter(F.split(F.substring("head", 1, 16), ""), lambda c: c != "")
+    heads = frag.where(F.length("head") >= 16).select(item, "head", F.explode(_least_grams(first)).alias("g"))
+    found = found.unionAll(heads.join(rows.select("o", "flat", F.explode(_least_grams(F.col("chars"))).alias("g")), "g").where(F.contains("flat", F.col("head"))).select(item, "o"))
+    sizes = sorted(r.n for r in frag.where((F.length("head") > 0) & (F.length("head") < 16)).select(F.length("head").alias("n")).distinct().collect())  # 15 at most
+    for n in sizes:
+        short = frag.where(F.length("head") == n).select(item, F.xxhash64(F.filter(F.split("head", ""), lambda c: c != "")).alias("g"), "head")
+        found = found.unionAll(short.join(rows.select("o", "flat", F.explode(F.array_distinct(_grams(F.col("chars"), n))).alias("g")), "g").where(F.contains("flat", F.col("head"))).select(item, "o"))
+    # mathematics
+    words = F.array_distinct(F.filter("w", lambda x: x.rlike("^[a-z]{3,}$")))
+    math = frag.where("math").select(item, words.alias("m")).where(F.size("m") > 0).select(item, F.size("m").alias("n"), F.explode("m").alias("x"))
+    hits = math.join(rows.select("o", F.explode(F.array_distinct("w")).alias("x")), "x").groupBy(item, "o", "n").agg(F.count_distinct("x").alias("k"))
+    found = found.unionAll(hits.where("k = n").select(item, "o"))
+    counts = found.groupBy(item).agg(F.count_distinct("o").alias("n"))
+    empty = frag.where(F.size("w") == 0).select(item).distinct()
+    if empty.limit(1).count():
+        counts = counts.join(empty, item, "left_anti").unionByName(empty.withColumn("n", F.lit(outputs.count()).cast("long")))
+    return fragments.select(item).join(counts, item, "left").select(item, F.coalesce("n", F.lit(0)).cast("long").alias("n_arrived"))
 
 
 def markup_leaks(outputs: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:

@@ -260,8 +260,10 @@ p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(q, '{T.CUT
 s AS (SELECT {_QUOTE.format('text')} AS s FROM benchmark),
 l AS (SELECT * FROM p WHERE len(p) > 0 AND len(string_split(array_to_string(p, ' '), ' ')) >= 5)
 SELECT doc_id, count(*) AS n_quotes, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM s WHERE regexp_matches(s.s, array_to_string(p, '.*')))) AS n_missing FROM l GROUP BY doc_id""",
-    "fragment_arrival": f"""WITH f AS (SELECT item_id, {_RUN} AS w FROM benchmark), o AS (SELECT row_number() OVER () AS o, ' ' || list_aggregate({_RUN}, 'string_agg', ' ') || ' ' AS t FROM documents)
-SELECT f.item_id, count(DISTINCT o.o) AS n_arrived FROM f LEFT JOIN o ON len(w) > 0 AND contains(o.t, ' ' || list_aggregate(w[1:6], 'string_agg', ' ') || ' ') GROUP BY f.item_id""",
+    "fragment_arrival": f"""WITH f AS (SELECT item_id, {_RUN} AS w, regexp_matches(text, '{P.MATH}') AS math FROM benchmark), o AS (SELECT row_number() OVER () AS o, {_RUN} AS w FROM documents),
+t AS (SELECT o, w, ' ' || array_to_string(w, ' ') || ' ' AS t, array_to_string(w, '') AS flat FROM o), m AS (SELECT *, list_distinct(list_filter(w, lambda x: regexp_matches(x, '^[a-z]{{3,}}$'))) AS m FROM f)
+SELECT m.item_id, count(DISTINCT t.o) AS n_arrived FROM m LEFT JOIN t ON len(m.w) = 0 OR contains(t.t, ' ' || array_to_string(m.w[1:6], ' ') || ' ') OR contains(t.flat, array_to_string(m.w[1:6], ''))
+OR (m.math AND len(m.m) > 0 AND len(list_intersect(m.m, t.w)) = len(m.m)) GROUP BY m.item_id""",
     "page_match_jaccard": f"""WITH t AS (SELECT DISTINCT list_sort({_ALPHA.format("coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '')")}) AS s FROM documents),
 u AS (SELECT s, list_aggregate(s, 'string_agg', ' ') AS id FROM t WHERE len(s) > 0)
 SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS common, len(list_distinct(a.s || b.s)) AS united FROM u a JOIN u b ON a.id < b.id AND list_has_any(a.s, b.s)
