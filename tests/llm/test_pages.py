@@ -118,9 +118,9 @@ def test_url_model(spark):
 
 def test_url_scores_are_exact(spark):
     """Scores follow the formula over exact counts, however many grams there are, with and without a broadcast."""
+    import hashlib
     import math
     import random
-    import zlib
     from collections import defaultdict
 
     from verisift.llm import urls as m
@@ -133,7 +133,7 @@ def test_url_scores_are_exact(spark):
     codes = lambda u: [m.START] * m.ORDER + [m.SIGNS.find(c) + 1 for c in u.split("://")[1]] + [m.END]
     grams, contexts, n = defaultdict(int), defaultdict(int), [0, 0]
     for u in urls:
-        if ".net/" not in u and zlib.crc32(u.encode()) % 5:
+        if ".net/" not in u and int(hashlib.md5(u.encode()).hexdigest()[:8], 16) % 5:
             c, side = codes(u), int("com/de/" in u)
             for i in range(m.ORDER, len(c)):
                 n[side] += 1
@@ -153,7 +153,7 @@ def test_url_scores_are_exact(spark):
     # the threshold: of all cells' lower ends that with the best balanced accuracy on the held-out URLs that rules decide
     given = {u: "block" if "com/de/" in u else "allow" for u in urls if ".net/" not in u}
     cell = lambda u: math.floor((max(min(got[0][u], m.SPAN), -m.SPAN) + m.SPAN) / (2 * m.SPAN) * m.BINS)
-    held = [(cell(u), v) for u, v in given.items() if zlib.crc32(u.encode()) % 5 == 0]
+    held = [(cell(u), v) for u, v in given.items() if int(hashlib.md5(u.encode()).hexdigest()[:8], 16) % 5 == 0]
     n_allow = sum(v == "allow" for _, v in held)
     quality = lambda cut: sum(x >= cut and v == "allow" for x, v in held) / n_allow + sum(x < cut and v == "block" for x, v in held) / (len(held) - n_allow)
     cut = max(sorted({x for x, _ in held}), key=lambda x: (round(quality(x), 12), -x)) / m.BINS * 2 * m.SPAN - m.SPAN

@@ -10,7 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Workers need no copy of this package on their path: its functions travel with the plan.
 cloudpickle.register_pickle_by_value(sys.modules["verisift.llm"])
@@ -19,6 +19,11 @@ cloudpickle.register_pickle_by_value(sys.modules["verisift.llm"])
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def part_of(key: Column, n: int) -> Column:
+    """A number below n from the MD5 of a key's text (null: empty): the same in any engine."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % n
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all machines share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

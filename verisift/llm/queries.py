@@ -73,13 +73,82 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge
 
-    return judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+    return judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op3_substring_dedup, op4_sentencepiece, op5_fingerprints, op6_line_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_quality_rules, op10_url_filters)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _url_sql() -> str:
+    """op10: rules, then the models order by order and the threshold."""
+    from . import urls as m
+
+    rules = sorted(m.RULES, key=lambda r: (-len(r[0] + r[1]), r))
+    case = lambda at: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{(h + p, v)[at]}'" for h, p, v in rules) + " END"
+    gram = " + ".join(f"p[i + {m.ORDER - j + 1}]::BIGINT * {m.BASE**j}" for j in range(m.ORDER + 1))
+    parts = []
+    for k in range(m.ORDER - 1, -1, -1):
+        parts.append(f"n{k} AS (SELECT x % {m.BASE ** (k + 1)} AS x, sum(a) AS a, sum(r) AS r FROM n{k + 1} GROUP BY 1)")
+    parts.append("e AS (SELECT (sum(a) + sum(r))::DOUBLE / (2 * sum(a)) AS e_a, (sum(a) + sum(r))::DOUBLE / (2 * sum(r)) AS e_r FROM n0)")
+    for k in range(m.ORDER + 1):
+        below = f"JOIN q{k - 1} AS b ON b.x = n.x % {m.BASE**k}" if k else f"JOIN (SELECT {1 / m.BASE!r}::DOUBLE AS a, {1 / m.BASE!r}::DOUBLE AS r) AS b ON true"
+        parts.append(f"""q{k} AS (SELECT n.x, (n.a * e_a + b.a) / (c.a * e_a + 1.0::DOUBLE) AS a, (n.r * e_r + b.r) / (c.r * e_r + 1.0::DOUBLE) AS r
+FROM n{k} AS n JOIN (SELECT x // {m.BASE} AS c, sum(a) AS a, sum(r) AS r FROM n{k} GROUP BY 1) AS c ON c.c = n.x // {m.BASE} {below}, e)""")
+    return f"""
+WITH s AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
+  translate(coalesce(regexp_replace(url, '^[^:/?#]*://', ''), ''), '{_UPPER}', '{_LOWER}') AS plain, ('0x' || substr(md5(coalesce(url, '')), 1, 8))::BIGINT % 5 = 0 AS held FROM pages),
+h AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+g AS (SELECT *, {case(0)} AS rule, {case(1)} AS given FROM h),
+u AS (SELECT plain, list_append(list_transform(list_filter(string_split(plain, ''), lambda c: c <> ''), lambda c: instr('{m.SIGNS}', c)), {m.END}) AS codes,
+  coalesce(sum((NOT held AND given = 'allow')::INT), 0) AS a, coalesce(sum((NOT held AND given = 'block')::INT), 0) AS r FROM g GROUP BY plain),
+t AS (SELECT plain, a, r, len(codes) AS n, {gram} AS x FROM (SELECT plain, a, r, codes, p, unnest(range(0, len(codes))) AS i FROM (SELECT *, list_concat({[m.START] * m.ORDER}, codes) AS p FROM u))),
+n{m.ORDER} AS (SELECT x, sum(a) AS a, sum(r) AS r FROM t GROUP BY x),
+{", ".join(parts)},
+z AS (SELECT t.plain, sum(round((ln(q.a) - ln(q.r)) * {m.UNIT!r}::DOUBLE)::BIGINT)::DOUBLE / {m.UNIT!r}::DOUBLE / any_value(n) AS score FROM t JOIN q{m.ORDER} AS q USING (x) GROUP BY t.plain),
+j AS (SELECT g.*, score, floor((greatest(least(score, {m.SPAN}::DOUBLE), -{m.SPAN}::DOUBLE) + {m.SPAN}) / {2 * m.SPAN} * {m.BINS})::INT AS cell FROM g JOIN z USING (plain)),
+c AS (SELECT cell, count(*) FILTER (WHERE given = 'allow') AS a, count(*) FILTER (WHERE given = 'block') AS r FROM j WHERE held AND given IS NOT NULL GROUP BY cell),
+b AS (SELECT cell, (sum(a) OVER () - coalesce(sum(a) OVER w, 0))::DOUBLE / sum(a) OVER () + coalesce(sum(r) OVER w, 0)::DOUBLE / sum(r) OVER () AS quality FROM c WINDOW w AS (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT (SELECT cell FROM b ORDER BY quality DESC, cell LIMIT 1)::DOUBLE / {m.BINS} * 2 * {m.SPAN} - {m.SPAN} AS cut)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score FROM j, k"""
+
+
+def _rules_sql(risk: float = 0.02, error: float = 0.05, min_good: int = 250, gain: float = 5.0, steps: int = 6) -> str:
+    """op9: measures, cutoffs by the tuning half, steps certified by the holdout with exact binomial sums."""
+    from . import rules as m
+
+    n, chars = "greatest(n_words, 1)", "greatest(word_chars, 1)"
+    shares = [f"n_symbols::DOUBLE / {chars}", "n_dup_lines::DOUBLE / greatest(n_lines, 1)", f"n_repeat_words::DOUBLE / {n}", f"n_upper::DOUBLE / {chars}", f"n_bars::DOUBLE / {n}", f"word_chars::DOUBLE / {n} / 100", "1.0::DOUBLE / (n_words + 1)"]
+    bins = ", ".join(f"least(floor({x} * {m.GRID}), {m.GRID})::INT" for x in shares)
+    allowed = [0.0, *[risk / 2 ** (steps - 2 - j) for j in range(steps - 1)]]
+    return rf"""
+WITH d AS (SELECT doc_id, lang, row_number() OVER () AS d, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS (SELECT d, i, md5(array_to_string(w[i : i + 4], ' ')) AS g FROM (SELECT d, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 5)),
+c AS (SELECT d, count(DISTINCT i + o) AS n FROM (SELECT d, i FROM g JOIN (SELECT d, g FROM g GROUP BY d, g HAVING count(*) > 1) USING (d, g)), (SELECT unnest(range(0, 5)) AS o) GROUP BY d),
+l AS (SELECT d, count(*) AS n, count(DISTINCT x) AS u FROM (SELECT d, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ 	-
+]') GROUP BY d),
+m AS (SELECT d.d, doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(l.n - l.u, 0)::BIGINT AS n_dup_lines, coalesce(l.n, 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[|]')) AS n_bars
+  FROM d LEFT JOIN l USING (d) LEFT JOIN c USING (d)),
+r AS (SELECT *, [{bins}] AS bins, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+a AS (SELECT r.d, lang, bins, good, ('0x' || substr(md5('h' || doc_id), 1, 8))::BIGINT % 2 = 0 AS holdout FROM r JOIN (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE lang IS NOT NULL),
+s AS (SELECT lang, count(*) AS n FROM a WHERE holdout AND good = 1 GROUP BY lang HAVING count(*) >= {min_good}),
+b AS (SELECT lang, good, unnest(range(1, {len(m.RULES) + 1})) AS rule, unnest(bins) AS bin FROM a JOIN s USING (lang) WHERE NOT holdout),
+k AS (SELECT b.lang, b.rule, cut, count(*) FILTER (WHERE good = 0 AND bin > cut)::DOUBLE / greatest(count(*) FILTER (WHERE good = 0), 1) AS hit, count(*) FILTER (WHERE good = 1 AND bin > cut)::DOUBLE / greatest(count(*) FILTER (WHERE good = 1), 1) AS miss
+  FROM b, (SELECT DISTINCT lang, rule, unnest([0, bin]) AS cut FROM b) AS x WHERE b.lang = x.lang AND b.rule = x.rule GROUP BY b.lang, b.rule, cut),
+p AS (SELECT lang, rule, j, min(least({m.GRID}, coalesce(cut, {m.GRID}))) OVER (PARTITION BY lang, rule ORDER BY j) AS cut FROM (
+  SELECT q.lang, q.rule, q.j, min(k.cut) AS cut FROM (SELECT DISTINCT lang, rule, unnest(range(0, {steps})) AS j, unnest({allowed}) AS rate FROM b) AS q
+  LEFT JOIN k ON k.lang = q.lang AND k.rule = q.rule AND hit >= 0.005 AND hit >= {gain} * miss AND miss <= rate GROUP BY ALL)),
+f AS (SELECT p.lang, p.j, count(DISTINCT a.d) FILTER (WHERE a.bins[p.rule] > p.cut) AS lost FROM p JOIN a ON a.lang = p.lang AND a.holdout AND a.good = 1 GROUP BY p.lang, p.j),
+v AS (SELECT f.lang, j, (SELECT sum(exp(lgamma(s.n + 1) - lgamma(i + 1) - lgamma(s.n - i + 1) + i * ln({risk}) + (s.n - i) * ln(1 - {risk}))) FROM (SELECT unnest(range(0, lost + 1)) AS i)) <= {error} / (SELECT count(*) FROM s) AS ok FROM f JOIN s USING (lang)),
+y AS (SELECT lang, max(j) AS j FROM (SELECT lang, j, bool_and(ok) OVER (PARTITION BY lang ORDER BY j) AS ok FROM v) WHERE ok GROUP BY lang),
+z AS (SELECT p.lang, list(cut ORDER BY rule) AS cuts FROM p JOIN y USING (lang, j) GROUP BY p.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (z.cuts IS NULL OR {" AND ".join(f"bins[{i}] <= z.cuts[{i}]" for i in range(1, len(m.RULES) + 1))}) AS kept FROM r LEFT JOIN z USING (lang)"""
+
+
 SQL = {
     "op1_mix_sources": rf"""
 WITH d AS (
@@ -134,4 +203,6 @@ hot AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTI
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hot.key IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE hot.key IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN hot ON l.key = hot.key GROUP BY doc_id, r""",
+    "op9_quality_rules": _rules_sql(),
+    "op10_url_filters": _url_sql(),
 }

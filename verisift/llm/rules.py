@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import bloom_has, bloom_of, filter_bits, staged
+from ._shared import bloom_has, bloom_of, filter_bits, part_of, staged
 from ._words import U, Words, chunks
 
 RULES = ("symbols", "dup_lines", "repeats", "upper", "bars", "long_words", "short")
@@ -233,7 +233,7 @@ def judge(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratu
     the rows with labels at least."""
     lab = _labelled(labels).select(F.col("doc_id").alias("l_id"), "good")
     rows = measured.select(F.col(f"`{doc_id}`").alias("m_id"), F.col(f"`{stratum}`").cast("string").alias("stratum"), *_rule_columns())
-    rows = rows.join(lab, F.col("m_id") == F.col("l_id")).select("stratum", "good", (F.crc32(F.concat(F.lit("h"), F.col("m_id").cast("string"))) % 2 == 0).alias("holdout"), *RULES)
+    rows = rows.join(lab, F.col("m_id") == F.col("l_id")).select("stratum", "good", (part_of(F.concat(F.lit("h"), F.col("m_id").cast("string")), 2) == 0).alias("holdout"), *RULES)
     found = cutoffs(staged(rows, "labelled"), **how)  # few columns of labelled rows: texts are read once for them
     table = [x for s, cut in found.items() if cut for x in (F.lit(s), F.array(*[F.lit(cut.get(r, GRID)) for r in RULES]))]
     if not table:
