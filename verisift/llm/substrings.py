@@ -26,6 +26,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from ._shared import bloom_has, bloom_of, drop_staged, filter_bits, join_hot, new_path, staged
@@ -234,15 +235,17 @@ def _cut(rows: DataFrame, k: int, digest: bool) -> DataFrame:
 
 
 def _with_sequence(docs: DataFrame, wanted=None, bits: int = 0) -> DataFrame:
-    """Rows (t, i, ...) with x; with a Bloom filter only those whose x may be in it."""
+    """Rows (t, i, ...) with x; with a Bloom filter only those whose id may be in it (a null one as -1)."""
 
     def run(batches):
         for batch in batches:
+            if wanted is not None:
+                ids = pa.compute.fill_null(batch.column(1), -1).to_numpy().view(np.uint64)
+                batch = batch.filter(pa.array(bloom_has(wanted.value, ids, bits, 3)))
             x = []
             for _, data, offsets in chunks(batch.column(0)):
                 x += [_short(s) for s in _sequences(Words(data, offsets))]
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.int64())], names=[*batch.schema.names, "x"])
-            yield out if wanted is None else out.filter(pa.array(bloom_has(wanted.value, np.array(x, np.int64).view(np.uint64), bits, 3)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.int64())], names=[*batch.schema.names, "x"])
 
     return docs.mapInArrow(run, docs.withColumn("x", F.lit(0).cast("long")).schema)
 
@@ -301,7 +304,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str
     source = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"), F.col(f"`{doc_id}`").cast("long").alias("i"))
     whole, starts = _found(source, k, batches, filter_keys, index)
     bits = filter_bits(starts.count())
-    wanted = spark.sparkContext.broadcast(bloom_of(starts, "x", bits, 3))
+    wanted = spark.sparkContext.broadcast(bloom_of(starts.select(F.coalesce("i", F.lit(-1).cast("long")).alias("i")), "i", bits, 3))
     texts = _with_sequence(source, wanted, bits).alias("t").join(starts.alias("s"), F.expr("t.i <=> s.i AND t.x = s.x")).select("t.t", "t.i", "s.starts", "t.x")
     cut = _cut(texts, k, True).dropDuplicates(["i", "x"]).alias("c")
     out = whole.alias("w").join(cut, F.expr("w.i <=> c.i AND w.x = c.x"), "left")
