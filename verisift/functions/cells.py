@@ -204,3 +204,23 @@ def heading(title: Column, lead: Column, values: Column, gap: str = "vs") -> Col
 def uncountable(text: Column) -> Column:
     """There are signs, but neither words nor syllables to count."""
     return (F.regexp_replace(text, r"\s", "") != "") & ~text.rlike("[A-Za-z0-9가-힣぀-ヿ一-鿿]")
+
+
+def omitted(text: Column) -> Column:
+    """A list of values to leave out: parted by semicolons, or else by commas, but a comma between digits that can part
+    thousands stays."""
+    parts = lambda sign: F.filter(F.transform(F.split(text, sign), lambda x: F.trim(x)), lambda x: x != "")
+
+    def join(out: Column, part: Column) -> Column:
+        last = F.element_at(out, -1)
+        goes_on = (F.size(out) > 0) & F.trim(part).rlike("^[0-9]{3}$") & F.trim(last).rlike("^[0-9]{1,3}(?:,[0-9]{3})*$")
+        return F.when(goes_on, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(last, F.lit(","), part)))).otherwise(F.concat(out, F.array(part)))
+
+    joined = F.aggregate(F.split(text, ","), F.array().cast("array<string>"), join)
+    return F.when(F.contains(text, F.lit(";")), parts(";")).otherwise(F.filter(F.transform(joined, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def font_family(name: Column) -> Column:
+    """A font's family: no subset prefix (ABCDEF+), no style behind a hyphen or comma, no trailing weight."""
+    plain = F.regexp_replace(F.regexp_replace(name, r"^[A-Z]{6}\+", ""), r"[-,].*$", "")
+    return F.regexp_replace(plain, r"(?:PS)?(?:MT)?$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import cells as C, markup as M, text as T
-from ..operators import claims as K, report as V, sequence as Q, talks as A
+from ..operators import claims as K, layout as L, report as V, sequence as Q, talks as A
 from ..sources import manuscripts as I, specs as D
 from ..sources.tables import table
 
@@ -361,6 +361,107 @@ def included_files(spark, sf_dir):
     return I.with_includes(mains.unionAll(parts)).where("path LIKE '%/r%'")
 
 
+# ---- layout --------------------------------------------------------------------------------------
+
+
+def _boxes(spark, sf_dir) -> DataFrame:
+    """Suppliers as boxes of pages."""
+    s = table(spark, sf_dir, "supplier")
+    x, y = (F.col("s_suppkey") * 37 % 400).cast("double"), (F.col("s_suppkey") * 53 % 300).cast("double")
+    return s.select((F.col("s_suppkey") % 10).alias("page"), F.col("s_suppkey").alias("box"), x.alias("x0"), y.alias("y0"), (x + 20 + F.col("s_nationkey") * 3).alias("x1"), (y + 15 + F.col("s_nationkey")).alias("y1"))
+
+
+def crossed_boxes(spark, sf_dir):
+    """Boxes that straight arrows between points given by parts run through."""
+    k = F.col("p_partkey")
+    paths = _part(spark, sf_dir).where("p_partkey < 300").select((k % 10).alias("page"), k.alias("path"), (k * 11 % 400).cast("double").alias("x0"), (k * 29 % 300).cast("double").alias("y0"), (k * 71 % 400).cast("double").alias("x1"), (k * 13 % 300).cast("double").alias("y1"))
+    return L.crossed_boxes(paths, _boxes(spark, sf_dir), steps=16)
+
+
+def boxes_on_canvas(spark, sf_dir):
+    moved = _boxes(spark, sf_dir).select("page", "box", *[(F.col(c) - d).alias(c) for c, d in (("x0", 100), ("x1", 100), ("y0", 60), ("y1", 60))])
+    return L.on_canvas(moved, F.lit(240.0), F.lit(180.0)).groupBy("page").agg(F.count(F.lit(1)).alias("n_boxes"), F.min("box").alias("first"))
+
+
+def callout_rows(spark, sf_dir):
+    """Callouts by number and by name at the nations of a region."""
+    n = table(spark, sf_dir, "nation")
+    pos = F.floor(F.col("n_nationkey") / 5).cast("long")
+    labels = n.select(F.col("n_regionkey").alias("chart"), pos.alias("pos"), F.concat(F.lit(" "), F.lower("n_name")).alias("label"))
+    targets = n.select(F.col("n_regionkey").alias("chart"), F.when(F.col("n_nationkey") % 3 == 0, (F.col("n_nationkey") % 7).cast("string")).when(F.col("n_nationkey") % 3 == 1, F.concat("n_name", F.lit(" "))).otherwise("none").alias("target"))
+    return L.callouts(targets, labels)
+
+
+def referenced_tables(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    tables = p.where("p_partkey % 3 = 0").select((F.col("p_partkey") % 200).alias("slide"), F.when(F.col("p_size") % 3 == 0, F.lit(None).cast("string")).when(F.col("p_size") % 3 == 1, "left").otherwise("right").alias("pane"), F.col("p_partkey").alias("tbl"))
+    references = p.where("p_partkey < 400").select((F.col("p_partkey") % 200).alias("slide"), _pick(F.col("p_size"), "self", "left", "right").alias("ref")).distinct()
+    one = tables.groupBy("slide", "pane").agg(F.min("tbl").alias("tbl"))
+    return L.table_of(references, one)
+
+
+def backup_only_values(spark, sf_dir):
+    """Documents whose decimals are all in backup slides (odd pages) of their source's talk only."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", T.decimals(F.col("text")).alias("values"))
+    slides = d.where("doc_id % 5 > 0").select("source", (F.col("doc_id") % 2 == 1).alias("backup"), "values")
+    return L.backup_only(d.where("doc_id % 5 = 0"), slides, "source", "doc_id")
+
+
+def long_topic_hits(spark, sf_dir):
+    """Words of documents' first lines that the benchmark has, or has as a part or the whole of a long word."""
+    words = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select("doc_id", F.explode(T.alpha_words(T.first_line(F.col("text")))).alias("word"))
+    known = table(spark, sf_dir, "benchmark").select(F.explode(T.alpha_words(F.col("text"))).alias("word"))
+    return L.topic_hits(words, known, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"))
+
+
+def wide_tokens(spark, sf_dir):
+    texts = _part(spark, sf_dir).select(F.col("p_partkey").alias("box"), F.concat_ws(" ", "p_name", "p_brand").alias("text"), (F.col("p_size") % 20 + 8).cast("double").alias("pt"), (F.col("p_size") / 40.0).alias("inches"))
+    return L.wide_tokens(texts)
+
+
+def table_heights(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
+    return L.table_heights(line.select(F.col("l_orderkey").alias("tbl"), F.col("l_linenumber").alias("r"), F.ceil(F.col("l_quantity") / 10).alias("lines"), (F.col("l_suppkey") % 3 + 10).alias("line_height")))
+
+
+def marked_cells(spark, sf_dir):
+    cell = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("**"), "p_name", F.lit("**"))).when(F.col("p_size") < 25, F.lit("–")).otherwise(F.col("p_name"))
+    return L.marked_share(_part(spark, sf_dir).select(F.col("p_brand").alias("tbl"), (F.col("p_partkey") % 6).alias("r"), cell.alias("cell")))
+
+
+def _pixels(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("image"), F.col("l_orderkey").alias("x"), F.col("l_linenumber").alias("y"), F.floor(F.col("l_quantity") * F.col("l_linenumber") / 3).cast("long").alias("colour"))
+
+
+def paper_colours(spark, sf_dir):
+    return L.paper_colour(_pixels(spark, sf_dir), F.col("colour") < 6)
+
+
+def photographs(spark, sf_dir):
+    out = L.photographs(_pixels(spark, sf_dir), least=100)
+    return out.select("image", "n_colours", F.round("top_share", 9).alias("top_share"), "photo")
+
+
+def ink_runs(spark, sf_dir):
+    rows = _pixels(spark, sf_dir).groupBy("image", "x").agg(F.max("colour").alias("colour"))
+    return L.ink_runs(rows, F.col("colour") > 60, ["image"], "x").select("image", F.round("share", 9).alias("share"), "n_runs")
+
+
+def figure_room(spark, sf_dir):
+    slides = _part(spark, sf_dir).select("p_partkey", (F.col("p_size") % 3).alias("leads"), (F.col("p_size") % 7).alias("lines"), F.when(F.col("p_size") > 30, 1).alias("foot"))
+    return slides.select("p_partkey", F.round(L.room(slides, 4.5, {"leads": 0.4, "lines": 0.75, "foot": 0.3}), 6).alias("inches"))
+
+
+def omitted_values(spark, sf_dir):
+    text = F.concat(_pick(F.col("p_partkey"), "14,562,0.99", "0.99,108,109", "1,234,567, 8", "a;b,c; ", ",,7"), F.when(F.col("p_size") % 2 == 0, ",x").otherwise(""))
+    return _part(spark, sf_dir).select(F.array_join(C.omitted(text), "|").alias("parts")).groupBy("parts").agg(F.count(F.lit(1)).alias("n"))
+
+
+def font_families(spark, sf_dir):
+    name = F.concat(_pick(F.col("p_partkey"), "ABCDEF+", "", "Abcdef+"), _pick(F.col("p_size"), "Arial-Bold", "TimesNewRomanPS-ItalicMT", "Calibri,Bold", "ArialMT"))
+    return _part(spark, sf_dir).select(C.font_family(name).alias("family")).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -368,7 +469,8 @@ QUERIES = {
         labels_never_drawn, standouts_off_thesis, thesis_overlaps, focus_boxes, named_grid_cells, concepts_before_results, pasted_figures, author_affiliations, cited_figures, label_runs, shown_before_said,
         new_words_by_turn, talk_lengths, clipped_texts, line_inches, content_stems, contractions, notation_sentences, cell_indents, slide_headings, pipe_tables, image_lines, reference_years, manuscript_syntax,
         front_matter_keys, span_lines, spec_violations, audit_of_specs, prose_of_markup, accented_names, expanded_macros, resolved_toggles, caption_texts, dropped_commands, formula_texts, tabular_cells,
-        included_files,
+        included_files, crossed_boxes, boxes_on_canvas, callout_rows, referenced_tables, backup_only_values, long_topic_hits, wide_tokens, table_heights, marked_cells, paper_colours, photographs, ink_runs, figure_room,
+        omitted_values, font_families,
     )
 }
 
@@ -391,6 +493,8 @@ _STRUCTURE = f"""(SELECT deck, m, n_runs, numbers FROM (SELECT deck, m, count(*)
 _SLIDES = "(SELECT p_size AS talk, p_partkey AS n, p_partkey % 4 = 0 AS standout, p_name || ' is' || CASE WHEN p_partkey % 3 > 0 THEN ' ' || lower(p_type) ELSE '' END AS text FROM part)"
 _THESIS = f"(SELECT talk, max_by(text, n) AS thesis FROM {_SLIDES} WHERE standout GROUP BY talk)"
 _TALK_CELLS = "(SELECT l_orderkey % 300 AS talk, l_linenumber AS n, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_quantity > l_linenumber * 6 END AS number, l_quantity FROM lineitem)"
+_BOXES = """(SELECT s_suppkey % 10 AS page, s_suppkey AS box, (s_suppkey * 37 % 400)::DOUBLE AS x0, (s_suppkey * 53 % 300)::DOUBLE AS y0, (s_suppkey * 37 % 400)::DOUBLE + 20 + s_nationkey * 3 AS x1, (s_suppkey * 53 % 300)::DOUBLE + 15 + s_nationkey AS y1 FROM supplier)"""
+_PIXELS = "(SELECT l_suppkey % 20 AS image, l_orderkey AS x, l_linenumber AS y, floor(l_quantity * l_linenumber / 3)::BIGINT AS colour FROM lineitem)"
 _CELL = "repeat(' ', (p_partkey % 6)::INT) || CASE WHEN p_partkey % 7 = 0 THEN '…' WHEN p_partkey % 11 = 0 THEN '**...**' ELSE p_name END"
 _SPEC = """(SELECT p_brand AS path, p_partkey, p_partkey % 5 AS k, p_name, p_type, p_size > 40 AS backup, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part WHERE p_partkey < 400)"""
 
@@ -488,6 +592,34 @@ SELECT path, n, kind, backup, n_screen::BIGINT AS n_screen, (length(p_name) + 7)
 a AS (SELECT path, r, unnest([0, 1]) AS c, unnest([n_name, n_nationkey::VARCHAR]) AS cell FROM n)
 SELECT * FROM a UNION ALL SELECT r_regionkey, 0, c, cell FROM region, (VALUES (0, 'Name'), (1, 'Key')) v(c, cell) UNION ALL SELECT path, max(r) + 1, c, 'all' FROM a GROUP BY path, c""",
         "included_files": """SELECT '/x/r' || r_regionkey || '.tex' AS path, r_name || ': ' || string_agg('[' || n_name || ' ', '' ORDER BY (n_nationkey - r_regionkey + 5) % 5) || ']]]]] end' AS text FROM region, nation WHERE n_nationkey < 5 GROUP BY r_regionkey, r_name""",
+        "crossed_boxes": f"""WITH b AS {_BOXES}, p AS (SELECT p_partkey % 10 AS page, p_partkey AS path, (p_partkey * 11 % 400)::DOUBLE AS x0, (p_partkey * 29 % 300)::DOUBLE AS y0, (p_partkey * 71 % 400)::DOUBLE AS x1, (p_partkey * 13 % 300)::DOUBLE AS y1 FROM part WHERE p_partkey < 300),
+k AS (SELECT page, path, x0 + (x1 - x0) * (k / 16.0::DOUBLE) AS x, y0 + (y1 - y0) * (k / 16.0::DOUBLE) AS y FROM (SELECT *, unnest(range(1, 16)) AS k FROM p))
+SELECT k.page, path, box, count(*) AS n FROM k JOIN b ON k.page = b.page AND x > b.x0 AND x < b.x1 AND y > b.y0 AND y < b.y1 GROUP BY ALL""",
+        "boxes_on_canvas": f"SELECT page, count(*) AS n_boxes, min(box) AS first FROM {_BOXES} WHERE x1 > 100 AND y1 > 60 AND x0 < 340 AND y0 < 240 GROUP BY page",
+        "callout_rows": """SELECT n_regionkey AS chart, CASE n_nationkey % 3 WHEN 0 THEN (n_nationkey % 7)::VARCHAR WHEN 1 THEN n_name || ' ' ELSE 'none' END AS target,
+CASE n_nationkey % 3 WHEN 0 THEN CASE WHEN n_nationkey % 7 <= 4 THEN n_nationkey % 7 END WHEN 1 THEN n_nationkey // 5 END::BIGINT AS pos FROM nation""",
+        "referenced_tables": f"""WITH t AS (SELECT p_partkey % 200 AS slide, ['self', 'left', 'right'][p_size % 3 + 1] AS pane, min(p_partkey) AS tbl FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL),
+r AS (SELECT DISTINCT p_partkey % 200 AS slide, {_pick_sql('p_size', 'self', 'left', 'right')} AS ref FROM part WHERE p_partkey < 400)
+SELECT slide, ref, coalesce((SELECT tbl FROM t WHERE t.slide = r.slide AND pane = ref), CASE WHEN ref = 'self' THEN coalesce((SELECT tbl FROM t WHERE t.slide = r.slide AND pane = 'left'), (SELECT tbl FROM t WHERE t.slide = r.slide AND pane = 'right')) END) AS tbl FROM r""",
+        "backup_only_values": f"""WITH v AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(text, '{T.DECIMAL}', 1)) AS v FROM documents),
+s AS (SELECT source, v, bool_and(doc_id % 2 = 1) AS held FROM v WHERE doc_id % 5 > 0 GROUP BY source, v)
+SELECT source, doc_id FROM (SELECT v.source, doc_id, bool_and(coalesce(held, false)) AS a FROM v LEFT JOIN s ON s.source = v.source AND s.v = v.v WHERE doc_id % 5 = 0 GROUP BY ALL) WHERE a""",
+        "long_topic_hits": rf"""WITH w AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all({_FIRST}, '[A-Za-z][A-Za-z\-]{{3,}}'))) AS w FROM documents WHERE doc_id % 20 = 0), k AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z\-]{{3,}}'))) AS k FROM benchmark)
+SELECT doc_id, count(DISTINCT w) AS n_hits FROM w JOIN k ON w = k OR (length(w) >= 7 AND length(k) >= 7 AND (contains(w, k) OR contains(k, w))) GROUP BY doc_id""",
+        "wide_tokens": f"""WITH w AS (SELECT p_partkey AS box, unnest(string_split(p_name || ' ' || p_brand, ' ')) AS w, p_size % 20 + 8 AS pt, p_size / 40.0::DOUBLE AS inches FROM part), x AS (SELECT *, length(w) * pt::DOUBLE * {C.EM}::DOUBLE / 72.0::DOUBLE AS width FROM w)
+SELECT box, count(*) AS n, max_by(w, (width, w)) AS widest FROM x WHERE width > inches GROUP BY box""",
+        "table_heights": "SELECT tbl, sum(h)::BIGINT AS height FROM (SELECT l_orderkey AS tbl, l_linenumber, max(ceil(l_quantity / 10) * (l_suppkey % 3 + 10)) AS h FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL) GROUP BY tbl",
+        "marked_cells": """WITH r AS (SELECT p_brand AS tbl, p_partkey % 6 AS r, count(*) FILTER (WHERE p_partkey % 4 = 0) AS m, count(*) AS n, count(*) FILTER (WHERE p_partkey % 4 <> 0 AND p_size < 25) AS b FROM part GROUP BY ALL)
+SELECT tbl, sum(m)::BIGINT AS n_marked, sum(n)::BIGINT AS n_cells, count(*) FILTER (WHERE b * 2 > n) AS n_blank_rows FROM r GROUP BY tbl""",
+        "paper_colours": f"SELECT image, colour, n FROM (SELECT image, colour, count(*) AS n, row_number() OVER (PARTITION BY image ORDER BY count(*) DESC, colour) AS k FROM {_PIXELS} WHERE colour >= 6 GROUP BY image, colour) WHERE k = 1",
+        "photographs": f"""WITH c AS (SELECT image, colour, count(*) AS n, row_number() OVER (PARTITION BY image ORDER BY count(*) DESC, colour) AS k FROM {_PIXELS} GROUP BY image, colour),
+s AS (SELECT image, count(*) AS n_colours, sum(n) FILTER (WHERE k <= 32)::DOUBLE / sum(n) AS s FROM c GROUP BY image) SELECT image, n_colours, round(s, 9) AS top_share, s <= 0.45 AND n_colours >= 100 AS photo FROM s""",
+        "ink_runs": f"""WITH r AS (SELECT image, x, max(colour) > 60 AS dark FROM {_PIXELS} GROUP BY image, x), s AS (SELECT *, dark AND NOT coalesce(lag(dark) OVER (PARTITION BY image ORDER BY x), false) AS starts FROM r)
+SELECT image, round(count(*) FILTER (WHERE dark)::DOUBLE / count(*), 9) AS share, count(*) FILTER (WHERE starts) AS n_runs FROM s GROUP BY image""",
+        "figure_room": "SELECT p_partkey, round(greatest(0, 4.5::DOUBLE - (p_size % 3 * 0.4::DOUBLE + p_size % 7 * 0.75::DOUBLE + (p_size > 30)::INT * 0.3::DOUBLE)), 6) AS inches FROM part",
+        "omitted_values": f"""SELECT CASE p_partkey % 5 WHEN 0 THEN '14,562|0.99' WHEN 1 THEN '0.99|108,109' WHEN 2 THEN '1,234,567|8' WHEN 3 THEN 'a|b,c' ELSE '7' END
+|| CASE WHEN p_size % 2 = 1 THEN '' WHEN p_partkey % 5 = 3 THEN '|,x' ELSE '|x' END AS parts, count(*) AS n FROM part GROUP BY 1""",
+        "font_families": "SELECT CASE WHEN p_partkey % 3 = 2 THEN 'Abcdef+' ELSE '' END || ['Arial', 'TimesNewRoman', 'Calibri', 'Arial'][p_size % 4 + 1] AS family, count(*) AS n FROM part GROUP BY 1",
         "prose_of_markup": "SELECT p_name || ' ' || chr(10) || 'We see ' || p_type || ' and now .' AS prose, count(*) AS n FROM part GROUP BY ALL",
     }
 
