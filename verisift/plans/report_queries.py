@@ -401,10 +401,11 @@ def referenced_tables(spark, sf_dir):
 
 
 def backup_only_values(spark, sf_dir):
-    """Documents whose decimals are all in backup slides (odd pages) of their source's talk only."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", T.decimals(F.col("text")).alias("values"))
-    slides = d.where("doc_id % 5 > 0").select("source", (F.col("doc_id") % 2 == 1).alias("backup"), "values")
-    return L.backup_only(d.where("doc_id % 5 = 0"), slides, "source", "doc_id")
+    """Parts as sentences with their size and the next one as numbers, which other parts of the brand show on slides."""
+    p = _part(spark, sf_dir).select("p_brand", "p_partkey", "p_size")
+    sentences = p.where("p_partkey % 5 = 0").select("p_brand", "p_partkey", F.when(F.col("p_size") % 7 > 0, F.array("p_size", F.col("p_size") + 1)).otherwise(F.array().cast("array<int>")).alias("values"))
+    slides = p.where("p_partkey % 5 > 0").select("p_brand", (F.col("p_partkey") % 4 < 3).alias("backup"), F.array("p_size").alias("values"))
+    return L.backup_only(sentences, slides, "p_brand", "p_partkey")
 
 
 def long_topic_hits(spark, sf_dir):
@@ -601,9 +602,9 @@ CASE n_nationkey % 3 WHEN 0 THEN CASE WHEN n_nationkey % 7 <= 4 THEN n_nationkey
         "referenced_tables": f"""WITH t AS (SELECT p_partkey % 200 AS slide, ['self', 'left', 'right'][p_size % 3 + 1] AS pane, min(p_partkey) AS tbl FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL),
 r AS (SELECT DISTINCT p_partkey % 200 AS slide, {_pick_sql('p_size', 'self', 'left', 'right')} AS ref FROM part WHERE p_partkey < 400)
 SELECT slide, ref, coalesce((SELECT tbl FROM t WHERE t.slide = r.slide AND pane = ref), CASE WHEN ref = 'self' THEN coalesce((SELECT tbl FROM t WHERE t.slide = r.slide AND pane = 'left'), (SELECT tbl FROM t WHERE t.slide = r.slide AND pane = 'right')) END) AS tbl FROM r""",
-        "backup_only_values": f"""WITH v AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(text, '{T.DECIMAL}', 1)) AS v FROM documents),
-s AS (SELECT source, v, bool_and(doc_id % 2 = 1) AS held FROM v WHERE doc_id % 5 > 0 GROUP BY source, v)
-SELECT source, doc_id FROM (SELECT v.source, doc_id, bool_and(coalesce(held, false)) AS a FROM v LEFT JOIN s ON s.source = v.source AND s.v = v.v WHERE doc_id % 5 = 0 GROUP BY ALL) WHERE a""",
+        "backup_only_values": """WITH s AS (SELECT p_brand, p_size AS v, bool_and(p_partkey % 4 < 3) AS held FROM part WHERE p_partkey % 5 > 0 GROUP BY ALL),
+v AS (SELECT p_brand, p_partkey, unnest([p_size, p_size + 1]) AS v FROM part WHERE p_partkey % 5 = 0 AND p_size % 7 > 0)
+SELECT p_brand, p_partkey FROM v LEFT JOIN s USING (p_brand, v) GROUP BY ALL HAVING bool_and(coalesce(held, false))""",
         "long_topic_hits": rf"""WITH w AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all({_FIRST}, '[A-Za-z][A-Za-z\-]{{3,}}'))) AS w FROM documents WHERE doc_id % 20 = 0), k AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z\-]{{3,}}'))) AS k FROM benchmark)
 SELECT doc_id, count(DISTINCT w) AS n_hits FROM w JOIN k ON w = k OR (length(w) >= 7 AND length(k) >= 7 AND (contains(w, k) OR contains(k, w))) GROUP BY doc_id""",
         "wide_tokens": f"""WITH w AS (SELECT p_partkey AS box, unnest(string_split(p_name || ' ' || p_brand, ' ')) AS w, p_size % 20 + 8 AS pt, p_size / 40.0::DOUBLE AS inches FROM part), x AS (SELECT *, length(w) * pt::DOUBLE * {C.EM}::DOUBLE / 72.0::DOUBLE AS width FROM w)
