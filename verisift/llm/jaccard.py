@@ -250,7 +250,8 @@ def _members(docs: DataFrame, k: int, percent: int, text: str, doc_id: str, crow
     rows = staged(_prefix_rows(docs, text, k, t, model), "prefixes")
     shared = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     shared = staged(shared, "shared-tokens")
-    every = staged(_in_bloom(rows, "token", shared).join(shared, "token", "left_semi").dropDuplicates(["token", "node"]), "bucket-rows")
+    # what the filter lets through beyond shared tokens are buckets of one set, which bring no pair
+    every = staged(_in_bloom(rows, "token", shared).dropDuplicates(["token", "node"]), "bucket-rows")
     drop_staged(spark, rows.staged_path)
     few = every.where("pos < p")
     lead = few.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("lead"))
