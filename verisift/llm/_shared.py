@@ -101,6 +101,29 @@ def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def staged_so_far() -> int:
+    """A mark for `release`."""
+    return len(_mine)
+
+
+def _roots(df: DataFrame) -> str:
+    """The folders that a result reads, as one text."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            found.append(leaf.relation().location().rootPaths().mkString("\n"))
+    return "\n".join(found)
+
+
+def release(since: int, *results: DataFrame) -> None:
+    """Delete what was staged since a mark and these results do not read."""
+    used = "\n".join(map(_roots, results))
+    for path in _mine[since:]:
+        if path.rsplit("/", 1)[-1] not in used:
+            drop_staged(results[0].sparkSession, path)
+
+
 HOT = 2000
 
 

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import bloom_has, bloom_of, drop_staged, filter_bits, join_hot, staged
+from ._shared import bloom_has, bloom_of, drop_staged, filter_bits, join_hot, release, staged, staged_so_far
 from ._words import U, Words, chunks, mix, sliding_min
 from .components import components
 
@@ -293,11 +293,14 @@ def _per_set(rows: DataFrame, comp: DataFrame, of) -> DataFrame:
 
 def near_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """(doc_id, n_shingles, component_id): sets link when 100 * common >= percent * united."""
+    mark = staged_so_far()
     rows, comp, _ = _members(docs, k, percent, text, doc_id, **how)
     least = _per_set(rows, comp, lambda which: [F.min("i" if which == "own" else "least").alias("least")])
     out = join_hot(rows, least.select("node", F.lit(True).alias("linked"), "least"), "node")
     component = F.when(F.col("linked"), F.col("least")).otherwise(F.col("i"))
-    return out.select(F.col("i").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    out = out.select(F.col("i").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    release(mark, out)
+    return out
 
 
 def _with_node(rows: DataFrame, k: int, model) -> DataFrame:
@@ -317,6 +320,7 @@ def one_of_each(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "tex
     An id that one row has decides by itself. Only rows with a null or repeated id, some of which go, are told apart by
     their sets.
     """
+    mark = staged_so_far()
     rows, comp, model = _members(docs, k, percent, text, doc_id, **how)
     order = F.struct(F.col("i").isNull().alias("z"), "i", "node")
     first = _per_set(rows, comp, lambda which: [F.min(order if which == "own" else "first").alias("first"), (F.count(F.lit(1)) if which == "own" else F.sum("size")).alias("size")])
@@ -332,9 +336,12 @@ def one_of_each(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "tex
     out = all_rows.alias("a").join(ids.alias("b"), same, "left_anti").select("a.row").select(*columns)
     several = ids.where("several").select("i")
     if not several.limit(1).count():
+        release(mark, out)
         return out
     some = _with_node(all_rows.alias("a").join(several.alias("b"), same, "left_semi").select("a.*"), k, model)
     keys = first.select(F.col("first.i").alias("i"), F.col("first.node").alias("node")).distinct()
     chosen = some.where("node IS NOT NULL").alias("a").join(keys.alias("b"), F.expr("a.i <=> b.i AND a.node = b.node"), "left_semi")
     chosen = chosen.groupBy("i", "node").agg(F.min_by("row", F.struct("t", F.to_json("row"))).alias("row"))
-    return out.unionByName(some.where("node IS NULL").select(*columns)).unionByName(chosen.select(*columns))
+    out = out.unionByName(some.where("node IS NULL").select(*columns)).unionByName(chosen.select(*columns))
+    release(mark, out)
+    return out

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ._shared import WORD, join_hot, staged
+from ._shared import WORD, join_hot, release, staged, staged_so_far
 
 BITS = 10  # of the hash, for each histogram
 LEVELS = 6
@@ -82,6 +82,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, share: float = 1.0, keep: bool = False, few_sources: int = FEW_SOURCES) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes) and copies; with `keep` the input's columns, each
     row as often as the mix takes it. Weights repeat over the sources in code point order, null last."""
+    mark = staged_so_far()
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size"), hash60(F.col(f"`{doc_id}`")).alias("h"))
     sized = staged(sized, "mix-sizes")
@@ -106,5 +107,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
 
     if keep:
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("source"), hash60(F.col(f"`{doc_id}`")).alias("h"))
-        return with_plan(rows).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
-    return with_plan(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+        out = with_plan(rows).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    else:
+        out = with_plan(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    release(mark, out)
+    return out

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ._shared import staged
+from ._shared import release, staged, staged_so_far
 from ._words import U, Words, chunks
 
 ORDER = 5
@@ -263,7 +263,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: in
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; logarithms of base 10."""
     if order < TAIL:
         raise ValueError(f"contexts have {TAIL} bytes at least")
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, staged_so_far()
     fold = F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").alias("i"), fold.alias("held_out"))
     counts = staged(_train(rows.where("NOT held_out").select("t"), order), "counts")
@@ -297,7 +297,9 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: in
     answers = staged(answers.select("key", F.round(F.col("s") / float(np.log(10)) * UNIT).cast("long").alias("s")), "answers")
     sums = asked.join(answers, "key").groupBy("r").agg(F.sum(F.col("s") * F.col("times")).alias("more"))
     out = out.join(sums, "r", "left").withColumn("score", F.col("score") + F.coalesce(F.col("more") / UNIT, F.lit(0.0)))
-    return out.select(F.col("i").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out = out.select(F.col("i").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    release(mark, out)
+    return out
 
 
 def _unigrams(w: Words, words, logs, norm: float, all_words: bool):

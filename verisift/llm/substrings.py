@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import bloom_has, bloom_of, drop_staged, filter_bits, join_hot, new_path, staged
+from ._shared import bloom_has, bloom_of, drop_staged, filter_bits, join_hot, new_path, release, staged, staged_so_far
 from ._words import Words, chunks, sliding_min
 
 FILTER_KEYS = 20_000_000  # anchors that one broadcast filter holds well: 32 MB
@@ -300,7 +300,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str
     The table is merged into a window index in `batches` ranges of doc_id. An `index` given holds earlier tables with
     smaller ids and keeps all windows of this one.
     """
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, staged_so_far()
     source = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"), F.col(f"`{doc_id}`").cast("long").alias("i"))
     whole, starts = _found(source, k, batches, filter_keys, index)
     bits = filter_bits(starts.count())
@@ -310,12 +310,15 @@ def remove_repeats(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str
     out = whole.alias("w").join(cut, F.expr("w.i <=> c.i AND w.x = c.x"), "left")
     nothing, gone = F.unhex(F.sha2(F.lit("").cast("binary"), 256)), F.col("n_words").cast("long")
     kept = F.when(F.col("copy"), nothing).otherwise(F.coalesce("c.kept", "w.sha"))
-    return out.select(
+    out = out.select(
         F.col("w.i").alias("doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
         F.when(F.col("copy"), gone).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.lower(F.hex(kept)).alias("kept_sha256"),
     )
+    if index is None:
+        release(mark, out)
+    return out
 
 
 def deduplicated(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import part_of, staged
+from ._shared import part_of, release, staged, staged_so_far
 
 #: (host, path, verdict); a list of rules is short enough to be part of the plan.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -108,6 +108,7 @@ def scores(urls: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, keep: tuple[str, ...] = ("page_id",), broadcast: int = BROADCAST) -> DataFrame:
     """The columns in `keep`, then host, path, rule and verdict, and the models' score of each URL."""
+    mark = staged_so_far()
     host, path = split_url(F.col("u"))
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{url}`").cast("string").alias("u"))
     rows = rows.withColumn("host", host).withColumn("path", path)
@@ -121,7 +122,9 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, keep: tuple[str, ...]
     seen = scored.where(F.col("given").isNotNull() & held).groupBy(cell.alias("cell")).agg(F.sum((F.col("given") == "allow").cast("long")).alias("a"), F.sum((F.col("given") != "allow").cast("long")).alias("r")).collect()
     cut = threshold([(x.cell, x.a, x.r) for x in seen])
     verdict = F.when(F.col("score") >= cut, "allow").otherwise("block") if cut is not None else F.lit("allow")
-    return scored.select("row.*", "host", "path", "rule", F.coalesce("given", verdict).alias("verdict"), "score")
+    out = scored.select("row.*", "host", "path", "rule", F.coalesce("given", verdict).alias("verdict"), "score")
+    release(mark, out)
+    return out
 
 
 def threshold(cells: list[tuple[int, int, int]]) -> float | None:
