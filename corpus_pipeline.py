@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verisift.llm import jaccard, lines, mixing, pieces, rules
-from verisift.llm._shared import bounded_batches, staged
+from verisift.llm._shared import bounded_batches, release, staged, staged_so_far
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = staged_so_far()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), "stage")
+        release(mark, docs)  # what earlier stages left
     return STAGES[-1][1](spark, docs, sf_dir)
