@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def overlap_pairs(boxes: DataFrame, page: str = "page", cell: float = 50.0, percent: int = 25) -> DataFrame:
@@ -32,6 +32,14 @@ def contrast(a: Column, b: Column) -> Column:
 
 
 def nearest_above(captions: DataFrame, shapes: DataFrame, page: str = "page") -> DataFrame:
-    """(page, caption, top): for each caption the lowest edge of a shape above it on its page: an equi-join, one max."""
-    hits = captions.join(shapes, page, "left").where(F.col("edge").isNull() | (F.col("edge") < F.col("at")))
-    return hits.groupBy(page, "caption").agg(F.max("edge").alias("top"))
+    """(page, caption, top): for each caption the lowest edge of a shape above it on its page: one pass in order of height.
+
+    Rows (page, caption, at) and (page, edge). A caption stands before the shapes whose edge is at its own height; on a page
+    without shapes its top is null, on others captions with nothing above are left out.
+    """
+    none = F.lit(None)
+    rows = captions.select(page, "caption", F.col("at").alias("v"), F.lit(0).alias("shape"), none.cast("double").alias("edge"))
+    rows = rows.unionByName(shapes.select(page, none.cast(dict(captions.dtypes)["caption"]).alias("caption"), F.col("edge").alias("v"), F.lit(1).alias("shape"), "edge"))
+    over = W.partitionBy(page).orderBy("v", "shape").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("top", F.max("edge").over(over)).withColumn("some", F.max("shape").over(W.partitionBy(page)))
+    return rows.where("shape = 0 AND (top IS NOT NULL OR some = 0)").groupBy(page, "caption").agg(F.max("top").alias("top"))

@@ -35,19 +35,29 @@ def caveats_lost(spark, sf_dir):
     return K.caveats_lost(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id")
 
 
-def _talk(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    said = turns.groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
-    part = lambda role: K.sentence_rows(said.where(F.col("role") == role), "conv_id")
-    return part("assistant"), part("user")
+def _written(spark, sf_dir, *cases: str) -> DataFrame:
+    """(p_partkey, text): a text for each part by its key, with the part's name in it."""
+    p = table(spark, sf_dir, "part")
+    text = F.element_at(F.array(*[F.lit(c) for c in cases]), (F.col("p_partkey") % len(cases) + 1).cast("int"))
+    return p.select("p_partkey", F.replace(text, F.lit("@"), F.col("p_name")).alias("text"))
 
 
 def overclaims(spark, sf_dir):
-    return K.overclaims(*_talk(spark, sf_dir), "conv_id")
+    """Talks (parts) that say always where their papers say may; some papers say always too, some talks hedge themselves."""
+    said = _written(spark, sf_dir, *["The @ harvester always adjusts irrigation channels."] * 3, "The @ harvester perhaps always adjusts irrigation channels.", "Nothing to say. The @ harvester always adjusts irrigation channels.", "The @ harvester does not always adjust irrigation channels.")
+    paper = _written(spark, sf_dir, "Rain fell. The harvester may adjust irrigation channels slowly.", "The harvester may adjust irrigation channels. It always adjusts irrigation by the harvester.", "The harvester adjusts irrigation channels.", *["The harvester may adjust irrigation channels slowly."] * 3)
+    return K.overclaims(K.sentence_rows(said, "p_partkey"), K.sentence_rows(paper, "p_partkey"), "p_partkey")
 
 
 def dropped_modals(spark, sf_dir):
-    return K.dropped_modals(*_talk(spark, sf_dir), "conv_id")
+    """Talks (parts) that say flatly what their papers say may be; no modal: a date, a place, advice, a flat sentence beside."""
+    said = _written(spark, sf_dir, "The @ harvester adjusts irrigation channels beside orchards.")
+    paper = _written(
+        spark, sf_dir, "The harvester may adjust irrigation channels beside orchards.", "In may 2018 the harvester adjusted irrigation channels beside orchards.", "The harvester appears in irrigation channels beside orchards.",
+        "The harvester seems stable, it adjusts irrigation channels beside orchards.", "We suggest adjusting irrigation channels beside orchards with the harvester.", "The harvester may adjust irrigation channels beside orchards. The harvester adjusts irrigation channels beside orchards.",
+        "Perhaps the harvester adjusts irrigation channels beside orchards.",
+    )
+    return K.dropped_modals(K.sentence_rows(said, "p_partkey"), K.sentence_rows(paper, "p_partkey"), "p_partkey")
 
 
 def script_languages(spark, sf_dir):
@@ -148,6 +158,8 @@ SELECT doc_id, count(*) AS n_caveats, count(*) FILTER (WHERE n > 0 AND n * 2 < z
         "cell_kinds": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'hit' WHEN 1 THEN 'b' WHEN 2 THEN 'safe' ELSE 'plain' END AS kind, count(*) AS n_cells, sum(length(p_name) + CASE WHEN p_partkey % 4 = 2 THEN 2 ELSE 0 END)::BIGINT AS n_chars FROM part GROUP BY 1",
         "group_rows": "SELECT p_brand, count(*) FILTER (WHERE trim(p_name) <> '' AND (p_size <= 25 OR trim(p_type) = '') AND (p_partkey % 3 = 0 OR trim(p_brand) = '')) AS n_groups, count(*) AS n_rows FROM part GROUP BY p_brand",
         "cap_heights": "SELECT p_size, count(*) AS n_parts, 100.0::DOUBLE * p_size / 200.0 AS percent FROM part GROUP BY p_size",
+        "overclaims": """SELECT p_partkey, CASE p_partkey % 6 WHEN 4 THEN 1 ELSE 0 END::BIGINT AS unit, CASE p_partkey % 6 WHEN 0 THEN 1 ELSE 0 END::BIGINT AS no, 'always' AS strong, 'may' AS hedge FROM part WHERE p_partkey % 6 IN (0, 4)""",
+        "dropped_modals": "SELECT p_partkey, 0::BIGINT AS unit, 0::BIGINT AS no FROM part WHERE p_partkey % 7 IN (0, 6)",
         "number_words": "SELECT p_partkey, (p_partkey % 1000) || '% of someone, ' || p_name || ' and 1 2' AS text FROM part",
         "wrapped_titles": """WITH RECURSIVE t AS (SELECT page_id, list_filter(regexp_split_to_array(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+'), lambda w: w <> '') AS w FROM pages),
 r AS (SELECT page_id, w, 0 AS i, 0 AS n, 0 AS used FROM t
