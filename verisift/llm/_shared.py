@@ -106,21 +106,27 @@ def staged_so_far() -> int:
     return len(_mine)
 
 
-def _roots(df: DataFrame) -> str:
-    """The folders that a result reads, as one text."""
+def _roots(df: DataFrame) -> str | None:
+    """The folders that a result reads, as one text; None if its plan has leaves of a kind that may hide some."""
     leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), []
     for i in range(leaves.size()):
         leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() == "LogicalRelation":
-            found.append(leaf.relation().location().rootPaths().mkString("\n"))
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation":
+            if leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+                found.append(leaf.relation().location().rootPaths().mkString("\n"))
+        elif kind not in ("LocalRelation", "LogicalRDD", "OneRowRelation", "Range"):
+            return None
     return "\n".join(found)
 
 
 def release(since: int, *results: DataFrame) -> None:
     """Delete what was staged since a mark and these results do not read."""
-    used = "\n".join(map(_roots, results))
+    used = [_roots(df) for df in results]
+    if None in used:
+        return  # kept until the process ends
     for path in _mine[since:]:
-        if path.rsplit("/", 1)[-1] not in used:
+        if path.rsplit("/", 1)[-1] not in "\n".join(used):
             drop_staged(results[0].sparkSession, path)
 
 
