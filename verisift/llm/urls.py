@@ -6,7 +6,7 @@ interpolated from order 0 up to ORDER, each order with `weight` virtual observat
 that were never seen fall back by themselves. Counts are exact: a row for each (context, sign) that occurs. What the
 last ORDER + 1 signs add to the score is worked out once for each such gram that any URL has, by joins of these
 counts order by order (a gram has at most BASE neighbours of one context or suffix, so no key is hot). URLs fetch it
-by a join on their grams: broadcast up to BROADCAST grams, shuffled beyond, where adaptive execution splits hot grams.
+by a join on their grams: broadcast up to BROADCAST grams, shuffled beyond but for hot grams; so are scores by URL.
 
 The score is the difference of the two log-likelihoods divided by the length. One in five of the decided URLs is held
 out of the counts; on them the threshold with the best balanced accuracy is chosen from a histogram of fixed size.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import part_of, release, staged, staged_so_far
+from ._shared import join_hot, part_of, release, staged, staged_so_far
 
 #: (host, path, verdict); a list of rules is short enough to be part of the plan.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -100,9 +100,9 @@ def scores(urls: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     """(plain, score): the length-normalised difference of log-likelihoods of each row of `urls` (plain, codes, a, r)."""
     urls = staged(urls.withColumn("id", F.monotonically_increasing_id()), "urls")  # written, so that ids stay
     table = staged(gram_scores(urls).select("g", F.round(F.col("s") * UNIT).cast("long").alias("s")), "url-model")
-    if table.count() <= broadcast:
-        table = F.broadcast(table)
-    sums = _places(urls, "id").join(table, "g").groupBy("id").agg(F.sum("s").alias("s"))
+    places = _places(urls, "id")
+    placed = places.join(F.broadcast(table), "g") if table.count() <= broadcast else join_hot(places, table, "g")
+    sums = placed.groupBy("id").agg(F.sum("s").alias("s"))
     return staged(urls.join(sums, "id").select("plain", (F.col("s") / UNIT / F.size("codes")).alias("score")), "url-scores")
 
 
@@ -117,7 +117,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, keep: tuple[str, ...]
     held = part_of(F.col("u"), 5) == 0
     learnt = lambda v: F.sum((~held & (F.col("given") == v)).cast("long"))
     urls = rows.groupBy("plain").agg(F.coalesce(learnt("allow"), F.lit(0)).alias("a"), F.coalesce(learnt("block"), F.lit(0)).alias("r"))
-    scored = rows.join(scores(urls.withColumn("codes", _codes("plain")), broadcast), "plain")
+    scored = join_hot(rows, scores(urls.withColumn("codes", _codes("plain")), broadcast), "plain")
     cell = F.floor((F.greatest(F.least("score", F.lit(SPAN)), F.lit(-SPAN)) + SPAN) / (2 * SPAN) * BINS).cast("int")
     seen = scored.where(F.col("given").isNotNull() & held).groupBy(cell.alias("cell")).agg(F.sum((F.col("given") == "allow").cast("long")).alias("a"), F.sum((F.col("given") != "allow").cast("long")).alias("r")).collect()
     cut = threshold([(x.cell, x.a, x.r) for x in seen])
