@@ -67,7 +67,7 @@ def _forget_all() -> None:
             return
 
 
-BATCH_ROWS = 2000  # of texts at once between the JVM and Python, where the session allows more
+BATCH_ROWS = 1000  # of texts at once between the JVM and Python, where the session allows more
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

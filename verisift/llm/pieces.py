@@ -32,6 +32,7 @@ SPACE = 0x2581
 SPELLED = 0x110000  # stands for a literal U+2581
 LONG = 512  # characters of a segment from which on it is filtered by itself
 BLOCK = 1 << 14
+CHARS, CELLS = 400_000, 1_000_000  # of texts, and of the tables of their segments, that are in memory at once
 FREE = np.uint64(2**64 - 1)
 
 
@@ -92,6 +93,7 @@ class Codec:
         weight = np.full(vocab["size"], -np.inf)
         weight[ids] = -alpha * np.log(np.maximum(ids, 2))
         self.weights = np.append(weight, [-alpha * np.log(vocab["size"]) * 4, -np.inf])  # [-2]: a spelled character, [-1]: no piece
+        self.linear = np.exp(self.weights)
         self.in_longer = np.zeros(0x110001, bool)
         for _, p in vocab["pieces"]:
             if len(p) > 1:
@@ -128,11 +130,13 @@ class Codec:
         chars = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
         first = np.concatenate([[0], np.cumsum(chars)])
         joined = "".join(" " + t for t in texts if t)
-        cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
         n = len(cps)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        cps = np.where(cps == SPACE, SPELLED, np.where(cps == 32, SPACE, cps))
+        space = cps == 32
+        cps[cps == SPACE] = SPELLED
+        cps[space] = SPACE
         # segments
         space, alone = cps == SPACE, ~self.in_longer[cps]
         cut = np.ones(n, bool)
@@ -185,7 +189,7 @@ class Codec:
             order = np.argsort(of, kind="stable")
             order = order[same[order]]
             first = np.searchsorted(of[order], np.arange(len(pick) + 1))
-            some = max(1, 2_000_000 // ((size + 1) * min(size, self.longest)))  # so the tables stay small
+            some = max(1, CELLS // ((size + 1) * min(size, self.longest)))  # so the tables stay small
             for a in range(0, len(pick), some):
                 b = min(a + some, len(pick))
                 uses = order[first[a] : first[b]]
@@ -214,7 +218,7 @@ class Codec:
         reach, top = np.arange(size), min(size, self.longest)
         room = np.maximum(un[None, :] - reach[:, None], 0).ravel()
         ids = self._pieces(cps, (us[None, :] + reach[:, None]).ravel(), room, top).reshape(top + 1, size, len(us))
-        got = self._sums(np.exp(self.weights)[ids], un, size, top) if size <= 32 else None
+        got = self._sums(self.linear[ids], un, size, top) if size <= 32 else None
         return ids, got if got is not None else self._log_sums(self.weights[ids], size, top)
 
     @staticmethod
@@ -328,7 +332,7 @@ def row_seeds(keys: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(b"\x00" if k is None else b"\x01" + k.encode()) for k in text], np.uint64)
 
 
-def encoded_batches(batch: pa.RecordBatch, codec: Codec, limit: int = 1_000_000):
+def encoded_batches(batch: pa.RecordBatch, codec: Codec, limit: int = CHARS):
     """(texts, ids, offsets) of runs of a batch's rows (text, key), about `limit` characters each."""
     tidy()
     texts = ["" if t is None else t for t in batch.column(0).to_pylist()]
