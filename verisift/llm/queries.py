@@ -76,7 +76,25 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op3_substring_dedup, op4_sentencepiece, op5_fingerprints, op6_line_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_quality_rules, op10_url_filters)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tries import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import scored
+
+    return scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives, whole_vectors
+
+    return hard_negatives(whole_vectors(_table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op3_substring_dedup, op4_sentencepiece, op5_fingerprints, op6_line_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_quality_rules, op10_url_filters, op11_prefix_trie, op12_quality_classifier, op13_hard_negatives)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -149,7 +167,38 @@ z AS (SELECT p.lang, list(cut ORDER BY rule) AS cuts FROM p JOIN y USING (lang,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (z.cuts IS NULL OR {" AND ".join(f"bins[{i}] <= z.cuts[{i}]" for i in range(1, len(m.RULES) + 1))}) AS kept FROM r LEFT JOIN z USING (lang)"""
 
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    byte = "list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::BIGINT)), lambda acc, b: {byte}), 4294967295)"
+
+
+_TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'k': length(r) || ':' || r || length(x) || ':' || x, 'n': length(x)}} ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS s FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, s, {_crc32("conv_id::VARCHAR")} % 6 AS h FROM o),
+c AS (SELECT h.conv_id, list_concat(coalesce(o.s[1:h.h], []), h.s[h.h + 1:]) AS s FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, md5(array_to_string(list_transform(s[1:d], lambda x: x.k), '')) AS k, md5(array_to_string(list_transform(s[1:d - 1], lambda x: x.k), '')) AS up, coalesce(s[d].n, 0) AS n, d = len(s) AS ends
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM c)),
+n AS (SELECT d, k, min(up) AS up, min(conv_id) AS owner, count(*) AS n_convs, min(n) * (count(*) - 1) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS e FROM p GROUP BY d, k),
+b AS (SELECT n.*, u.owner AS parent, (SELECT count(*) FROM n AS m WHERE m.d = n.d + 1 AND m.up = n.k) AS n_children FROM n LEFT JOIN n AS u ON u.d = n.d - 1 AND u.k = n.up),
+a AS (SELECT p.d, p.k, sum((b.n_children = 0)::INT) AS n_leaves, sum(b.saved) AS saved FROM b JOIN p ON p.conv_id = b.owner AND p.d <= b.d GROUP BY p.d, p.k)
+SELECT owner AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children::BIGINT AS n_children, a.n_leaves::BIGINT AS n_leaves, a.saved::BIGINT AS saved_tokens, e AS ends_sha256 FROM b JOIN a USING (d, k)"""
+
+
+_NEGATIVES_SQL = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, e.vec_id AS id, a.label = e.label AS same, list_inner_product(a.v, e.v)::BIGINT AS score FROM e AS a JOIN e ON a.r <> e.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, id NULLS LAST) AS p FROM s WHERE same QUALIFY p <= 5),
+n AS (SELECT p.r, p.p, p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.p ORDER BY s.score DESC, s.id NULLS LAST) AS rank
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
 SQL = {
+    "op11_prefix_trie": _TRIE_SQL,
+    "op13_hard_negatives": _NEGATIVES_SQL,
     "op1_mix_sources": rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size,
