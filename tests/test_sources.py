@@ -127,3 +127,22 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "state" / "v1")).collect())) == [("a", "9"), ("b", "2")]
     ev = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'x' AS event_type UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'x'")
     assert windowed_counts(ev).first().n == 2
+
+
+def test_toggles_hand_their_state_down():
+    t = r"\toggletrue{x}\toggletrue{y}\iftoggle{x}{\iftoggle{y}{Y}{N}}{Z}"
+    assert M.with_toggles(t).endswith("{y}Y") and M.with_toggles(r"\newtoggle{x}\iftoggle{x}{a}{b}").endswith("b")
+    assert M.with_toggles(r"\toggletrue{x}\newtoggle{x}\iftoggle{x}{a}{\toggletrue{z}b}\iftoggle{z}{c}{d}").endswith("bc")
+
+
+def test_fractions_nest_without_limit():
+    deep = "g"
+    for c in "fedcba":
+        deep = rf"\frac{{{c}}}{{{deep}}}"
+    assert M.math_text(deep) == "a/b/c/d/e/f/g"
+
+
+def test_references_have_no_limit(spark):
+    text = "".join(rf"\bibitem{{k{i}}} Entry {i} of 19{i % 90 + 10}. " for i in range(100_003))
+    rows = S.references(spark.createDataFrame([("a", text)], "path string, text string"))
+    assert rows.count() == 100_003

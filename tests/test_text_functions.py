@@ -66,7 +66,7 @@ def test_cells(spark):
 
 
 def test_spoken(spark):
-    assert column(spark, ["up 5% ± 2", None], T.spoken_tokens) == [3 + 1 + 3, 0]
+    assert column(spark, ["up 5% ± 2", None], T.spoken_words) == [3.0 + 1 + 3, 0.0]
     assert column(spark, [0, 59, 60, 699], T.clock, "long") == ["0:00", "0:59", "1:00", "11:39"]
     assert column(spark, ["안녕 abc 漢"], T.syllables) == [3]
 
@@ -75,3 +75,77 @@ def test_whole_word(spark):
     p = re.compile(T.whole_word("may|up to"))
     for s in ("it may be", "Up to ten", "maybe", "dismay", "may"):
         assert column(spark, [s], lambda c: c.rlike(T.whole_word("may|up to"))) == [bool(p.search(s))]
+
+
+def plain_words(text, table=None):
+    """The rules of spoken_words token by token."""
+    table, n = table or {}, 0.0
+    n += sum(1 for i, c in enumerate(text) if c in "-−" and text[i + 1 : i + 2].isdigit() and not (i and (text[i - 1].isalnum() or text[i - 1] in "_.")))
+    n += sum(1 for c in text if "Α" <= c <= "Ω" or "α" <= c <= "ω") + sum(k * text.count(c) for c, k in T.SYMBOL_WORDS.items())
+
+    def number(x):
+        whole, _, rest = x.partition(".")
+        return int_words(int(whole)) + (1 + len(rest) if rest else 0)
+
+    for m in re.finditer(r"[A-Za-z0-9][A-Za-z0-9'’.\-]*", text):
+        core = m.group().strip(".")
+        units = [core] if core in table else [u for u in (re.sub(r"^[.'’]+", "", x).strip(".") for x in core.split("-")) if u]
+        for u in units:
+            unit = re.fullmatch(r"([0-9]+(?:\.[0-9]+)?)([A-Za-z]{1,3})", u)
+            if re.fullmatch(r"[0-9]+(\.[0-9]+)?", u):
+                n += number(u)
+            elif u in table:
+                n += table[u]
+            elif unit:
+                n += number(unit[1]) + (0 if unit[2].lower() in ("st", "nd", "rd", "th") else table.get(unit[2], 1))
+            else:
+                n += 1
+    return n
+
+
+SAID = [
+    "-12.3 dB", "it's -5 and x-5, 3−4", "8.65M at 350GB, 175B", "the 1st, 22nd and 3RD", "ISO-8601 and GPU-days", "ZZTOP runs", "12.5", "203000 of 19559", "Δ T ≤ 5%", "", "…", "a.b.c 1.2.3",
+    "12345678901234567890", "1000000000000 and 000", "x-.5-'y'", "don’t re-use e.g. U.S.", "1e5 5kHz 7abcd", "−−3", "é-5", "2099 2100 1500",
+]
+
+
+@pytest.mark.parametrize("table", [None, {"ZZTOP": 5.0, "GB": 2.0, "ISO-8601": 6.0, "GPU": 0.5}])
+def test_spoken_words_against_plain(spark, table):
+    acronyms = None if table is None else F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    assert column(spark, SAID, lambda c: T.spoken_words(c, acronyms)) == [plain_words(x, table) for x in SAID]
+
+
+def test_spoken_words_of_all_conversations(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("text", T.spoken_words("text").alias("n")).collect()
+    assert len(rows) > 500 and all(r.n == plain_words(r.text or "") for r in rows)
+
+
+def test_thousands(spark):
+    values = ["7,900,123,456", "203 000", r"203\,000", "19\u2009559", "1\u202f234\u202f567", "1,2345", "Table 2 150", "12 345 678", "3.12 345", "12 345.6", "1234,567", "a 1,000, 2,000", "555 1234", None]
+    want = ["7900123456", "203000", "203000", "19559", "1234567", "1,2345", "Table 2 150", "12345678", "3.12 345", "12 345.6", "1234567", "a 1000, 2000", "555 1234", None]
+    assert column(spark, values, T.flat_thousands) == want
+    assert column(spark, ["203 000 and 7,900,123,456"], T.integers) == [["203000", "7900123456"]]
+
+
+def test_neighbours_do_not_hide_each_other(spark):
+    from verisift.operators import provenance as P
+
+    df = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [tuple(r) for r in P.claims(df("3.14/3.14"), [("pi", "3.14")]).collect()] == [("pi", "3.14", 2, False)]
+    assert [r.n for r in P.banned(df("worthless worthless worthless"), ["worthless"]).collect()] == [3]
+    assert column(spark, ["1.5 2.5/3.5"], T.decimals) == [["1.5", "2.5", "3.5"]]
+
+
+def test_banned_places(spark):
+    from verisift.operators import provenance as P
+
+    text = "Utterly worthless.\n\nNot worthless, never worthless; it isn't worthless. Worthless worthless\tand more " + "x" * 60
+    df = spark.createDataFrame([(1, text), (2, None), (3, "nothing"), (4, "always\n\nalways it")], "doc_id long, text string")
+    lines = ["worthless", "re:^always", "re:CLOWNS?"]
+    got = [tuple(r) for r in P.banned_places(df, lines).collect()]
+    want = []
+    for i, t in ((1, text), (4, "always\n\nalways it")):
+        for line, p in (("worthless", r"(?i)(?<!\bnot\s)(?<!\bnever\s)(?<!n't\s)\bworthless(?:e|es|s|ed|d|ing|en|n)?\b"), ("re:^always", r"(?:^|(?<=\n\n))always")):
+            want += [(i, line, m.start(), re.sub(r"\s+", " ", t[max(0, m.start() - 55) : m.end() + 35]).strip()) for m in re.finditer(p, t)]
+    assert sorted(got) == sorted(want) and len(got) == 5
+    assert {(r.doc_id, r.pattern, r.n) for r in P.banned(df, lines).collect()} == {(1, "worthless", 3), (4, "re:^always", 2)}

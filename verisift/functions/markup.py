@@ -106,10 +106,12 @@ def with_macros(text: str, passes: int = 2) -> str:
     return text
 
 
-def with_toggles(text: str) -> str:
-    """\\iftoggle{x}{a}{b} by the last \\toggletrue or \\togglefalse before it."""
-    state, out, at = {}, [], 0
-    for m in re.finditer(r"\\(toggletrue|togglefalse|iftoggle)\b", text):
+def with_toggles(text: str, state: dict[str, bool] | None = None) -> str:
+    """\\iftoggle{x}{a}{b} by the last \\toggletrue or \\togglefalse before it, outside or inside the branch it stands in.
+
+    What a branch that is kept sets holds behind it too; \\newtoggle sets false."""
+    state, out, at = {} if state is None else state, [], 0
+    for m in re.finditer(r"\\(newtoggle|toggletrue|togglefalse|iftoggle)(?![A-Za-z])", text):
         if m.start() < at:
             continue
         args, end = arguments(text, m.end())
@@ -118,7 +120,7 @@ def with_toggles(text: str) -> str:
                 state[args[0]] = m[1] == "toggletrue"
             continue
         if len(args) >= 3:
-            out += [text[at : m.start()], with_toggles(args[1] if state.get(args[0]) else args[2])]
+            out += [text[at : m.start()], with_toggles(args[1] if state.get(args[0]) else args[2], state)]
             at = end
     return "".join([*out, text[at:]])
 
@@ -148,7 +150,9 @@ def with_accents(text: str) -> str:
 def math_text(text: str) -> str:
     """Formulas as text: Greek letters, symbols, fractions, sub- and superscripts; escaped signs stand for themselves."""
     text = re.sub(r"\\([&%_$#{}^])", lambda m: chr(HELD + ord(m[1])), text)
-    for _ in range(4):
+    before = None
+    while text != before:  # each pass takes the innermost ones
+        before = text
         text = re.sub(r"\\[dt]?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"\1/\2", text)
         text = re.sub(r"\\(?:text|mathrm|mathbf|mathit|operatorname|textbf|emph)\s*\{([^{}]*)\}", r"\1", text)
     text = re.sub(r"\\([A-Za-z]+)", lambda m: GREEK.get(m[1]) or SYMBOLS.get(m[1]) or " ", text)
@@ -249,6 +253,6 @@ expand_macros = _where(with_macros, r"\\")
 resolve_toggles = _where(with_toggles, r"\\")
 fold_accents = _where(with_accents, r"\\")
 prose = _where(clean_prose, r"[\\$%{}~]|[ \t]{2}|\t|^\s|\s$")
-math_to_text = _apply(math_text)
+math_to_text = _where(math_text, r"[\\$^_{}]|\s{2}|[\t\n\r\f\x0B]|^\s|\s$")
 digits_for_words = _where(number_words, rf"(?i)(?<![A-Za-z0-9_])(?:{_NUMBER})(?![A-Za-z0-9_])|[0-9]\s*per\s*cent")
 caption_list = _apply(captions, "array<string>")

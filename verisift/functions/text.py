@@ -1,7 +1,7 @@
 """Scalar text functions as column expressions: values, tokens, sentences, normal forms, spoken counts.
 
-Patterns name their character classes, so Spark's and other engines' regular expressions read them alike; what stands
-before a token is consumed instead of looked behind at. Values stay strings: 12.3 and 12.30 differ.
+What stands beside a token is looked at, not consumed, so neighbours do not hide each other. Values stay strings: 12.3
+and 12.30 differ.
 """
 
 from __future__ import annotations
@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # ---- fixed values --------------------------------------------------------------------------------
-DECIMAL = r"(?:^|[^A-Za-z0-9_.])([0-9]{1,4}\.[0-9]+)"  # in derived text: no letter, digit or dot before
-SOURCE_DECIMAL = r"(?:^|[^0-9.])([0-9]{1,4}\.[0-9]+)"  # in a source: letters may stand before
-INTEGER = r"(?:^|[^A-Za-z0-9_.,])([0-9]{2,})"
+DECIMAL = r"(?<![A-Za-z0-9_.])([0-9]{1,4}\.[0-9]+)"  # in derived text: no letter, digit or dot before
+SOURCE_DECIMAL = r"(?<![0-9.])([0-9]{1,4}\.[0-9]+)"  # in a source: letters may stand before
+INTEGER = r"(?<![A-Za-z0-9_.,])([0-9]{2,})"
+SOURCE_INTEGER = r"(?<![0-9.])([0-9]{2,})"
+GROUP_SIGN = r"(?<=[0-9])(?:,|\x{2009}|\x{202F}|\\,)(?=[0-9]{3}(?![0-9]))"  # 19,559 and 203\,000, also with thin spaces
+SPACED_GROUPS = r"(?<![0-9.,])[0-9]{2,3}(?: [0-9]{3})+(?![0-9.,])"  # 203 000
 ALPHA_WORD = r"[A-Za-z][A-Za-z\-]{3,}"
 WORD_RUN = r"[a-z0-9]+"
 ABBREVIATIONS = "i\\.e|e\\.g|et al|etc|vs|cf|resp|approx|figs|fig|eqs|eq|sec|no|U\\.S|U\\.K|Tab|Dr|Mr|Ms"
@@ -25,6 +28,8 @@ report reports show shows give gives make makes take takes apply applies use use
 than then where when what which this that these those with from into over under about across between within while after before""".split()
 STOP_WORDS = "the a an of to in on for and or with by is are was were be been this that it its as at from".split()
 SYMBOL_WORDS = {"%": 1, "≈": 1, "×": 1, "±": 3, "≤": 2, "≥": 2, "→": 1}
+TOKEN, NUMBER, MEASURE = r"[A-Za-z0-9][A-Za-z0-9'’.\-]*", r"^[0-9]+(?:\.[0-9]+)?$", r"^([0-9]+(?:\.[0-9]+)?)([A-Za-z]{1,3})$"
+MINUS, GREEK_LETTER, ORDINALS = r"(?<![\p{L}\p{N}_.])[-−](?=[0-9])", "[Α-Ωα-ω]", ("st", "nd", "rd", "th")
 SUFFIXES = ("ences", "ence", "ances", "ance", "ments", "ment", "ness", "ities", "ity", "ations", "ation", "ally", "ly")
 ENDINGS = ("ing", "ed", "es", "s")
 IRREGULAR = {
@@ -49,7 +54,7 @@ def let(value: Column, body) -> Column:
 
 def whole_word(alternatives: str) -> str:
     """A pattern that finds any of the alternatives as whole ASCII words, in any case."""
-    return rf"(?i)(?:^|[^A-Za-z0-9_])(?:{alternatives})(?:$|[^A-Za-z0-9_])"
+    return rf"(?i)(?<![A-Za-z0-9_])(?:{alternatives})(?![A-Za-z0-9_])"
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -70,10 +75,12 @@ def integers(text: Column) -> Column:
 
 
 def flat_thousands(text: Column) -> Column:
-    """19,559 and 1,234,567 without their separators."""
-    for _ in range(3):
-        text = F.regexp_replace(text, r"([0-9]),([0-9]{3})([^0-9]|$)", "$1$2$3")
-    return text
+    """Numbers without the signs that part their thousands: 19,559, 203\\,000, thin spaces; 203 000 where two or three
+    digits come first."""
+    text = F.regexp_replace(text, GROUP_SIGN, "")
+    parts = F.split(F.regexp_replace(text, f"({SPACED_GROUPS})", "\u0001$1\u0001"), "\u0001")
+    joined = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit(" "), F.lit(""))).otherwise(x)), "")
+    return F.when(text.rlike(SPACED_GROUPS), joined).otherwise(text)
 
 
 def alpha_words(text: Column) -> Column:
@@ -165,18 +172,60 @@ def syllables(text: Column) -> Column:
     return F.regexp_count(text, F.lit(CJK))
 
 
-def spoken_tokens(text: Column) -> Column:
-    """Words, numbers and symbols that are read aloud, counted simply: a token is one, a symbol its own number."""
-    total = F.regexp_count(text, F.lit("[A-Za-z0-9]+"))
+def digits_words(digits: Column) -> Column:
+    """Words of a number given as digits, however many: groups of nine from the right, each but the last with its unit."""
+    padded = F.lpad(digits, (F.ceil(F.length(digits) / 9) * 9).cast("int"), F.lit("0"))
+    groups = F.transform(F.sequence(F.lit(0), F.floor(F.length(padded) / 9).cast("int") - 1), lambda i: F.substring(padded, i * 9 + 1, F.lit(9)).cast("long"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(False).alias("on"))
+
+    def add(s: Column, g: Column) -> Column:
+        words = F.when(s["on"], 1 + F.when(g > 0, integer_words(g)).otherwise(0)).when(g > 0, integer_words(g)).otherwise(0)
+        return F.struct((s["n"] + words).cast("long").alias("n"), (s["on"] | (g > 0)).alias("on"))
+
+    return F.aggregate(groups, start, add, lambda s: F.when(s["on"], s["n"]).otherwise(1))
+
+
+def number_words(token: Column) -> Column:
+    """Words of a number read aloud: a decimal's whole part, the point and each digit behind it."""
+    whole, fraction = F.substring_index(token, ".", 1), F.regexp_extract(token, r"\.([0-9]+)$", 1)
+    return digits_words(whole) + F.when(fraction != "", 1 + F.length(fraction)).otherwise(0)
+
+
+def spoken_words(text: Column, table: Column | None = None) -> Column:
+    """Words that reading a text aloud takes; 0 for null.
+
+    A minus before a digit, a Greek letter and the symbols of SYMBOL_WORDS count by their names. Of the tokens, one in
+    `table` (a map from tokens to words, say of acronyms) counts as it says; else its parts between hyphens count one by
+    one: a number as it is read, a number with a unit of up to three letters as number and unit (the unit by the table if
+    it is there, ordinals without), anything else one."""
+    table = F.create_map().cast("map<string,double>") if table is None else F.coalesce(table.cast("map<string,double>"), F.create_map().cast("map<string,double>"))
+    bare = lambda x: F.regexp_replace(x, r"^[.'’]+|\.+$", "")
+    none = F.array().cast("array<string>")
+    tokens = F.transform(F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), none), bare)
+
+    def parts(x: Column) -> Column:
+        return F.when(F.contains(x, F.lit("-")) & ~F.map_contains_key(table, x), F.filter(F.transform(F.split(x, "-"), bare), lambda y: y != "")).otherwise(F.array(x))
+
+    def words(x: Column) -> Column:
+        number, unit = F.regexp_extract(x, MEASURE, 1), F.regexp_extract(x, MEASURE, 2)
+        named = F.when(F.lower(unit).isin(*ORDINALS), 0.0).otherwise(F.coalesce(F.try_element_at(table, unit), F.lit(1.0)))
+        return F.when(x.rlike(NUMBER), number_words(x).cast("double")).otherwise(F.coalesce(F.try_element_at(table, x), F.when(number != "", number_words(number) + named).otherwise(F.lit(1.0))))
+
+    signs = F.regexp_count(text, F.lit(MINUS)) + F.regexp_count(text, F.lit(GREEK_LETTER))
     for sign, k in SYMBOL_WORDS.items():
-        total = total + k * (F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit(""))))
-    return F.coalesce(total, F.lit(0)).cast("long")
+        signs = signs + k * (F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit(""))))
+    return F.coalesce(signs, F.lit(0)) + F.aggregate(F.flatten(F.transform(tokens, parts)), F.lit(0.0), lambda n, x: n + words(x))
 
 
 def talk_seconds(words: Column, syllable_count: Column | int = 0, pause: Column | int = 0) -> Column:
     return words * 60.0 / WORDS_PER_MINUTE + syllable_count / SYLLABLES_PER_SECOND + pause
 
 
+def slide_seconds(text: Column, pause: Column | int = 0, table: Column | None = None) -> Column:
+    """Whole seconds of what is said on one slide, half to even; slides are rounded one by one, then added."""
+    return F.rint(talk_seconds(spoken_words(text, table), F.coalesce(syllables(text), F.lit(0)), pause)).cast("long")
+
+
 def clock(seconds: Column) -> Column:
     """m:ss of whole seconds."""
     s = F.floor(seconds).cast("long")

@@ -24,7 +24,7 @@ def unsourced(derived: DataFrame, source: DataFrame, key: str = "doc_id", text:
 
 def unsourced_integers(derived: DataFrame, source: DataFrame, skip: tuple[str, ...] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same for whole numbers of two digits or more, thousands separators taken out on both sides."""
-    known = source.select(F.explode(T.found(T.flat_thousands(F.col(text)), r"(?:^|[^0-9.])([0-9]{2,})")).alias("value")).distinct()
+    known = source.select(F.explode(T.found(T.flat_thousands(F.col(text)), T.SOURCE_INTEGER)).alias("value")).distinct()
     rows = exploded(derived, key, T.integers(F.col(text)))
     return (rows.where(~F.col("value").isin(*skip)) if skip else rows).join(known, "value", "left_anti").select(key, "value")
 
@@ -43,15 +43,17 @@ def membership(left: DataFrame, right: DataFrame, text: str = "text") -> DataFra
 
 def claims(texts: DataFrame, listed: list[tuple[str, str]], text: str = "text") -> DataFrame:
     """(label, value, n_found, unique): a claim without context must occur exactly once. One pass for all claims."""
-    counts = texts.agg(*[F.coalesce(F.sum(F.regexp_count(F.col(text), F.lit(r"(?:^|[^0-9.])" + v.replace(".", r"\.") + r"(?:[^0-9]|$)"))), F.lit(0)).alias(f"n{i}") for i, (_, v) in enumerate(listed)])
+    counts = texts.agg(*[F.coalesce(F.sum(F.regexp_count(F.col(text), F.lit(r"(?<![0-9.])" + v.replace(".", r"\.") + "(?![0-9])"))), F.lit(0)).alias(f"n{i}") for i, (_, v) in enumerate(listed)])
     rows = F.array(*[F.struct(F.lit(l).alias("label"), F.lit(v).alias("value"), F.col(f"n{i}").cast("long").alias("n_found")) for i, (l, v) in enumerate(listed)])
     return counts.select(F.explode(rows).alias("r")).select("r.*", (F.col("r.n_found") == 1).alias("unique"))
 
 
 def inflected(line: str) -> str:
-    """A ban line as a pattern: `re:` verbatim, else its words with their usual endings, as whole words in any case."""
+    """A ban line as a pattern: `re:` verbatim in any case, else its words with their usual endings, as whole words in any
+    case and not right behind not, never or n't. A verbatim pattern's leading ^ stands for the start of any paragraph."""
     if line.startswith("re:"):
-        return line[3:].strip()
+        pattern = line[3:].strip()
+        return "(?i)" + (r"(?:^|(?<=\n\n))" + pattern[1:] if pattern.startswith("^") else pattern)
     out = []
     for w in line.split():
         if "-" in w or len(w) <= 3:
@@ -66,7 +68,7 @@ def inflected(line: str) -> str:
             if len(base) > 3 and base.lower().endswith("e"):
                 base = base[:-1]
         out.append(base + "(?:e|es|s|ed|d|ing|en|n)?")
-    return T.whole_word(r"\s+".join(out))
+    return r"(?i)(?<!(?<![A-Za-z0-9_])not\s)(?<!(?<![A-Za-z0-9_])never\s)(?<!n't\s)" + T.whole_word(r"\s+".join(out)).removeprefix("(?i)")
 
 
 def banned(texts: DataFrame, lines: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,16 +76,28 @@ def banned(texts: DataFrame, lines: list[str], key: str = "doc_id", text: str =
 
     The list is part of the plan: one scan of the text, one flag a pattern, no join.
     """
-    flags = []
-    for line in lines:
-        p = inflected(line)
-        n = F.regexp_count(F.col(text), F.lit(p))
-        if not line.startswith("re:"):
-            n = n - F.regexp_count(F.col(text), F.lit(r"(?i)(?:not|never|n't)\s" + p.removeprefix("(?i)").replace("(?:^|[^A-Za-z0-9_])", "", 1)))
-        flags.append(F.struct(F.lit(line).alias("pattern"), n.cast("long").alias("n")))
+    flags = [F.struct(F.lit(line).alias("pattern"), F.regexp_count(F.col(text), F.lit(inflected(line))).cast("long").alias("n")) for line in lines]
     return texts.select(key, F.explode(F.filter(F.array(*flags), lambda f: f["n"] > 0)).alias("f")).select(key, "f.pattern", "f.n")
 
 
+def banned_places(texts: DataFrame, lines: list[str], key: str = "doc_id", text: str = "text", before: int = 55, after: int = 35) -> DataFrame:
+    """(key, pattern, at, context): every banned phrase with the place of its first sign (from 0) and what stands around
+    it, white space as single spaces. Texts without any phrase are left out before places are worked out."""
+
+    def places(line: str) -> Column:
+        p = inflected(line)
+        matches, gaps = F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), F.split(F.col(text), p)
+        start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("end"))
+        step = lambda s, i: F.struct(
+            F.concat(s["at"], F.array(s["end"] + F.length(F.get(gaps, i)))).alias("at"), (s["end"] + F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).alias("end"))
+        at = F.aggregate(F.transform(matches, lambda _, i: i), start, step, lambda s: s["at"])
+        context = lambda a, m: F.trim(F.regexp_replace(F.substring(F.col(text), F.greatest(a - before, F.lit(0)) + 1, F.least(a, F.lit(before)) + F.length(m) + after), r"\s+", " "))
+        found = F.zip_with(at, matches, lambda a, m: F.struct(F.lit(line).alias("pattern"), a.alias("at"), context(a, m).alias("context")))
+        return F.when(F.col(text).rlike(p), found).otherwise(F.array().cast("array<struct<pattern:string,at:int,context:string>>"))
+
+    return texts.select(key, F.explode(F.concat(*map(places, lines))).alias("p")).select(key, "p.*")
+
+
 def containment(texts: DataFrame, passages: DataFrame, k: int = 5, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """(key, item, n_common, max_run): distinct k-word shingles of a passage in a text, and the longest copied run.
 

@@ -136,7 +136,7 @@ QUERIES = {f.__name__: f for f in (jargon_terms, title_claims, announced_counts,
 
 
 def sql() -> dict[str, str]:
-    from .text_queries import _ALPHA, _SENT
+    from .text_queries import _ALPHA, _SENT, whole
 
     stop = ", ".join(repr(w) for w in [*C.STOP, "n/a", "w/o", "w/", "i.e", "e.g"])
     topic = f"list_filter({_ALPHA.format('s')}, lambda w: length(w) > 4 AND NOT list_contains([{', '.join(repr(x) for x in T.TOPIC_STOP)}], w))"
@@ -148,8 +148,8 @@ AND ((regexp_matches(word, '[0-9]') AND regexp_matches(word, '[A-Za-z]')) OR len
         "title_claims": rf"""WITH t AS (SELECT title, regexp_extract_all(title, '[A-Za-z][A-Za-z''\-]*') AS w FROM (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)),
 h AS (SELECT title, w, len(w) AS n, list_filter(w, lambda x: lower(x) IN ({forms})) AS a, list_filter(w[1 : len(w) - 1], lambda x: lower(x) IN ({forms})) AS b FROM t)
 SELECT n > 0 AND ((n >= 3 AND regexp_matches(title, '(?:^|[^A-Za-z0-9_])(?:{C.PRONOUNS})\s+[A-Za-z]')) OR (n > 1 AND len(b) > 0) OR (len(a) > 0 AND (n >= 3 OR regexp_matches(title, '[.!]\s*$'))) OR (len(a) = 0 AND n >= 6)) AS claim, rtrim(title) LIKE '%?' AS question, count(*) AS n FROM h GROUP BY ALL""",
-        "announced_counts": f"""SELECT doc_id, count(DISTINCT s) AS n FROM (SELECT doc_id, unnest({_SENT.format('text')}) AS s FROM documents) WHERE length(s) < 400 AND regexp_matches(s, '{T.whole_word(K.ANNOUNCE)}') GROUP BY doc_id""",
-        "caveats_lost": f"""WITH s AS (SELECT doc_id, {topic} AS t FROM (SELECT doc_id, unnest({_SENT.format('text')}) AS s FROM documents) WHERE regexp_matches(s, '{T.whole_word(T.CAVEAT)}')),
+        "announced_counts": f"""SELECT doc_id, count(DISTINCT s) AS n FROM (SELECT doc_id, unnest({_SENT.format('text')}) AS s FROM documents) WHERE length(s) < 400 AND regexp_matches(s, '{whole(K.ANNOUNCE)}') GROUP BY doc_id""",
+        "caveats_lost": f"""WITH s AS (SELECT doc_id, {topic} AS t FROM (SELECT doc_id, unnest({_SENT.format('text')}) AS s FROM documents) WHERE regexp_matches(s, '{whole(T.CAVEAT)}')),
 k AS (SELECT list(DISTINCT x) AS k FROM (SELECT unnest({_ALPHA.format('text')}) AS x FROM benchmark)), r AS (SELECT doc_id, len(t) AS z, len(list_intersect(t, k)) AS n FROM s, k)
 SELECT doc_id, count(*) AS n_caveats, count(*) FILTER (WHERE n > 0 AND n * 2 < z) AS n_lost FROM r GROUP BY doc_id""",
         "script_languages": """WITH c AS (SELECT lang, len(regexp_extract_all(text, '[가-힣]')) AS h, len(regexp_extract_all(text, '[A-Za-z가-힣]')) AS l FROM documents) SELECT lang, CASE WHEN h * 2 > l OR l = 0 THEN 'ko' ELSE 'en' END AS script, count(*) AS n FROM c GROUP BY ALL""",

@@ -8,6 +8,7 @@ from ..functions import cells as C, markup as M, text as T
 from ..operators import claims as K, layout as L, report as V, sequence as Q, talks as A
 from ..sources import manuscripts as I, specs as D
 from ..sources.tables import table
+from .table_queries import spoken_sql
 
 
 def _part(spark, sf_dir) -> DataFrame:
@@ -185,7 +186,7 @@ def new_words_by_turn(spark, sf_dir):
 def talk_lengths(spark, sf_dir):
     """Seconds of each talk from its words and syllables, with two of pause a turn."""
     text = F.col("text")
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(T.spoken_tokens(text)).alias("words"), F.sum(T.syllables(text)).alias("syllables"), F.count(F.lit(1)).alias("turns"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(T.spoken_words(text)).alias("words"), F.sum(T.syllables(text)).alias("syllables"), F.count(F.lit(1)).alias("turns"))
     return rows.select("conv_id", F.round(T.talk_seconds(F.col("words"), F.col("syllables"), F.col("turns") * 2), 6).alias("seconds"))
 
 
@@ -552,7 +553,8 @@ SELECT conv_id, count(*) AS n_words, count(said) AS n_late FROM f WHERE shown IS
         "new_words_by_turn": f"""WITH r AS (SELECT conv_id, turn, list_distinct({_RUN.format('text')}) AS said, {_RUN.format(_FIRST)} AS shown FROM conversations),
 l AS (SELECT *, coalesce(lag(shown) OVER (PARTITION BY conv_id ORDER BY turn), []) AS before FROM r)
 SELECT conv_id, turn, len(list_filter(said, lambda w: NOT list_contains(shown, w) AND NOT list_contains(before, w)))::BIGINT AS n_new FROM l""",
-        "talk_lengths": f"""SELECT conv_id, round(sum({_spoken()}) * 60.0::DOUBLE / {T.WORDS_PER_MINUTE} + sum(len(regexp_extract_all(text, '{T.CJK}'))) / {T.SYLLABLES_PER_SECOND}::DOUBLE + count(*) * 2, 6) AS seconds FROM conversations GROUP BY conv_id""",
+        "talk_lengths": f"""SELECT conv_id, round(sum(w) * 60.0::DOUBLE / {T.WORDS_PER_MINUTE} + sum(len(regexp_extract_all(text, '{T.CJK}'))) / {T.SYLLABLES_PER_SECOND}::DOUBLE + count(*) * 2, 6) AS seconds
+FROM (SELECT conv_id, text, {spoken_sql("coalesce(text, '')")} AS w FROM conversations) GROUP BY conv_id""",
         "clipped_texts": r"""WITH h AS (SELECT doc_id, text, substr(text, 1, 80) AS h FROM documents WHERE text IS NOT NULL),
 p AS (SELECT *, regexp_extract(h, '(?s)^(.*[.!?])(?:\s|$)', 1) AS s, regexp_extract(h, '(?s)^(.*)\s', 1) AS w FROM h)
 SELECT doc_id, CASE WHEN length(text) <= 80 THEN text WHEN s <> '' THEN s ELSE (CASE WHEN w <> '' THEN w ELSE h END) || '…' END AS clip FROM p""",
@@ -623,7 +625,3 @@ SELECT image, round(count(*) FILTER (WHERE dark)::DOUBLE / count(*), 9) AS share
         "font_families": "SELECT CASE WHEN p_partkey % 3 = 2 THEN 'Abcdef+' ELSE '' END || ['Arial', 'TimesNewRoman', 'Calibri', 'Arial'][p_size % 4 + 1] AS family, count(*) AS n FROM part GROUP BY 1",
         "prose_of_markup": "SELECT p_name || ' ' || chr(10) || 'We see ' || p_type || ' and now .' AS prose, count(*) AS n FROM part GROUP BY ALL",
     }
-
-
-def _spoken() -> str:
-    return "(len(regexp_extract_all(text, '[A-Za-z0-9]+')) + " + " + ".join(f"{k} * (length(text) - length(replace(text, '{c}', '')))" for c, k in T.SYMBOL_WORDS.items()) + ")"

@@ -20,22 +20,17 @@ def _turns(spark, sf_dir):
 
 
 def _timed(spark, sf_dir):
-    return _turns(spark, sf_dir).select("conv_id", "turn", T.spoken_tokens(F.col("text")).alias("n_words"))
-
-
-# whole seconds, half to even, from integers: words * 60 / 135 = words * 4 / 9
-def _seconds(words):
-    return F.floor((words * 8 + 9) / 18).cast("long")
+    return _turns(spark, sf_dir).select("conv_id", "turn", T.slide_seconds(F.col("text")).alias("seconds"))
 
 
 def running_talk_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _timed(spark, sf_dir).withColumn("seconds", _seconds(F.col("n_words")))
+    rows = _timed(spark, sf_dir)
     total = Q.running(F.col("seconds"), "conv_id", ["turn"])
     return rows.withColumn("upto", total).select("conv_id", "turn", "seconds", "upto", T.clock(F.col("upto")).alias("clock"))
 
 
 def budget_gate(spark, sf_dir):
-    talks = _timed(spark, sf_dir).groupBy("conv_id").agg(F.sum(_seconds(F.col("n_words"))).alias("seconds"))
+    talks = _timed(spark, sf_dir).groupBy("conv_id").agg(F.sum("seconds").alias("seconds"))
     state = F.when(F.col("seconds") > LIMIT_SECONDS, "over").when(F.col("seconds") * 10 > LIMIT_SECONDS * 9, "tight").otherwise("fits")
     return talks.withColumn("state", state)
 
@@ -251,6 +246,20 @@ def spoken_numbers(spark, sf_dir):
     return rows.groupBy("o_orderstatus").agg(F.sum(T.integer_words(F.col("p"))).alias("price_words"), F.sum(T.integer_words(F.col("o_orderkey"))).alias("key_words"))
 
 
+def _amounts(spark, sf_dir):
+    """Lines of order items as someone would say them, with signs, decimals, units, ordinals and hyphens."""
+    n = F.col("l_quantity").cast("int")
+    text = F.concat(F.lit("No. "), F.col("l_linenumber").cast("string"), F.lit("th: "), F.round("l_extendedprice", 2).cast("string"), F.lit("M at -"), F.round("l_discount", 2).cast("string"), F.lit("% ("), n.cast("string"), F.lit("GB, ISO-"), F.col("l_orderkey").cast("string"), F.lit(", ΔT ≤ "), n.cast("string"), F.lit(".5) GPU-days."))
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", text.alias("text"))
+
+
+def spoken_lines(spark, sf_dir):
+    """Words of amounts read aloud; GPU takes three, GB two."""
+    acronyms = F.create_map(F.lit("GPU"), F.lit(3.0), F.lit("GB"), F.lit(2.0))
+    rows = _amounts(spark, sf_dir).select("l_returnflag", T.spoken_words(F.col("text")).alias("plain"), T.spoken_words(F.col("text"), acronyms).alias("named"))
+    return rows.groupBy("l_returnflag").agg(F.sum("plain").cast("long").alias("n_plain"), F.sum("named").cast("long").alias("n_named"))
+
+
 def axis_ticks(spark, sf_dir):
     """Five ticks of every nation's balance axis, in whole cents."""
     span = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min(F.round(F.col("c_acctbal") * 100).cast("long")).alias("low"), F.max(F.round(F.col("c_acctbal") * 100).cast("long")).alias("high"))
@@ -273,11 +282,10 @@ def violations_rollup(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (running_talk_time, budget_gate, spoken_only_lag, first_screen_vs_spoken, renumber_and_pages, turn_gaps, as_of_event, event_islands, event_props, greedy_turns, best_support, topic_overlap, upper_medians, column_alignment, unpivot_cells, sidecar_upsert, fingerprint_duplicates, cell_number_parse, box_overlap_pairs, caption_regions, contrast_ratios, reciprocal_pairs, count_mismatch, merged_columns, table_widths, modal_values, deck_values, unexplained_blanks, bar_axes, log_points, series_polylines, edge_endpoints, spoken_numbers, axis_ticks, section_heads, violations_rollup)
+    for f in (running_talk_time, budget_gate, spoken_only_lag, first_screen_vs_spoken, renumber_and_pages, turn_gaps, as_of_event, event_islands, event_props, greedy_turns, best_support, topic_overlap, upper_medians, column_alignment, unpivot_cells, sidecar_upsert, fingerprint_duplicates, cell_number_parse, box_overlap_pairs, caption_regions, contrast_ratios, reciprocal_pairs, count_mismatch, merged_columns, table_widths, modal_values, deck_values, unexplained_blanks, bar_axes, log_points, series_polylines, edge_endpoints, spoken_numbers, spoken_lines, axis_ticks, section_heads, violations_rollup)
 }
 
-_WORDS = "(len(regexp_extract_all(text, '[A-Za-z0-9]+')) + " + " + ".join(f"{k} * (length(text) - length(replace(text, '{c}', '')))" for c, k in T.SYMBOL_WORDS.items()) + ")"
-_SECONDS = f"(({_WORDS} * 8 + 9) // 18)::BIGINT"
+_SECONDS = "round_even(_W * 60.0::DOUBLE / 135 + len(regexp_extract_all(coalesce(text, ''), '" + T.CJK + "')) / 5.0::DOUBLE, 0)::BIGINT"
 _RUN = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
 _ALPHA = r"list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z][A-Za-z\-]{{3,}}'), lambda w: lower(w)))"
 _BOX = """(SELECT p_partkey % 40 AS page, p_partkey AS box, ((p_partkey * 37) % 400)::DOUBLE AS x0, ((p_partkey * 53) % 300)::DOUBLE AS y0,
@@ -293,14 +301,31 @@ def _int_words(n: str) -> str:
     return f"CASE WHEN {n} < 100 THEN 1 WHEN {n} < 1000 THEN 3 ELSE {g(10**9, 1)} + {g(10**6, 1)} + CASE WHEN {short} THEN 2 ELSE {g(1000, 1)} + {g(1, 0)} END END"
 
 
+def spoken_sql(text: str) -> str:
+    """Words of a text read aloud, by lists: tokens, then their parts, then each part's words."""
+    strip = lambda x: rf"regexp_replace({x}, '^[.\x27’]+|\.+$', '', 'g')"
+    tokens = rf"list_transform(regexp_extract_all({text}, '[A-Za-z0-9][A-Za-z0-9\x27’.\-]*'), lambda t: {strip('t')})"
+    parts = f"list_filter(flatten(list_transform({tokens}, lambda t: string_split(t, '-'))), lambda p: {strip('p')} <> '')"
+    whole = "coalesce(TRY_CAST(regexp_extract(n, '^[0-9]+') AS BIGINT), 0)"
+    number = f"({_int_words(whole)} + coalesce(nullif(length(regexp_extract(n, '[.][0-9]+$')), 0), 0))"
+    measure = r"regexp_extract({}, '^([0-9]+(?:\.[0-9]+)?)([A-Za-z]{{1,3}})$', {})"
+    one = f"""CASE WHEN regexp_full_match(p, '[0-9]+(\\.[0-9]+)?') THEN (SELECT {number} FROM (SELECT p AS n)) WHEN {measure.format('p', 1)} <> ''
+  THEN (SELECT {number} FROM (SELECT {measure.format('p', 1)} AS n)) + (lower({measure.format('p', 2)}) NOT IN ('st', 'nd', 'rd', 'th'))::INT ELSE 1 END"""
+    signs = " + ".join(f"{k} * (length({text}) - length(replace({text}, '{c}', '')))" for c, k in T.SYMBOL_WORDS.items())
+    extra = rf"len(regexp_extract_all({text}, '(?:^|[^\p{{L}}\p{{N}}_.])[-−][0-9]')) + len(regexp_extract_all({text}, '{T.GREEK_LETTER}')) + {signs}"
+    return f"coalesce((SELECT sum({one}) FROM (SELECT {strip('x')} AS p FROM (SELECT unnest({parts}) AS x))), 0) + coalesce({extra}, 0)"
+
+
 def sql(text_sql: dict[str, str]) -> dict[str, str]:
     from .text_queries import _SENT
 
     sentence = f"coalesce({_SENT.format('text')}[1], '')"
     return {
-        "running_talk_time": f"""SELECT conv_id, turn, seconds, upto, (upto // 60)::VARCHAR || ':' || lpad((upto % 60)::VARCHAR, 2, '0') AS clock FROM (
-SELECT conv_id, turn, seconds, (sum(seconds) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM (SELECT conv_id, turn, {_SECONDS} AS seconds FROM conversations))""",
-        "budget_gate": f"""SELECT conv_id, s AS seconds, CASE WHEN s > {LIMIT_SECONDS} THEN 'over' WHEN s * 10 > {LIMIT_SECONDS * 9} THEN 'tight' ELSE 'fits' END AS state FROM (SELECT conv_id, sum({_SECONDS})::BIGINT AS s FROM conversations GROUP BY conv_id)""",
+        "running_talk_time": f"""WITH w AS (SELECT conv_id, turn, text, {spoken_sql("coalesce(text, '')")} AS _W FROM conversations), s AS (SELECT conv_id, turn, {_SECONDS} AS seconds FROM w)
+SELECT conv_id, turn, seconds, upto, (upto // 60)::VARCHAR || ':' || lpad((upto % 60)::VARCHAR, 2, '0') AS clock FROM (
+SELECT conv_id, turn, seconds, (sum(seconds) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM s)""",
+        "budget_gate": f"""WITH w AS (SELECT conv_id, text, {spoken_sql("coalesce(text, '')")} AS _W FROM conversations)
+SELECT conv_id, s AS seconds, CASE WHEN s > {LIMIT_SECONDS} THEN 'over' WHEN s * 10 > {LIMIT_SECONDS * 9} THEN 'tight' ELSE 'fits' END AS state FROM (SELECT conv_id, sum({_SECONDS})::BIGINT AS s FROM w GROUP BY conv_id)""",
         "spoken_only_lag": f"""WITH w AS (SELECT conv_id, turn, role, list_distinct({_RUN}) AS w FROM conversations),
 l AS (SELECT *, coalesce(lag(w) OVER o, []) AS p, coalesce(lag(w, 2) OVER o, []) AS q FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, len(list_filter(w, lambda x: NOT list_contains(p, x) AND NOT list_contains(q, x)))::BIGINT AS n_new FROM l WHERE role = 'assistant'""",
@@ -363,6 +388,8 @@ SELECT c_mktsegment, count(*) FILTER (WHERE v > 0) AS n_points, count(*) FILTER
 SELECT c_mktsegment, c_nationkey, count(*) AS n_points, count(*) FILTER (WHERE sign(y - p) * sign(n - y) < 0) AS n_turns FROM r GROUP BY ALL""",
         "edge_endpoints": """SELECT o_orderstatus, count(*) FILTER (WHERE c_custkey IS NOT NULL) AS n_kept, count(*) FILTER (WHERE c_custkey IS NULL) AS n_rejected FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey GROUP BY o_orderstatus""",
         "spoken_numbers": f"""SELECT o_orderstatus, sum({_int_words('floor(o_totalprice)::BIGINT')})::BIGINT AS price_words, sum({_int_words('o_orderkey')})::BIGINT AS key_words FROM orders GROUP BY o_orderstatus""",
+        "spoken_lines": f"""WITH t AS (SELECT l_returnflag, 'No. ' || l_linenumber || 'th: ' || round(l_extendedprice, 2) || 'M at -' || round(l_discount, 2) || '% (' || l_quantity::INT || 'GB, ISO-' || l_orderkey || ', ΔT ≤ ' || l_quantity::INT || '.5) GPU-days.' AS text FROM lineitem)
+SELECT l_returnflag, sum(w)::BIGINT AS n_plain, (sum(w) + 3 * count(*))::BIGINT AS n_named FROM (SELECT l_returnflag, {spoken_sql("text")} AS w FROM t) GROUP BY l_returnflag""",
         "axis_ticks": """WITH s AS (SELECT c_nationkey, min(round(c_acctbal * 100)::BIGINT) AS low, max(round(c_acctbal * 100)::BIGINT) AS high FROM customer GROUP BY c_nationkey), t AS (SELECT *, unnest(range(0, 5)) AS tick FROM s)
 SELECT c_nationkey, tick, floor((low * (4 - tick) + high * tick) / 4)::BIGINT AS at FROM t""",
         "section_heads": """WITH l AS (SELECT doc_id, line, i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) d, LATERAL (SELECT unnest(d.a) AS line, generate_subscripts(d.a, 1) AS i)),

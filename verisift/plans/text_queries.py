@@ -10,7 +10,7 @@ from ..sources.tables import table
 
 SOURCE = "src1"
 CLAIMS = [("share", "3.14"), ("gain", "12.5"), ("loss", "0.99"), ("year", "2019.5")]
-BANNED = ["worthless", "pathetic", "utterly disgusting", "re:(?i)clowns?"]
+BANNED = ["worthless", "pathetic", "utterly disgusting", "re:clowns?"]
 LEAKS = {"strong": r"\*\*", "code": "###", "entity": "&(?:amp|quot|lt|gt);", "mark": "</?(?:hit|safe|hi)>"}
 
 
@@ -82,8 +82,8 @@ def sentence_flags(spark, sf_dir):
     kinds = (("n_why", T.WHY), ("n_hedge", T.HEDGE), ("n_strong", T.STRONG), ("n_caveat", T.CAVEAT), ("n_negated", T.NEGATION))
     count = lambda s, p: F.size(F.filter(s, lambda x: x.rlike(T.whole_word(p)))).cast("long")
     flags = T.let(T.sentences(F.col("text")), lambda s: F.struct(F.size(s).cast("long").alias("n_sentences"), *[count(s, p).alias(n) for n, p in kinds]))
-    rows = _docs(spark, sf_dir).select("doc_id", flags.alias("f")).where("f.n_sentences > 0")
-    return rows.groupBy("doc_id").agg(*[F.sum(f"f.{n}").alias(n) for n in ("n_sentences", *[n for n, _ in kinds])])
+    rows = _docs(spark, sf_dir).select("doc_id", flags.alias("f"))
+    return rows.groupBy("doc_id").agg(*[F.sum(f"f.{n}").alias(n) for n in ("n_sentences", *[n for n, _ in kinds])]).where("n_sentences > 0")
 
 
 def up_to_dropped(spark, sf_dir):
@@ -161,10 +161,11 @@ def cited_years(spark, sf_dir):
 
 
 def initialisms(spark, sf_dir):
-    """Initials of three neighbouring words of a passage's first line that some document has in capitals."""
-    w = table(spark, sf_dir, "benchmark").select("item_id", T.word_run(F.col("text")).alias("w"))
-    w = w.select("item_id", F.explode(F.array_distinct(F.transform(T.shingles(F.col("w"), 3), lambda g: F.upper(F.array_join(F.transform(F.split(g, " "), lambda x: F.substring(x, 1, 1)), ""))))).alias("initials"))
-    caps = _docs(spark, sf_dir).select(F.explode(T.found(F.col("text"), "(?:^|[^A-Za-z0-9])([A-Z]{3})(?:[^A-Za-z0-9]|$)")).alias("initials")).groupBy("initials").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Initials of two to six neighbouring words of a passage that some document has in capitals."""
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.transform(T.word_run(F.col("text")), lambda x: F.upper(F.substring(x, 1, 1))).alias("w"))
+    initials = F.flatten(F.array(*[F.transform(T.shingles(F.col("w"), n), lambda g: F.replace(g, F.lit(" "), F.lit(""))) for n in range(2, 7)]))
+    w = w.select("item_id", F.explode(F.array_distinct(initials)).alias("initials"))
+    caps = _docs(spark, sf_dir).select(F.explode(T.found(F.col("text"), "(?<![A-Za-z0-9])([A-Z]{2,6})(?![A-Za-z0-9])")).alias("initials")).groupBy("initials").agg(F.count(F.lit(1)).alias("n_docs"))
     return w.groupBy("initials").agg(F.count(F.lit(1)).alias("n_items")).join(caps, "initials")
 
 
@@ -184,7 +185,7 @@ def page_titles(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (unsourced_values, unsourced_integers, dropped_values, value_membership, two_sided_value_diff, claim_presence, banned_words, ngram_containment, coined_terms, quote_containment, fragment_arrival, page_match_jaccard, sentence_flags, up_to_dropped, uncovered_sentences, markup_leaks, contradicting_values, recurring_labels, boilerplate_lines, density_profile, folded_vocabulary, named_terms, cited_years, initialisms, length_bands, page_titles)}
 
-_D, _SD = T.DECIMAL, T.SOURCE_DECIMAL
+_D, _SD = r"(?:^|[^A-Za-z0-9_.])([0-9]{1,4}\.[0-9]+)", r"(?:^|[^0-9.])([0-9]{1,4}\.[0-9]+)"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RUN = f"regexp_extract_all({_LOW.format('text')}, '[a-z0-9]+')"
 
@@ -193,10 +194,35 @@ def _values(pattern: str, where: str) -> str:
     return f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{pattern}', 1)) AS value FROM documents WHERE {where}"
 
 
+def whole(alternatives: str) -> str:
+    """Whether a text holds any of these as a whole word, for an engine without look-around."""
+    return rf"(?i)(?:^|[^A-Za-z0-9_])(?:{alternatives})(?:$|[^A-Za-z0-9_])"
+
+
 def _flat(c: str) -> str:
-    for _ in range(3):
-        c = rf"regexp_replace({c}, '([0-9]),([0-9]{{3}})([^0-9]|$)', '\1\2\3', 'g')"
-    return c
+    """Signs between thousands are marked in two passes and then taken out; groups apart by spaces are marked, cut out and joined."""
+    for _ in range(2):
+        c = rf"regexp_replace({c}, '([0-9])(?:,|\x{{2009}}|\x{{202F}}|\\,)([0-9]{{3}})([^0-9]|$)', '\1' || chr(3) || '\2\3', 'g')"
+    c = f"replace({c}, chr(3), '')"
+    for _ in range(2):
+        c = rf"regexp_replace({c}, '(^|[^0-9.,\x01])([0-9]{{2,3}}(?: [0-9]{{3}})+)($|[^0-9.,])', '\1' || chr(1) || '\2' || chr(1) || '\3', 'g')"
+    return f"array_to_string(list_transform(string_split({c}, chr(1)), lambda x, i: CASE WHEN i % 2 = 0 THEN replace(x, ' ', '') ELSE x END), '')"
+
+
+def _claim(value: str) -> str:
+    """Places between the pieces that a value cuts a text into where neither neighbour goes on with the number."""
+    return f"""(SELECT sum(len(list_filter(range(1, len(p)), lambda i: NOT regexp_matches(CASE WHEN p[i] = '' AND i > 1 THEN '0' ELSE p[i] END, '[0-9.]$')
+  AND NOT regexp_matches(CASE WHEN p[i + 1] = '' AND i + 1 < len(p) THEN '0' ELSE p[i + 1] END, '^[0-9]'))))::BIGINT FROM (SELECT string_split(text, '{value}') AS p FROM documents))"""
+
+
+def _ban(line: str) -> str:
+    """How often a text, or in d the text with all signs that are no word doubled, holds a banned phrase."""
+    if line.startswith("re:"):
+        return f"len(regexp_extract_all(text, '(?i){line[3:]}'))"
+    words = P.inflected(line).split("(?<![A-Za-z0-9_])(?:")[-1].removesuffix(")(?![A-Za-z0-9_])")
+    edge = "[^A-Za-z0-9_]"
+    every = rf"len(regexp_extract_all(d, '(?i)(?:^|{edge})(?:{words})(?:$|{edge})'))"
+    return every + rf" - len(regexp_extract_all(d, '(?i)(?:(?:^|{edge})(?:not|never)|n\x27\x27t)(?:  |\t\t|\n\n)(?:{words})(?:$|{edge})'))"
 
 
 def _grams(k: int, source: str, key: str) -> str:
@@ -229,7 +255,7 @@ _QUOTE = "trim(regexp_replace(lower(translate({}, '’‘', '''''')), '" + T.QUO
 SQL = {
     "unsourced_values": f"""WITH d AS ({_values(_D, f"source <> '{SOURCE}'")}), s AS ({_values(_SD, f"source = '{SOURCE}'")})
 SELECT doc_id, count(*) AS n_unsourced FROM d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.value = d.value) GROUP BY doc_id""",
-    "unsourced_integers": f"""WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({_flat('text')}, '{T.INTEGER}', 1)) AS value FROM documents WHERE source <> '{SOURCE}'),
+    "unsourced_integers": f"""WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({_flat('text')}, '(?:^|[^A-Za-z0-9_.,])([0-9]{{2,}})', 1)) AS value FROM documents WHERE source <> '{SOURCE}'),
 s AS (SELECT DISTINCT unnest(regexp_extract_all({_flat('text')}, '(?:^|[^0-9.])([0-9]{{2,}})', 1)) AS value FROM documents WHERE source = '{SOURCE}')
 SELECT doc_id, count(*) AS n_unsourced FROM d WHERE value <> '2024' AND value NOT IN (SELECT value FROM s) GROUP BY doc_id""",
     "dropped_values": f"""SELECT DISTINCT value FROM ({_values(_D, f"source = '{SOURCE}'")}) WHERE value NOT IN (SELECT value FROM ({_values(_SD, f"source <> '{SOURCE}'")}))""",
@@ -237,11 +263,8 @@ SELECT doc_id, count(*) AS n_unsourced FROM d WHERE value <> '2024' AND value NO
 FROM (SELECT DISTINCT value FROM ({_values(_D, f"source = '{SOURCE}'")})) s FULL JOIN (SELECT DISTINCT value FROM ({_values(_D, f"source <> '{SOURCE}'")})) d ON s.value = d.value""",
     "two_sided_value_diff": f"""SELECT * FROM (SELECT coalesce(s.value, d.value) AS value, CASE WHEN d.value IS NULL THEN 'source only' WHEN s.value IS NULL THEN 'derived only' ELSE 'both' END AS side
 FROM (SELECT DISTINCT value FROM ({_values(_D, "lang = 'en'")})) s FULL JOIN (SELECT DISTINCT value FROM ({_values(_D, "lang <> 'en'")})) d ON s.value = d.value) WHERE side <> 'both'""",
-    "claim_presence": " UNION ALL ".join(rf"SELECT '{l}' AS label, '{v}' AS value, sum(len(regexp_extract_all(text, '(?:^|[^0-9.]){v.replace('.', chr(92) + '.')}(?:[^0-9]|$)')))::BIGINT AS n_found, sum(len(regexp_extract_all(text, '(?:^|[^0-9.]){v.replace('.', chr(92) + '.')}(?:[^0-9]|$)'))) = 1 AS unique FROM documents" for l, v in CLAIMS),
-    "banned_words": " UNION ALL ".join(
-        f"SELECT doc_id, '{b}' AS pattern, n::BIGINT AS n FROM (SELECT doc_id, len(regexp_extract_all(text, '{P.inflected(b)}'))" + ("" if b.startswith("re:") else rf" - len(regexp_extract_all(text, '(?i)(?:not|never|n''t)\s{P.inflected(b).removeprefix('(?i)').replace('(?:^|[^A-Za-z0-9_])', '', 1)}'))") + " AS n FROM documents) WHERE n > 0"
-        for b in BANNED
-    ),
+    "claim_presence": " UNION ALL ".join(f"SELECT '{l}' AS label, '{v}' AS value, {_claim(v)} AS n_found, {_claim(v)} = 1 AS unique" for l, v in CLAIMS),
+    "banned_words": " UNION ALL ".join(rf"SELECT doc_id, '{b}' AS pattern, n::BIGINT AS n FROM (SELECT doc_id, {_ban(b)} AS n FROM (SELECT doc_id, text, regexp_replace(text, '([^A-Za-z0-9_])', '\1\1', 'g') AS d FROM documents)) WHERE n > 0" for b in BANNED),
     "ngram_containment": f"""WITH a AS ({_grams(5, 'documents', 'doc_id')}), b AS ({_grams(5, 'benchmark', 'item_id')}),
 h AS (SELECT doc_id, item_id, gram, b.pos AS p, a.pos - b.pos AS d FROM a JOIN b USING (gram)),
 i AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, d ORDER BY p) AS g FROM h),
@@ -269,11 +292,11 @@ u AS (SELECT s, list_aggregate(s, 'string_agg', ' ') AS id FROM t WHERE len(s) >
 SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS common, len(list_distinct(a.s || b.s)) AS united FROM u a JOIN u b ON a.id < b.id AND list_has_any(a.s, b.s)
 WHERE len(list_intersect(a.s, b.s)) * 2 >= len(list_distinct(a.s || b.s))""",
     "sentence_flags": f"""WITH s AS (SELECT doc_id, unnest({_SENT.format('text')}) AS s FROM documents)
-SELECT doc_id, count(*) AS n_sentences, {', '.join(f"count(*) FILTER (WHERE regexp_matches(s, '{T.whole_word(p)}')) AS {n}" for n, p in (("n_why", T.WHY), ("n_hedge", T.HEDGE), ("n_strong", T.STRONG), ("n_caveat", T.CAVEAT), ("n_negated", T.NEGATION)))} FROM s GROUP BY doc_id""",
+SELECT doc_id, count(*) AS n_sentences, {', '.join(f"count(*) FILTER (WHERE regexp_matches(s, '{whole(p)}')) AS {n}" for n, p in (("n_why", T.WHY), ("n_hedge", T.HEDGE), ("n_strong", T.STRONG), ("n_caveat", T.CAVEAT), ("n_negated", T.NEGATION)))} FROM s GROUP BY doc_id""",
     "up_to_dropped": rf"""WITH u AS (SELECT source = '{SOURCE}' AS src, unnest(regexp_extract_all(text, '(?i)(up to )?([0-9]+(?:\.[0-9]+)?) ?(%|x|times|fold)')) AS m FROM documents),
 v AS (SELECT src, regexp_extract(m, '(?i)(up to )?([0-9]+(?:\.[0-9]+)?) ?(%|x|times|fold)', 2) AS value, lower(m) LIKE 'up to%' AS q FROM u)
 SELECT value, count(*) AS n_uses FROM v WHERE NOT src AND value IN (SELECT value FROM v WHERE src GROUP BY value HAVING bool_and(q)) GROUP BY value HAVING NOT bool_or(q)""",
-    "uncovered_sentences": f"""WITH s AS (SELECT doc_id, {_ALPHA.format('s')} AS w FROM (SELECT doc_id, unnest({_SENT.format('text')}) AS s FROM documents) WHERE regexp_matches(s, '{T.whole_word(T.WHY)}')),
+    "uncovered_sentences": f"""WITH s AS (SELECT doc_id, {_ALPHA.format('s')} AS w FROM (SELECT doc_id, unnest({_SENT.format('text')}) AS s FROM documents) WHERE regexp_matches(s, '{whole(T.WHY)}')),
 k AS (SELECT list(DISTINCT x) AS k FROM (SELECT unnest({_ALPHA.format('text')}) AS x FROM benchmark))
 SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (WHERE len(list_intersect(w, k)) * 100 < len(w) * 34) AS n_uncovered FROM s, k WHERE len(w) >= 5 GROUP BY doc_id""",
     "markup_leaks": " UNION ALL ".join(f"SELECT page_id, '{n}' AS pattern, len(regexp_extract_all(html, '{p}'))::BIGINT AS n FROM pages WHERE len(regexp_extract_all(html, '{p}')) > 0" for n, p in LEAKS.items()),
@@ -292,9 +315,10 @@ count(*) FILTER (WHERE length(text) > 5000) AS n_long, sum(len(string_split(text
     "cited_years": r"""WITH c AS (SELECT DISTINCT regexp_extract(m, '([A-Z][a-z]{2,})', 1) AS name, regexp_extract(m, '([0-9]{4})$', 1) AS year FROM (SELECT unnest(regexp_extract_all(text, '([A-Z][a-z]{2,}),? \(?((?:19|20)[0-9]{2})')) AS m FROM documents)),
 k AS (SELECT DISTINCT regexp_extract(m, '([A-Z][a-z]{2,})', 1) AS name, regexp_extract(m, '([0-9]{4})$', 1) AS year FROM (SELECT unnest(regexp_extract_all(text, '([A-Z][a-z]{2,}),? \(?((?:19|20)[0-9]{2})')) AS m FROM benchmark))
 SELECT name, year, name IN (SELECT name FROM k) AS known_name FROM c WHERE (name, year) NOT IN (SELECT (name, year) FROM k)""",
-    "initialisms": f"""WITH w AS (SELECT item_id, {_RUN} AS w FROM benchmark), g AS (SELECT DISTINCT item_id, upper(substr(w[i], 1, 1) || substr(w[i + 1], 1, 1) || substr(w[i + 2], 1, 1)) AS initials FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
-c AS (SELECT initials, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])([A-Z]{{3}})(?:[^A-Za-z0-9]|$)', 1)) AS initials FROM documents) GROUP BY initials)
+    "initialisms": f"""WITH w AS (SELECT item_id, {_RUN} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, upper(array_to_string(list_transform(w[i : i + n - 1], lambda x: x[1]), '')) AS initials FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest(range(2, 7)) AS n) WHERE len(w) >= n)),
+c AS (SELECT initials, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda x: regexp_full_match(x, '[A-Z]{{2,6}}'))) AS initials FROM documents) GROUP BY initials)
 SELECT g.initials, count(*) AS n_items, any_value(n_docs) AS n_docs FROM g JOIN c USING (initials) GROUP BY g.initials""",
     "length_bands": r"""SELECT doc_id, regexp_extract(substr(text, 1, 60), '^([^\n]*[.!?])(?:[ \n]|$)', 1) AS clip, length(text) > 60 AS clipped FROM documents""",
-    "page_titles": f"""SELECT title, count(*) AS n_pages, len({_ALPHA.format('title')})::BIGINT AS n_words, title LIKE '%?' AS question, regexp_matches(title, '{T.whole_word(T.STRONG)}') AS strong FROM (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) GROUP BY title""",
+    "page_titles": f"""SELECT title, count(*) AS n_pages, len({_ALPHA.format('title')})::BIGINT AS n_words, title LIKE '%?' AS question, regexp_matches(title, '{whole(T.STRONG)}') AS strong FROM (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) GROUP BY title""",
 }

@@ -161,7 +161,8 @@ def references(docs: DataFrame, key: str = "path", text: str = "text") -> DataFr
     """(key, no, entry, years): entries of a numbered reference list behind its heading, or of \\bibitem."""
     tail = F.regexp_extract(text, r"(?is)(?:^|\n)#*\s*(?:references|bibliography)\s*\n(.*)$", 1)
     numbered = F.filter(F.split(tail, r"\n?(?=\[[0-9]+\] )"), lambda x: x.rlike(r"^\[[0-9]+\] "))
-    items = F.slice(F.split(text, r"\\bibitem(?:\[[^\]]*\])?\{[^}]*\}"), 2, 100000)
+    items = F.split(text, r"\\bibitem(?:\[[^\]]*\])?\{[^}]*\}")
+    items = F.slice(items, F.lit(2), F.size(items))
     entry = F.when(F.contains(F.col(text), F.lit("\\bibitem")), items).otherwise(numbered)
     years = F.array_distinct(F.regexp_extract_all("entry", F.lit(r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1)))
     return docs.select(key, F.posexplode(entry).alias("no", "entry")).withColumn("entry", F.trim(F.regexp_replace("entry", r"\s+", " "))).withColumn("years", years)
