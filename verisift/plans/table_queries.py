@@ -75,12 +75,6 @@ def event_islands(spark, sf_dir):
     return rows.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("least_id"), F.max("event_id").alias("most_id"))
 
 
-def event_props(spark, sf_dir):
-    """Keys of JSON properties that a schema does not know, by event type."""
-    rows = table(spark, sf_dir, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("key"))
-    return rows.groupBy("event_type", "key").agg(F.count(F.lit(1)).alias("n"))
-
-
 def greedy_turns(spark, sf_dir):
     """Users' turns matched one to one with assistants' by their words."""
     rows = _turns(spark, sf_dir).withColumn("words", T.alpha_words(F.col("text")))
@@ -282,7 +276,7 @@ def violations_rollup(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (running_talk_time, budget_gate, spoken_only_lag, first_screen_vs_spoken, renumber_and_pages, turn_gaps, as_of_event, event_islands, event_props, greedy_turns, best_support, topic_overlap, upper_medians, column_alignment, unpivot_cells, sidecar_upsert, fingerprint_duplicates, cell_number_parse, box_overlap_pairs, caption_regions, contrast_ratios, reciprocal_pairs, count_mismatch, merged_columns, table_widths, modal_values, deck_values, unexplained_blanks, bar_axes, log_points, series_polylines, edge_endpoints, spoken_numbers, spoken_lines, axis_ticks, section_heads, violations_rollup)
+    for f in (running_talk_time, budget_gate, spoken_only_lag, first_screen_vs_spoken, renumber_and_pages, turn_gaps, as_of_event, event_islands, greedy_turns, best_support, topic_overlap, upper_medians, column_alignment, unpivot_cells, sidecar_upsert, fingerprint_duplicates, cell_number_parse, box_overlap_pairs, caption_regions, contrast_ratios, reciprocal_pairs, count_mismatch, merged_columns, table_widths, modal_values, deck_values, unexplained_blanks, bar_axes, log_points, series_polylines, edge_endpoints, spoken_numbers, spoken_lines, axis_ticks, section_heads, violations_rollup)
 }
 
 _SECONDS = "round_even(_W * 60.0::DOUBLE / 135 + len(regexp_extract_all(coalesce(text, ''), '" + T.CJK + "')) / 5.0::DOUBLE, 0)::BIGINT"
@@ -340,7 +334,6 @@ a AS (SELECT conv_id, unnest(range(0, m)) AS missing FROM m) SELECT * FROM a WHE
         "event_islands": """WITH e AS (SELECT *, epoch(ts)::BIGINT AS s FROM events), l AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600 OR lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS b FROM e),
 i AS (SELECT user_id, event_id, (sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS island FROM l)
 SELECT user_id, island, count(*) AS n_events, min(event_id) AS least_id, max(event_id) AS most_id FROM i GROUP BY ALL""",
-        "event_props": "SELECT event_type, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) GROUP BY ALL",
         "best_support": f"""WITH w AS (SELECT conv_id, turn, role, list_filter({_ALPHA.format('text')}, lambda x: length(x) > 4 AND NOT list_contains([{', '.join(repr(x) for x in T.TOPIC_STOP)}], x)) AS w FROM conversations),
 p AS (SELECT u.conv_id, u.turn AS unit, s.turn AS support, len(list_intersect(u.w, s.w)) AS shared, len(u.w) AS z FROM w u JOIN w s ON u.conv_id = s.conv_id WHERE u.role = 'assistant' AND s.role = 'user' AND len(u.w) >= 3 AND len(s.w) >= 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, unit ORDER BY shared DESC, support) AS k FROM p)

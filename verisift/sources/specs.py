@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from .trees import json_texts
+
 TABLE = T.StructType([T.StructField("align", T.StringType()), T.StructField("header", T.ArrayType(T.StringType())), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("note", T.StringType())])
 SLIDE = T.StructType(
     [
@@ -19,7 +21,9 @@ SPOKEN = ["say", "pause", "backup", "cue", "kind"]
 
 
 def parse(specs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(key, n, slide) of JSON slide lists; a text that is no list gives one row with a null slide."""
+    """(key, n, slide) of JSON or YAML slide lists, or of the slides of a mapping; a text that has none gives one row with a
+    null slide. Keys that SLIDE does not name are not read here: `trees.violations` finds them, at any depth."""
+    specs = json_texts(specs, key, text).withColumn("whole", F.ltrim("json").startswith("{")).select(key, F.when(F.col("whole"), F.get_json_object("json", "$.slides")).otherwise(F.col("json")).alias(text))
     lists = F.when(F.ltrim(F.col(text)).startswith("["), F.from_json(text, T.ArrayType(SLIDE)))
     rows = specs.select(key, F.posexplode_outer(lists).alias("n", "slide"))
     return rows.select(key, "n", normal(F.col("slide")).alias("slide"))
