@@ -175,8 +175,8 @@ class Tree:
         class Parser(HTMLParser):
             def handle_starttag(self, tag, attrs):
                 nonlocal at
-                hard, named = m._left_out(tag, " ".join(f'{k}="{v}"' for k, v in attrs))
-                node = {"tag": tag, "up": at, "kids": [], "named": named, "hard": hard, "link": tag == "a" and "href" in dict(attrs)}
+                hard, named, of = m._left_out(tag, " ".join(f'{k}="{v}"' for k, v in attrs))
+                node = {"kind": (tag, of) if of or tag in ("section", "article") else None, "tag": tag, "up": at, "kids": [], "named": named, "hard": hard, "link": tag == "a" and "href" in dict(attrs)}
                 at["kids"].append(node)
                 at = node
 
@@ -261,9 +261,20 @@ class Tree:
         kept = [best]
         for x in best["up"]["kids"] if best["up"] else ():
             if not isinstance(x, str) and x is not best and chars[id(x)]:
-                like = best["tag"] not in ("article", "main") and x["tag"] == "p" and links[id(x)] < chars[id(x)] / 4 and chars[id(x)] > 80
+                like = best["tag"] not in ("article", "main") and x["tag"] in ("p", "pre", "blockquote") and links[id(x)] < chars[id(x)] / 4 and chars[id(x)] > 80
                 if score(x) >= max(10, score(best) / 5) or like:
                     kept.append(x)
+        on_the_way = []
+        for x in self.path(best):
+            if x["tag"] in ("#", "main", "body"):
+                break
+            on_the_way.append(x)
+            if x["tag"] == "article" and x is not best:
+                break
+        for x in on_the_way:
+            for y in x["up"]["kids"]:
+                if not isinstance(y, str) and y is not x and y["kind"] and y["kind"] == x["kind"] and points[id(y)] > 0 and links[id(y)] < chars[id(y)] / 4:
+                    kept.append(y)
         return "\n\n".join(b[1] for b in self.blocks if any(x is y for x in self.path(b[0]) for y in kept))
 
 
@@ -286,8 +297,8 @@ def test_against_naive_tree():
             return f"<h2>{prose(3)}</h2>"
         if kind < 0.62:
             return f"<p>{prose(9)} <b>{prose(2)}</b> <a href='x'>{prose(2)}</a></p>"
-        tag = rng.choice(["div", "div", "div", "section", "article", "main", "aside", "header", "nav", "footer", "blockquote"])
-        name = rng.choice(["", "", "", "", " class='content has-sidebar'", " class='sidebar'", " id='comments'", " class='ad-box'", " class='site-header'", " class='article-header'", " hidden"])
+        tag = rng.choice(["div", "div", "div", "section", "section", "article", "main", "aside", "header", "nav", "footer", "blockquote"])
+        name = rng.choice(["", "", "", "", " class='content has-sidebar'", " class='sidebar'", " id='comments'", " class='ad-box'", " class='site-header'", " class='article-header'", " class='sec'", " class='sec'", " hidden"])
         return f"<{tag}{name}>" + "".join(element(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
 
     for _ in range(1500):
@@ -298,6 +309,64 @@ def test_against_naive_tree():
     assert seen == {True, False}
 
 
+def text(k, n=1):
+    return [f"Paragraph {k}.{i} of the article, long enough to count, as prose does." for i in range(n)]
+
+
+def paragraphs(*k):
+    return "".join(f"<p>{t}</p>" for x in k for t in x)
+
+
+JUNK = "<nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='ad'>Buy now, buy now, buy now, buy now!</div>"
+FOOT = "<div class='cookie-notice'><p>We use cookies, all of them, all the time, everywhere.</p></div><footer><p>All rights are reserved, as ever, by us.</p></footer>"
+A, B, C, D = text(1), text(2), text(3, 4), text(4)
+ALL = A + B + C + D
+SECTIONS = [paragraphs(x) for x in (A, B, C, D)]
+LAYOUTS = {
+    "sections with a class": ("".join(f"<div class='sec'>{s}</div>" for s in SECTIONS), ALL),
+    "section elements": ("".join(f"<section>{s}</section>" for s in SECTIONS), ALL),
+    "sections with headings": ("".join(f"<section><h2>Part {i}</h2>{s}</section>" for i, s in enumerate(SECTIONS)), [x for i, t in enumerate((A, B, C, D)) for x in (f"Part {i}", *t)]),
+    "sections two deep": ("".join(f"<div class='sec'><div class='inner'>{s}</div></div>" for s in SECTIONS), ALL),
+    "sections in an article": ("<article>" + "".join(f"<section class='s'>{s}</section>" for s in SECTIONS) + "</article>", ALL),
+    "columns of one class": ("<div class='row'>" + "".join(f"<div class='col-6'>{s}</div>" for s in SECTIONS) + "</div>", ALL),
+    "one form around all": (f"<form id='aspnetForm'><input type='hidden'>{JUNK}<div>{paragraphs(ALL)}</div>{FOOT}</form>", ALL),
+    "a form around a main": (f"<form id='aspnetForm'><main>{paragraphs(ALL)}</main>{FOOT}</form>", ALL),
+    "a form around an article and its related ones": (f"<form><article>{paragraphs(ALL)}</article><div class='related'><article>{paragraphs(text(9, 2))}</article></div></form>", ALL),
+    "a contact form below": (f"<article>{paragraphs(ALL)}<form><p>Write to us, we like letters, long or short.</p><label>Name</label><input></form></article>", ALL),
+    "a search form above": (f"<form role='search'><label>Search this site, all of it, from here</label><input></form><div>{paragraphs(ALL)}</div>", ALL),
+    "two articles": (f"<article>{paragraphs(C)}</article><article>{paragraphs(A)}</article>", C + A),
+    "articles with a class": ("".join(f"<article class='post'>{s}</article>" for s in SECTIONS), ALL),
+    "posts in divs": ("<div id='posts'>" + "".join(f"<div class='post'>{s}</div>" for s in SECTIONS) + "</div>", ALL),
+    "an article in the role of a note": (f"<article role='note'>{paragraphs(ALL)}</article>", ALL),
+    "a main in the role of a status": (f"<main role='status'>{paragraphs(ALL)}</main>", ALL),
+    "a note beside": (f"<article>{paragraphs(ALL)}</article><div role='note'>{paragraphs(text(9, 3))}</div>", ALL),
+    "a label in a sentence": (f"<article><p>Words <label>in a label</label> stay in a sentence that is long enough.</p>{paragraphs(ALL)}</article>", ["Words in a label stay in a sentence that is long enough.", *ALL]),
+    "a label of a field": (f"<article>{paragraphs(ALL)}<p><label for='x'>Mail</label> <input id='x'></p></article>", ALL),
+    "an unclosed text area": (f"<article>{paragraphs(ALL)}</article><textarea>typed words, many of them, that nobody should read", ALL),
+    "comments below": (f"<article>{paragraphs(ALL)}</article><section id='comments'><article class='comment'>{paragraphs(text(9, 5))}</article></section>", ALL),
+    "a thread of comments in divs": (f"<div class='post'>{paragraphs(ALL)}</div><div class='comment-list'>" + "".join(f"<div class='post'>{paragraphs(text(k, 2))}</div>" for k in (8, 9)) + "</div>", ALL),
+    "a sidebar of the same class name": (f"<div class='box'>{paragraphs(ALL)}</div><aside class='box'>{paragraphs(text(9, 3))}</aside>", ALL),
+    "a list of links of one class": (f"<div class='box'>{paragraphs(ALL)}</div><div class='box'><p><a href='x'>{text(9)[0]}</a></p><p><a href='y'>{text(8)[0]}</a></p></div>", ALL),
+    "a table around all": (f"<table><tr><td class='menu'><a href='/'>Home</a></td><td>{paragraphs(ALL)}</td></tr></table>", ALL),
+    "quotations inside": (f"<article>{paragraphs(A)}<blockquote>{paragraphs(B)}</blockquote>{paragraphs(C)}</article>", A + B + C),
+    "lists inside": (f"<article>{paragraphs(A)}<ul><li>one</li><li>two</li></ul>{paragraphs(C)}</article>", [*A, "one", "two", *C]),
+    "a cookie wall before": (f"<div id='cookie-wall'>{paragraphs(text(9, 6))}<button>Yes</button></div><article>{paragraphs(ALL)}</article>", ALL),
+    "figures with captions": (f"<article>{paragraphs(A)}<figure><img src='x'><figcaption>What is to be seen</figcaption></figure>{paragraphs(C)}</article>", [*A, "What is to be seen", *C]),
+    "share buttons between": (f"<article>{paragraphs(A)}<div class='share'><a href='t'>Tweet</a></div>{paragraphs(C)}</article>", A + C),
+    "a promo between sections": (f"<div class='sec'>{SECTIONS[2]}</div><div class='promo'>{paragraphs(text(9, 2))}</div><div class='sec'>{SECTIONS[0]}</div>", C + A),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts_of_known_text(name):
+    from verisift.llm.html import main_text
+
+    body, want = LAYOUTS[name]
+    junk = "" if name == "one form around all" else JUNK
+    foot = "" if "textarea" in body else FOOT
+    assert main_text(f"<html><head><title>t</title></head><body>{junk}{body}{foot}</body></html>").split("\n\n") == want
+
+
 def test_odd_markup():
     from verisift.llm.html import main_text
 

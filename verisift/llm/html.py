@@ -4,17 +4,22 @@ A page is read once, in time linear in its length whatever its markup: a light t
 text in them. Parts that are no article by their tag or role (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, comments of readers), or by a class or id made up of words for such parts, are left out. Such a name is that of
 a wrapper, and ignored, where the element holds a main element, the page's only articles or more than half of its
-paragraph text; adverts, cookie notices and comments are no wrappers unless they hold a main.
+paragraph text; adverts, cookie notices and comments are no wrappers unless they hold a main. A form is such a wrapper too
+(whole pages stand in one), whatever else there is. A label is left out but in a paragraph outside forms, and a role does
+not make an article or main element a notice.
 
 Every paragraph passes points for its length and commas to its parent, half as many to the next ancestor, and so on. A
 container's score are its points, discounted by the share of its text inside links, twice as much for an article or main
 element. The best container is kept with all its blocks, or the article or main element around it if that has a fifth
-of its score, and its siblings that have a fifth of it or, beside a container of another kind, read like text.
+of its score, and its siblings that have a fifth of it or, beside a container of another kind, read like text. Sections
+of one article differ in length: siblings of the kept container, or of one around it below the next article, main or body,
+that are sections or articles or have a class, and are of its tag and class, are kept if they read like text.
 
 A null or empty page, or one without text, gives an empty text; if nothing has a score, all text that is not left out is
 kept. Broken markup is read as browsers do where it matters: paragraphs end where the next block begins, list items and
 cells where the next one does, unclosed elements end with their parent, links with their parent at the latest (and an
-anchor without href is none), a cut-off tag at the end is dropped. An unclosed quotation mark ends at the next ">".
+anchor without href is none), an unclosed script, style, text area or frame holds the rest, a cut-off tag at the end is
+dropped. An unclosed quotation mark ends at the next ">".
 Of equal scores the outermost, first container counts. Pages that repeat are judged alike, an empty table stays empty, and
 only the columns that are asked for are read, so others cannot clash.
 """
@@ -36,10 +41,12 @@ BLOCK = frozenset(
     "tfoot th thead tr ul".split()
 )
 DROPPED = frozenset(
-    "nav footer aside form script style noscript template button select textarea input iframe noframes svg math object embed applet dialog menu "
+    "nav footer aside script style noscript template button select textarea input iframe noframes svg math object embed applet dialog menu "
     "head title canvas audio video map search datalist fieldset label optgroup option legend".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist note status".split())
+ARTICLE_ROLES = frozenset("navigation complementary contentinfo dialog alertdialog".split())  # of roles, those that an article may have and be left out
+HOLDS_REST = frozenset("script style textarea xmp iframe noframes".split())
 IN_HEAD = frozenset("title meta link script style base noscript template head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LIKE_P = HEADINGS | frozenset("p pre blockquote td li dd".split())
@@ -75,17 +82,17 @@ _BOUNDS = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dir": ("li",), "dl":
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "block", "at", "near", "inside", "dropped", "named", "article", "points", "chars", "linked", "size", "holds", "under")
+    __slots__ = ("tag", "kind", "parent", "block", "at", "near", "inside", "dropped", "named", "article", "points", "chars", "linked", "size", "holds", "under")
 
-    def __init__(self, tag: str, parent: _Node | None, at: int, dropped: bool, named: int, is_block: bool = True):
-        self.tag, self.parent, self.at, self.dropped, self.named = tag, parent, at, dropped, named
+    def __init__(self, tag: str, parent: _Node | None, at: int, dropped: bool, named: int, is_block: bool = True, kind: str = ""):
+        self.tag, self.kind, self.parent, self.at, self.dropped, self.named = tag, kind, parent, at, dropped, named
         self.block = self if is_block else parent.block  # the block it stands in
         self.near = parent.near if parent else {}  # the places on the stack of open elements that a next one ends
         self.inside: dict[str, int] = {}  # open inline elements of a block
         self.article = tag in ("article", "main") or parent is not None and parent.article  # it is one or is in one
         self.points = 0.0
         self.chars = self.linked = self.size = self.holds = 0
-        self.under = parent is not None and (parent.under or parent.named > 0)
+        self.under = parent is not None and (parent.under or parent.named > 0 and parent.tag != "form")
 
 
 def _named(value: str) -> int:
@@ -100,23 +107,27 @@ def _named(value: str) -> int:
     return found
 
 
-def _left_out(tag: str, attrs: str) -> tuple[bool, int]:
-    """Whether an element is left out whatever it holds, and `named` of its node."""
+def _left_out(tag: str, attrs: str) -> tuple[bool, int, str]:
+    """Whether an element is left out whatever it holds, `named` of its node, and its class."""
     if tag in DROPPED:
-        return True, 0
-    named = 0
+        return True, 0, ""
+    named, of = int(tag == "form"), ""
     for m in _ATTR.finditer(attrs) if attrs else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
+            of = of or value if name == "class" else of
             # the page's own frame is never left out by its name
             if tag not in ("html", "body", "article", "main") or _named(value) == 2 and tag == "article":
                 named = max(named, _named(value))
         elif name == "role":
-            if value.strip().lower() in ROLES:
-                return True, named
+            role = value.strip().lower()
+            if role == "form":
+                named = max(named, 1)
+            elif role in (ARTICLE_ROLES if tag in ("article", "main") else ROLES) and tag not in ("html", "body"):
+                return True, named, of
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value.lower()):
-            return True, named
-    return False, named
+            return True, named, of
+    return False, named, of
 
 
 def _title(tag: str, parent: _Node) -> bool:
@@ -142,9 +153,9 @@ class _Reader:
             self.blocks.append((self.stack[-1].block, self.pieces))
             self.pieces = []
 
-    def push(self, tag: str, dropped: bool, named: int, is_block: bool) -> None:
+    def push(self, tag: str, dropped: bool, named: int, is_block: bool, of: str = "") -> None:
         top, at = self.stack[-1], len(self.stack)
-        node = _Node(tag, top, at, dropped, named, is_block)
+        node = _Node(tag, top, at, dropped, named, is_block, f"{tag} {of}" if of or tag in ("section", "article") else "")
         if tag in _ENDS or tag in _BOUNDS:
             node.near = node.near | {kind: None for kind in _BOUNDS.get(tag, ())}
             if tag in _ENDS:
@@ -233,14 +244,16 @@ class _Reader:
             if end:
                 return end.end()
             self.endless.add(tag)
-            return len(self.page) if tag in ("script", "style") else at
+            return len(self.page) if tag in HOLDS_REST else at
         if tag in VOID:
             if tag == "hr":
                 self.flush()
             return at
         if tag in ("html", "body") and self.open.get(tag):
             return at
-        hard, named = _left_out(tag, attrs)
+        hard, named, of = _left_out(tag, attrs)
+        if tag == "label" and self.stack[-1].block.tag in LIKE_P and not self.open.get("form") and not re.search(r"(?:^|\s)for\s*=", attrs, re.I):
+            hard = False  # words of a sentence
         if is_block:
             self.flush()
             block = self.stack[-1].block
@@ -257,7 +270,7 @@ class _Reader:
         elif tag == "header":
             hard = True
         if is_block or hard or named or top.block is not top:
-            self.push(tag, hard, named, is_block)
+            self.push(tag, hard, named, is_block, of)
         if tag == "a":
             self.link = len(self.stack) if re.search(r"(?:^|\s)href\s*=", attrs, re.I) else 0
         return at
@@ -288,7 +301,7 @@ def _without_parts(nodes: list[_Node], blocks: list) -> None:
     everything = nodes[0].size
     outside = any(n.tag in ("article", "main") and n.size and not n.under and not n.named for n in nodes)
     for n in nodes:
-        wrapper = n.holds & 2 or n.named == 1 and not outside and (n.holds & 1 or 2 * n.size > everything)
+        wrapper = n.holds & 2 or n.named == 1 and (n.tag == "form" or not outside) and (n.holds & 1 or 2 * n.size > everything)
         if n.parent is not None and ((n.parent.parent if _title(n.tag, n.parent) else n.parent).dropped or n.named and not wrapper):
             n.dropped = True
 
@@ -331,12 +344,23 @@ def main_text(page: str | None) -> str:
     if around is not None and 5 * score(around) >= score(best):
         best = around
     kept = {id(best)}
-    if best.parent is not None:
-        floor, plain = max(10.0, 0.2 * score(best)), best.tag not in ("article", "main")
-        for n in nodes:
-            if n.parent is best.parent and n is not best and n.chars and not n.dropped:
-                if score(n) >= floor or plain and n.tag in ("p", "pre", "blockquote") and n.linked < 0.25 * n.chars and n.chars > 80:
-                    kept.add(id(n))
+    reads = lambda n: n.linked < 0.25 * n.chars
+    floor, plain = max(10.0, 0.2 * score(best)), best.tag not in ("article", "main")
+    # what stands around the best container, and the kinds of those sections on the way up that may go on beside
+    levels, at = {}, best
+    while at.parent is not None and (at is best or at.tag not in ("main", "body")):
+        levels[id(at.parent)] = at
+        if at.tag in ("main", "body") or at is not best and at.tag == "article":
+            break
+        at = at.parent
+    for n in nodes:
+        beside = levels.get(id(n.parent))
+        if beside is None or n is beside or not n.chars or n.dropped:
+            continue
+        if beside is best and (score(n) >= floor or plain and n.tag in ("p", "pre", "blockquote") and reads(n) and n.chars > 80):
+            kept.add(id(n))
+        elif n.kind and n.kind == beside.kind and n.tag not in ("main", "body") and n.points > 0 and reads(n):
+            kept.add(id(n))
     for n in nodes:  # parents come first
         if n.parent is not None and id(n.parent) in kept:
             kept.add(id(n))
