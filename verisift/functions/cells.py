@@ -12,25 +12,15 @@ CODE = r"(?<!`)`(?!`)([^`\n]+?)(?<!`)`(?!`)"
 DITTO = ("...", "…", "⋮", ":")
 ACUITY = 200.0
 EM = 0.55
-IRREGULAR_VERBS = """be do have can could will would may might should must shall is are was were been being am did does done has had broke broken brought built bought came chose cut drove fell felt found gave went gone
-grew held hid kept knew led left lost made meant met paid put ran rose said saw seen sold sent set shrank sat spent split spread stood took told thought won
-wore""".split()
-VERBS = """add affect allow appear apply ask avoid become begin break bring build buy call carry
-cause change check choose come compare contain continue cost count cover create cross cut decide decrease depend describe differ double drive drop end
-enter explain fail fall find finish fit fix follow force gain get give go grow happen help hide hit hold hurt improve include increase keep know lead
-learn leave let limit look lose make match matter mean measure meet miss move need offer open pass pay pick play point predict prevent produce protect
-prove pull push put raise reach read recover reduce remain remove repeat replace report require reveal rise run save say scale see seem send set shift show
-shrink slow solve spend split stand start stay stop suggest support take tell think track try turn use want win work answer beat converge dominate exceed""".split()
 PRONOUNS = "we|you|they|I"
-ROMAN = "IVX"
+AUXILIARIES = "am are be been being can could did do does done had has have is may might must shall should was were will would".split()
 PLAIN_WORDS = ("n/a", "w/o", "w/", "i.e", "e.g")
-VARIABLES = ("a9", "a-9", "a+9", "9a", "9-a", "9+a")  # shapes of x1, T-2, 3D: letters as a, runs of digits as 9
-# what spelled-out abbreviations are written like, what joins their parts, and what does on screen
-SPELLED = (
-    (r"(?<![A-Za-z])([A-Za-z](?:[-\s][A-Za-z]){1,7})(?![A-Za-z])", r"[-\s]", ""),
-    (r"(?i)\b([A-Za-z0-9]{1,4}\s+over\s+[A-Za-z0-9]{1,4})\b", r"(?i)\s+over\s+", "/"),
-    (r"(?i)\b([A-Za-z]{1,4}\s+sub\s+[A-Za-z0-9]{1,4})\b", r"(?i)\s+sub\s+", "_"),
-)
+ROMAN_NUMERAL = r"^[IVX]{2,4}$"
+SIZE = r"(?i)^x?[0-9]+(?:x[0-9]+)*x?$"  # 3x3, x2
+FORMULA_PART = r"^(?:[A-Za-z][-+]?[0-9]{1,3}|[0-9]{1,3}[-+]?[A-Za-z])$"  # x1, T-2, 3D
+SPELLED = r"(?<![A-Za-z])([A-Za-z](?:[-\s][A-Za-z]){1,7})(?![A-Za-z])"
+OVER = r"(?i)\b([A-Za-z0-9]{1,4})\s+over\s+([A-Za-z0-9]{1,4})\b"
+SUB = r"(?i)\b([A-Za-z]{1,4})\s+sub\s+([A-Za-z0-9]{1,4})\b"
 SETS_UP = r"(?i)^\s*(?:we\s+(?:denote|write|use)\b|let\b|here\b[^.]{0,20}\bdenotes?\b)"  # how sentences open that only set up notation
 ABUSE = r"(?i)\babuse\s+of\s+notation\b"
 SIGN = r"[_^|=\\{}()<>]|^[A-Za-z]$|^\W+$"
@@ -38,6 +28,26 @@ CONTRACTIONS = ((r"\b([Cc])an['’]t\b", "$1an not"), (r"\b([Ww])on['’]t\b", "
 STOP = "a an the of in on to for and or is are was were be been it its this that we our us you they them with at by as from than then so but not no".split()
 # --------------------------------------------------------------------------------------------------
 
+#: A lexicon of this library, in alphabetical order: verbs that talk titles use, and those whose past is not formed by rule.
+REGULAR = """accept achieve adapt add adjust agree aim align allow amplify analyse annotate answer approach argue arrange arrive assign assume attract average balance behave benefit
+block boost borrow bound bridge cancel capture carry cause challenge change check clarify classify cluster collapse collect combine compare compete compile complete compress compute
+concentrate confirm connect conserve consist constrain control converge copy correct correlate count cover crash cross damage decay decide decline decrease define degrade delay deliver
+depend describe detect determine differ disagree disappear discover divide dominate double drop eliminate emerge enable encode end enforce enter estimate evaluate evolve exceed exist
+expand expect explain explode explore express fail filter finish fix flip follow force form function gain generalise generate guide handle happen help hurt identify ignore
+improve include increase indicate influence inform interact introduce involve isolate jump justify label lack last launch learn limit link look lower maintain map mark mask match matter
+measure merge minimise miss mix model move multiply need observe occur offer open operate optimise outlive outperform overlap pass peak perform persist pick place play point predict prefer
+prevent produce promise protect prove provide pull push question raise rank reach react recover reduce refine reflect reject rely remain remove repeat replace report require
+resist resolve respond reveal reverse reward rotate sample saturate save scale score search select separate serve share shift simplify slow solve sort start stay stop store stretch struggle
+succeed suffer suggest support survive switch talk test track train transfer transform translate treat trigger turn understate update use validate vanish vary verify violate wait want warn work yield""".split()
+STRONG_VERBS = {
+    "beat": "beaten", "become": "became", "begin": "began begun", "bend": "bent", "bind": "bound", "break": "broke broken", "bring": "brought", "build": "built", "buy": "bought", "choose": "chose chosen",
+    "come": "came", "cost": "", "cut": "", "deal": "dealt", "draw": "drew drawn", "drive": "drove driven", "fall": "fell fallen", "feed": "fed", "feel": "felt", "find": "found", "fit": "fitted", "fly": "flew flown",
+    "forget": "forgot forgotten", "get": "got", "give": "gave given", "go": "went gone", "grow": "grew grown", "hide": "hid hidden", "hit": "", "hold": "held", "keep": "kept", "know": "knew known", "lead": "led",
+    "leave": "left", "let": "", "lose": "lost", "make": "made", "mean": "meant", "meet": "met", "pay": "paid", "put": "", "read": "", "ride": "rode ridden", "rise": "rose risen", "run": "ran", "say": "said", "see": "saw seen",
+    "sell": "sold", "send": "sent", "set": "", "shrink": "shrank shrunk", "show": "shown", "sink": "sank sunk", "sit": "sat", "speak": "spoke spoken", "spend": "spent", "split": "", "spread": "", "stand": "stood", "stick": "stuck",
+    "take": "took taken", "teach": "taught", "tell": "told", "think": "thought", "throw": "threw thrown", "wear": "wore worn", "win": "won", "write": "wrote written",
+}
+
 
 def strip_markup(text: Column) -> Column:
     """Marks out, their text stays. Each pass takes off one layer at least, so there are as many passes as a text has
@@ -108,23 +118,19 @@ def content_words(text: Column) -> Column:
 def is_jargon(word: Column) -> Column:
     """Words an audience may not know, told by their shape: two capitals, digits among letters, or a short slash.
 
-    No jargon: one sign, common words, Roman numerals, sizes (3x3, x2) and variables (x1, T-2, 3D).
+    No jargon: one sign, common words, Roman numerals, sizes (3x3, x2) and parts of formulas (x1, T-2, 3D).
     """
-    low = F.lower(word)
-    shape = F.regexp_replace(F.regexp_replace(low, "[0-9]+", "9"), "[a-z]", "a")
-    n_digits, n_capitals = F.regexp_count(word, F.lit("[0-9]")), F.regexp_count(word, F.lit("[A-Z]"))
-    roman = (F.translate(word, ROMAN, "") == "") & F.length(word).between(2, 4)
-    sides = F.split(F.regexp_replace(low, "^x|x$", ""), "x")
-    size = F.forall(sides, lambda side: side.rlike("^[0-9]+$"))
-    known = (F.length(word) < 2) | low.isin(*STOP, *PLAIN_WORDS) | roman | size | (shape.isin(*VARIABLES) & (n_digits <= 3))
-    odd = (n_capitals >= 2) | (F.contains(shape, F.lit("9")) & F.contains(shape, F.lit("a"))) | (F.contains(word, F.lit("/")) & (F.length(word) <= 6))
-    return odd & ~known
+    known = (F.length(word) < 2) | F.lower(word).isin(*STOP, *PLAIN_WORDS) | word.rlike(ROMAN_NUMERAL) | word.rlike(SIZE) | word.rlike(FORMULA_PART)
+    mixed = word.rlike("[0-9]") & word.rlike("[A-Za-z]")
+    return ~known & (mixed | (F.regexp_count(word, F.lit("[A-Z]")) >= 2) | (F.contains(word, F.lit("/")) & (F.length(word) <= 6)))
 
 
 def spoken_forms(text: Column) -> Column:
     """What spelled-out abbreviations look like on screen: E-x-M-y, b over c, x sub i."""
-    joined = lambda joint, to: lambda x: F.regexp_replace(x, joint, to)
-    return F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), joined(joint, to)) for pattern, joint, to in SPELLED])
+    found = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    letters = F.transform(found(SPELLED, 1), lambda x: F.regexp_replace(x, r"[-\s]", ""))
+    pair = lambda pattern, sign: F.transform(found(pattern, 0), lambda x: F.regexp_replace(x, pattern, f"$1{sign}$2"))
+    return F.concat(letters, pair(OVER, "/"), pair(SUB, "_"))
 
 
 def verb_forms(base: str) -> set[str]:
@@ -139,7 +145,10 @@ def verb_forms(base: str) -> set[str]:
 
 
 def verb_set(verbs: list[str] | None = None) -> list[str]:
-    return sorted(set(IRREGULAR_VERBS).union(*map(verb_forms, verbs or VERBS)))
+    """All forms of the given verbs, or of this library's; auxiliaries always."""
+    regular = set().union(*map(verb_forms, verbs if verbs is not None else REGULAR))
+    strong = {f for base, past in ({} if verbs is not None else STRONG_VERBS).items() for f in (base, *past.split(), *(x for x in verb_forms(base) if x.endswith(("s", "ing"))))}
+    return sorted(regular | strong | set(AUXILIARIES))
 
 
 def is_claim(title: Column, verbs: list[str] | None = None) -> Column:
@@ -162,10 +171,11 @@ def is_question(text: Column) -> Column:
 
 
 def notation_only(text: Column) -> Column:
-    """A sentence that only sets up symbols: it owns up to it, or opens like that and two tokens in five are signs."""
+    """A sentence that only sets up symbols: it owns up to an abuse of notation, or opens by setting up and two tokens in
+    five at least are signs."""
     tokens = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    balance = F.aggregate(tokens, F.lit(0), lambda n, x: n + F.when(x.rlike(SIGN), 3).otherwise(-2))  # 3 of 5 against 2 of 5
-    return text.rlike(ABUSE) | (text.rlike(SETS_UP) & (balance >= 0) & (F.size(tokens) > 0))
+    signs = F.size(F.filter(tokens, lambda x: x.rlike(SIGN)))
+    return text.rlike(ABUSE) | (text.rlike(SETS_UP) & (10 * signs >= 4 * F.greatest(F.size(tokens), F.lit(1))))
 
 
 def language(text: Column) -> Column:
