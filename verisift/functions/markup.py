@@ -228,6 +228,57 @@ def wrap_count(text: Column, width: int) -> Column:
     return F.aggregate(words, start, place, lambda s: s["lines"])
 
 
+def balanced_lines(text: Column, lines: int) -> Column:
+    """The text's words on at most so many lines, so that the widest is as narrow as can be; filled from the first line.
+
+    Greedy filling needs fewer lines the wider they are, so the least width among those of all runs of words that does
+    with `lines` is the least possible; greedy filling at that width gives the lines."""
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    sizes = F.transform(words, F.length)
+    run = lambda w, i, j: F.aggregate(F.slice(w, i, j - i + 1), F.lit(0), lambda n, x: n + x) + j - i  # noqa: E731  words i to j with spaces between
+    widths = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(sizes)), lambda i: F.transform(F.sequence(i, F.size(sizes)), lambda j: run(sizes, i, j)))))
+
+    def needed(width: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"))
+        put = lambda s, z: F.when((s["n"] > 0) & (s["used"] + 1 + z <= width), F.struct(s["n"].alias("n"), (s["used"] + 1 + z).alias("used"))).otherwise(F.struct((s["n"] + 1).alias("n"), z.alias("used")))
+        return F.aggregate(sizes, start, put, lambda s: s["n"])
+
+    # no line is narrower than the longest word
+    width = F.array_min(F.filter(widths, lambda w: (w >= F.array_max(sizes)) & (needed(w) <= lines)))
+
+    def fill(out: Column, word: Column) -> Column:
+        last = F.element_at(out, -1)
+        fits = (F.size(out) > 0) & (F.length(last) + 1 + F.length(word) <= width)
+        return F.when(fits, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(last, F.lit(" "), word)))).otherwise(F.concat(out, F.array(word)))
+
+    return F.when(F.size(words) > 0, F.aggregate(words, F.array().cast("array<string>"), fill)).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
+def bib_entries(text: str) -> list[tuple[str, str, str, str]]:
+    """(kind, key, authors, year) of the entries of a .bib text; values stand in balanced braces, quotes or bare."""
+    out = []
+    for m in re.finditer(r"(?:^|\n)[ \t]*@([A-Za-z]+)\s*\{\s*([^,\s}]*)\s*,", text):
+        start = text.index("{", m.start())
+        body, fields, at = text[m.end() : closing(text, start) - 1], {}, 0
+        while name := re.compile(r"[\s,]*([A-Za-z]+)\s*=\s*").match(body, at):
+            at = name.end()
+            if body[at : at + 1] == "{":
+                end = closing(body, at)
+                value = body[at + 1 : end - 1]
+            elif body[at : at + 1] == '"':
+                end = at + 1
+                while end < len(body) and body[end] != '"':
+                    end = closing(body, end) if body[end] == "{" else end + 1 + (body[end] == "\\")
+                value, end = body[at + 1 : end], end + 1
+            else:
+                end = re.compile(r"[^,]*").match(body, at).end()
+                value = body[at:end].strip()
+            fields.setdefault(name[1].lower(), re.sub(r"\s+", " ", value).strip())
+            at = end
+        out.append((m[1].lower(), m[2], fields.get("author", ""), re.sub(r"\D", "", fields.get("year", ""))))
+    return out
+
+
 def _apply(f, kind: str = "string"):
     """A text function as a column function; null stays null."""
 
@@ -256,3 +307,4 @@ prose = _where(clean_prose, r"[\\$%{}~]|[ \t]{2}|\t|^\s|\s$")
 math_to_text = _where(math_text, r"[\\$^_{}]|\s{2}|[\t\n\r\f\x0B]|^\s|\s$")
 digits_for_words = _where(number_words, rf"(?i)(?<![A-Za-z0-9_])(?:{_NUMBER})(?![A-Za-z0-9_])|[0-9]\s*per\s*cent")
 caption_list = _apply(captions, "array<string>")
+bib_list = _apply(lambda text: [dict(zip(("kind", "key", "authors", "year"), e)) for e in bib_entries(text)], "array<struct<kind:string,key:string,authors:string,year:string>>")

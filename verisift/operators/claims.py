@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import text as T
+from ..functions import cells as C, text as T
 
 # ---- fixed values --------------------------------------------------------------------------------
 # lower case but for the first four; "may 2018" is a date, "suggest choosing" advice, "appears in Table 2" a place
@@ -13,6 +13,7 @@ MODAL = (
     r"hopes?\s+to|exhibits?\s+(?:the\s+)?traits|(?:appears?|seems?)\s+(?!(?:in|on|at|as|when|where|while|if|below|above|last|first|only|once|twice|after|before|here|there|"
     r"again|with|alongside|throughout|under|between|near|next|both|together|and|or|for|from|of)\b)[a-z]+)\b"
 )
+TERM = r"[A-Za-z][A-Za-z0-9/+_-]*(?:(?<=[0-9])\.[0-9][A-Za-z0-9/+_-]*)*"
 CLAUSE = r"[,;:()]|\s(?:and|but|while|whereas|which|who|that)\s"
 ANNOUNCE = r"(?:two|three|four|five|several|[0-9]) (?:[A-Za-z]+ )?(?:reasons|causes|mechanisms|explanations|limits|limitations|factors|effects|things|ways|lessons)"
 # --------------------------------------------------------------------------------------------------
@@ -89,3 +90,32 @@ def said_late(shown: DataFrame, said: DataFrame, key: str, order: str, words: Co
     """(key, word, shown, said): words that come on screen before they are said, or are never said."""
     first = lambda df, n: df.select(key, order, F.explode(words).alias("word")).groupBy(key, "word").agg(F.min(order).alias(n))
     return first(shown, "shown").join(first(said, "said"), [key, "word"], "left").where("said IS NULL OR said > shown")
+
+
+def unspoken(slides: DataFrame, key: str = "path", no: str = "n", screen: str = "screen", say: str = "say", backup: str = "backup") -> DataFrame:
+    """(key, n, term): terms that a talk shows and never says, by the slide that shows each first.
+
+    A term counts as said by any of its keys: as it is, with or without a plural s, spelled out ("E-x-M-y", "b over c"),
+    as initials of two to six neighbouring words, as a part of a longer term; or by all of its own parts. One anti-join on
+    (talk, key): a term stays when all of its keys miss."""
+    said = slides.select(key, F.explode(F.array(F.coalesce(F.col(say), F.lit("")))).alias("t"))
+    words = F.regexp_extract_all("t", F.lit("[A-Za-z]+"), F.lit(0))
+    initials = F.flatten(F.array(*[F.transform(T.shingles(F.transform(words, lambda w: F.substring(w, 1, 1)), n), lambda g: F.replace(g, F.lit(" "), F.lit(""))) for n in range(2, 7)]))
+    whole = F.array_distinct(F.transform(F.concat(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)), C.spoken_forms(F.col("t")), initials), F.lower))
+    parts = F.filter(F.flatten(F.transform(whole, lambda w: F.split(w, "[-/_+]"))), lambda p: p != "")
+    plain = F.transform(F.regexp_extract_all("t", F.lit("[A-Za-z]+|[0-9]+"), F.lit(0)), F.lower)
+    keys = said.select(key, F.explode(F.concat(F.transform(F.concat(whole, parts), lambda w: F.struct(w.alias("k"), F.lit(True).alias("term"))), F.transform(plain, lambda w: F.struct(w.alias("k"), F.lit(False).alias("term"))))).alias("x"))
+    keys = keys.groupBy(key, F.col("x.k").alias("k")).agg(F.bool_or("x.term").alias("term"))
+    shown = slides.where(~F.coalesce(F.col(backup), F.lit(False))).select(key, no, F.explode(F.array_distinct(F.regexp_extract_all(screen, F.lit(TERM), F.lit(0)))).alias("term"))
+    shown = shown.where(C.is_jargon(F.col("term"))).groupBy(key, "term").agg(F.min(no).alias(no))
+    low = F.lower("term")
+    own = F.filter(F.split(low, "[-/_+]"), lambda p: p != "")
+    ask = lambda w, part: F.struct(w.alias("k"), F.lit(part).alias("part"))
+    asked = shown.withColumn("n_parts", F.size(F.array_distinct(own))).withColumn("several", F.size(own) > 1)
+    asked = asked.select(key, no, "term", "n_parts", "several", F.explode(F.concat(
+        F.array(ask(low, False), ask(F.concat(low, F.lit("s")), False)), F.when(low.endswith("s"), F.array(ask(F.substring(low, F.lit(1), F.length(low) - 1), False))).otherwise(F.array().cast("array<struct<k:string,part:boolean>>")),
+        F.transform(F.array_distinct(own), lambda p: ask(p, True)))).alias("a"))
+    asked = asked.select(key, no, F.col("term").alias("shown"), "n_parts", "several", "a.k", "a.part")
+    hit = asked.join(keys, [key, "k"], "left").groupBy(key, no, "shown", "n_parts", "several").agg(
+        F.coalesce(F.bool_or(~F.col("part") & F.col("term")), F.lit(False)).alias("as_term"), F.count_if(F.col("part") & F.col("term").isNotNull()).alias("found"))
+    return hit.where(~F.col("as_term") & ~(F.col("several") & (F.col("found") == F.col("n_parts")))).select(key, no, F.col("shown").alias("term"))

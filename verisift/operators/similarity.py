@@ -21,19 +21,21 @@ def similar_sets(sets: DataFrame, words: str = "words", num: int = 1, den: int =
     Candidates share a word of their prefixes, rare words first (by their exact frequency), so frequent words bring
     nobody together; each pair is verified once.
     """
-    sets = sets.select(F.array_sort(F.array_distinct(words)).alias("s")).where(F.size("s") > 0).distinct()
+    sets = sets.select(F.array_sort(F.array_distinct(words)).alias("s")).where(F.size("s") > 0).distinct().select(F.unhex(F.md5(F.array_join("s", "\n").cast("binary"))).alias("id"), "s")
     freq = sets.select(F.explode("s").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ranked = sets.select("s", F.explode("s").alias("w")).join(freq, "w").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
+    ranked = sets.select("id", F.explode("s").alias("w")).join(freq, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("w").alias("h")))).alias("r"))
     size = F.size("r")
     # a rarer word first; sizes that may match fall into the same band of a factor den / num or the next one
     band = F.floor(F.log(size) / math.log(den / num)).cast("int")
-    prefix = ranked.select("s", size.alias("z"), band.alias("band"), F.posexplode(F.slice("r", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1)).alias("pos", "x"))
-    prefix = prefix.select("s", "z", "band", "pos", F.xxhash64("x.w").alias("h"))
+    prefix = ranked.select("id", size.alias("z"), band.alias("band"), F.posexplode(F.slice("r", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1)).alias("pos", "x"))
+    prefix = prefix.select("id", "z", "band", "pos", "x.h")
     a, b = prefix.alias("a"), prefix.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("b")
-    near = f"a.h = b.h AND a.band = b.band AND a.s < b.s AND {den} * least(a.z, b.z) >= {num} * greatest(a.z, b.z)"
+    near = f"a.h = b.h AND a.band = b.band AND a.id < b.id AND {den} * least(a.z, b.z) >= {num} * greatest(a.z, b.z)"
     # what is left of both behind the shared word must be enough
     enough = f"least(a.z - a.pos, b.z - b.pos) * {den + num} >= {num} * (a.z + b.z)"
-    pairs = a.join(b, F.expr(f"{near} AND {enough}")).select(F.col("a.s").alias("x"), F.col("b.s").alias("y")).distinct()
+    pairs = a.join(b, F.expr(f"{near} AND {enough}")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
+    # words are fetched for candidates only
+    pairs = pairs.join(sets.select(F.col("id").alias("i"), F.col("s").alias("x")), "i").join(sets.select(F.col("id").alias("j"), F.col("s").alias("y")), "j")
     both = pairs.withColumn("common", F.size(F.array_intersect("x", "y")).cast("long")).withColumn("united", F.size(F.array_union("x", "y")).cast("long"))
     name = lambda c: F.array_join(c, " ")
     return both.where(F.col("common") * den >= F.col("united") * num).select(F.least(name("x"), name("y")).alias("a"), F.greatest(name("x"), name("y")).alias("b"), "common", "united")
@@ -96,3 +98,18 @@ def best_support(units: DataFrame, paper: DataFrame, group: str, least: int = 3,
 def overlap(a: Column, b: Column) -> Column:
     """Shared words over those of the second."""
     return F.when(F.size(b) > 0, F.size(F.array_intersect(a, b)) / F.size(b)).otherwise(0.0)
+
+
+def untouched(source: DataFrame, derived: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 34) -> DataFrame:
+    """(key, n_sentences, n_untouched): sentences that state values, and those of which the derived texts have neither all
+    values nor a fair share of the words.
+
+    Relational division by counting: a sentence's values and words are looked up in the derived texts' distinct ones by one
+    join on (kind, term), then counted."""
+    terms = lambda values, words: F.concat(F.transform(values, lambda v: F.struct(F.lit(True).alias("value"), v.alias("x"))), F.transform(words, lambda w: F.struct(F.lit(False).alias("value"), w.alias("x"))))
+    rows = source.select(key, F.posexplode(T.sentences(F.col(text))).alias("no", "s")).select(F.monotonically_increasing_id().alias("row"), key, T.decimals(F.col("s")).alias("v"), T.alpha_words(F.col("s")).alias("w"))
+    rows = rows.where((F.size("v") > 0) & (F.size("w") > 0)).select("row", key, F.size("v").alias("n_v"), F.size("w").alias("n_w"), F.explode(terms(F.col("v"), F.col("w"))).alias("t")).select("row", key, "n_v", "n_w", "t.*")
+    used = derived.select(F.explode(F.array_distinct(terms(T.source_decimals(F.col(text)), T.alpha_words(F.col(text))))).alias("t")).select("t.*").distinct().withColumn("hit", F.lit(1))
+    each = rows.join(used, ["value", "x"], "left").groupBy(key, "row", "n_v", "n_w").agg(F.count(F.when(F.col("value"), F.col("hit"))).alias("h_v"), F.count(F.when(~F.col("value"), F.col("hit"))).alias("h_w"))
+    left = (F.col("h_v") < F.col("n_v")) & (F.col("h_w") * 100 < F.col("n_w") * percent)
+    return each.groupBy(key).agg(F.count("*").alias("n_sentences"), F.count_if(left).alias("n_untouched"))

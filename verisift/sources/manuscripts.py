@@ -168,6 +168,42 @@ def references(docs: DataFrame, key: str = "path", text: str = "text") -> DataFr
     return docs.select(key, F.posexplode(entry).alias("no", "entry")).withColumn("entry", F.trim(F.regexp_replace("entry", r"\s+", " "))).withColumn("years", years)
 
 
+def bibliography(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """(key, no, authors, years): entries of .bib texts, and of \\bibitem lists, whose authors end at the first \\newblock."""
+    bib = docs.where(F.col(text).rlike(r"(?:^|\n)[ \t]*@[A-Za-z]+\s*\{")).select(key, F.posexplode(M.bib_list(F.col(text))).alias("no", "e"))
+    bib = bib.select(key, "no", F.col("e.authors").alias("authors"), F.when(F.col("e.year") != "", F.array("e.year")).otherwise(F.array().cast("array<string>")).alias("years"))
+    bbl = references(docs.where(F.contains(F.col(text), F.lit("\\bibitem"))), key, text)
+    return bib.unionByName(bbl.select(key, "no", F.split_part("entry", F.lit("\\newblock"), F.lit(1)).alias("authors"), "years"))
+
+
+def wrong_years(texts: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, name, year, listed): "Name (year)" where the name's entries have other years only; names without an entry are
+    no citations. Surnames are the blocking key of an equi-join."""
+    cite = r"\b([A-Z][a-z][A-Za-z'\-]+)(?:\s+(?:and|&)\s+[A-Z][A-Za-z'\-]+|\s+et\s+al\.?)?,?\s*\(?((?:19|20)[0-9]{2})\)?(?![0-9])"
+    cited = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(cite), F.lit(0)))).alias("m")).select(key, F.regexp_extract("m", cite, 1).alias("name"), F.regexp_extract("m", cite, 2).alias("year")).distinct()
+    names = entries.select(F.explode(F.array_distinct(F.regexp_extract_all("authors", F.lit(r"[A-Za-z][A-Za-z'\-]+"), F.lit(0)))).alias("name"), "years")
+    known = names.groupBy("name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("years")))).alias("listed"))
+    return cited.join(known, "name").where(~F.array_contains("listed", F.col("year"))).select(key, "name", "year", "listed")
+
+
+def with_merged_headers(cells: DataFrame, heads: DataFrame, by: list[str]) -> DataFrame:
+    """Tables (by, r, c, cell) whose first `n_head` rows (by, n_head) are one header: (by, r, c, cell), the header row 0.
+
+    In header rows above the last a blank cell goes on with the one to its left (a span); a column's header is its cells
+    from the top down, repeats once, joined by spaces. Columns that are blank throughout are left out, but for the first,
+    and the others numbered anew from 0."""
+    rows = cells.join(heads, by).withColumn("filled", F.when(F.trim("cell") != "", F.trim("cell")))
+    left = W.partitionBy(*by, "r").orderBy("c").rowsBetween(W.unboundedPreceding, W.currentRow)
+    spread = F.when((F.col("r") < F.col("n_head") - 1) & (F.col("c") > 0), F.last("filled", ignorenulls=True).over(left)).otherwise(F.col("filled"))
+    rows = rows.withColumn("cell", F.coalesce(F.when(F.col("r") < F.col("n_head"), spread).otherwise(F.col("filled")), F.lit("")))
+    used = rows.groupBy(*by, "c").agg(F.bool_or(F.col("filled").isNotNull()).alias("used")).where("used OR c = 0")
+    used = used.select(*by, "c", (F.row_number().over(W.partitionBy(*by).orderBy("c")) - 1).alias("to"))
+    rows = rows.join(used, [*by, "c"])
+    head = rows.where("r < n_head").groupBy(*by, "to").agg(F.array_join(F.array_distinct(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("r", "cell"))), lambda x: x["cell"]), lambda x: x != "")), " ").alias("cell"))
+    body = rows.where("r >= n_head").select(*by, (F.col("r") - F.col("n_head") + 1).cast("int").alias("r"), F.col("to").alias("c"), "cell")
+    return head.select(*by, F.lit(0).alias("r"), F.col("to").alias("c"), "cell").unionByName(body)
+
+
 def front_matter(text: Column) -> Column:
     """The keys and values between the first two lines of dashes, as a map; lines that are no `key: value` are left out."""
     block = F.regexp_extract(text, r"^---\n((?:.|\n)*?)\n---(?:\n|$)", 1)
