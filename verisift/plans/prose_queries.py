@@ -70,9 +70,9 @@ def uncountable_lines(spark, sf_dir):
 
 
 def line_widths(spark, sf_dir):
-    """Documents whose first line is wider than ten inches at 18 points, in thousandths of an inch."""
-    line = F.element_at(F.split("text", "\n"), 1)
-    width = F.floor(F.length(line).cast("long") * 18 * 55 * 1000 / 7200).cast("long")
+    """Documents whose widest line is wider than ten inches at 18 points, in thousandths of an inch."""
+    longest = F.array_max(F.transform(F.split("text", "\n"), F.length))
+    width = F.floor(longest.cast("long") * 18 * 55 * 1000 / 7200).cast("long")
     return _docs(spark, sf_dir).select("doc_id", width.alias("mils")).where("mils > 10000")
 
 
@@ -154,7 +154,7 @@ k AS (SELECT list(DISTINCT x) AS k FROM (SELECT unnest({_ALPHA.format('text')})
 SELECT doc_id, count(*) AS n_caveats, count(*) FILTER (WHERE n > 0 AND n * 2 < z) AS n_lost FROM r GROUP BY doc_id""",
         "script_languages": """WITH c AS (SELECT lang, len(regexp_extract_all(text, '[가-힣]')) AS h, len(regexp_extract_all(text, '[A-Za-z가-힣]')) AS l FROM documents) SELECT lang, CASE WHEN h * 2 > l OR l = 0 THEN 'ko' ELSE 'en' END AS script, count(*) AS n FROM c GROUP BY ALL""",
         "uncountable_lines": r"""SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_replace(line, '\s', '', 'g') <> '' AND NOT regexp_matches(line, '[A-Za-z0-9가-힣぀-ヿ一-鿿]') GROUP BY doc_id""",
-        "line_widths": "SELECT doc_id, m AS mils FROM (SELECT doc_id, (length(string_split(text, chr(10))[1]) * 18 * 55 * 1000 // 7200)::BIGINT AS m FROM documents) WHERE m > 10000",
+        "line_widths": "SELECT doc_id, m AS mils FROM (SELECT doc_id, (list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) * 18 * 55 * 1000 // 7200)::BIGINT AS m FROM documents) WHERE m > 10000",
         "cell_kinds": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'hit' WHEN 1 THEN 'b' WHEN 2 THEN 'safe' ELSE 'plain' END AS kind, count(*) AS n_cells, sum(length(p_name) + CASE WHEN p_partkey % 4 = 2 THEN 2 ELSE 0 END)::BIGINT AS n_chars FROM part GROUP BY 1",
         "group_rows": "SELECT p_brand, count(*) FILTER (WHERE trim(p_name) <> '' AND (p_size <= 25 OR trim(p_type) = '') AND (p_partkey % 3 = 0 OR trim(p_brand) = '')) AS n_groups, count(*) AS n_rows FROM part GROUP BY p_brand",
         "cap_heights": "SELECT p_size, count(*) AS n_parts, 100.0::DOUBLE * p_size / 200.0 AS percent FROM part GROUP BY p_size",

@@ -32,7 +32,7 @@ def top_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _runs(spark, sf_dir) -> DataFrame:
     """Page numbers of decks (customers): "n/m" texts, some of them with another total."""
     n, m = F.col("o_orderkey") % 11 + 1, F.when(F.col("o_orderkey") % 5 == 0, 12).otherwise(F.col("o_custkey") % 4 + 8)
-    orders = table(spark, sf_dir, "orders").where("o_custkey % 7 = 0")
+    orders = table(spark, sf_dir, "orders")
     return orders.select(F.col("o_custkey").alias("deck"), F.concat(F.lit(" "), n.cast("string"), F.lit(" / "), m.cast("string")).alias("text"))
 
 
@@ -161,9 +161,9 @@ def author_affiliations(spark, sf_dir):
 
 
 def cited_figures(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, sf_dir, "orders")
     sections = o.select((F.col("o_custkey") % 40).alias("doc"), F.col("o_orderkey").alias("sec_no"), F.concat(F.lit("see \\ref{fig"), (F.col("o_orderkey") % 8).cast("string"), F.lit("} and \\cref{fig"), (F.col("o_custkey") % 5).cast("string"), F.lit("}")).alias("body"))
-    figures = table(spark, sf_dir, "nation").where("n_nationkey < 6").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("doc"), F.concat(F.lit("fig"), F.col("n_nationkey").cast("string")).alias("label"))
+    figures = table(spark, sf_dir, "nation").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("doc"), F.concat(F.lit("fig"), F.col("n_nationkey").cast("string")).alias("label"))
     return A.cited_sections(sections, figures).select("doc", "label", F.size("sections").cast("long").alias("n_sections"), F.get("sections", F.lit(0)).alias("first"))
 
 
@@ -281,7 +281,7 @@ def span_lines(spark, sf_dir):
 
 def _specs(spark, sf_dir) -> DataFrame:
     """Slide lists in JSON: the parts of a brand, with kinds, fields that their kind does not draw and ragged tables."""
-    p = _part(spark, sf_dir).where("p_partkey < 400")
+    p = _part(spark, sf_dir)
     k = F.col("p_partkey") % 5
     slide = F.struct(
         F.when(k == 0, "standout").when(k == 1, "poster").alias("kind"), F.col("p_name").alias("title"), F.when(k == 2, F.array("p_type", "p_name")).alias("bullets"), F.when(k == 0, F.col("p_brand")).alias("big"),
@@ -326,8 +326,9 @@ def expanded_macros(spark, sf_dir):
 
 def resolved_toggles(spark, sf_dir):
     toggle = F.when(F.col("p_partkey") % 3 == 0, "\\toggletrue{x}").when(F.col("p_partkey") % 3 == 1, "\\togglefalse{x}").otherwise("")
-    text = _said(toggle, "a \\iftoggle{x}{", F.col("p_name"), "}{\\iftoggle{y}{z}{", F.col("p_type"), "}} b")
-    return _part(spark, sf_dir).select("p_partkey", M.resolve_toggles(text).alias("text")).where("p_partkey % 7 = 0")
+    inner = F.when(F.col("p_partkey") % 2 == 0, "\\toggletrue{y}").otherwise("")
+    text = _said(toggle, inner, "a \\iftoggle{x}{", F.col("p_name"), "}{\\iftoggle{y}{z}{", F.col("p_type"), "}} b")
+    return _part(spark, sf_dir).select("p_partkey", M.resolve_toggles(text).alias("text"))
 
 
 def caption_texts(spark, sf_dir):
@@ -354,11 +355,11 @@ def tabular_cells(spark, sf_dir):
 
 
 def included_files(spark, sf_dir):
-    """Regions as files that include their nations' files, which include one another's in a circle."""
+    """Regions as files that include nations' files, which include one another's in circles of five."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     key = lambda c: F.col(c).cast("string")
-    mains = r.select(F.concat(F.lit("/x/r"), key("r_regionkey"), F.lit(".tex")).alias("path"), F.concat("r_name", F.lit(": \\input{n"), key("r_regionkey"), F.lit("} end")).alias("text"))
-    parts = n.where("n_nationkey < 5").select(F.concat(F.lit("/x/n"), key("n_nationkey"), F.lit(".tex")).alias("path"), F.concat(F.lit("["), "n_name", F.lit(" \\include{n"), ((F.col("n_nationkey") + 1) % 5).cast("string"), F.lit("}]")).alias("text"))
+    mains = r.select(F.concat(F.lit("/x/r"), key("r_regionkey"), F.lit(".tex")).alias("path"), F.concat("r_name", F.lit(": \\input{n"), (F.col("r_regionkey") * 5).cast("string"), F.lit("} end")).alias("text"))
+    parts = n.select(F.concat(F.lit("/x/n"), key("n_nationkey"), F.lit(".tex")).alias("path"), F.concat(F.lit("["), "n_name", F.lit(" \\include{n"), (F.col("n_nationkey") + F.when(F.col("n_nationkey") % 5 == 4, -4).otherwise(1)).cast("string"), F.lit("}]")).alias("text"))
     return I.with_includes(mains.unionAll(parts)).where("path LIKE '%/r%'")
 
 
@@ -375,7 +376,7 @@ def _boxes(spark, sf_dir) -> DataFrame:
 def crossed_boxes(spark, sf_dir):
     """Boxes that straight arrows between points given by parts run through."""
     k = F.col("p_partkey")
-    paths = _part(spark, sf_dir).where("p_partkey < 300").select((k % 10).alias("page"), k.alias("path"), (k * 11 % 400).cast("double").alias("x0"), (k * 29 % 300).cast("double").alias("y0"), (k * 71 % 400).cast("double").alias("x1"), (k * 13 % 300).cast("double").alias("y1"))
+    paths = _part(spark, sf_dir).select((k % 10).alias("page"), k.alias("path"), (k * 11 % 400).cast("double").alias("x0"), (k * 29 % 300).cast("double").alias("y0"), (k * 71 % 400).cast("double").alias("x1"), (k * 13 % 300).cast("double").alias("y1"))
     return L.crossed_boxes(paths, _boxes(spark, sf_dir), steps=16)
 
 
@@ -395,8 +396,9 @@ def callout_rows(spark, sf_dir):
 
 def referenced_tables(spark, sf_dir):
     p = _part(spark, sf_dir)
-    tables = p.where("p_partkey % 3 = 0").select((F.col("p_partkey") % 200).alias("slide"), F.when(F.col("p_size") % 3 == 0, F.lit(None).cast("string")).when(F.col("p_size") % 3 == 1, "left").otherwise("right").alias("pane"), F.col("p_partkey").alias("tbl"))
-    references = p.where("p_partkey < 400").select((F.col("p_partkey") % 200).alias("slide"), _pick(F.col("p_size"), "self", "left", "right").alias("ref")).distinct()
+    slide = F.floor(F.col("p_partkey") / 2)
+    tables = p.select(slide.alias("slide"), F.when(F.col("p_size") % 3 == 0, F.lit(None).cast("string")).when(F.col("p_size") % 3 == 1, "left").otherwise("right").alias("pane"), F.col("p_partkey").alias("tbl"))
+    references = p.select(slide.alias("slide"), _pick(F.col("p_partkey"), "self", "left", "right").alias("ref")).distinct()
     one = tables.groupBy("slide", "pane").agg(F.min("tbl").alias("tbl"))
     return L.table_of(references, one)
 
@@ -410,8 +412,8 @@ def backup_only_values(spark, sf_dir):
 
 
 def long_topic_hits(spark, sf_dir):
-    """Words of documents' first lines that the benchmark has, or has as a part or the whole of a long word."""
-    words = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select("doc_id", F.explode(T.alpha_words(T.first_line(F.col("text")))).alias("word"))
+    """Words of documents that the benchmark has, or has as a part or the whole of a long word."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.alpha_words(F.col("text"))).alias("word"))
     known = table(spark, sf_dir, "benchmark").select(F.explode(T.alpha_words(F.col("text"))).alias("word"))
     return L.topic_hits(words, known, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"))
 
@@ -422,7 +424,7 @@ def wide_tokens(spark, sf_dir):
 
 
 def table_heights(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
+    line = table(spark, sf_dir, "lineitem")
     return L.table_heights(line.select(F.col("l_orderkey").alias("tbl"), F.col("l_linenumber").alias("r"), F.ceil(F.col("l_quantity") / 10).alias("lines"), (F.col("l_suppkey") % 3 + 10).alias("line_height")))
 
 
@@ -490,7 +492,7 @@ def _pick_sql(number: str, *values: str) -> str:
     return f"[{', '.join(repr(v) for v in values)}][{number} % {len(values)} + 1]"
 
 
-_RUNS = """(SELECT o_custkey AS deck, o_orderkey % 11 + 1 AS n, CASE WHEN o_orderkey % 5 = 0 THEN 12 ELSE o_custkey % 4 + 8 END AS m FROM orders WHERE o_custkey % 7 = 0)"""
+_RUNS = """(SELECT o_custkey AS deck, o_orderkey % 11 + 1 AS n, CASE WHEN o_orderkey % 5 = 0 THEN 12 ELSE o_custkey % 4 + 8 END AS m FROM orders)"""
 _STRUCTURE = f"""(SELECT deck, m, n_runs, numbers FROM (SELECT deck, m, count(*) AS n_runs, list_sort(list(DISTINCT n)) AS numbers, row_number() OVER (PARTITION BY deck ORDER BY count(*) DESC, m) AS k FROM {_RUNS} WHERE n <= m GROUP BY deck, m) WHERE k = 1)"""
 _SLIDES = "(SELECT p_size AS talk, p_partkey AS n, p_partkey % 4 = 0 AS standout, p_name || ' is' || CASE WHEN p_partkey % 3 > 0 THEN ' ' || lower(p_type) ELSE '' END AS text FROM part)"
 _THESIS = f"(SELECT talk, max_by(text, n) AS thesis FROM {_SLIDES} WHERE standout GROUP BY talk)"
@@ -498,7 +500,7 @@ _TALK_CELLS = "(SELECT l_orderkey % 300 AS talk, l_linenumber AS n, CASE WHEN l_
 _BOXES = """(SELECT s_suppkey % 10 AS page, s_suppkey AS box, (s_suppkey * 37 % 400)::DOUBLE AS x0, (s_suppkey * 53 % 300)::DOUBLE AS y0, (s_suppkey * 37 % 400)::DOUBLE + 20 + s_nationkey * 3 AS x1, (s_suppkey * 53 % 300)::DOUBLE + 15 + s_nationkey AS y1 FROM supplier)"""
 _PIXELS = "(SELECT l_suppkey % 20 AS image, l_orderkey AS x, l_linenumber AS y, floor(l_quantity * l_linenumber / 3)::BIGINT AS colour FROM lineitem)"
 _CELL = "repeat(' ', (p_partkey % 6)::INT) || CASE WHEN p_partkey % 7 = 0 THEN '…' WHEN p_partkey % 11 = 0 THEN '**...**' ELSE p_name END"
-_SPEC = """(SELECT p_brand AS path, p_partkey, p_partkey % 5 AS k, p_name, p_type, p_size > 40 AS backup, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part WHERE p_partkey < 400)"""
+_SPEC = """(SELECT p_brand AS path, p_partkey, p_partkey % 5 AS k, p_name, p_type, p_size > 40 AS backup, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part)"""
 
 
 def sql() -> dict[str, str]:
@@ -543,8 +545,8 @@ SELECT talk, first_result, count(*) FILTER (WHERE f AND n < first_result) AS n_f
         "pasted_figures": """SELECT p_size AS talk, p_partkey AS n, 'figs/' || replace(p_name, ' ', '-') || '.png' AS file FROM part p WHERE p_partkey % 6 <> 0 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey % 5 = 0 AND q.p_size = p.p_size AND q.p_name = p.p_name)""",
         "author_affiliations": """WITH a AS (SELECT n_regionkey AS paper, s_suppkey AS pos, unnest([0, 1]) AS k, unnest([s_nationkey, (s_nationkey + 5) % 25]) AS mark FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 f AS (SELECT paper, n_name, min((pos, k)) AS place FROM a JOIN nation ON n_regionkey = paper AND n_nationkey = mark GROUP BY paper, n_name) SELECT paper, string_agg(n_name, '|' ORDER BY place) AS institutions FROM f GROUP BY paper""",
-        "cited_figures": """WITH r AS (SELECT DISTINCT o_custkey % 40 AS doc, o_orderkey AS s, unnest(['fig' || (o_orderkey % 8), 'fig' || (o_custkey % 5)]) AS label FROM orders WHERE o_orderkey % 3 = 0)
-SELECT doc, label, count(*) AS n_sections, min(s) AS first FROM r WHERE label IN ('fig0', 'fig1', 'fig2', 'fig3', 'fig4', 'fig5') GROUP BY doc, label""",
+        "cited_figures": """WITH r AS (SELECT DISTINCT o_custkey % 40 AS doc, o_orderkey AS s, unnest(['fig' || (o_orderkey % 8), 'fig' || (o_custkey % 5)]) AS label FROM orders)
+SELECT doc, label, count(*) AS n_sections, min(s) AS first FROM r WHERE label IN (SELECT 'fig' || n_nationkey FROM nation) GROUP BY doc, label""",
         "label_runs": """WITH m AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM events)
 SELECT user_id, event_type, min(event_id) AS start, count(*) AS n FROM m GROUP BY user_id, event_type, g""",
         "shown_before_said": f"""WITH w AS (SELECT conv_id, role, unnest({_RUN.format('text')}) AS word, turn FROM conversations),
@@ -587,31 +589,31 @@ p AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY backup, n) AS plac
 SELECT path, n, kind, backup, n_screen::BIGINT AS n_screen, (length(p_name) + 7)::BIGINT AS n_say, place, CASE WHEN numbered THEN sum(numbered::INT) OVER (PARTITION BY path ORDER BY place) END::BIGINT AS page FROM p""",
         "accented_names": r"SELECT text, count(*) AS n FROM (SELECT ['Ré', 'ça', 'ö', 'ß'][p_partkey % 4 + 1] || ' \cite{a} ' || p_name || ' \caption{v}' AS text FROM part) GROUP BY text",
         "expanded_macros": r"SELECT text, count(*) AS n FROM (SELECT 'See ' || p_name || ' and ' || p_type || ', not \whatever.' AS text FROM part) GROUP BY text",
-        "resolved_toggles": r"SELECT p_partkey, ['\toggletrue{x}', '\togglefalse{x}', ''][p_partkey % 3 + 1] || 'a ' || CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_type END || ' b' AS text FROM part WHERE p_partkey % 7 = 0",
+        "resolved_toggles": r"SELECT p_partkey, ['\toggletrue{x}', '\togglefalse{x}', ''][p_partkey % 3 + 1] || CASE WHEN p_partkey % 2 = 0 THEN '\toggletrue{y}' ELSE '' END || 'a ' || CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 2 = 0 THEN 'z' ELSE p_type END || ' b' AS text FROM part",
         "caption_texts": r"SELECT caption, count(*) AS n FROM (SELECT p_name || ' in {\bf braces} \}' AS caption FROM part UNION ALL SELECT p_type FROM part) GROUP BY caption",
         "dropped_commands": r"SELECT text, count(*) AS n FROM (SELECT 'a [b] \emph{' || p_type || '} ' || chr(10) || ' d  e' AS text FROM part) GROUP BY text",
         "formula_texts": "SELECT text, count(*) AS n FROM (SELECT 'α' || translate(p_size::VARCHAR, '0123456789', '₀₁₂₃₄₅₆₇₈₉') || ' × x² ≤ ' || p_type || '/2' AS text FROM part) GROUP BY text",
         "tabular_cells": """WITH n AS (SELECT n_regionkey AS path, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r, n_name, n_nationkey FROM nation),
 a AS (SELECT path, r, unnest([0, 1]) AS c, unnest([n_name, n_nationkey::VARCHAR]) AS cell FROM n)
 SELECT * FROM a UNION ALL SELECT r_regionkey, 0, c, cell FROM region, (VALUES (0, 'Name'), (1, 'Key')) v(c, cell) UNION ALL SELECT path, max(r) + 1, c, 'all' FROM a GROUP BY path, c""",
-        "included_files": """SELECT '/x/r' || r_regionkey || '.tex' AS path, r_name || ': ' || string_agg('[' || n_name || ' ', '' ORDER BY (n_nationkey - r_regionkey + 5) % 5) || ']]]]] end' AS text FROM region, nation WHERE n_nationkey < 5 GROUP BY r_regionkey, r_name""",
-        "crossed_boxes": f"""WITH b AS {_BOXES}, p AS (SELECT p_partkey % 10 AS page, p_partkey AS path, (p_partkey * 11 % 400)::DOUBLE AS x0, (p_partkey * 29 % 300)::DOUBLE AS y0, (p_partkey * 71 % 400)::DOUBLE AS x1, (p_partkey * 13 % 300)::DOUBLE AS y1 FROM part WHERE p_partkey < 300),
+        "included_files": """SELECT '/x/r' || r_regionkey || '.tex' AS path, r_name || ': ' || string_agg('[' || n_name || ' ', '' ORDER BY n_nationkey) || ']]]]] end' AS text FROM region, nation WHERE n_nationkey // 5 = r_regionkey GROUP BY r_regionkey, r_name""",
+        "crossed_boxes": f"""WITH b AS {_BOXES}, p AS (SELECT p_partkey % 10 AS page, p_partkey AS path, (p_partkey * 11 % 400)::DOUBLE AS x0, (p_partkey * 29 % 300)::DOUBLE AS y0, (p_partkey * 71 % 400)::DOUBLE AS x1, (p_partkey * 13 % 300)::DOUBLE AS y1 FROM part),
 k AS (SELECT page, path, x0 + (x1 - x0) * (k / 16.0::DOUBLE) AS x, y0 + (y1 - y0) * (k / 16.0::DOUBLE) AS y FROM (SELECT *, unnest(range(1, 16)) AS k FROM p))
 SELECT k.page, path, box, count(*) AS n FROM k JOIN b ON k.page = b.page AND x > b.x0 AND x < b.x1 AND y > b.y0 AND y < b.y1 GROUP BY ALL""",
         "boxes_on_canvas": f"SELECT page, count(*) AS n_boxes, min(box) AS first FROM {_BOXES} WHERE x1 > 100 AND y1 > 60 AND x0 < 340 AND y0 < 240 GROUP BY page",
         "callout_rows": """SELECT n_regionkey AS chart, CASE n_nationkey % 3 WHEN 0 THEN (n_nationkey % 7)::VARCHAR WHEN 1 THEN n_name || ' ' ELSE 'none' END AS target,
 CASE n_nationkey % 3 WHEN 0 THEN CASE WHEN n_nationkey % 7 <= 4 THEN n_nationkey % 7 END WHEN 1 THEN n_nationkey // 5 END::BIGINT AS pos FROM nation""",
-        "referenced_tables": f"""WITH t AS (SELECT p_partkey % 200 AS slide, ['self', 'left', 'right'][p_size % 3 + 1] AS pane, min(p_partkey) AS tbl FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL),
-r AS (SELECT DISTINCT p_partkey % 200 AS slide, {_pick_sql('p_size', 'self', 'left', 'right')} AS ref FROM part WHERE p_partkey < 400)
+        "referenced_tables": f"""WITH t AS (SELECT p_partkey // 2 AS slide, ['self', 'left', 'right'][p_size % 3 + 1] AS pane, min(p_partkey) AS tbl FROM part GROUP BY ALL),
+r AS (SELECT DISTINCT p_partkey // 2 AS slide, {_pick_sql('p_partkey', 'self', 'left', 'right')} AS ref FROM part)
 SELECT slide, ref, coalesce((SELECT tbl FROM t WHERE t.slide = r.slide AND pane = ref), CASE WHEN ref = 'self' THEN coalesce((SELECT tbl FROM t WHERE t.slide = r.slide AND pane = 'left'), (SELECT tbl FROM t WHERE t.slide = r.slide AND pane = 'right')) END) AS tbl FROM r""",
         "backup_only_values": """WITH s AS (SELECT p_brand, p_size AS v, bool_and(p_partkey % 4 < 3) AS held FROM part WHERE p_partkey % 5 > 0 GROUP BY ALL),
 v AS (SELECT p_brand, p_partkey, unnest([p_size, p_size + 1]) AS v FROM part WHERE p_partkey % 5 = 0 AND p_size % 7 > 0)
 SELECT p_brand, p_partkey FROM v LEFT JOIN s USING (p_brand, v) GROUP BY ALL HAVING bool_and(coalesce(held, false))""",
-        "long_topic_hits": rf"""WITH w AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all({_FIRST}, '[A-Za-z][A-Za-z\-]{{3,}}'))) AS w FROM documents WHERE doc_id % 20 = 0), k AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z\-]{{3,}}'))) AS k FROM benchmark)
-SELECT doc_id, count(DISTINCT w) AS n_hits FROM w JOIN k ON w = k OR (length(w) >= 7 AND length(k) >= 7 AND (contains(w, k) OR contains(k, w))) GROUP BY doc_id""",
+        "long_topic_hits": rf"""WITH w AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z\-]{{3,}}'))) AS w FROM documents), k AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z\-]{{3,}}'))) AS k FROM benchmark)
+SELECT doc_id, count(*) AS n_hits FROM w WHERE w IN (SELECT w FROM (SELECT DISTINCT w FROM w) JOIN k ON w = k OR (length(w) >= 7 AND length(k) >= 7 AND (contains(w, k) OR contains(k, w)))) GROUP BY doc_id""",
         "wide_tokens": f"""WITH w AS (SELECT p_partkey AS box, unnest(string_split(p_name || ' ' || p_brand, ' ')) AS w, p_size % 20 + 8 AS pt, p_size / 40.0::DOUBLE AS inches FROM part), x AS (SELECT *, length(w) * pt::DOUBLE * {C.EM}::DOUBLE / 72.0::DOUBLE AS width FROM w)
 SELECT box, count(*) AS n, max_by(w, (width, w)) AS widest FROM x WHERE width > inches GROUP BY box""",
-        "table_heights": "SELECT tbl, sum(h)::BIGINT AS height FROM (SELECT l_orderkey AS tbl, l_linenumber, max(ceil(l_quantity / 10) * (l_suppkey % 3 + 10)) AS h FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL) GROUP BY tbl",
+        "table_heights": "SELECT tbl, sum(h)::BIGINT AS height FROM (SELECT l_orderkey AS tbl, l_linenumber, max(ceil(l_quantity / 10) * (l_suppkey % 3 + 10)) AS h FROM lineitem GROUP BY ALL) GROUP BY tbl",
         "marked_cells": """WITH r AS (SELECT p_brand AS tbl, p_partkey % 6 AS r, count(*) FILTER (WHERE p_partkey % 4 = 0) AS m, count(*) AS n, count(*) FILTER (WHERE p_partkey % 4 <> 0 AND p_size < 25) AS b FROM part GROUP BY ALL)
 SELECT tbl, sum(m)::BIGINT AS n_marked, sum(n)::BIGINT AS n_cells, count(*) FILTER (WHERE b * 2 > n) AS n_blank_rows FROM r GROUP BY tbl""",
         "paper_colours": f"SELECT image, colour, n FROM (SELECT image, colour, count(*) AS n, row_number() OVER (PARTITION BY image ORDER BY count(*) DESC, colour) AS k FROM {_PIXELS} WHERE colour >= 6 GROUP BY image, colour) WHERE k = 1",
