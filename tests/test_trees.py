@@ -123,3 +123,20 @@ def test_key_reference_names_every_key_once():
     listed = trees.key_reference()
     assert len(listed) == len(set(listed)) == sum(map(len, trees.KEYS.values())) and ("pane", "parts", "pane") in listed
     assert all(shape in (*trees.KEYS, "spec", "pipeline", "strip") and (shape not in trees.KEYS or name in trees.KEYS[shape]) for shape, name in trees.BELOW)
+
+
+def test_density_of_slides(spark):
+    table = {"header": ["a", "b", "c", "d", "e"], "rows": [["1"] * 5] * 9}
+    deck = [
+        {"kind": "title", "title": "T"}, {"title": "Only bullets", "bullets": ["one two", "**three**"]}, {"title": "Why?", "table": table, "cue": "point"}, {"big": [{"value": "9", "mark": "hit"}], "lead": "so what?"},
+        {"title": "x", "left": {"bullets": ["p"], "parts": [{"bullets": ["a b c"]}, {"figure": {"path": "f"}}]}, "right": {"text": "t"}}, {"title": "eaten", "table": table, "chart": {"from": "self"}, "note": "n"},
+        {"title": "back", "backup": True, "bullets": ["b"]}, {"title": "f", "formula": "$x$", "bullets": ["<hit>b</hit>"]}]
+    t = tree(spark, deck)
+    d = {r.slide: r for r in trees.slide_density(t).collect()}
+    assert [d[i].bullets_only for i in range(8)] == [False, True, False, False, False, False, True, False] and [d[i].question for i in (0, 2, 3)] == [False, True, True]
+    assert [d[i].emphasis for i in range(8)] == [False, True, False, True, False, False, False, True] and [d[i].table for i in (2, 4, 5)] == [True, False, False] and d[4].figure and (d[4].n_bullets, d[4].n_words) == (1, 3)
+    p = trees.density(t).first()
+    assert (p.n_slides, p.figure, p.table, p.columns, p.standout, p.question, p.bullets_only) == (7, 3 / 7, 1 / 7, 1 / 7, 1 / 7, 2 / 7, 1 / 7)
+    assert p.emphasis == 2 / 5 and p.bullets_a_slide == 4 / 7 and p.words_a_bullet == 7 / 4
+    notes = rows(trees.slide_notes(t, max_rows=8), "slide", "note")
+    assert [n for n in notes if n[1] == "undirected"] == [(i, "undirected") for i in (1, 3, 4, 7)] and (2, "large table") in notes and (5, "large table") in notes and (2, "too many rows") in notes and (1, "bullets only") in notes

@@ -21,10 +21,10 @@ _SLIDES = (
     '{"title": "@N", "diagram": {"kind": "strip", "rows": [{"label": "r", "cells": [{"label": "@N", "mark": "role"}, {"label": " "}]}], "legend": {"role": "@T"}}}',
     '{"title": "@N", "left": {"parts": [{"text": "@T"}, {"bullets": ["@S", "@N"], "figur": 1}]}, "right": {"block": {"title": "@N", "text": "@T"}, "bullets": []}}',
     '{"title": "@N", "chart": {"panels": [{"title": "@T", "table": {"header": ["x"], "rows": [["@S"]]}}, {"title": "@N", "form": "self"}], "ylabel": "@N"}, "foot": "@T"}',
-    '{"kind": "content", "title": "@N", "figure": {"path": "@N.png", "highlight": {"x": 0.1, "y": 0, "w": 1, "h": 1, "mrak": "hit"}}, "bullets": ["@T"]}',
+    '{"kind": "content", "title": "@N", "figure": {"path": "@N.png", "highlight": {"x": 0.1, "y": 0, "w": 1, "h": 1, "mrak": "hit"}}, "bullets": ["**@T** here", "Why @N"]}',
     '{"kind": "standout", "title": "@N", "flow": ["@T", "@N"], "foot": "gone", "zzz": null}',
     '{"title": "@N", "diagram": {"kind": "spiral", "boxes": [{"label": "@T"}]}, "say": ["@N"], "backup": true}',
-    '{"title": "@N", "diagram": {"boxes": [], "note": "@T"}, "steps": ["@S"], "pause": 2.5, "n": 0}',
+    '{"title": "@N?", "diagram": {"boxes": [], "note": "@T"}, "steps": ["@S"], "cue": "point", "pause": 2.5, "n": 0}',
 )
 
 
@@ -89,6 +89,15 @@ def spec_acronyms(spark, sf_dir):
     return words.join(bad, "path", "left").select("path", "n_words", F.coalesce("n_bad", F.lit(0)).cast("long").alias("n_bad"))
 
 
+def spec_density(spark, sf_dir):
+    rows = trees.density(_tree(spark, sf_dir))
+    return rows.select("path", "n_slides", *[F.round(c, 9).alias(c) for c in rows.columns[2:]])
+
+
+def spec_slide_notes(spark, sf_dir):
+    return trees.slide_notes(_tree(spark, sf_dir), max_rows=1).groupBy("path", "note").agg(F.count("*").alias("n"))
+
+
 def yaml_decks(spark, sf_dir):
     """YAML specs of two slides a supplier, with a typo in every third one: slides, chunks and unknown keys."""
     n = F.col("s_suppkey")
@@ -109,7 +118,7 @@ def event_props(spark, sf_dir):
     return unknown.groupBy("name", "nearest").agg(F.count("*").alias("n"), F.max("distance").cast("long").alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (spec_nodes, unknown_spec_keys, undrawn_spec_keys, diagrams_without_parts, spec_slide_facts, spec_screen_texts, spec_acronyms, yaml_decks, event_props)}
+QUERIES = {f.__name__: f for f in (spec_nodes, unknown_spec_keys, undrawn_spec_keys, diagrams_without_parts, spec_slide_facts, spec_screen_texts, spec_acronyms, spec_density, spec_slide_notes, yaml_decks, event_props)}
 
 
 def _list(values) -> str:
@@ -153,6 +162,12 @@ k AS (SELECT *, {of} AS of FROM o WHERE key IS NOT NULL AND fullkey NOT LIKE '%]
     pointed = rf"(key IN ('mark', 'callout') AND filled OR key = 'mark_at' AND kind <> 'null') AND regexp_matches(rel, '^(?:big\[|(?:{side}[.])?(?:diagram|chart)[.])') AND NOT regexp_matches(rel, '[.](?:cells|legend)(?:\[|[.]|$)')"
     figure = rf"kind = 'text' AND atom <> '' AND regexp_matches(rel, '^(?:{side}[.])?(?:chart|diagram)[.]') AND regexp_extract(rel, '([A-Za-z_]+)(?:\[[0-9]+\])*$', 1) IN ({', '.join(repr(x) for x in trees.FIGURE_TEXT)})"
     screen = trees.SCREEN.replace("\\.", "[.]")
+    bullet = rf"regexp_full_match(rel, '(?:{side}[.])?(?:bullets|steps)\[[0-9]+\]')"
+    dense = rf"""u AS (SELECT deck, s, {has('backup')} AS backup, coalesce(bool_or(filled AND regexp_full_match(rel, '(?:{side}[.])?(?:figure|chart|diagram)')), false) AS figure,
+  {has('table')} AND NOT ({has('chart')} AND coalesce(max(atom) FILTER (WHERE rel = 'chart.from'), 'self') = 'self' AND NOT {has('chart.table')}) OR coalesce(bool_or(filled AND regexp_full_match(rel, '{side}[.]table')), false) AS "table",
+  count(*) FILTER (WHERE {bullet}) AS n_bullets, coalesce(sum(len(list_filter(string_split(atom, ' '), lambda x: x <> ''))) FILTER (WHERE {bullet}), 0) AS n_words, coalesce(bool_or({pointed} OR {bullet} AND atom LIKE '**%'), false) AS emphasis,
+  coalesce(max(atom) FILTER (WHERE rel = 'title') LIKE '%?', false) AS question, {has('cue', 'note')} AS directed, count(*) FILTER (WHERE regexp_full_match(rel, 'table[.]rows\[[0-9]+\]')) AS n_rows FROM n WHERE s <> '' GROUP BY ALL),
+e AS (SELECT *, kind = 'columns' AS columns, kind = 'standout' AS standout, n_bullets > 0 AND NOT figure AND NOT "table" AND kind <> 'standout' AS bullets_only FROM u JOIN c USING (deck, s))"""
     return {
         "spec_nodes": f"WITH {tree} SELECT depth::INT AS depth, kind, count(*) AS n, count(*) FILTER (WHERE filled) AS n_filled FROM n GROUP BY ALL",
         "unknown_spec_keys": f"""WITH {tree}, u AS (SELECT *, {_lookup(trees.KEYS, 'of')} AS known FROM k)
@@ -173,6 +188,11 @@ SELECT deck AS path, s::BIGINT AS slide, kind, n_tables, n_charts, n_diagrams, n
 SELECT deck AS path, w AS "where", count(*) AS n_texts, sum(length(atom))::BIGINT AS n_chars, count(DISTINCT s) AS n_slides FROM x GROUP BY ALL""",
         "spec_acronyms": f"""WITH w AS (SELECT p_brand AS path, 'GPU ' || p_name AS text FROM part WHERE p_partkey % {len(_SLIDES)} <> 3)
 SELECT path, sum({spoken_sql('text')} + 2 * regexp_matches(path, '[02468]$')::INT)::BIGINT AS n_words, 2 * regexp_matches(path, '[02468]$')::INT::BIGINT AS n_bad FROM w GROUP BY path""",
+        "spec_density": f"""WITH {tree}, {kinds}, {dense}
+SELECT deck AS path, count(*) AS n_slides, {', '.join(f"round(count(*) FILTER (WHERE \"{c}\")::DOUBLE / count(*), 9) AS \"{c}\"" for c in ("figure", "table", "columns", "standout", "bullets_only", "question"))}, round(count(*) FILTER (WHERE emphasis)::DOUBLE / count(*), 9) AS emphasis,
+  round(sum(n_bullets)::DOUBLE / count(*), 9) AS bullets_a_slide, round(sum(n_words)::DOUBLE / greatest(sum(n_bullets), 1), 9) AS words_a_bullet FROM e WHERE NOT backup GROUP BY deck""",
+        "spec_slide_notes": f"""WITH {tree}, {kinds}, {dense} SELECT path, note, count(*) AS n FROM (SELECT deck AS path, unnest(list_filter([CASE WHEN bullets_only THEN 'bullets only' END,
+  CASE WHEN NOT backup AND NOT directed THEN 'undirected' END, CASE WHEN n_rows > 1 THEN 'too many rows' END], lambda x: x IS NOT NULL)) AS note FROM e) GROUP BY ALL""",
         "yaml_decks": """SELECT s_suppkey AS path, 2::BIGINT AS n_slides, 3::BIGINT AS n_chunks, CASE WHEN s_suppkey % 3 = 0 THEN 'bulets' END AS unknown,
 (length(s_name || chr(10) || 'goes on' || chr(10)) + CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE length('one' || 'two: 2' || 'three' || chr(10)) END + length('folded text') + length('heading') + length(s_suppkey::VARCHAR))::BIGINT AS n_chars FROM supplier""",
         "event_props": """WITH k AS (SELECT event_type AS name FROM events WHERE event_type NOT IN ('click', 'view', 'purchase', 'props'))

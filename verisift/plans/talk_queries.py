@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import cells as C, markup as M
-from ..operators import claims as K, ink as N, similarity as S
+from ..functions import cells as C, markup as M, text as T
+from ..operators import claims as K, ink as N, provenance as P, selftest as X, similarity as S
 from ..sources import manuscripts as I
 from ..sources.tables import table
 
@@ -100,6 +100,7 @@ def sql() -> dict[str, str]:
   FROM (SELECT [] AS c UNION ALL SELECT [a] FROM (SELECT unnest(range(1, len(w))) AS a){"" if n == 2 else " UNION ALL SELECT [a, b] FROM (SELECT unnest(range(1, len(w))) AS a), (SELECT unnest(range(1, len(w))) AS b) WHERE a < b"})
   ORDER BY list_max(list_transform(range(0, len(c) + 1), lambda i: length(array_to_string(w[(CASE WHEN i = 0 THEN 0 ELSE c[i] END) + 1 : (CASE WHEN i = len(c) THEN len(w) ELSE c[i + 1] END)], ' ')))), list_transform(c, lambda x: -x) LIMIT 1)"""
     return {
+        "section_canaries": _canary_sql(),
         "label_places": f"""WITH {pixels}, b AS (SELECT p_partkey % 20 AS image, p_partkey AS box, p_partkey * 7 % 50 / 60.0::DOUBLE AS x, p_partkey * 11 % 97 / 100.0::DOUBLE AS y, (p_size % 9 + 1) / 60.0::DOUBLE AS w, p_size / 60.0::DOUBLE AS h, CASE WHEN p_partkey % 13 = 0 THEN 'inside' END AS label_at FROM part),
 s AS (SELECT *, unnest(['above', 'below', 'inside']) AS place, unnest([greatest(0, y - {N.BAND}::DOUBLE), y + h, y]) AS t, unnest([y, least(1, y + h + {N.BAND}::DOUBLE), least(1, y + {N.BAND}::DOUBLE)]) AS u, unnest([y >= {N.ROOM_ABOVE}, y + h <= {N.ROOM_BELOW}, true]) AS room FROM b WHERE image IN (SELECT image FROM d)),
 r AS (SELECT *, greatest(0, floor(x * {w}))::BIGINT AS x0, least({w}, floor((x + w) * {w} + 0.5))::BIGINT AS x1, greatest(0, floor(t * {h}))::BIGINT AS y0, least({h}, floor(u * {h} + 0.5))::BIGINT AS y1 FROM s WHERE room),
@@ -127,3 +128,35 @@ SELECT title, CASE WHEN len(w) = 0 THEN '' ELSE {need(2)} END AS on_2, CASE WHEN
         "merged_headers": """SELECT n_nationkey AS tbl, unnest([0, 0, 0, 1, 1, 1, 2, 2, 2])::BIGINT AS r, unnest([0, 1, 2, 0, 1, 2, 0, 1, 2])::BIGINT AS c,
 unnest(['key', n_name || ' low', n_name || ' high', n_nationkey::VARCHAR, (n_nationkey + 1)::VARCHAR, CASE WHEN n_nationkey % 2 = 0 THEN (n_nationkey + 2)::VARCHAR ELSE '' END, (n_nationkey * 2)::VARCHAR, '', (n_nationkey * 3)::VARCHAR]) AS cell FROM nation""",
     }
+
+
+def section_canaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sections count in all documents before and after canaries are planted, written from the sections' own patterns."""
+    return X.mutation_counts(table(spark, sf_dir, "documents"), _sections())
+
+
+def _sections() -> dict:
+    count = lambda p: lambda c: F.regexp_count(c, F.lit(p))
+    patterns = {"banned": P.inflected("worthless"), "leaks": "</?(?:hit|safe|hi)>", "why": T.whole_word(T.WHY), "caveat": T.whole_word(T.CAVEAT), "upto": r"(?i)up to [0-9]+(?:\.[0-9]+)? ?(?:%|x|times|fold)"}
+    return {n: (X.example(p), count(p)) for n, p in patterns.items()}
+
+
+QUERIES["section_canaries"] = section_canaries
+
+
+def _canary_sql() -> str:
+    """The same patterns for an engine without look-around: signs that are no word stand twice, so edges do not overlap."""
+    edge, word = "(?:^|[^A-Za-z0-9_])(?:{})(?:$|[^A-Za-z0-9_])", "worthless(?:e|es|s|ed|d|ing|en|n)?"
+    lead = r"(?:(?:^|[^A-Za-z0-9_])(?:not|never)|n\x27\x27t)(?:  |\t\t|\n\n)"
+    double = r"regexp_replace({}, '([^A-Za-z0-9_])', '\1\1', 'g')"
+    n = lambda p, c: f"len(regexp_extract_all({c}, '(?i){p}'))"
+    # sign by sign doubled: what is one space in a pattern is two, \s* and \s+ hold as they are
+    spaced = lambda p: p.replace(" ", "  ")
+    of = lambda c: {
+        "banned": f"{n(edge.format(word), double.format(c))} - {n(lead + f'(?:{word})' + '(?:$|[^A-Za-z0-9_])', double.format(c))}", "leaks": n("</?(?:hit|safe|hi)>", c),
+        "why": n(edge.format(spaced(T.WHY)), double.format(c)), "caveat": n(edge.format(spaced(T.CAVEAT)), double.format(c)), "upto": n(r"up to [0-9]+(?:\.[0-9]+)? ?(?:%|x|times|fold)", c)}
+    names, canaries = sorted(of("t")), _sections()
+    planted = "CASE m " + " ".join(f"WHEN {i} THEN '{canaries[x][0]}'" for i, x in enumerate(names)) + " END"
+    parts = " UNION ALL ".join(f"SELECT '{x}' AS section, m, count(*) AS n_texts, sum({of('t')[x]})::BIGINT AS before, sum({of('u')[x]})::BIGINT AS after FROM d GROUP BY m" for x in names)
+    return f"""WITH d AS (SELECT m, t, t || chr(10) || chr(10) || {planted} AS u FROM (SELECT doc_id % {len(names)} AS m, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL))
+SELECT [{', '.join(repr(x) for x in names)}][m + 1] AS mutant, section, n_texts, before, after FROM ({parts})"""

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .._staging import written
+from ..functions import cells as C
 
 # ---- fixed values: the keys of each kind of object, what stands below them, and what is drawn ---------------------
 KEYS = {
@@ -270,3 +271,56 @@ def acronyms(tree: DataFrame, key: str = "path") -> DataFrame:
 def key_reference() -> list[tuple[str, str, str]]:
     """(kind of object, key, kind of the objects below): what a spec may hold, from the one table that checks it."""
     return [(shape, name, BELOW.get((shape, name), "")) for shape, names in KEYS.items() for name in names]
+
+
+#: texts that may carry emphasis, by paths below the slide
+EMPHASIS = "^(?:" + "|".join((
+    r"(?:title|lead|formula|bullets|steps|foot|fine|flow)(?:\[[0-9]+\])*", r"lines\[[0-9]+\](?:\.text)?", r"big(?:\[[0-9]+\])?(?:\.(?:value|text|label|note))?", r"block\.(?:title|text)",
+    rf"{_SIDE}\.(?:head|text|bullets|steps)(?:\[[0-9]+\])*", rf"(?:{_SIDE}\.)?(?:chart\.(?:panels\[[0-9]+\]\.)?)?table\.(?:header|rows)(?:\[[0-9]+\])+", r"table\.note",
+    rf"(?:{_SIDE}\.)?figure\.grid\.(?:cols|caption)(?:\[[0-9]+\])+",
+)) + ")$"
+
+
+def slide_density(tree: DataFrame, key: str = "path") -> DataFrame:
+    """A row a slide of what density is counted from: backup, figure, table, columns, standout, emphasis and whether it
+    counts, bullets only, a question, directions for the speaker, bullets and their words, rows and columns of its table."""
+    rel = F.col("rel")
+    flag = lambda cond: F.coalesce(F.bool_or(cond & F.col("filled")), F.lit(False))
+    value = lambda path: F.max(F.when((rel == path) & F.col("filled") & ~F.col("kind").isin("object", "array"), F.col("value")))
+    bullet = rel.rlike(rf"^(?:{_SIDE}\.)?(?:bullets|steps)\[[0-9]+\]$") & F.col("value").isNotNull()
+    words = F.size(F.filter(F.split(C.strip_markup(F.when(bullet, F.col("value"))), r"\s+"), lambda w: w != ""))
+    number = lambda pattern: F.max(F.regexp_extract("rel", pattern, 1).try_cast("long") + 1)
+    rows = _drawn_parts(tree.where("slide IS NOT NULL"), key).groupBy(key, "slide").agg(
+        flag(rel == "backup").alias("backup"), flag(rel.rlike(rf"^(?:{_SIDE}\.)?(?:figure|chart|diagram)$|^formula$")).alias("figure"), flag(rel.rlike(rf"^{_SIDE}\.table$")).alias("pane_table"),
+        flag(rel == "table").alias("t"), flag(rel == "chart").alias("c"), F.coalesce(value("chart.from"), F.lit("self")).alias("f"), flag(rel == "chart.table").alias("own"),
+        F.coalesce(F.bool_or(rel.rlike(EMPHASIS) & C.emphasised(F.col("value"))), F.lit(False)).alias("emphasised"), F.count_if(bullet).alias("n_bullets"), F.coalesce(F.sum(F.when(bullet, words)), F.lit(0)).cast("long").alias("n_words"),
+        value("title").alias("title"), value("lead").alias("lead"), value("big").alias("big"), flag(rel.isin("cue", "note") & (F.trim("value") != "")).alias("directed"),
+        F.coalesce(number(r"^table\.rows\[([0-9]+)\]"), F.lit(0).cast("long")).alias("n_rows"), F.coalesce(number(r"^table\.(?:rows\[[0-9]+\]|header)\[([0-9]+)\]"), F.lit(0).cast("long")).alias("n_columns"))
+    rows = rows.join(slide_facts(tree, key).select(key, "slide", "kind", "has_marks"), [key, "slide"])
+    table = (F.col("t") & ~(F.col("c") & (F.col("f") == "self") & ~F.col("own"))) | F.col("pane_table")
+    standout, lead = F.col("kind") == "standout", F.coalesce("lead", F.lit(""))
+    asked = F.coalesce("title", F.when(standout, F.col("lead")), F.col("big"), F.lit(""))
+    return rows.select(
+        key, "slide", "kind", "backup", "figure", table.alias("table"), (F.col("kind") == "columns").alias("columns"), standout.alias("standout"), (F.col("emphasised") | F.col("has_marks")).alias("emphasis"),
+        (~((F.col("kind") == "title") | (standout & F.contains(lead, F.lit("?"))))).alias("counts"), ((F.col("n_bullets") > 0) & ~F.col("figure") & ~table & ~F.col("kind").isin("standout", "title")).alias("bullets_only"),
+        F.rtrim(C.strip_markup(asked)).endswith("?").alias("question"), "directed", "n_bullets", "n_words", "n_rows", "n_columns")
+
+
+def density(tree: DataFrame, key: str = "path") -> DataFrame:
+    """(key, n_slides, seven shares, bullets_a_slide, words_a_bullet) of each spec's slides, without backup ones."""
+    main = slide_density(tree, key).where("NOT backup")
+    share = lambda c: (F.count_if(c) / F.count("*")).alias(c)
+    emphasis = F.count_if(F.col("counts") & F.col("emphasis")) / F.greatest(F.count_if("counts"), F.lit(1))
+    return main.groupBy(key).agg(
+        F.count("*").alias("n_slides"), *map(share, ("figure", "table", "columns", "standout", "bullets_only", "question")), emphasis.alias("emphasis"),
+        (F.sum("n_bullets") / F.count("*")).alias("bullets_a_slide"), (F.sum("n_words") / F.greatest(F.sum("n_bullets"), F.lit(1))).alias("words_a_bullet"))
+
+
+def slide_notes(tree: DataFrame, key: str = "path", max_rows: int = 12) -> DataFrame:
+    """(key, slide, note): slides of bullets alone, main slides without directions for the speaker, tables of more rows than
+    fit, and large tables of the main part (nine rows and five columns or more)."""
+    rows = slide_density(tree, key)
+    notes = {
+        "bullets only": F.col("bullets_only"), "undirected": ~F.col("backup") & ~F.col("kind").isin("title", "section") & ~F.col("directed"),
+        "too many rows": F.col("n_rows") > max_rows, "large table": ~F.col("backup") & (F.col("n_rows") >= 9) & (F.col("n_columns") >= 5)}
+    return rows.select(key, "slide", F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in notes.items()]), lambda x: x.isNotNull())).alias("note"))
