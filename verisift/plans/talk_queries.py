@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import cells as C, markup as M, text as T
 from ..operators import claims as K, ink as N, provenance as P, selftest as X, similarity as S
-from ..sources import manuscripts as I
+from ..sources import manuscripts as I, pages as G
 from ..sources.tables import table
 
 GRID, STRETCH = (60, 40), 3  # width and height of the pictures, and a step that spreads parts over the height
@@ -82,7 +82,23 @@ def merged_headers(spark, sf_dir):
     return out.select("tbl", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "cell")
 
 
-QUERIES = {f.__name__: f for f in (label_places, ink_rectangles, unspoken_terms, untouched_sentences, balanced_titles, wrong_citation_years, merged_headers)}
+def page_lines(spark, sf_dir):
+    """Forty orders a page in two columns of items, small ones raised or lowered, with full-width titles at the top and in the
+    middle: lines in reading order."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    top = (o % 40 * 14).cast("double")
+    small = F.when(F.col("l_quantity") > 45, -2.0).when(F.col("l_quantity") < 4, 8.0)
+    x = (F.when(n % 2 == 0, 40).otherwise(340) + F.floor(n / 2) * 60).cast("double")
+    spans = table(spark, sf_dir, "lineitem").select(
+        F.floor(o / 40).alias("page"), x.alias("x0"), F.coalesce(top + 2 + small, top + 2).alias("y0"), (x + 55).alias("x1"), F.when(small.isNotNull(), top + 2 + small + 5).otherwise(top + 12).alias("y1"), F.when(small.isNotNull(), 6.0).otherwise(10.0).alias("size"),
+        F.col("l_partkey").cast("string").alias("text"))
+    k = F.col("o_orderkey")
+    titles = table(spark, sf_dir, "orders").where(k % 20 == 0).select(F.floor(k / 40).alias("page"), F.lit(40.0).alias("x0"), (k % 40 * 14 - 6).cast("double").alias("y0"), F.lit(600.0).alias("x1"), (k % 40 * 14 + 1).cast("double").alias("y1"), F.lit(14.0).alias("size"), F.col("o_orderstatus").alias("text"))
+    lines = G.read_lines(spans.unionByName(titles))
+    return lines.select("page", F.col("no").cast("long").alias("no"), F.col("col").cast("long").alias("col"), "text", "size")
+
+
+QUERIES = {f.__name__: f for f in (label_places, ink_rectangles, unspoken_terms, untouched_sentences, balanced_titles, wrong_citation_years, merged_headers, page_lines)}
 
 
 def sql() -> dict[str, str]:
@@ -101,6 +117,20 @@ def sql() -> dict[str, str]:
   ORDER BY list_max(list_transform(range(0, len(c) + 1), lambda i: length(array_to_string(w[(CASE WHEN i = 0 THEN 0 ELSE c[i] END) + 1 : (CASE WHEN i = len(c) THEN len(w) ELSE c[i + 1] END)], ' ')))), list_transform(c, lambda x: -x) LIMIT 1)"""
     return {
         "section_canaries": _canary_sql(),
+        "page_lines": f"""WITH s AS (SELECT l_orderkey // 40 AS page, l_orderkey % 40 AS o, (CASE WHEN l_linenumber % 2 = 0 THEN 40 ELSE 340 END + l_linenumber // 2 * 60)::DOUBLE AS x0, l_linenumber % 2 = 1 AS rgt, l_partkey::VARCHAR AS text,
+  CASE WHEN l_quantity > 45 THEN -2.0 WHEN l_quantity < 4 THEN 8.0 END AS small, l_orderkey % 40 * 14.0 AS top FROM lineitem),
+t AS (SELECT page, CASE WHEN small IS NULL THEN 10.0 ELSE 6.0 END AS size, x0, top + 2 + coalesce(small, 0) AS y0, CASE WHEN small IS NULL THEN top + 12 ELSE top + 7 + small END AS y1, x0 + 55 AS x1, text FROM s
+  UNION ALL SELECT o_orderkey // 40, 14.0, 40.0, o_orderkey % 40 * 14 - 6, o_orderkey % 40 * 14 + 1, 600.0, o_orderstatus FROM orders WHERE o_orderkey % 20 = 0),
+f AS (SELECT *, x1 - x0 > (max(x1) OVER (PARTITION BY page) - min(x0) OVER (PARTITION BY page)) * {G.FULL} AS wide FROM t),
+c AS (SELECT *, NOT wide AND x0 > (SELECT max(g.x1) FROM f AS g WHERE g.page = f.page AND NOT g.wide AND g.x0 < f.x0) + {G.GUTTER} AS edge FROM f),
+d AS (SELECT *, CASE WHEN wide THEN -1 ELSE (SELECT count(DISTINCT e.x0) FROM c AS e WHERE e.page = c.page AND e.edge AND e.x0 <= c.x0) END AS col, coalesce((SELECT max(e.y0) FROM c AS e WHERE e.page = c.page AND e.wide AND e.y0 <= c.y0), '-infinity'::DOUBLE) AS band FROM c),
+k AS (SELECT page, count(*) FILTER (WHERE n >= {G.LEAST}) AS n FROM (SELECT page, col, count(*) AS n FROM d WHERE col >= 0 GROUP BY ALL) GROUP BY page),
+e AS (SELECT d.* EXCLUDE (col), CASE WHEN col >= 0 AND coalesce(k.n, 0) < 2 THEN 0 ELSE col END AS col FROM d LEFT JOIN k USING (page)),
+g AS (SELECT *, coalesce((y0 > max(y1) OVER (PARTITION BY page, band, col ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 0.25 * size)::INT, 0) AS fresh FROM e),
+l AS (SELECT *, sum(fresh) OVER (PARTITION BY page, band, col ORDER BY y0, y1 RANGE UNBOUNDED PRECEDING) AS line FROM g),
+m AS (SELECT *, max(size) OVER w AS most, first_value((y0 + y1) / 2) OVER (PARTITION BY page, band, col, line ORDER BY size DESC, x0) AS base FROM l WINDOW w AS (PARTITION BY page, band, col, line)),
+p AS (SELECT page, band, col, line, max(size) AS size, string_agg(CASE WHEN size > most * {G.SMALL} THEN ' ' WHEN (y0 + y1) / 2 < base THEN '^' ELSE '_' END || text, '' ORDER BY x0, text, size, (y0 + y1) / 2) AS text FROM m GROUP BY ALL)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY band, col, line) - 1 AS no, col::BIGINT AS col, ltrim(text) AS text, size::DOUBLE AS size FROM p""",
         "label_places": f"""WITH {pixels}, b AS (SELECT p_partkey % 20 AS image, p_partkey AS box, p_partkey * 7 % 50 / 60.0::DOUBLE AS x, p_partkey * 11 % 97 / 100.0::DOUBLE AS y, (p_size % 9 + 1) / 60.0::DOUBLE AS w, p_size / 60.0::DOUBLE AS h, CASE WHEN p_partkey % 13 = 0 THEN 'inside' END AS label_at FROM part),
 s AS (SELECT *, unnest(['above', 'below', 'inside']) AS place, unnest([greatest(0, y - {N.BAND}::DOUBLE), y + h, y]) AS t, unnest([y, least(1, y + h + {N.BAND}::DOUBLE), least(1, y + {N.BAND}::DOUBLE)]) AS u, unnest([y >= {N.ROOM_ABOVE}, y + h <= {N.ROOM_BELOW}, true]) AS room FROM b WHERE image IN (SELECT image FROM d)),
 r AS (SELECT *, greatest(0, floor(x * {w}))::BIGINT AS x0, least({w}, floor((x + w) * {w} + 0.5))::BIGINT AS x1, greatest(0, floor(t * {h}))::BIGINT AS y0, least({h}, floor(u * {h} + 0.5))::BIGINT AS y1 FROM s WHERE room),
