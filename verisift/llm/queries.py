@@ -70,6 +70,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"))
 
 
+def quality_rules_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's method where few labels must do: a stratum's good holdout documents may be 20, and a fifth of them may go. Shows
+    rules that reject on small tables too: documents by stratum, how many the base rules reject and how many the cutoffs."""
+    from .rules import base_failed, judge, measures
+
+    measured = staged(measures(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "measures")
+    verdict = judge(measured, _table(spark, sf_dir, "labels"), risk=0.2, min_good=20)
+    rows = measured.select("lang", base_failed().alias("base_failed"), verdict.alias("passes"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_base_failed"), F.count_if(~F.col("base_failed") & ~F.col("passes")).alias("n_by_rules"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge
 
@@ -94,7 +105,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(whole_vectors(_table(spark, sf_dir, "embeddings")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op3_substring_dedup, op4_sentencepiece, op5_fingerprints, op6_line_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_quality_rules, op10_url_filters, op11_prefix_trie, op12_quality_classifier, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op3_substring_dedup, op4_sentencepiece, op5_fingerprints, op6_line_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_quality_rules, op10_url_filters, op11_prefix_trie, op12_quality_classifier, op13_hard_negatives, quality_rules_wide)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -197,6 +208,8 @@ SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, n
 
 
 SQL = {
+    "quality_rules_wide": f"""SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE base_failed) AS n_base_failed, count(*) FILTER (WHERE NOT base_failed AND NOT kept) AS n_by_rules
+FROM ({_rules_sql(risk=0.2, min_good=20).replace("SELECT doc_id, n_words, word_chars", "SELECT lang, doc_id, n_words, word_chars")}) GROUP BY lang""",
     "op11_prefix_trie": _TRIE_SQL,
     "op13_hard_negatives": _NEGATIVES_SQL,
     "op1_mix_sources": rf"""

@@ -11,8 +11,8 @@ by a join on their grams: broadcast up to BROADCAST grams, shuffled beyond but f
 The score is the difference of the two log-likelihoods divided by the length. One in five of the decided URLs is held
 out of the counts; on them the threshold with the best balanced accuracy is chosen from a histogram of fixed size.
 
-A null url, or one without ://, has an empty host and path; the models judge what there is, an empty string at worst
-(score 0). Without accepted or rejected URLs the verdict is allow. Repeated rows are judged alike; of rules of one length
+A null url, or one without ://, has an empty host and path; the models judge what there is, an empty string at worst,
+which has the score of a string's end alone. Without accepted or rejected URLs the verdict is allow. Repeated rows are judged alike; of rules of one length
 the first in order of host and path decides, a score at the threshold is accepted. Very long URLs are read whole: one row
 for each sign while grams are counted. An empty table stays empty. Names of the input's columns cannot clash: all but the
 columns in `keep` and the url are left out.
