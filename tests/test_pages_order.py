@@ -25,7 +25,7 @@ def test_raised_and_lowered_parts_follow_their_base(spark):
 
 
 def test_two_columns_and_headings(spark):
-    lines = [(1, 320.0, 500.0, 10.0, "body text that runs on and on")] * 5 + [(1, 40.0, 300.0, 14.0, "Large heading"), (1, 40.0, 300.0, 14.0, "Figure 3 shows"), (1, 40.0, 300.0, 14.0, "A sentence."), (1, 40.0, 300.0, 10.0, "2.1 METHODS"), (2, 40.0, 300.0, 10.0, "3 Methods"), (2, 40.0, 60.0, 14.0, "12")]
+    lines = [(1, 320.0, 510.0, 10.0, "body text that runs on and on")] * 5 + [(1, 40.0, 300.0, 14.0, "Large heading"), (1, 40.0, 300.0, 14.0, "Figure 3 shows"), (1, 40.0, 300.0, 14.0, "A sentence."), (1, 40.0, 300.0, 10.0, "2.1 METHODS"), (2, 40.0, 300.0, 10.0, "3 Methods"), (2, 40.0, 60.0, 14.0, "12")]
     df = spark.createDataFrame([("d", *r) for r in lines], "doc string, page int, x0 double, x1 double, size double, text string")
     assert {r.page: r.two for r in pages.two_columns(df, 600.0).collect()} == {1: True, 2: False}
     assert sorted({r.text for r in pages.headings(df).where("heading").collect()}) == ["2.1 METHODS", "Large heading"]
