@@ -140,3 +140,19 @@ def test_density_of_slides(spark):
     assert p.emphasis == 2 / 5 and p.bullets_a_slide == 4 / 7 and p.words_a_bullet == 7 / 4
     notes = rows(trees.slide_notes(t, max_rows=8), "slide", "note")
     assert [n for n in notes if n[1] == "undirected"] == [(i, "undirected") for i in (1, 3, 4, 7)] and (2, "large table") in notes and (5, "large table") in notes and (2, "too many rows") in notes and (1, "bullets only") in notes
+
+
+def test_parts_lists_and_flat_diagrams(spark):
+    deck = [
+        {"chart": {"kind": "bars", "ylabel": "y", "table": {"header": ["no"]}, "panels": [{"title": "p", "table": {"rows": [["no"]]}}], "callout": {"text": "c"}}, "backup": True},
+        {"left": {"parts": [{"figure": {"path": "a.png", "highlight": [{"label": "look", "x": 0}]}}]}, "right": {"figure": {"grid": {"images": [["b.png", "c.png"]], "cols": ["u", "v"]}}}}, {"big": [{"value": "9", "label": "n"}, {"text": "w"}]},
+        {"diagram": {"boxes": [{"label": "x"}]}}, {"left": {"diagram": {"rows": [{"mark_at": 0}]}}, "right": {"diagram": {"boxes": [{"mark": "a"}]}}}]
+    t = tree(spark, deck)
+    found = {}
+    for r in trees.parts(t).collect():
+        found.setdefault(r.what, set()).add((r.slide, r.field, r.value))
+    assert found == {
+        "chart field": {(0, "kind", "bars"), (0, "ylabel", "y"), (0, "title", "p"), (0, "text", "c")}, "figure": {(1, "path", "a.png"), (1, "images", "b.png"), (1, "images", "c.png")}, "grid text": {(1, "cols", "u"), (1, "cols", "v")},
+        "highlight": {(1, "label", "look")}, "big": {(2, "value", "9"), (2, "label", "n"), (2, "text", "w")}}
+    assert rows(trees.page_lists(t), "list", "slides") == [("backup", [0]), ("drawn", [0, 3, 4]), ("highlight", [1])]
+    assert rows(trees.flat_diagrams(t), "n_diagrams", "n_flat") == [(3, 1)]

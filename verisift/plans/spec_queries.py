@@ -98,6 +98,18 @@ def spec_slide_notes(spark, sf_dir):
     return trees.slide_notes(_tree(spark, sf_dir), max_rows=1).groupBy("path", "note").agg(F.count("*").alias("n"))
 
 
+def spec_parts(spark, sf_dir):
+    return trees.parts(_tree(spark, sf_dir)).groupBy("path", "what", "field").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("n_chars"))
+
+
+def spec_page_lists(spark, sf_dir):
+    return trees.page_lists(_tree(spark, sf_dir)).select("path", "list", F.array_join(F.col("slides").cast("array<string>"), ",").alias("slides"))
+
+
+def spec_flat_diagrams(spark, sf_dir):
+    return trees.flat_diagrams(_tree(spark, sf_dir))
+
+
 def yaml_decks(spark, sf_dir):
     """YAML specs of two slides a supplier, with a typo in every third one: slides, chunks and unknown keys."""
     n = F.col("s_suppkey")
@@ -118,7 +130,7 @@ def event_props(spark, sf_dir):
     return unknown.groupBy("name", "nearest").agg(F.count("*").alias("n"), F.max("distance").cast("long").alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (spec_nodes, unknown_spec_keys, undrawn_spec_keys, diagrams_without_parts, spec_slide_facts, spec_screen_texts, spec_acronyms, spec_density, spec_slide_notes, yaml_decks, event_props)}
+QUERIES = {f.__name__: f for f in (spec_nodes, unknown_spec_keys, undrawn_spec_keys, diagrams_without_parts, spec_slide_facts, spec_screen_texts, spec_acronyms, spec_density, spec_slide_notes, spec_parts, spec_page_lists, spec_flat_diagrams, yaml_decks, event_props)}
 
 
 def _list(values) -> str:
@@ -193,6 +205,13 @@ SELECT deck AS path, count(*) AS n_slides, {', '.join(f"round(count(*) FILTER (W
   round(sum(n_bullets)::DOUBLE / count(*), 9) AS bullets_a_slide, round(sum(n_words)::DOUBLE / greatest(sum(n_bullets), 1), 9) AS words_a_bullet FROM e WHERE NOT backup GROUP BY deck""",
         "spec_slide_notes": f"""WITH {tree}, {kinds}, {dense} SELECT path, note, count(*) AS n FROM (SELECT deck AS path, unnest(list_filter([CASE WHEN bullets_only THEN 'bullets only' END,
   CASE WHEN NOT backup AND NOT directed THEN 'undirected' END, CASE WHEN n_rows > 1 THEN 'too many rows' END], lambda x: x IS NOT NULL)) AS note FROM e) GROUP BY ALL""",
+        "spec_parts": rf"""WITH {tree}, x AS (SELECT deck, CASE WHEN regexp_matches(rel, '^(?:{side}[.])?chart[.]') AND NOT regexp_matches(rel, '^(?:{side}[.])?chart[.](?:panels\[[0-9]+\][.])?table[.]') THEN 'chart field'
+  WHEN regexp_full_match(rel, '(?:{side}[.])?figure[.]path') THEN 'figure' WHEN regexp_full_match(rel, 'big(?:\[[0-9]+\][.](?:value|text|label|note))?') THEN 'big' END AS what, regexp_extract(rel, '([A-Za-z_]+)(?:\[[0-9]+\])*$', 1) AS field, atom FROM n WHERE s <> '' AND kind IN ('text', 'number', 'boolean') AND atom <> '')
+SELECT deck AS path, what, field, count(*) AS n, sum(length(atom))::BIGINT AS n_chars FROM x WHERE what IS NOT NULL GROUP BY ALL""",
+        "spec_page_lists": rf"""WITH {tree}, x AS (SELECT DISTINCT deck, s::INT AS s, CASE WHEN rel = 'backup' THEN 'backup' WHEN key = 'highlight' THEN 'highlight' WHEN regexp_full_match(rel, '(?:{side}[.])?(?:chart|diagram)') THEN 'drawn' END AS l FROM n WHERE s <> '' AND filled)
+SELECT deck AS path, l AS list, string_agg(s::VARCHAR, ',' ORDER BY s) AS slides FROM x WHERE l IS NOT NULL GROUP BY ALL""",
+        "spec_flat_diagrams": rf"""WITH {tree}, x AS (SELECT deck, s, coalesce(bool_or(key = 'mark' AND filled), false) AS marked FROM n WHERE regexp_matches(rel, '^diagram') GROUP BY ALL)
+SELECT deck AS path, count(*) AS n_diagrams, count(*) FILTER (WHERE NOT marked) AS n_flat FROM x GROUP BY deck""",
         "yaml_decks": """SELECT s_suppkey AS path, 2::BIGINT AS n_slides, 3::BIGINT AS n_chunks, CASE WHEN s_suppkey % 3 = 0 THEN 'bulets' END AS unknown,
 (length(s_name || chr(10) || 'goes on' || chr(10)) + CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE length('one' || 'two: 2' || 'three' || chr(10)) END + length('folded text') + length('heading') + length(s_suppkey::VARCHAR))::BIGINT AS n_chars FROM supplier""",
         "event_props": """WITH k AS (SELECT event_type AS name FROM events WHERE event_type NOT IN ('click', 'view', 'purchase', 'props'))

@@ -324,3 +324,35 @@ def slide_notes(tree: DataFrame, key: str = "path", max_rows: int = 12) -> DataF
         "bullets only": F.col("bullets_only"), "undirected": ~F.col("backup") & ~F.col("kind").isin("title", "section") & ~F.col("directed"),
         "too many rows": F.col("n_rows") > max_rows, "large table": ~F.col("backup") & (F.col("n_rows") >= 9) & (F.col("n_columns") >= 5)}
     return rows.select(key, "slide", F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in notes.items()]), lambda x: x.isNotNull())).alias("note"))
+
+
+#: what else a slide is made of, by paths below it: name -> pattern
+PARTS = {
+    "chart field": rf"^(?:{_SIDE}\.)?chart\.(?!table\.|panels\[[0-9]+\]\.table\.).+$", "figure": rf"^(?:{_SIDE}\.)?figure\.(?:path|grid\.images(?:\[[0-9]+\])+)$", "grid text": rf"^(?:{_SIDE}\.)?figure\.grid\.(?:cols|rows|caption)(?:\[[0-9]+\])+$",
+    "big": r"^big(?:\[[0-9]+\])?(?:\.(?:value|text|label|note))?$", "highlight": rf"^(?:{_SIDE}\.)?figure\.highlight(?:\[[0-9]+\])?\.label$",
+}
+
+
+def parts(tree: DataFrame, key: str = "path") -> DataFrame:
+    """(key, slide, what, node, field, value): fields of charts without their tables, files of figures and grids, texts of
+    grids, pieces of big values, labels of highlights; at the slide itself, in panes and their parts."""
+    rel = F.col("rel")
+    what = F.coalesce(*[F.when(rel.rlike(p), F.lit(n)) for n, p in PARTS.items()])
+    rows = _drawn_parts(tree.where("slide IS NOT NULL AND value IS NOT NULL"), key).withColumn("what", what).where("what IS NOT NULL AND value <> ''")
+    return rows.select(key, "slide", "what", "node", F.col("label").alias("field"), "value")
+
+
+def page_lists(tree: DataFrame, key: str = "path") -> DataFrame:
+    """(key, list, slides): slides of the backup part, those with a highlight, those with a chart or diagram, in order."""
+    rows = _drawn_parts(tree.where("slide IS NOT NULL"), key).where("filled")
+    at = F.coalesce(F.when(F.col("rel") == "backup", F.lit("backup")), F.when(F.col("name") == "highlight", F.lit("highlight")), F.when(F.col("rel").rlike(rf"^(?:{_SIDE}\.)?(?:chart|diagram)$"), F.lit("drawn")))
+    return rows.withColumn("list", at).where("list IS NOT NULL").groupBy(key, "list").agg(F.array_sort(F.collect_set("slide")).alias("slides"))
+
+
+def flat_diagrams(tree: DataFrame, key: str = "path") -> DataFrame:
+    """(key, n_diagrams, n_flat): diagrams, and those in which nothing is marked."""
+    at = rf"^((?:{_SIDE}\.)?diagram)(?:\.|$)"
+    rows = _drawn_parts(tree.where("slide IS NOT NULL"), key).where(F.col("rel").rlike(at)).withColumn("diagram", F.regexp_extract("rel", at, 1))
+    marked = ((F.col("name") == "mark") & F.col("filled")) | ((F.col("name") == "mark_at") & F.col("kind").isNotNull())
+    each = rows.groupBy(key, "slide", "diagram").agg(F.coalesce(F.bool_or(marked), F.lit(False)).alias("marked"))
+    return each.groupBy(key).agg(F.count("*").alias("n_diagrams"), F.count_if(~F.col("marked")).alias("n_flat"))
