@@ -101,3 +101,27 @@ def test_headers_over_rows_and_blank_columns(spark):
     assert [got["t", 0, c] for c in range(3)] == ["Route", "Minutes day", "Minutes night"] and ("t", 0, 3) not in got
     assert [got["t", r, c] for r in (1, 2) for c in range(3)] == ["North", "21.85", "21.85", "South", "13.35", ""]
     assert [got["u", r, c] for r in (0, 1) for c in (0, 1)] == ["", "a", "1", "2"]
+
+
+def test_reciprocals_said_and_shown(spark):
+    df = spark.createDataFrame([("t", 1, "0.31 and 5.5, 2.0", "3.23 or 0.5"), ("t", 2, "0.31 3.23", "3.23"), ("t", 3, "3.25", "0.31 10"), ("t", 4, None, "0.5")], "path string, n int, screen string, say string")
+    assert rows(claims.reciprocals(df)) == [("t", 1, 0.31, 3.23), ("t", 3, 3.25, 0.31)]
+
+
+def test_counts_in_words(spark):
+    slides = [
+        (1, "Six limits", "Six limits of three retries", {"bullets": 5}), (2, "A title", "three retries a request", {"bullets": 5}), (3, "", "the four things, eight hours", {"grid rows": 1, "grid columns": 3}),
+        (4, "", "three things", {"grid rows": 1, "grid columns": 3}), (5, "", "six cars", {"grid rows": 2, "grid columns": 3}), (6, "", "five cars, twenty more", {"items in the figure": 4}), (7, "two ways", "two ways", {"bullets": 4}), (8, None, None, {"bullets": 4})]
+    df = spark.createDataFrame([("t", *s) for s in slides], "path string, n int, head string, screen string, counts map<string,int>")
+    assert rows(claims.counts_off(df)) == [("t", 1, 6, 5, "bullets"), ("t", 3, 4, 1, "grid rows"), ("t", 3, 4, 3, "grid columns"), ("t", 6, 5, 4, "items in the figure")]
+
+
+def test_numbers_beyond_and_conjunctions(spark):
+    from verisift.functions import cells
+
+    texts = spark.createDataFrame([("a", "Fig. 4, Figures 2, Table 3 and configuration 9"), ("b", "Table 1, fig 12"), ("c", None)], "g string, text string")
+    limits = spark.createDataFrame([("a", 3, 2), ("b", 12, 0), ("c", 1, 1)], "g string, figures int, tables int")
+    assert rows(claims.numbers_beyond(texts, limits, "g")) == [("a", "figure", 4, 3), ("a", "table", 3, 2)]
+    titles = ["And then", "But why?", "Android", "Which one?", "Which is odd", "So", "Because.", "Sofa", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string")
+    assert [r.c for r in df.select("i", cells.opens_with_conjunction(F.col("t")).alias("c")).orderBy("i").collect()] == [True, True, False, False, True, True, True, False, False]

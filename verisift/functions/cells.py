@@ -170,6 +170,11 @@ def is_question(text: Column) -> Column:
     return F.coalesce(F.rtrim(text).endswith("?"), F.lit(False))
 
 
+def opens_with_conjunction(title: Column) -> Column:
+    """A title that goes on from the one before: and, but, so, because, or which where it asks nothing."""
+    return F.coalesce(title.rlike(r"(?i)^(?:and|but|so|because)\b") | (title.rlike(r"(?i)^which\b") & ~is_question(title)), F.lit(False))
+
+
 def notation_only(text: Column) -> Column:
     """A sentence that only sets up symbols: it owns up to an abuse of notation, or opens by setting up and two tokens in
     five at least are signs."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import cells as C, text as T
+from ..functions import cells as C, markup as M, text as T
 
 # ---- fixed values --------------------------------------------------------------------------------
 # lower case but for the first four; "may 2018" is a date, "suggest choosing" advice, "appears in Table 2" a place
@@ -119,3 +119,55 @@ def unspoken(slides: DataFrame, key: str = "path", no: str = "n", screen: str =
     hit = asked.join(keys, [key, "k"], "left").groupBy(key, no, "shown", "n_parts", "several").agg(
         F.coalesce(F.bool_or(~F.col("part") & F.col("term")), F.lit(False)).alias("as_term"), F.count_if(F.col("part") & F.col("term").isNotNull()).alias("found"))
     return hit.where(~F.col("as_term") & ~(F.col("several") & (F.col("found") == F.col("n_parts")))).select(key, no, F.col("shown").alias("term"))
+
+
+# ---- fixed values --------------------------------------------------------------------------------
+UNIT_NOUNS = "bit bits byte bytes point points percent x times fold second seconds minute minutes hour hours step steps epoch epochs layer layers trial trials sample samples token tokens frame frames run runs seed seeds cell cells".split()
+OBJECT_NUMBER = r"(?i)\b(fig(?:ure)?s?|tab(?:le)?s?)\.?\s*([0-9]{1,3})\b"
+# --------------------------------------------------------------------------------------------------
+
+
+def reciprocals(slides: DataFrame, key: str = "path", no: str = "n", screen: str = "screen", say: str = "say") -> DataFrame:
+    """(key, n, a, b): decimals that are only on a slide's screen and only in what is said with it, and whose product is 1
+    within 0.03: one quantity in two forms. Whole numbers do not count.
+
+    Values meet by cells of their logarithms (an equi-join on slide and cell), not all with all."""
+    numbers = lambda c: F.array_distinct(F.transform(T.source_decimals(F.coalesce(F.col(c), F.lit(""))), lambda v: v.cast("double")))
+    rows = slides.select(key, no, numbers(screen).alias("s"), numbers(say).alias("p"))
+    fine = lambda values: F.filter(values, lambda v: (v > 0) & (v != F.floor(v)))
+    cell = lambda c: F.floor(F.log(c) / 0.05)
+    a = rows.select(key, no, F.explode(fine(F.array_except("s", "p"))).alias("a")).withColumn("cell", cell(F.col("a")))
+    b = rows.select(key, no, F.explode(fine(F.array_except("p", "s"))).alias("b")).withColumn("cell", F.explode(F.array(*[cell(1 / F.col("b")) + i for i in (-1, 0, 1)])))
+    return a.join(b, [key, no, "cell"]).where(F.abs(F.col("a") * F.col("b") - 1) <= 0.03).select(key, no, "a", "b")
+
+
+def counts_off(slides: DataFrame, key: str = "path", no: str = "n", head: str = "head", screen: str = "screen", counts: str = "counts") -> DataFrame:
+    """(key, n, said, drawn, what): counts in words ("five cars") that are one to four off what a slide draws.
+
+    `counts` maps what is drawn (bullets, grid rows, grid columns, ...) to its number. A word counts from three on, before a
+    noun of three letters or more that is no unit; bullets are held only against `head` (title and lead); a grid agrees by
+    its rows, its columns or their product."""
+    words = F.create_map(*[F.lit(x) for kv in {**{w: i for i, w in enumerate(M.UNITS)}, **M.TENS}.items() for x in kv])
+    pattern = r"(?i)\b(" + "|".join([*M.UNITS, *M.TENS]) + r")\s+([a-z]{1,14})"
+
+    def said(text: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), lambda m: F.named_struct(F.lit("w"), F.lower(F.regexp_extract(m, pattern, 1)), F.lit("noun"), F.lower(F.regexp_extract(m, pattern, 2))))
+        fine = F.filter(found, lambda f: (F.length(f["noun"]) >= 3) & ~f["noun"].isin(UNIT_NOUNS))
+        return F.array_distinct(F.transform(fine, lambda f: F.try_element_at(words, f["w"])))
+
+    grid = F.array(F.try_element_at(counts, F.lit("grid rows")), F.try_element_at(counts, F.lit("grid columns")))
+    rows = slides.select(key, no, said(F.col(head)).alias("in_head"), said(F.col(screen)).alias("in_all"), F.when(grid[0].isNotNull() & grid[1].isNotNull(), F.concat(grid, F.array(grid[0] * grid[1]))).otherwise(grid).alias("grid"), F.explode(counts).alias("what", "drawn"))
+    rows = rows.select(key, no, "what", "drawn", "grid", F.explode(F.when(F.col("what") == "bullets", F.col("in_head")).otherwise(F.col("in_all"))).alias("said"))
+    off = F.abs(F.col("said") - F.col("drawn")).between(1, 4) & (F.col("said") >= 3)
+    agrees = F.col("what").startswith("grid") & F.coalesce(F.array_contains(F.filter("grid", lambda g: g.isNotNull()), F.col("said")), F.lit(False))
+    return rows.where(off & ~agrees).select(key, no, "said", "drawn", "what")
+
+
+def numbers_beyond(texts: DataFrame, limits: DataFrame, group: str, text: str = "text") -> DataFrame:
+    """(group, kind, number, held): figures and tables that texts name by a number beyond how many there are.
+
+    `limits` (group, figures, tables); groups without figures (tables) say nothing about them."""
+    named = texts.select(group, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(OBJECT_NUMBER), F.lit(0)))).alias("m"))
+    named = named.select(group, F.when(F.lower("m").startswith("fig"), "figure").otherwise("table").alias("kind"), F.regexp_extract("m", OBJECT_NUMBER, 2).cast("int").alias("number")).distinct()
+    held = limits.select(group, F.explode(F.map_from_arrays(F.array(F.lit("figure"), F.lit("table")), F.array(F.col("figures").cast("int"), F.col("tables").cast("int")))).alias("kind", "held"))
+    return named.join(held, [group, "kind"]).where("held > 0 AND number > held").select(group, "kind", "number", "held")

@@ -82,6 +82,40 @@ def merged_headers(spark, sf_dir):
     return out.select("tbl", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "cell")
 
 
+def reciprocals_apart(spark, sf_dir):
+    """Quantities on screen whose reciprocal is said: line items as slides."""
+    q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("string")
+    screen = F.concat(q.cast("string"), F.lit(".5 and "), n, F.lit(".25"))
+    say = F.concat(F.lit("0."), F.lpad(F.floor(1000 / (q + 0.5)).cast("string"), 3, "0"), F.lit(" or "), F.when(F.col("l_suppkey") % 2 == 0, n).otherwise("9"), F.lit(".25"))
+    rows = K.reciprocals(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("n"), screen.alias("screen"), say.alias("say")))
+    return rows.groupBy("path").agg(F.count("*").alias("n_pairs"), F.max("a").alias("largest"))
+
+
+def counts_in_words(spark, sf_dir):
+    """Parts as slides that promise three to eleven things and draw bullets, a grid, or items of a figure."""
+    p, n = table(spark, sf_dir, "part"), F.col("p_size")
+    word = F.element_at(F.array(*[F.lit(w) for w in ("three", "Seven", "eleven", "two", "five")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    noun = F.element_at(F.array(*[F.lit(w) for w in ("parts", "hours", "of them", "kinds")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    counts = F.when(n % 3 == 0, F.create_map(F.lit("bullets"), (n % 9).cast("int"))).when(n % 3 == 1, F.create_map(F.lit("grid rows"), (n % 4 + 1).cast("int"), F.lit("grid columns"), (n % 5 + 1).cast("int"))).otherwise(F.create_map(F.lit("items in the figure"), (n % 13).cast("int")))
+    said = F.concat(F.lit("The "), word, F.lit(" "), noun)
+    slides = p.select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("n"), F.when(n % 2 == 0, said).otherwise(F.col("p_name")).alias("head"), F.concat(said, F.lit("; "), F.col("p_name")).alias("screen"), counts.alias("counts"))
+    return K.counts_off(slides).select("n", F.col("said").cast("long").alias("said"), F.col("drawn").cast("long").alias("drawn"), "what")
+
+
+def figures_beyond(spark, sf_dir):
+    """Orders as texts that name figures and tables by number; each status has so many of them."""
+    o = F.col("o_orderkey")
+    texts = table(spark, sf_dir, "orders").select("o_orderstatus", F.concat(F.lit("See Fig. "), (o % 9).cast("string"), F.lit(", Figure"), (o % 4).cast("string"), F.lit(" and tables "), (o % 7).cast("string"), F.lit(" or tab 1234.")).alias("text"))
+    limits = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg((F.max("o_orderkey") % 5 + 2).alias("figures"), (F.count("*") % 3).alias("tables"))
+    return K.numbers_beyond(texts, limits, "o_orderstatus").select("o_orderstatus", "kind", F.col("number").cast("long").alias("number"), F.col("held").cast("long").alias("held"))
+
+
+def conjunction_titles(spark, sf_dir):
+    """Opening words of sentences of documents that would not do as titles."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.count_if(C.opens_with_conjunction(F.col("s"))).alias("n_conjunction"))
+
+
 def page_lines(spark, sf_dir):
     """Forty orders a page in two columns of items, small ones raised or lowered, with full-width titles at the top and in the
     middle: lines in reading order."""
@@ -98,7 +132,7 @@ def page_lines(spark, sf_dir):
     return lines.select("page", F.col("no").cast("long").alias("no"), F.col("col").cast("long").alias("col"), "text", "size")
 
 
-QUERIES = {f.__name__: f for f in (label_places, ink_rectangles, unspoken_terms, untouched_sentences, balanced_titles, wrong_citation_years, merged_headers, page_lines)}
+QUERIES = {f.__name__: f for f in (label_places, ink_rectangles, unspoken_terms, untouched_sentences, balanced_titles, wrong_citation_years, merged_headers, page_lines, reciprocals_apart, counts_in_words, figures_beyond, conjunction_titles)}
 
 
 def sql() -> dict[str, str]:
@@ -117,6 +151,18 @@ def sql() -> dict[str, str]:
   ORDER BY list_max(list_transform(range(0, len(c) + 1), lambda i: length(array_to_string(w[(CASE WHEN i = 0 THEN 0 ELSE c[i] END) + 1 : (CASE WHEN i = len(c) THEN len(w) ELSE c[i + 1] END)], ' ')))), list_transform(c, lambda x: -x) LIMIT 1)"""
     return {
         "section_canaries": _canary_sql(),
+        "reciprocals_apart": """WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, l_suppkey % 2 = 0 AS same FROM lineitem),
+v AS (SELECT l_orderkey, l_linenumber, q + 0.5::DOUBLE AS a1, l_linenumber + 0.25::DOUBLE AS a2, floor(1000 / (q + 0.5::DOUBLE)) / 1000 AS b1, CASE WHEN same THEN l_linenumber ELSE 9 END + 0.25::DOUBLE AS b2 FROM l),
+x AS (SELECT l_orderkey, l_linenumber, a FROM (SELECT *, unnest([a1, a2]) AS a FROM v) WHERE NOT list_contains([b1, b2], a)), y AS (SELECT l_orderkey, l_linenumber, b FROM (SELECT *, unnest([b1, b2]) AS b FROM v) WHERE NOT list_contains([a1, a2], b) AND b > 0 AND b <> floor(b)),
+p AS (SELECT l_orderkey, a, b FROM x JOIN y USING (l_orderkey, l_linenumber) WHERE abs(a * b - 1) <= 0.03)
+SELECT l_orderkey AS path, count(*) AS n_pairs, max(a) AS largest FROM p GROUP BY l_orderkey""",
+        "counts_in_words": """WITH p AS (SELECT p_partkey AS n, p_size AS z, [3, 7, 11, 2, 5][p_partkey % 5 + 1] AS w, p_partkey % 4 IN (0, 3) AS fine FROM part),
+d AS (SELECT n, w, unnest(CASE z % 3 WHEN 0 THEN ['bullets'] WHEN 1 THEN ['grid rows', 'grid columns'] ELSE ['items in the figure'] END) AS what, unnest(CASE z % 3 WHEN 0 THEN [z % 9] WHEN 1 THEN [z % 4 + 1, z % 5 + 1] ELSE [z % 13] END) AS drawn, z FROM p WHERE fine)
+SELECT n, w::BIGINT AS said, drawn::BIGINT AS drawn, what FROM d WHERE w >= 3 AND abs(w - drawn) BETWEEN 1 AND 4 AND NOT (what = 'bullets' AND z % 2 = 1) AND NOT (what LIKE 'grid%' AND w IN (z % 4 + 1, z % 5 + 1, (z % 4 + 1) * (z % 5 + 1)))""",
+        "figures_beyond": """WITH l AS (SELECT o_orderstatus, max(o_orderkey) % 5 + 2 AS f, count(*) % 3 AS t FROM orders GROUP BY 1), x AS (SELECT DISTINCT o_orderstatus, unnest(['figure', 'figure', 'table']) AS kind, unnest([o_orderkey % 9, o_orderkey % 4, o_orderkey % 7]) AS number FROM orders)
+SELECT o_orderstatus, kind, number, CASE kind WHEN 'figure' THEN f ELSE t END AS held FROM x JOIN l USING (o_orderstatus) WHERE CASE kind WHEN 'figure' THEN f ELSE t END BETWEEN 1 AND number - 1""",
+        "conjunction_titles": f"""WITH s AS (SELECT doc_id, unnest({_SENT.format('text')}) AS s FROM documents)
+SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (WHERE regexp_matches(s, '(?i)^(?:and|but|so|because)(?:[^A-Za-z0-9_]|$)') OR regexp_matches(s, '(?i)^which(?:[^A-Za-z0-9_]|$)') AND NOT rtrim(s) LIKE '%?') AS n_conjunction FROM s GROUP BY doc_id""",
         "page_lines": f"""WITH s AS (SELECT l_orderkey // 40 AS page, l_orderkey % 40 AS o, (CASE WHEN l_linenumber % 2 = 0 THEN 40 ELSE 340 END + l_linenumber // 2 * 60)::DOUBLE AS x0, l_linenumber % 2 = 1 AS rgt, l_partkey::VARCHAR AS text,
   CASE WHEN l_quantity > 45 THEN -2.0 WHEN l_quantity < 4 THEN 8.0 END AS small, l_orderkey % 40 * 14.0 AS top FROM lineitem),
 t AS (SELECT page, CASE WHEN small IS NULL THEN 10.0 ELSE 6.0 END AS size, x0, top + 2 + coalesce(small, 0) AS y0, CASE WHEN small IS NULL THEN top + 12 ELSE top + 7 + small END AS y1, x0 + 55 AS x1, text FROM s
