@@ -29,3 +29,11 @@ def test_overlap_pairs_of_equal_boxes(spark):
             if a < b and w > 0 and h > 0 and w * h * 100 >= 25 * min((ax1 - ax0) * (ay1 - ay0), (bx1 - bx0) * (by1 - by0)):
                 want.append((1, a, b, w * h))
     assert rows(G.overlap_pairs(spark.createDataFrame(boxes, "page long, box long, x0 double, y0 double, x1 double, y1 double"))) == sorted(want, key=str)
+
+
+def test_crossed_boxes_of_equal_and_of_several_rows(spark):
+    paths = spark.createDataFrame([(1, i, 0.0, 5.0, 100.0, 5.0) for i in range(5)] + [(1, 9, 0.0, 5.0, 100.0, 5.0), (1, 9, 0.0, 500.0, 100.0, 500.0), (1, 9, 0.0, 5.0, 100.0, 5.0)], "page long, path long, x0 double, y0 double, x1 double, y1 double")
+    boxes = spark.createDataFrame([(1, i, 20.0, 0.0, 80.0, 10.0) for i in range(7)] + [(2, 8, 20.0, 0.0, 80.0, 10.0)], "page long, box long, x0 double, y0 double, x1 double, y1 double")
+    got = L.crossed_boxes(paths, boxes, steps=10)
+    assert "bundles" in dir(L)
+    assert rows(got) == sorted([(1, p, b, 5 * (2 if p == 9 else 1)) for p in [0, 1, 2, 3, 4, 9] for b in range(7)], key=str)

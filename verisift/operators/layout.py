@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import cells as C, text as T
+from .geometry import bundles, spread
 
 
 def crossed_boxes(paths: DataFrame, boxes: DataFrame, page: str = "page", steps: int = 20, cell: float = 50.0) -> DataFrame:
     """(page, path, box, n): boxes that a straight path runs through, by so many of its evenly spaced inner points.
 
-    Rows (page, path, x0, y0, x1, y1) and (page, box, x0, y0, x1, y1). Points and boxes meet in the cells of a grid.
+    Rows (page, path, x0, y0, x1, y1) and (page, box, x0, y0, x1, y1); a path or box of several rows is their sum. Points and
+    boxes meet in the cells of a grid, those of equal paths and of equal boxes once; paths and boxes by name are then read
+    off bundles of equal ones.
     """
+    ends = ["x0", "y0", "x1", "y1"]
+    shaped = lambda df, key, s: df.groupBy(page, key).agg(F.array_sort(F.collect_list(F.struct(*ends))).alias(s))
+    a, b = shaped(paths, "path", "p"), shaped(boxes, "box", "b")
+    one = lambda df, s: df.select(page, s).distinct().select(page, s, F.explode(s).alias("_s")).select(page, s, "_s.*")
     t = F.col("k") / steps
-    points = paths.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(steps - 1)))).select(page, "path", "k", (F.col("x0") + (F.col("x1") - F.col("x0")) * t).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * t).alias("y"))
+    points = one(a, "p").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(steps - 1)))).select(page, "p", (F.col("x0") + (F.col("x1") - F.col("x0")) * t).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * t).alias("y"))
     at = lambda c: F.floor(F.col(c) / cell).cast("long")
     points = points.withColumn("gx", at("x")).withColumn("gy", at("y"))
-    dealt = boxes.withColumn("gx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy", F.explode(F.sequence(at("y0"), at("y1"))))
-    hits = points.join(dealt, [page, "gx", "gy"]).where("x > x0 AND x < x1 AND y > y0 AND y < y1")
-    return hits.groupBy(page, "path", "box").agg(F.count(F.lit(1)).alias("n"))
+    dealt = one(b, "b").withColumn("gx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy", F.explode(F.sequence(at("y0"), at("y1"))))
+    hits = points.join(dealt.hint("merge"), [page, "gx", "gy"]).where("x > x0 AND x < x1 AND y > y0 AND y < y1")
+    hits = hits.groupBy(page, "p", "b").agg(F.count(F.lit(1)).alias("n"))
+    hits = hits.join(bundles(a, [page, "p"], "path").hint("merge"), [page, "p"]).withColumnRenamed("members", "_path")
+    hits = spread(hits.join(bundles(b, [page, "b"], "box").hint("merge"), [page, "b"]))
+    return hits.select(page, "n", "members", F.explode("_path").alias("path")).select(page, "path", F.explode("members").alias("box"), "n")
 
 
 def on_canvas(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
