@@ -37,3 +37,10 @@ def test_crossed_boxes_of_equal_and_of_several_rows(spark):
     got = L.crossed_boxes(paths, boxes, steps=10)
     assert "bundles" in dir(L)
     assert rows(got) == sorted([(1, p, b, 5 * (2 if p == 9 else 1)) for p in [0, 1, 2, 3, 4, 9] for b in range(7)], key=str)
+
+
+def test_islands_round_to_the_nearest_second(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    later = [dt.timedelta(), dt.timedelta(seconds=3600, milliseconds=600), dt.timedelta(seconds=7201, milliseconds=400)]  # 0, 3601, 7201 as the SQL casts
+    spark.createDataFrame([(i, at + d, 1) for i, d in enumerate(later)], "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(table_queries.event_islands(spark, str(tmp_path))) == [(1, 1, 1, 0, 0), (1, 2, 2, 1, 2)]

@@ -69,7 +69,7 @@ def as_of_event(spark, sf_dir):
 
 def event_islands(spark, sf_dir):
     """Runs of a user's events that follow each other within an hour."""
-    events = table(spark, sf_dir, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    events = table(spark, sf_dir, "events").withColumn("s", F.rint(F.col("ts").cast("timestamp").cast("double")).cast("long"))  # to the nearest second, as the SQL casts
     before = F.lag("s").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = Q.islands(events.withColumn("p", before), "user_id", ["ts", "event_id"], (F.col("s") - F.col("p")) > 3600)
     return rows.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("least_id"), F.max("event_id").alias("most_id"))
