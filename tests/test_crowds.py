@@ -5,7 +5,7 @@ import random
 
 import pyspark.sql.functions as F
 
-from verisift.operators import geometry as G, layout as L
+from verisift.operators import claims as K, geometry as G, layout as L
 from verisift.plans import table_queries
 
 
@@ -44,3 +44,11 @@ def test_islands_round_to_the_nearest_second(spark, tmp_path):
     later = [dt.timedelta(), dt.timedelta(seconds=3600, milliseconds=600), dt.timedelta(seconds=7201, milliseconds=400)]  # 0, 3601, 7201 as the SQL casts
     spark.createDataFrame([(i, at + d, 1) for i, d in enumerate(later)], "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
     assert rows(table_queries.event_islands(spark, str(tmp_path))) == [(1, 1, 1, 0, 0), (1, 2, 2, 1, 2)]
+
+
+def test_claim_pairs_are_never_broadcast(spark):
+    units = K.sentence_rows(spark.createDataFrame([(1, "The harvester always adjusts irrigation channels.")], "g long, text string"), "g")
+    paper = K.sentence_rows(spark.createDataFrame([(1, "The harvester may adjust irrigation channels slowly. Nothing else. Irrigation channels of a harvester."), (2, "The harvester may adjust irrigation channels.")], "g long, text string"), "g")
+    pairs = K._pairs(units, paper, "g", 3, 40)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert rows(pairs.select("unit", "no", "shared")) == [(0, 0, 4), (0, 2, 3)]  # harvester, adjust, irrigation, channel

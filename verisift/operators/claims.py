@@ -36,8 +36,10 @@ def _pairs(units: DataFrame, paper: DataFrame, group: str, least: int, percent:
     u = units.select(group, F.col("no").alias("unit"), F.col("s").alias("u"), F.array_sort("t").alias("t")).where(F.size("t") >= least)
     u = u.withColumn("x", F.explode(F.slice("t", F.lit(1), F.greatest(F.size("t") - need + 1, F.lit(1)))))
     p = paper.select(group, "no", "s", "w").withColumn("x", F.explode("w"))
-    hits = u.join(p, [group, "x"]).dropDuplicates([group, "unit", "no"]).withColumn("shared", F.size(F.array_intersect("t", "w")))
-    return hits.withColumn("z", F.size("t")).where((F.col("shared") >= least) & (F.col("shared") * 100 >= F.col("z") * percent)).drop("x")
+    # sorted on both sides: exploded rows are far more than a table's size tells, so neither is broadcast; a pair counts where it shares its first word
+    hits = u.join(p.hint("merge"), [group, "x"]).withColumn("_both", F.array_intersect("t", "w")).where(F.col("x") == F.get("_both", F.lit(0)))
+    hits = hits.withColumn("shared", F.size("_both")).drop("x", "_both")
+    return hits.withColumn("z", F.size("t")).where((F.col("shared") >= least) & (F.col("shared") * 100 >= F.col("z") * percent))
 
 
 def overclaims(units: DataFrame, paper: DataFrame, group: str) -> DataFrame:
