@@ -5,7 +5,7 @@ import random
 
 import pyspark.sql.functions as F
 
-from verisift.operators import claims as K, geometry as G, layout as L
+from verisift.operators import claims as K, geometry as G, layout as L, provenance as P
 from verisift.plans import table_queries
 
 
@@ -52,3 +52,38 @@ def test_claim_pairs_are_never_broadcast(spark):
     pairs = K._pairs(units, paper, "g", 3, 40)
     assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert rows(pairs.select("unit", "no", "shared")) == [(0, 0, 4), (0, 2, 3)]  # harvester, adjust, irrigation, channel
+
+
+def test_heads_of_all_lengths_are_found(spark):
+    random.seed(3)
+    text = "".join(random.choice("ab1") for _ in range(400))
+    flats = [text, text[::-1], "a", "ab1ab1ab", "x" * 40]
+    heads = {text[i : i + n] for n in (1, 2, 7, 8, 9, 15, 16, 17, 40) for i in (0, 123, 400 - n)} | {"x" * 15, "x" * 17, "nowhere", "zz" * 20}
+    got = P._head_places(spark.createDataFrame(list(enumerate(flats)), "o long, flat string"), spark.createDataFrame([(h,) for h in heads], "head string"))
+    assert rows(got) == sorted(((o, h) for o, f in enumerate(flats) for h in heads if h in f), key=str)
+
+
+def test_mathematics_arrives_by_its_rarest_word(spark):
+    fragments = spark.createDataFrame([(0, "the energy x^2 grows with the mass over here"), (1, "x^2 unheard and the mass"), (2, "∑ 1"), (3, "")], "item_id long, text string")
+    outputs = spark.createDataFrame([(0, "grows the mass over there energy with here"), (1, "the mass grows"), (2, None)], "doc_id long, text string")
+    assert rows(P.arrived(fragments, outputs)) == [(0, 1), (1, 0), (2, 0), (3, 3)]
+
+
+def test_well_formed_json_does_not_reach_python(spark, tmp_path):
+    from verisift.sources import trees
+
+    seen = spark.sparkContext.accumulator(0)
+    real = trees.as_json
+
+    def counted(text):
+        if text is not None:
+            seen.add(1)
+        return real(text)
+
+    trees.as_json = counted
+    try:
+        got = trees.json_texts(spark.createDataFrame([("a", '[{"title": "x"}]'), ("b", "not json [")], "path string, text string"))
+        assert rows(got) == [("a", '[{"title": "x"}]'), ("b", None)]
+    finally:
+        trees.as_json = real
+    assert seen.value == 1  # the text that is no JSON

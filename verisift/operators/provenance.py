@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .._staging import broadcast_if
 from ..functions import text as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
+
 SMALL = 200_000  # rows of a side that is broadcast
 MATH = r"[\x{0300}-\x{03FF}√∑∏∫$\\^_⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻ⁿ₀₁₂₃₄₅₆₇₈₉₊₋]"  # a fixed value: signs that a page's text layer puts elsewhere
 
@@ -149,16 +156,57 @@ def quotes(texts: DataFrame, sources: DataFrame, key: str = "doc_id", text: str
     return marked.groupBy(key).agg(F.count(F.lit(1)).alias("n_quotes"), F.count_if(F.col("hit").isNull()).alias("n_missing"))
 
 
-def _grams(chars: Column, q: int) -> Column:
-    """Hashes of the runs of q signs of an array; none where there are fewer."""
-    none = F.array().cast("array<bigint>")
-    return F.when(F.size(chars) >= q, F.transform(F.sequence(F.lit(1), F.size(chars) - (q - 1)), lambda i: F.xxhash64(F.slice(chars, i, q)))).otherwise(none)
+STEP, ODD, FILTER_BITS = 16, 0x9E3779B97F4A7C15, 22  # signs of a head that are looked up; a mixer; the size of a filter of heads
+
 
+def _starts(flat: bytes, n: int) -> np.ndarray:
+    """A filter's slot for each run of n signs (n up to STEP), by its first and last eight or all of them."""
+    padded = np.frombuffer(flat + bytes(8), np.uint8)
+    runs = np.lib.stride_tricks.sliding_window_view(padded, 8)[: max(len(flat) - n + 1, 0)].copy().view("<u8")[:, 0]
+    if n < 8:
+        mixed = runs & np.uint64((1 << 8 * n) - 1)
+    else:
+        mixed = runs * np.uint64(ODD | 2) ^ np.lib.stride_tricks.sliding_window_view(padded, 8)[n - 8 : len(flat) - 7].copy().view("<u8")[:, 0] if len(runs) else runs
+    return (mixed * np.uint64(ODD)) >> np.uint64(64 - FILTER_BITS)
 
-def _least_grams(chars: Column, q: int = 8, w: int = 9) -> Column:
-    """The least hash of each w neighbouring grams: equal runs of q + w - 1 signs have one in common."""
-    none = F.array().cast("array<bigint>")
-    return T.let(_grams(chars, q), lambda g: F.when(F.size(g) >= w, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(g) - (w - 1)), lambda i: F.array_min(F.slice(g, i, w))))).otherwise(none))
+
+def _head_places(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(o, head): heads (ASCII) that stand in the flat text of a row (o, flat).
+
+    One pass over the texts: a filter of bounded size, of the heads' first STEP signs (all of shorter ones), passes the
+    places where one may begin; what stands there is joined to the heads and compared in full.
+    """
+    start = F.substring("head", 1, STEP)
+    starts = heads.select(start.alias("start")).distinct()
+
+    def slots(batches):
+        for d in batches:
+            yield pd.DataFrame([(len(s), int(_starts(s.encode(), len(s))[0])) for s in d["start"]], columns=["n", "slot"])
+
+    # one word of 32 bits a row of the filter: at most 2^17 of them for each of STEP lengths
+    words = starts.mapInPandas(slots, "n int, slot int").groupBy("n", F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 32)")).alias("bits")).toPandas()
+    filters = {}
+    for n, group in words.groupby("n"):
+        bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+        bits[group["word"].to_numpy()] = group["bits"].to_numpy().astype(np.uint32)
+        filters[int(n)] = bits
+    longest = heads.agg(F.max(F.length("head"))).first()[0] or 0
+    shared = rows.sparkSession.sparkContext.broadcast(filters)
+
+    def places(batches):
+        for d in batches:
+            out = []
+            for o, flat in zip(d["o"], d["flat"]):
+                raw = flat.encode()
+                for n, bits in shared.value.items():
+                    slot = _starts(raw, n)
+                    at = np.flatnonzero(bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1))
+                    long = longest if n == STEP else n
+                    out += [(o, t[:n], t) for t in {flat[i : i + long] for i in at.tolist()}]
+            yield pd.DataFrame(out, columns=["o", "start", "tail"])
+
+    found = rows.where("flat <> ''").mapInPandas(places, "o long, start string, tail string")
+    return found.join(heads.select(start.alias("start"), "head"), "start").where(F.startswith("tail", F.col("head"))).select("o", "head").distinct()
 
 
 def arrived(fragments: DataFrame, outputs: DataFrame, item: str = "item_id", text: str = "text", lead: int = 6) -> DataFrame:
@@ -166,29 +214,23 @@ def arrived(fragments: DataFrame, outputs: DataFrame, item: str = "item_id", tex
     are or with all spaces left out, or, where it holds mathematics, all its words of three letters or more in any order.
     A fragment without words arrives everywhere.
 
-    Equi-joins find candidates: on runs of words; without spaces on the least hash of neighbouring runs of signs, which a
-    long enough head shares with any text around it, or on whole heads of up to 15 signs; on words for mathematics.
+    Words as they are stand there without spaces too, so one pass over texts without spaces finds both. For mathematics,
+    the words of each output that any such fragment has are kept, and compared where the fragment's rarest word is.
     """
-    frag = fragments.select(item, F.col(text).rlike(MATH).alias("math"), T.word_run(F.col(text)).alias("w")).withColumn("gram", F.array_join(F.slice("w", 1, lead), " ")).withColumn("head", F.replace("gram", F.lit(" "), F.lit("")))
+    frag = fragments.select(item, F.col(text).rlike(MATH).alias("math"), T.word_run(F.col(text)).alias("w")).withColumn("head", F.array_join(F.slice("w", 1, lead), ""))
     rows = outputs.select(F.monotonically_increasing_id().alias("o"), T.word_run(F.col(text)).alias("w"))
-    rows = rows.withColumn("flat", F.array_join("w", "")).withColumn("chars", F.filter(F.split("flat", ""), lambda c: c != ""))
-    long = frag.where(F.size("w") >= lead)
-    found = long.join(rows.select("o", F.explode(F.array_distinct(T.shingles(F.col("w"), lead))).alias("gram")), "gram").select(item, "o")
-    for n in range(1, lead):
-        found = found.unionAll(frag.where(F.size("w") == n).join(rows.select("o", F.explode(F.array_distinct(T.shingles(F.col("w"), n))).alias("gram")), "gram").select(item, "o"))
-    # spaces aside
-    first = F.filter(F.split(F.substring("head", 1, 16), ""), lambda c: c != "")
-    heads = frag.where(F.length("head") >= 16).select(item, "head", F.explode(_least_grams(first)).alias("g"))
-    found = found.unionAll(heads.join(rows.select("o", "flat", F.explode(_least_grams(F.col("chars"))).alias("g")), "g").where(F.contains("flat", F.col("head"))).select(item, "o"))
-    sizes = sorted(r.n for r in frag.where((F.length("head") > 0) & (F.length("head") < 16)).select(F.length("head").alias("n")).distinct().collect())  # 15 at most
-    for n in sizes:
-        short = frag.where(F.length("head") == n).select(item, F.xxhash64(F.filter(F.split("head", ""), lambda c: c != "")).alias("g"), "head")
-        found = found.unionAll(short.join(rows.select("o", "flat", F.explode(F.array_distinct(_grams(F.col("chars"), n))).alias("g")), "g").where(F.contains("flat", F.col("head"))).select(item, "o"))
-    # mathematics
+    heads = frag.where("head <> ''").select(item, "head")
+    found = _head_places(rows.select("o", F.array_join("w", "").alias("flat")), heads.select("head").distinct()).join(heads, "head").select(item, "o")
     words = F.array_distinct(F.filter("w", lambda x: x.rlike("^[a-z]{3,}$")))
-    math = frag.where("math").select(item, words.alias("m")).where(F.size("m") > 0).select(item, F.size("m").alias("n"), F.explode("m").alias("x"))
-    hits = math.join(rows.select("o", F.explode(F.array_distinct("w")).alias("x")), "x").groupBy(item, "o", "n").agg(F.count_distinct("x").alias("k"))
-    found = found.unionAll(hits.where("k = n").select(item, "o"))
+    math = frag.where("math").select(item, words.alias("m")).where(F.size("m") > 0)
+    if math.limit(1).count():
+        asked = math.select(F.explode("m").alias("x")).distinct()
+        # only words that are asked for are kept; null rows of an outer explode are not needed, as m is never empty
+        hits = rows.select("o", F.explode(F.array_distinct("w")).alias("x")).join(broadcast_if(asked, SMALL), "x")
+        rare = asked.join(hits.groupBy("x").agg(F.count(F.lit(1)).alias("n")), "x", "left")
+        first = math.select(item, "m", F.explode("m").alias("x")).join(rare, "x").groupBy(item, "m").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "x")).alias("r")).select(item, "m", F.col("r.x").alias("x"))
+        kept = hits.groupBy("o").agg(F.collect_set("x").alias("k")).select("o", "k", F.explode("k").alias("x"))
+        found = found.unionAll(kept.join(first, "x").where(F.size(F.array_intersect("m", "k")) == F.size("m")).select(item, "o"))
     counts = found.groupBy(item).agg(F.count_distinct("o").alias("n"))
     empty = frag.where(F.size("w") == 0).select(item).distinct()
     if empty.limit(1).count():
