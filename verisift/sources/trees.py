@@ -91,7 +91,8 @@ def as_json(text: str | None) -> str | None:
 
 
 def json_texts(specs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(key, json) of specs; what begins like JSON and is well formed does not go through Python."""
+    """(key, json) of specs; what begins like JSON and is well formed does not go through Python: a UDF in a CASE gets every
+    row, so it is given null for those."""
 
     @F.pandas_udf("string")
     def read(s: pd.Series) -> pd.Series:
@@ -99,7 +100,7 @@ def json_texts(specs: DataFrame, key: str = "path", text: str = "text") -> DataF
 
     t = F.col(text)
     fine = t.rlike(r"^\s*[\[{]") & F.expr(f"try_parse_json(`{text}`)").isNotNull()
-    return specs.select(key, F.when(fine, t).when(t.isNotNull(), read(t)).alias("json"))
+    return specs.select(key, F.when(fine, t).when(t.isNotNull(), read(F.when(~fine, t))).alias("json"))
 
 
 def nodes(specs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -126,12 +127,13 @@ def nodes(specs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
         plain = F.when(F.col("e.key").rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.col("e.key")).otherwise(F.concat(F.lit('"'), F.replace("e.key", F.lit('"'), F.lit('\\"')), F.lit('"')))
         step = F.when(F.col("e.key").isNull(), F.concat(F.lit("["), F.col("e.pos").cast("string"), F.lit("]"))).when(F.col("n.node") == "", plain).otherwise(F.concat(F.lit("."), plain))
         # the rows of a diagram are of its kind
-        owner = F.when(F.col("n.shape") == "diagram", F.coalesce(F.expr("try_variant_get(n.v, '$.kind', 'string')"), F.lit("flow"))).otherwise(F.col("n.shape"))
-        rows = level.alias("n").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).alias("e"))
+        owner = F.when(F.col("shape") == "diagram", F.coalesce(F.expr("try_variant_get(v, '$.kind', 'string')"), F.lit("flow"))).otherwise(F.col("shape"))
+        # worked out before the values are taken apart, so that no part carries the whole
+        rows = level.withColumn("owner", owner).alias("n").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).alias("e"))
         level = rows.select(
             F.col("n._key").alias("_key"), F.concat("n.node", step).alias("node"), F.col("n.node").alias("parent"), F.col("e.key").alias("name"), F.coalesce("e.key", "n.label").alias("label"),
             F.when(F.col("e.key").isNotNull(), F.col("n.shape")).alias("of"), F.col("e.value").alias("v"),
-            F.when(F.col("e.key").isNull(), F.col("n.shape")).otherwise(F.try_element_at(below, F.concat_ws(".", owner, F.col("e.key")))).alias("shape"))
+            F.when(F.col("e.key").isNull(), F.col("n.shape")).otherwise(F.try_element_at(below, F.concat_ws(".", F.col("n.owner"), F.col("e.key")))).alias("shape"))
         depth += 1
     out = levels[0]
     for more in levels[1:]:
