@@ -87,3 +87,14 @@ def test_well_formed_json_does_not_reach_python(spark, tmp_path):
     finally:
         trees.as_json = real
     assert seen.value == 1  # the text that is no JSON
+
+
+def test_snapped_columns_hold_distinct_edges(spark, tmp_path):
+    from verisift.functions import cells as C
+    from verisift.plans import prose_queries
+
+    got = spark.createDataFrame([([5.0, 1.0, None, 5.0, 3.5, 1.0, 2.5],)], "x array<double>").select(C.snapped(F.col("x"), 2.0)).first()[0]
+    assert got == [5.0, 1.0, None, 5.0, 5.0, 1.0, 1.0]
+    spark.range(100).select((F.col("id") * 400).alias("p_partkey"), F.lit(1).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    df = prose_queries.snapped_columns(spark, str(tmp_path))
+    assert rows(df) == [(1, 1, 1)] and "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -206,9 +206,12 @@ def least_cap_percent(viewing_ratio: Column) -> Column:
 
 
 def snapped(values: Column, unit: float) -> Column:
-    """Coordinates nearer than a unit to one kept before become that one; a fold in order."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(values, start, lambda out, v: F.concat(out, F.array(F.coalesce(F.get(F.filter(out, lambda w: F.abs(w - v) < unit), F.lit(0)), v.cast("double")))))
+    """Coordinates nearer than a unit to one kept before become that one; a fold in order. Equal ones go one way, so the fold
+    is over distinct ones and holds only those kept."""
+    near = lambda v: lambda w: F.abs(w - v) < unit
+    keep = lambda out, v: F.when(F.coalesce(F.exists(out, near(v)), F.lit(False)), out).otherwise(F.concat(out, F.array(v.cast("double"))))
+    kept = F.aggregate(F.array_distinct(values), F.array().cast("array<double>"), keep)
+    return F.get(F.transform(F.array(kept), lambda k: F.transform(values, lambda v: F.coalesce(F.get(F.filter(k, near(v)), F.lit(0)), v.cast("double")))), F.lit(0))
 
 
 def heading(title: Column, lead: Column, values: Column, gap: str = "vs") -> Column:
