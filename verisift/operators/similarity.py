@@ -15,27 +15,41 @@ from ..functions import text as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
 
 
-def similar_sets(sets: DataFrame, words: str = "words", num: int = 1, den: int = 2) -> DataFrame:
-    """(a, b, common, united) of distinct word sets with Jaccard num/den or more.
+LANES = 4  # words of 64 parity bits of a set
 
-    Candidates share a word of their prefixes, rare words first (by their exact frequency), so frequent words bring
-    nobody together; each pair is verified once.
+
+def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(i, j) of sets (id, s) that share a word of their prefixes and may have Jaccard num/den or more.
+
+    Words that one set has and the other has not turn at most one parity bit each, so sets of which more bits differ than
+    words may differ are left out where they meet, before anything of theirs is moved.
     """
-    sets = sets.select(F.array_sort(F.array_distinct(words)).alias("s")).where(F.size("s") > 0).distinct().select(F.unhex(F.md5(F.array_join("s", "\n").cast("binary"))).alias("id"), "s")
     freq = sets.select(F.explode("s").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ranked = sets.select("id", F.explode("s").alias("w")).join(freq, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("w").alias("h")))).alias("r"))
-    size = F.size("r")
+    h = F.xxhash64("w")
+    parity = lambda k: F.bit_xor(F.when(F.pmod(h, F.lit(LANES)) == k, F.expr("shiftleft(1L, CAST(pmod(shiftright(xxhash64(w), 8), 64) AS INT))")).otherwise(F.lit(0).cast("long")))
+    ranked = sets.select("id", F.explode("s").alias("w")).join(freq, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", h.alias("h")))).alias("r"), *[parity(k).alias(f"p{k}") for k in range(LANES)])
+    size, bits = F.size("r"), [f"p{k}" for k in range(LANES)]
     # a rarer word first; sizes that may match fall into the same band of a factor den / num or the next one
     band = F.floor(F.log(size) / math.log(den / num)).cast("int")
-    prefix = ranked.select("id", size.alias("z"), band.alias("band"), F.posexplode(F.slice("r", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1)).alias("pos", "x"))
-    prefix = prefix.select("id", "z", "band", "pos", "x.h")
-    a, b = prefix.alias("a"), prefix.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("b")
-    near = f"a.h = b.h AND a.band = b.band AND a.id < b.id AND {den} * least(a.z, b.z) >= {num} * greatest(a.z, b.z)"
+    prefix = ranked.select("id", size.alias("z"), band.alias("band"), *bits, F.posexplode(F.slice("r", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1)).alias("pos", "x"))
+    prefix = prefix.select("id", "z", "band", *bits, "pos", "x.h")
+    a, b = prefix.withColumn("at", F.col("band")).alias("a"), prefix.withColumn("at", F.explode(F.array(F.col("band") - 1, F.col("band")))).alias("b")
+    near = f"a.h = b.h AND a.at = b.at AND (a.band < b.band OR a.id < b.id) AND {den} * least(a.z, b.z) >= {num} * greatest(a.z, b.z)"
     # what is left of both behind the shared word must be enough
     enough = f"least(a.z - a.pos, b.z - b.pos) * {den + num} >= {num} * (a.z + b.z)"
-    pairs = a.join(b, F.expr(f"{near} AND {enough}")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
+    alike = f"({' + '.join(f'bit_count(a.{p} ^ b.{p})' for p in bits)}) * {den + num} <= {den - num} * (a.z + b.z)"
+    return a.join(b, F.expr(f"{near} AND {enough} AND {alike}")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
+
+
+def similar_sets(sets: DataFrame, words: str = "words", num: int = 1, den: int = 2) -> DataFrame:
+    """(a, b, common, united) of distinct word sets with Jaccard num/den or more.
+
+    Candidates share a word of their prefixes, rare words first (by their exact frequency), so frequent words bring
+    nobody together, and agree in their parity bits as far as they must; each pair is verified once.
+    """
+    sets = sets.select(F.array_sort(F.array_distinct(words)).alias("s")).where(F.size("s") > 0).distinct().select(F.unhex(F.md5(F.array_join("s", "\n").cast("binary"))).alias("id"), "s")
     # words are fetched for candidates only
-    pairs = pairs.join(sets.select(F.col("id").alias("i"), F.col("s").alias("x")), "i").join(sets.select(F.col("id").alias("j"), F.col("s").alias("y")), "j")
+    pairs = _candidates(sets, num, den).join(sets.select(F.col("id").alias("i"), F.col("s").alias("x")), "i").join(sets.select(F.col("id").alias("j"), F.col("s").alias("y")), "j")
     both = pairs.withColumn("common", F.size(F.array_intersect("x", "y")).cast("long")).withColumn("united", F.size(F.array_union("x", "y")).cast("long"))
     name = lambda c: F.array_join(c, " ")
     return both.where(F.col("common") * den >= F.col("united") * num).select(F.least(name("x"), name("y")).alias("a"), F.greatest(name("x"), name("y")).alias("b"), "common", "united")
