@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import time
 
 import pyspark.sql.functions as F
+
 import pytest
 
 from verisift.functions import markup as M
@@ -60,6 +62,16 @@ def test_untouched_sentences(spark):
     assert rows(similarity.untouched(source, derived("unrelated"))) == [(1, 2, 2)]
 
 
+def test_untouched_sentences_of_held_dots_and_long_texts(spark):
+    # a dot of an abbreviation is held while sentences are split; the time for many distinct words grows with their number
+    source = spark.createDataFrame([(1, "See the chapter no.5 here. Pressure at 3.5 bar, fig. 4.25 shown."), (2, "no numbers here"), (3, "Odd 3\x015 sign here.")], "doc_id long, text string")
+    letters = str.maketrans("0123456789", "abcdefghij")
+    derived = spark.createDataFrame([(9, "4.25 " + " ".join(f"word{i}".translate(letters) for i in range(60_000)) + " pressure"), (10, None)], "doc_id long, text string")
+    begin = time.monotonic()
+    assert rows(similarity.untouched(source, derived)) == [(1, 1, 0), (3, 1, 1)]
+    assert time.monotonic() - begin < 20
+
+
 def test_balanced_wrap_equals_all_combinations(spark):
     rng = random.Random(3)
     titles = [" ".join("x" * rng.randint(1, 9) for _ in range(n)) for n in range(1, 11) for _ in range(3)] + ["", "  two  words ", None]

@@ -119,11 +119,14 @@ def untouched(source: DataFrame, derived: DataFrame, key: str = "doc_id", text:
     values nor a fair share of the words.
 
     Relational division by counting: a sentence's values and words are looked up in the derived texts' distinct ones by one
-    join on (kind, term), then counted."""
-    terms = lambda values, words: F.concat(F.transform(values, lambda v: F.struct(F.lit(True).alias("value"), v.alias("x"))), F.transform(words, lambda w: F.struct(F.lit(False).alias("value"), w.alias("x"))))
-    rows = source.select(key, F.posexplode(T.sentences(F.col(text))).alias("no", "s")).select(F.monotonically_increasing_id().alias("row"), key, T.decimals(F.col("s")).alias("v"), T.alpha_words(F.col("s")).alias("w"))
-    rows = rows.where((F.size("v") > 0) & (F.size("w") > 0)).select("row", key, F.size("v").alias("n_v"), F.size("w").alias("n_w"), F.explode(terms(F.col("v"), F.col("w"))).alias("t")).select("row", key, "n_v", "n_w", "t.*")
-    used = derived.select(F.explode(F.array_distinct(terms(T.source_decimals(F.col(text)), T.alpha_words(F.col(text))))).alias("t")).select("t.*").distinct().withColumn("hit", F.lit(1))
-    each = rows.join(used, ["value", "x"], "left").groupBy(key, "row", "n_v", "n_w").agg(F.count(F.when(F.col("value"), F.col("hit"))).alias("h_v"), F.count(F.when(~F.col("value"), F.col("hit"))).alias("h_w"))
+    join, then counted. Values begin with a digit and words with a letter, so one array of strings holds both: distinct
+    structs would be found by comparing all with all."""
+    # a dot between digits may be a held one of an abbreviation; texts and sentences without any are not looked at further
+    parts = source.where(F.col(text).rlike(r"[0-9][.\x01][0-9]")).select(key, F.explode(T.sentences(F.col(text))).alias("s")).where(F.col("s").rlike(T.DECIMAL))
+    rows = parts.select(F.monotonically_increasing_id().alias("row"), key, T.decimals(F.col("s")).alias("v"), T.alpha_words(F.col("s")).alias("w"))
+    rows = rows.where((F.size("v") > 0) & (F.size("w") > 0)).select("row", key, F.size("v").alias("n_v"), F.size("w").alias("n_w"), F.explode(F.concat("v", "w")).alias("x"))
+    used = derived.select(F.explode(F.concat(T.source_decimals(F.col(text)), T.alpha_words(F.col(text)))).alias("x")).distinct().withColumn("hit", F.lit(1))
+    value = F.substring("x", 1, 1) <= "9"
+    each = rows.join(used, "x", "left").groupBy(key, "row", "n_v", "n_w").agg(F.count(F.when(value, F.col("hit"))).alias("h_v"), F.count(F.when(~value, F.col("hit"))).alias("h_w"))
     left = (F.col("h_v") < F.col("n_v")) & (F.col("h_w") * 100 < F.col("n_w") * percent)
     return each.groupBy(key).agg(F.count("*").alias("n_sentences"), F.count_if(left).alias("n_untouched"))
