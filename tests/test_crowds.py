@@ -98,3 +98,24 @@ def test_snapped_columns_hold_distinct_edges(spark, tmp_path):
     spark.range(100).select((F.col("id") * 400).alias("p_partkey"), F.lit(1).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
     df = prose_queries.snapped_columns(spark, str(tmp_path))
     assert rows(df) == [(1, 1, 1)] and "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_texts_are_counted_before_they_are_read(spark, tmp_path):
+    from verisift.plans import report_queries, table_queries
+
+    parts = [(f"name {i % 3}", f"type {i % 2}") for i in range(60)]
+    spark.createDataFrame(parts, "p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    df = report_queries.prose_of_markup(spark, str(tmp_path))
+    assert sorted(r.n for r in df.collect()) == [10] * 6
+    assert _plan(df).rindex("Aggregate") > _plan(df).rindex("ArrowEvalPython")  # plans are written from the top
+    items = [(i, i % 7 + 1, float(i % 4 + 1)) for i in range(100)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = table_queries.cell_number_parse(spark, str(tmp_path))
+    scale = {0: 1000, 1: -1, 2: 1_000_000, 3: 100, 4: 0}
+    want = {k: (sum((o + n) % 5 == k == 4 for o, n, _ in items), float(sum(scale[k] * q for o, n, q in items if (o + n) % 5 == k))) for k in scale}
+    assert {r.kind: (r.n_blank, r.total) for r in df.collect()} == want
+    assert _plan(df).count("Aggregate [") == 2  # by cell, then by kind

@@ -303,9 +303,10 @@ def audit_of_specs(spark, sf_dir):
 
 
 def prose_of_markup(spark, sf_dir):
-    """Part names inside markup, reduced to what a reader reads."""
+    """Part names inside markup, reduced to what a reader reads; equal texts are counted, then read once."""
     text = F.concat(F.lit("\\section{"), F.col("p_name"), F.lit("} % note\nWe~see \\cite{k} \\textbf{"), F.col("p_type"), F.lit("} and $x^2$ {now}."))
-    return _part(spark, sf_dir).select(M.prose(M.strip_comments(text)).alias("prose")).groupBy("prose").agg(F.count(F.lit(1)).alias("n"))
+    texts = _part(spark, sf_dir).groupBy(text.alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    return texts.select(M.prose(M.strip_comments(F.col("text"))).alias("prose"), "n").groupBy("prose").agg(F.sum("n").alias("n"))
 
 
 def _said(*parts) -> Column:

@@ -127,12 +127,13 @@ def fingerprint_duplicates(spark, sf_dir):
 
 
 def cell_number_parse(spark, sf_dir):
-    """Numbers written as cells and read back, summed by how they were written."""
+    """Numbers written as cells and read back, summed by how they were written; equal cells are counted, then read once."""
     k = (F.col("l_orderkey") + F.col("l_linenumber")) % 5
     q = F.col("l_quantity").cast("int").cast("string")
     cell = F.when(k == 0, F.concat(q, F.lit("k"))).when(k == 1, F.concat(F.lit("−"), q)).when(k == 2, F.concat(q, F.lit(" million"))).when(k == 3, F.concat(q, F.lit("e2"))).otherwise(F.lit("n/a"))
-    rows = table(spark, sf_dir, "lineitem").select(k.alias("kind"), cell.alias("cell"))
-    return rows.groupBy("kind").agg(F.count_if(T.is_blank(F.col("cell"))).alias("n_blank"), F.sum(F.coalesce(T.cell_number(F.col("cell")), F.lit(0.0)).cast("decimal(38,0)")).cast("double").alias("total"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(k.alias("kind"), cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    read = rows.select("kind", "n", T.is_blank(F.col("cell")).alias("blank"), F.coalesce(T.cell_number(F.col("cell")), F.lit(0.0)).cast("decimal(18,0)").alias("x"))
+    return read.groupBy("kind").agg(F.coalesce(F.sum(F.when(F.col("blank"), F.col("n"))), F.lit(0)).cast("long").alias("n_blank"), F.sum(F.col("x") * F.col("n")).cast("double").alias("total"))
 
 
 def _boxes(spark, sf_dir):
