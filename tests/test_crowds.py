@@ -119,3 +119,13 @@ def test_equal_texts_are_counted_before_they_are_read(spark, tmp_path):
     want = {k: (sum((o + n) % 5 == k == 4 for o, n, _ in items), float(sum(scale[k] * q for o, n, q in items if (o + n) % 5 == k))) for k in scale}
     assert {r.kind: (r.n_blank, r.total) for r in df.collect()} == want
     assert _plan(df).count("Aggregate [") == 2  # by cell, then by kind
+
+
+def test_banned_words_are_looked_for_before_what_stands_behind(spark):
+    from verisift.operators import provenance as P
+
+    assert P.inflected("worthless").startswith("(?i)(?=worthless)") and P.inflected("utterly disgusting").startswith("(?i)(?=utterly)")
+    assert P.inflected("re:clowns?") == "(?i)clowns?"
+    df = spark.createDataFrame([(0, "Worthless; not worthless, never WORTHLESS; it isn't worthless xworthless worthlessness"), (1, "a well-made Making; not makes, and so on"), (2, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.pattern): r.n for r in P.banned(df, ["worthless", "well-made make", "make", "so on"]).collect()}
+    assert got == {(0, "worthless"): 1, (1, "well-made make"): 1, (1, "make"): 1, (1, "so on"): 1}

@@ -57,14 +57,17 @@ def claims(texts: DataFrame, listed: list[tuple[str, str]], text: str = "text")
 
 def inflected(line: str) -> str:
     """A ban line as a pattern: `re:` verbatim in any case, else its words with their usual endings, as whole words in any
-    case and not right behind not, never or n't. A verbatim pattern's leading ^ stands for the start of any paragraph."""
+    case and not right behind not, never or n't. A verbatim pattern's leading ^ stands for the start of any paragraph.
+
+    The first word is looked for before what stands behind it, so that most places of a text cost one comparison."""
     if line.startswith("re:"):
         pattern = line[3:].strip()
         return "(?i)" + (r"(?:^|(?<=\n\n))" + pattern[1:] if pattern.startswith("^") else pattern)
-    out = []
+    out, first = [], ""
     for w in line.split():
         if "-" in w or len(w) <= 3:
             out.append(w.replace("-", r"\-"))
+            first = first or out[0]
             continue
         base = w
         if not w.lower().endswith(("ss", "us", "is")):
@@ -75,7 +78,8 @@ def inflected(line: str) -> str:
             if len(base) > 3 and base.lower().endswith("e"):
                 base = base[:-1]
         out.append(base + "(?:e|es|s|ed|d|ing|en|n)?")
-    return r"(?i)(?<!(?<![A-Za-z0-9_])not\s)(?<!(?<![A-Za-z0-9_])never\s)(?<!n't\s)" + T.whole_word(r"\s+".join(out)).removeprefix("(?i)")
+        first = first or base
+    return rf"(?i)(?={first})" + r"(?<!(?<![A-Za-z0-9_])not\s)(?<!(?<![A-Za-z0-9_])never\s)(?<!n't\s)" + T.whole_word(r"\s+".join(out)).removeprefix("(?i)")
 
 
 def banned(texts: DataFrame, lines: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
