@@ -156,3 +156,15 @@ def test_parts_lists_and_flat_diagrams(spark):
         "highlight": {(1, "label", "look")}, "big": {(2, "value", "9"), (2, "label", "n"), (2, "text", "w")}}
     assert rows(trees.page_lists(t), "list", "slides") == [("backup", [0]), ("drawn", [0, 3, 4]), ("highlight", [1])]
     assert rows(trees.flat_diagrams(t), "n_diagrams", "n_flat") == [(3, 1)]
+
+
+def test_values_are_told_once_and_read_no_more(spark):
+    texts = ['[{"title": "a", "bullets": ["x", [], {}, "", 0, 0.5, true, false, null]}]', '{"meta": {}, "slides": []}', "[]", "{}", None, "plain"]
+    tree = trees.nodes(spark.createDataFrame(list(enumerate(texts)), "path int, text string"))
+    got = {(r.path, r.node): (r.kind, r.value, r.filled) for r in tree.collect()}
+    assert got[0, "[0].bullets"] == ("array", None, True) and got[0, "[0].bullets[1]"] == ("array", None, False) and got[0, "[0].bullets[2]"] == ("object", None, False)
+    scalars = [got[0, f"[0].bullets[{i}]"] for i in (0, 3, 4, 5, 6, 7, 8)]
+    assert scalars == [("text", "x", True), ("text", "", False), ("number", "0", False), ("number", "0.5", True), ("boolean", "true", True), ("boolean", "false", False), (None, None, False)]
+    assert got[1, ""] == ("object", None, True) and got[1, "meta"] == ("object", None, False) and got[1, "slides"] == ("array", None, False)
+    assert got[2, ""] == ("array", None, False) and got[3, ""] == ("object", None, False) and got[4, ""] == (None, None, False) == got[5, ""]
+    assert "variant" not in tree._jdf.queryExecution().optimizedPlan().toString()  # checks read no value again

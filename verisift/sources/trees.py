@@ -110,42 +110,62 @@ def nodes(specs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     nearest key above; `kind` object, array, text, number, boolean or null; `value` a scalar as text; `of` what kind of object holds it
     and `shape` what kind of object the spec's grammar expects here; `slide` the slide's number from 0 and `rel` the path below the slide; `filled`
     is false for what counts as nothing (null, false, zero, an empty text, list or mapping). A text that is no spec has
-    one row of kind null. Levels are walked one by one and written down, as deep as the deepest spec; each value moves once.
+    one row of kind null. Levels are walked one by one and written down with what is told of each value, as deep as the
+    deepest spec, so checks read no value again; each value moves once, parts of few specs once more, so that all tasks share them.
     """
     spark = specs.sparkSession
     below = F.create_map(*[F.lit(x) for (shape, name), child in BELOW.items() for x in (f"{shape}.{name}", child)])
     level = json_texts(specs, key, text).select(
         F.col(key).alias("_key"), F.lit("").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("label"),
         F.lit(None).cast("string").alias("of"), F.expr("try_parse_json(json)").alias("v"))
-    level = level.withColumn("shape", F.when(F.expr("schema_of_variant(v)").startswith("ARRAY"), "slide").otherwise("spec"))
+    level = level.withColumn("shape", F.when(_items("v", "array").isNotNull(), "slide").otherwise("spec"))
     levels, depth = [], 0
     while True:
-        level, _ = written(level, "nodes")
-        if depth and level.limit(1).count() == 0:
+        level, _ = written(_described(level), "nodes")
+        few = level.limit(FEW + 1).count()
+        if depth and not few:
             break
-        levels.append(level.withColumn("depth", F.lit(depth)))
+        levels.append(level.drop("v").withColumn("depth", F.lit(depth)))
         plain = F.when(F.col("e.key").rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.col("e.key")).otherwise(F.concat(F.lit('"'), F.replace("e.key", F.lit('"'), F.lit('\\"')), F.lit('"')))
         step = F.when(F.col("e.key").isNull(), F.concat(F.lit("["), F.col("e.pos").cast("string"), F.lit("]"))).when(F.col("n.node") == "", plain).otherwise(F.concat(F.lit("."), plain))
         # the rows of a diagram are of its kind
         owner = F.when(F.col("shape") == "diagram", F.coalesce(F.expr("try_variant_get(v, '$.kind', 'string')"), F.lit("flow"))).otherwise(F.col("shape"))
-        # worked out before the values are taken apart, so that no part carries the whole
-        rows = level.withColumn("owner", owner).alias("n").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).alias("e"))
+        # worked out before the values are taken apart, so that no part carries the whole; what has no parts is not read
+        rows = level.where("kind IN ('object', 'array')").withColumn("owner", owner).alias("n").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).alias("e"))
         level = rows.select(
             F.col("n._key").alias("_key"), F.concat("n.node", step).alias("node"), F.col("n.node").alias("parent"), F.col("e.key").alias("name"), F.coalesce("e.key", "n.label").alias("label"),
             F.when(F.col("e.key").isNotNull(), F.col("n.shape")).alias("of"), F.col("e.value").alias("v"),
             F.when(F.col("e.key").isNull(), F.col("n.shape")).otherwise(F.try_element_at(below, F.concat_ws(".", F.col("n.owner"), F.col("e.key")))).alias("shape"))
+        if few <= FEW:
+            level = level.repartition(4 * spark.sparkContext.defaultParallelism, "_key", "node")
         depth += 1
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
+    return out.select(F.col("_key").alias(key), "node", "parent", "name", "label", "depth", "kind", "value", "of", "shape", "slide", "rel", "filled")
+
+
+FEW = 10_000  # rows of a level that may lie in a few tasks
+
+
+def _items(v: str, kind: str) -> Column:
+    """The parts of a variant, one level deep, if it is of this kind (array or object); else null."""
+    return F.expr(f"try_variant_get({v}, '$', '{'array<variant>' if kind == 'array' else 'map<string,variant>'}')")
+
+
+def _described(level: DataFrame) -> DataFrame:
+    """A level with what is told of its values. Only of scalars is a schema asked: that of a list goes through all below it."""
     schema = F.expr("schema_of_variant(v)")
-    kind = F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "STRING", "text").when(schema == "BOOLEAN", "boolean").when(schema != "VOID", "number")
-    value = F.when(~F.coalesce(kind, F.lit("")).isin("object", "array"), F.expr("try_variant_get(v, '$', 'string')"))
+    kind = F.when(F.col("n_items").isNotNull(), F.when(F.col("is_list"), "array").otherwise("object")).when(schema == "STRING", "text").when(schema == "BOOLEAN", "boolean").when(schema != "VOID", "number")
+    value = F.when(F.col("n_items").isNull(), F.expr("try_variant_get(v, '$', 'string')"))
     place = r'^(?:slides)?\[([0-9]+)\]\.?(.*)$'
-    out = out.withColumn("kind", kind).withColumn("value", value).withColumn("slide", F.regexp_extract("node", place, 1).try_cast("int")).withColumn("rel", F.when(F.col("slide").isNotNull(), F.regexp_extract("node", f"(?s){place}", 2)))
+    rows = level.withColumn("n_list", F.size(_items("v", "array"))).withColumn("is_list", F.col("n_list") >= 0)
+    rows = rows.withColumn("n_items", F.when(F.col("is_list"), F.col("n_list")).otherwise(F.size(_items("v", "object"))))
+    rows = rows.withColumn("n_items", F.when(F.col("n_items") >= 0, F.col("n_items")))
+    rows = rows.withColumn("kind", kind).withColumn("value", value).withColumn("slide", F.regexp_extract("node", place, 1).try_cast("int")).withColumn("rel", F.when(F.col("slide").isNotNull(), F.regexp_extract("node", f"(?s){place}", 2)))
     scalar = ((F.col("kind") == "text") & (F.col("value") == "")) | ((F.col("kind") == "boolean") & (F.col("value") == "false")) | ((F.col("kind") == "number") & (F.col("value").try_cast("double") == 0))
-    nothing = F.col("kind").isNull() | F.when(F.col("kind").isin("object", "array"), F.expr("to_json(v)").isin("{}", "[]")).otherwise(scalar)
-    return out.withColumn("filled", ~F.coalesce(nothing, F.lit(True))).select(F.col("_key").alias(key), "node", "parent", "name", "label", "depth", "kind", "value", "of", "shape", "slide", "rel", "filled")
+    nothing = F.col("kind").isNull() | F.when(F.col("kind").isin("object", "array"), F.col("n_items") == 0).otherwise(scalar)
+    return rows.withColumn("filled", ~F.coalesce(nothing, F.lit(True))).drop("n_list", "is_list", "n_items")
 
 
 def _known(table: dict[str, list[str]]) -> Column:
