@@ -115,6 +115,19 @@ def test_spoken_words_against_plain(spark, table):
     assert column(spark, SAID, lambda c: T.spoken_words(c, acronyms)) == [plain_words(x, table) for x in SAID]
 
 
+def test_spoken_words_of_long_runs(spark):
+    """The stripping of dots took the square of a run's length; digits were read over and over."""
+    said = ["a" + "." * 300000 + "x", "12" + "." * 300000 + "5", "1" * 9000 + "'", "9-" * 5000, "12.5th " * 5000]
+    assert column(spark, said, T.spoken_words) == [1.0, 1.0, 1.0, 5000.0, 15000.0]
+
+
+@pytest.mark.parametrize("table", [{"5GB": 7.0, "ab": 0.0, "gb": 2.0, "12M": 5.0, "5": 9.0}, {"ISO-5GB": 1.5, "GPU-days": 4.0, "GB": 3.0, "7th": 2.5, "th": 6.0, "ISO": 0.5}])
+def test_spoken_words_where_the_table_has_numbers(spark, table):
+    said = [*SAID, "ISO-5GB, ISO-5gb. GPU-days-5GB 7th 8th 8TH 5sth 12.5M 12M-5 ab-5 5 5. 5.5GB... 123456GB 7nd. 5stxrd 5sthrd 5Mth 5thM"]
+    acronyms = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    assert column(spark, said, lambda c: T.spoken_words(c, acronyms)) == [plain_words(x, table) for x in said]
+
+
 def test_spoken_words_of_all_conversations(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("text", T.spoken_words("text").alias("n")).collect()
     assert len(rows) > 500 and all(r.n == plain_words(r.text or "") for r in rows)

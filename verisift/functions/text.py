@@ -28,8 +28,15 @@ report reports show shows give gives make makes take takes apply applies use use
 than then where when what which this that these those with from into over under about across between within while after before""".split()
 STOP_WORDS = "the a an of to in on for and or with by is are was were be been this that it its as at from".split()
 SYMBOL_WORDS = {"%": 1, "≈": 1, "×": 1, "±": 3, "≤": 2, "≥": 2, "→": 1}
-TOKEN, NUMBER, MEASURE = r"[A-Za-z0-9][A-Za-z0-9'’.\-]*", r"^[0-9]+(?:\.[0-9]+)?$", r"^([0-9]+(?:\.[0-9]+)?)([A-Za-z]{1,3})$"
-MINUS, GREEK_LETTER, ORDINALS = r"(?<![\p{L}\p{N}_.])[-−](?=[0-9])", "[Α-Ωα-ω]", ("st", "nd", "rd", "th")
+# Java looks a class up in a table where its signs are listed one by one; ranges are asked one after the other
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALNUM, NO_SIGN = LETTERS + DIGITS, "[" + "".join(rf"\x{i:02x}" for i in range(128) if chr(i) not in SYMBOL_WORDS) + "]+"
+TOKEN, PART = rf"[{ALNUM}](?:[{ALNUM}'’.\-]*[{ALNUM}'’\-])?", rf"[{ALNUM}](?:[{ALNUM}'’.]*[{ALNUM}'’])?"
+NUMBER, ORDINAL = r"^[0-9]+(?:\.[0-9]+)?$", "(?:[sS][tT]|[nN][dD]|[rR][dD]|[tT][hH])"
+# all parts, once ’ is '; the group has those that are a number, with its unit
+NUMBERS = rf"([0-9]+(?:\.[0-9]+)?(?:(?!{ORDINAL}(?![{LETTERS}]))[{LETTERS}]{{1,3}}(?![{LETTERS}]))?){ORDINAL}?\.*(?![{ALNUM}'.])|[{ALNUM}][{ALNUM}'.]*"
+UNIT, FRACTION, LONG_WHOLE = f"[{LETTERS}]+", r"\.[0-9]+", r"(?:^| )([0-9]{3,})"  # of such numbers, between spaces
+MINUS, GREEK_LETTER = r"[-−](?<![\p{L}\p{N}_.][-−])(?=[0-9])", "[Α-Ωα-ω]"
 SUFFIXES = ("ences", "ence", "ances", "ance", "ments", "ment", "ness", "ities", "ity", "ations", "ation", "ally", "ly")
 ENDINGS = ("ing", "ed", "es", "s")
 IRREGULAR = {
@@ -163,9 +170,9 @@ def integer_words(n: Column) -> Column:
         groups.append(F.when(g > 0, _below_thousand(g) + name).otherwise(0))
     # what is left below a larger unit is read as a number of its own: 12,001,916 ends like the year 1916
     low = n % 1000000
-    short = ((low >= 1000) & (low <= 2099) & (low % 100 != 0)) | ((low >= 1000) & (low < 10000) & (low % 100 == 0) & (low % 1000 != 0))
+    short = (low < 10000) & (low >= 1000) & (low % 1000 != 0) & ((low <= 2099) | (low % 100 == 0))
     tail = F.when(short, 2).otherwise(groups[2] + groups[3])
-    return F.when(n < 100, 1).when(n < 1000, 3).otherwise(groups[0] + groups[1] + tail).cast("long")
+    return F.when(n < 100, 1).when(n < 1000, 3).when(n < 10**6, tail).otherwise(groups[0] + groups[1] + tail).cast("long")
 
 
 def syllables(text: Column) -> Column:
@@ -182,7 +189,7 @@ def digits_words(digits: Column) -> Column:
         words = F.when(s["on"], 1 + F.when(g > 0, integer_words(g)).otherwise(0)).when(g > 0, integer_words(g)).otherwise(0)
         return F.struct((s["n"] + words).cast("long").alias("n"), (s["on"] | (g > 0)).alias("on"))
 
-    return F.aggregate(groups, start, add, lambda s: F.when(s["on"], s["n"]).otherwise(1))
+    return F.when(F.length(digits) <= 9, let(digits.cast("long"), integer_words)).otherwise(F.aggregate(groups, start, add, lambda s: F.when(s["on"], s["n"]).otherwise(1)))
 
 
 def number_words(token: Column) -> Column:
@@ -191,6 +198,23 @@ def number_words(token: Column) -> Column:
     return digits_words(whole) + F.when(fraction != "", 1 + F.length(fraction)).otherwise(0)
 
 
+def _unsigned_words(text: Column, table: Column | None) -> Column:
+    """Words of the parts of a text; the units of numbers count as `table` says.
+
+    Most parts are no numbers and count one, so only numbers are looked at, and of them only whole parts of three digits
+    or more one by one."""
+    ones = F.regexp_extract_all(F.replace(text, F.lit("’"), F.lit("'")), F.lit(NUMBERS), F.lit(1))  # for each part its number, else an empty string
+
+    def beyond(numbers: Column) -> Column:
+        units = F.regexp_extract_all(numbers, F.lit(UNIT), F.lit(0))
+        named = F.size(units) if table is None else F.aggregate(units, F.lit(0.0), lambda n, x: n + F.coalesce(F.try_element_at(table, x), F.lit(1.0)))
+        fractions = F.length(numbers) - F.length(F.regexp_replace(numbers, FRACTION, ""))
+        wholes = F.regexp_extract_all(numbers, F.lit(LONG_WHOLE), F.lit(1))
+        return named + fractions + F.aggregate(wholes, F.lit(0).cast("long"), lambda n, x: n + digits_words(x) - 1)
+
+    return let(ones, lambda x: F.size(x) + let(F.array_join(x, " "), beyond)).cast("double")
+
+
 def spoken_words(text: Column, table: Column | None = None) -> Column:
     """Words that reading a text aloud takes; 0 for null.
 
@@ -198,23 +222,23 @@ def spoken_words(text: Column, table: Column | None = None) -> Column:
     `table` (a map from tokens to words, say of acronyms) counts as it says; else its parts between hyphens count one by
     one: a number as it is read, a number with a unit of up to three letters as number and unit (the unit by the table if
     it is there, ordinals without), anything else one."""
-    table = F.create_map().cast("map<string,double>") if table is None else F.coalesce(table.cast("map<string,double>"), F.create_map().cast("map<string,double>"))
-    bare = lambda x: F.regexp_replace(x, r"^[.'’]+|\.+$", "")
-    none = F.array().cast("array<string>")
-    tokens = F.transform(F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), none), bare)
-
-    def parts(x: Column) -> Column:
-        return F.when(F.contains(x, F.lit("-")) & ~F.map_contains_key(table, x), F.filter(F.transform(F.split(x, "-"), bare), lambda y: y != "")).otherwise(F.array(x))
-
-    def words(x: Column) -> Column:
-        number, unit = F.regexp_extract(x, MEASURE, 1), F.regexp_extract(x, MEASURE, 2)
-        named = F.when(F.lower(unit).isin(*ORDINALS), 0.0).otherwise(F.coalesce(F.try_element_at(table, unit), F.lit(1.0)))
-        return F.when(x.rlike(NUMBER), number_words(x).cast("double")).otherwise(F.coalesce(F.try_element_at(table, x), F.when(number != "", number_words(number) + named).otherwise(F.lit(1.0))))
-
-    signs = F.regexp_count(text, F.lit(MINUS)) + F.regexp_count(text, F.lit(GREEK_LETTER))
+    rest = F.regexp_replace(text, NO_SIGN, "")
+    signs = F.regexp_count(text, F.lit(MINUS)) + F.regexp_count(rest, F.lit(GREEK_LETTER))
     for sign, k in SYMBOL_WORDS.items():
-        signs = signs + k * (F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit(""))))
-    return F.coalesce(signs, F.lit(0)) + F.aggregate(F.flatten(F.transform(tokens, parts)), F.lit(0.0), lambda n, x: n + words(x))
+        signs = signs + k * (F.length(rest) - F.length(F.replace(rest, F.lit(sign), F.lit(""))))
+    if table is None:
+        return F.coalesce(signs + _unsigned_words(text, None), F.lit(0.0))
+    table = F.coalesce(table.cast("map<string,double>"), F.create_map().cast("map<string,double>"))
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    split = F.flatten(F.transform(tokens, lambda x: F.when(F.try_element_at(table, x).isNotNull(), F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(PART), F.lit(0)))))
+    parts = F.when(F.contains(F.array_join(F.map_keys(table), ""), F.lit("-")), split).otherwise(F.regexp_extract_all(text, F.lit(PART), F.lit(0)))
+
+    def words(parts: Column) -> Column:
+        in_table = lambda x: F.try_element_at(table, x).isNotNull() & ~x.rlike(NUMBER)
+        listed = F.aggregate(parts, F.lit(0.0), lambda n, x: F.when(in_table(x), n + F.try_element_at(table, x)).otherwise(n))
+        return listed + _unsigned_words(F.array_join(F.filter(parts, lambda x: ~in_table(x)), " "), table)
+
+    return F.coalesce(signs + let(parts, words), F.lit(0.0))
 
 
 def talk_seconds(words: Column, syllable_count: Column | int = 0, pause: Column | int = 0) -> Column:
