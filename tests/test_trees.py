@@ -4,6 +4,10 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from verisift.operators.sequence import numbered
+from verisift.plans import spec_queries
 from verisift.sources import specs, trees
 
 
@@ -168,3 +172,38 @@ def test_values_are_told_once_and_read_no_more(spark):
     assert got[1, ""] == ("object", None, True) and got[1, "meta"] == ("object", None, False) and got[1, "slides"] == ("array", None, False)
     assert got[2, ""] == ("array", None, False) and got[3, ""] == ("object", None, False) and got[4, ""] == (None, None, False) == got[5, ""]
     assert "variant" not in tree._jdf.queryExecution().optimizedPlan().toString()  # checks read no value again
+
+
+def test_slides_apart_give_the_tree_of_the_whole(spark):
+    slides = [{"title": "a", "left": {"head": "cut", "parts": [{"text": "t", "parts": [{"text": "u"}]}, "p"]}, "right": {"text": "r", "parts": []}}, {}, {"a.b": [[], {"x\ny": 0}]}, {"big": "9", "parts": [1]}] * 4
+    deep = {"meta": {"title": "T"}, "slides": slides}
+    whole = tree(spark, slides, deep)
+    texts = spark.createDataFrame([(path, i, json.dumps(x)) for path in ("s0", "s1") for i, x in enumerate(slides)], "path string, i int, text string").repartition(3)
+    apart = texts.select("path", F.concat(F.when(F.col("path") == "s1", "slides").otherwise(""), F.lit("["), "i", F.lit("]")).alias("node"), "text")
+    heads = spark.createDataFrame([("s1", json.dumps({"meta": deep["meta"]}))], "path string, text string")
+    assert rows(trees.nodes(heads, slides=apart), *whole.columns) == rows(whole, *whole.columns)
+    cut = {r.rel for r in whole.where("cut AND slide = 0").collect()}
+    assert cut == {"left.head", "left.parts[0]", "left.parts[1]", "left.parts[0].text", "left.parts[0].parts[0]"}
+
+
+def test_no_row_holds_a_deck_whole(spark, tmp_path, monkeypatch):
+    spark.range(600).selectExpr("id AS p_partkey", "'n' AS p_name", "concat('Brand#', id % 2) AS p_brand", "'T' AS p_type", "7 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    sizes, real = [], trees.written
+
+    def seen(df, name):
+        out = real(df, name)
+        if "v" in df.columns:
+            sizes.append(out[0].agg(F.max(F.length(F.expr("to_json(v)")))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(trees, "written", seen)
+    got = {(r.path, r.note): r.n for r in spec_queries.spec_slide_notes(spark, str(tmp_path)).collect()}
+    assert 100 < max(sizes) < 1000
+    assert got == {("Brand#0", "bullets only"): 50, ("Brand#0", "undirected"): 250, ("Brand#1", "undirected"): 250, ("Brand#1", "too many rows"): 50}
+
+
+def test_numbers_over_ranges(spark):
+    found = [(k, i % 7, f"{i:03}") for k, n in (("a", 500), (None, 40), ("b", 1), ("", 3)) for i in range(n)]
+    df = spark.createDataFrame(found, "k string, o int, t string").repartition(5)
+    want = [(*x, n) for k in ("a", None, "b", "") for n, x in enumerate(sorted((x for x in found if x[0] == k), key=lambda x: x[1:]))]
+    assert rows(numbered(df, "k", ["o", "t"]), "k", "o", "t", "n") == sorted(want, key=str)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .._staging import written
+
 
 def as_of(events: DataFrame, is_anchor: Column, by: str, order: list[str], value: str) -> Column:
     """The value of the last anchor at or before each row, in its partition: a window, no join."""
@@ -41,6 +43,18 @@ def renumbered(df: DataFrame, by: str, order: str, backup: Column, numbered: Col
     return placed.withColumn("page", F.when(numbered, count)).drop("_backup")
 
 
+def numbered(df: DataFrame, by: str, order: list[str], name: str = "n") -> DataFrame:
+    """Rows with their number from 0 among those of the same `by`, in this order. Rows are dealt out by ranges and each range is
+    counted, so no group passes through one task; the ranges are written down, as their borders are drawn by a sample."""
+    at, _ = written(df.orderBy(by, *order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    at = at.withColumn("_range", F.shiftrightunsigned("_at", 33))
+    counts = at.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_of")).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(W.partitionBy("_by").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_by", "_of", (before - F.col("_first")).alias("_shift"))
+    rows = at.join(starts, (F.col("_range") == F.col("_of")) & F.col(by).eqNullSafe(F.col("_by")))
+    return rows.withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)
+
+
 def sections(lines: DataFrame, by: str, pos: str, is_head: Column, text: str) -> DataFrame:
     """Each line with the head it stands under: the last one at or before it."""
     return lines.withColumn("head", F.last(F.when(is_head, F.col(text)), ignorenulls=True).over(W.partitionBy(by).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)))

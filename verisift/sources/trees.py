@@ -90,8 +90,8 @@ def as_json(text: str | None) -> str | None:
     return json.dumps(plain(found), ensure_ascii=False, default=str) if isinstance(found, (dict, list)) else None
 
 
-def json_texts(specs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(key, json) of specs; what begins like JSON and is well formed does not go through Python: a UDF in a CASE gets every
+def _json(text: str) -> Column:
+    """A spec's text as JSON; what begins like JSON and is well formed does not go through Python: a UDF in a CASE gets every
     row, so it is given null for those."""
 
     @F.pandas_udf("string")
@@ -100,72 +100,92 @@ def json_texts(specs: DataFrame, key: str = "path", text: str = "text") -> DataF
 
     t = F.col(text)
     fine = t.rlike(r"^\s*[\[{]") & F.expr(f"try_parse_json(`{text}`)").isNotNull()
-    return specs.select(key, F.when(fine, t).when(t.isNotNull(), read(F.when(~fine, t))).alias("json"))
+    return F.when(fine, t).when(t.isNotNull(), read(F.when(~fine, t)))
+
+
+def json_texts(specs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """(key, json) of specs."""
+    return specs.select(key, _json(text).alias("json"))
 
 
-def nodes(specs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """One row a value of each spec: (key, node, parent, name, label, depth, kind, value, of, shape, slide, rel, filled).
+def nodes(specs: DataFrame, key: str = "path", text: str = "text", slides: DataFrame | None = None) -> DataFrame:
+    """One row a value of each spec: (key, node, parent, name, label, depth, kind, value, of, shape, slide, rel, filled, cut).
 
     `node` is the path of the value and `parent` that of what holds it; `name` its key (null in a list), `label` the
     nearest key above; `kind` object, array, text, number, boolean or null; `value` a scalar as text; `of` what kind of object holds it
     and `shape` what kind of object the spec's grammar expects here; `slide` the slide's number from 0 and `rel` the path below the slide; `filled`
-    is false for what counts as nothing (null, false, zero, an empty text, list or mapping). A text that is no spec has
+    is false for what counts as nothing (null, false, zero, an empty text, list or mapping); `cut` is true for what a pane holds beside its
+    parts, which is not drawn. A text that is no spec has
     one row of kind null. Levels are walked one by one and written down with what is told of each value, as deep as the
     deepest spec, so checks read no value again; each value moves once, parts of few specs once more, so that all tasks share them.
+
+    `slides`, (key, node, text), are slides that lie apart from their specs, by the place they have there: `[3]` in a spec that is a
+    list, `slides[3]` in a mapping. The list itself is then in no text: a mapping is given without it, a list not at all. So no row
+    and no task holds a spec whole, and specs of any length are walked. A slide that is none has a row of kind null at its place.
     """
     spark = specs.sparkSession
     below = F.create_map(*[F.lit(x) for (shape, name), child in BELOW.items() for x in (f"{shape}.{name}", child)])
-    level = json_texts(specs, key, text).select(
-        F.col(key).alias("_key"), F.lit("").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("label"),
-        F.lit(None).cast("string").alias("of"), F.expr("try_parse_json(json)").alias("v"))
-    level = level.withColumn("shape", F.when(_items("v", "array").isNotNull(), "slide").otherwise("spec"))
-    levels, depth = [], 0
+    none, text_of = F.lit(None).cast("string"), F.expr("try_parse_json(json)").alias("v")
+    level = json_texts(specs, key, text).select(F.col(key).alias("_key"), F.lit("").alias("node"), none.alias("parent"), none.alias("name"), none.alias("label"), none.alias("of"), F.lit(None).cast("int").alias("slide"), none.alias("rel"), F.lit(False).alias("cut"), F.lit(0).alias("depth"), text_of)
+    level = level.withColumn("shape", F.when(F.expr("to_json(v)").startswith("["), "slide").otherwise("spec"))
+    if slides is not None:
+        within = F.when(F.startswith("node", F.lit("slides")), F.lit("slides"))
+        apart = slides.select(F.col(key).alias("_key"), "node", _json(text).alias("json")).select(
+            "_key", "node", F.coalesce(within, F.lit("")).alias("parent"), none.alias("name"), within.alias("label"), none.alias("of"), F.regexp_extract("node", r"\[([0-9]+)\]$", 1).try_cast("int").alias("slide"),
+            F.lit("").alias("rel"), F.lit(False).alias("cut"), F.when(within.isNotNull(), 2).otherwise(1).alias("depth"), text_of, F.lit("slide").alias("shape"))
+        level = level.unionByName(apart)
+    levels = []
     while True:
         level, _ = written(_described(level), "nodes")
         few = level.limit(FEW + 1).count()
-        if depth and not few:
+        if levels and not few:
             break
-        levels.append(level.drop("v").withColumn("depth", F.lit(depth)))
+        levels.append(level.drop("v"))
         plain = F.when(F.col("e.key").rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.col("e.key")).otherwise(F.concat(F.lit('"'), F.replace("e.key", F.lit('"'), F.lit('\\"')), F.lit('"')))
-        step = F.when(F.col("e.key").isNull(), F.concat(F.lit("["), F.col("e.pos").cast("string"), F.lit("]"))).when(F.col("n.node") == "", plain).otherwise(F.concat(F.lit("."), plain))
+        bare = F.when(F.col("e.key").isNull(), F.concat(F.lit("["), F.col("e.pos").cast("string"), F.lit("]"))).otherwise(plain)
+        under = lambda path: F.when(F.col("e.key").isNull() | (F.col(path) == ""), F.concat(path, "step")).otherwise(F.concat(F.col(path), F.lit("."), F.col("step")))
         # the rows of a diagram are of its kind
         owner = F.when(F.col("shape") == "diagram", F.coalesce(F.expr("try_variant_get(v, '$.kind', 'string')"), F.lit("flow"))).otherwise(F.col("shape"))
+        # a pane with parts draws only these; what stands deeper goes with it, up to the next pane
+        split = F.when(F.col("shape").eqNullSafe("pane") & F.col("rel").rlike(rf"^{_SIDE}$"), F.coalesce(_filled(F.expr("to_json(try_variant_get(v, '$.parts', 'variant'))")), F.lit(False))).otherwise(F.col("cut"))
         # worked out before the values are taken apart, so that no part carries the whole; what has no parts is not read
-        rows = level.where("kind IN ('object', 'array')").withColumn("owner", owner).alias("n").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).alias("e"))
+        rows = level.where("kind IN ('object', 'array')").withColumn("owner", owner).withColumn("split", split).withColumn("listed", (F.col("kind") == "array") & F.col("node").isin("", "slides"))
+        rows = rows.select("_key", "node", "label", "shape", "slide", "rel", "depth", "owner", "split", "listed", "v").alias("n").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).alias("e")).withColumn("step", bare)
         level = rows.select(
-            F.col("n._key").alias("_key"), F.concat("n.node", step).alias("node"), F.col("n.node").alias("parent"), F.col("e.key").alias("name"), F.coalesce("e.key", "n.label").alias("label"),
-            F.when(F.col("e.key").isNotNull(), F.col("n.shape")).alias("of"), F.col("e.value").alias("v"),
+            F.col("n._key").alias("_key"), under("n.node").alias("node"), F.col("n.node").alias("parent"), F.col("e.key").alias("name"), F.coalesce("e.key", "n.label").alias("label"),
+            F.when(F.col("e.key").isNotNull(), F.col("n.shape")).alias("of"), F.when(F.col("n.listed"), F.col("e.pos")).otherwise(F.col("n.slide")).alias("slide"), F.when(F.col("n.listed"), "").otherwise(under("n.rel")).alias("rel"),
+            F.col("n.split").alias("cut"), (F.col("n.depth") + 1).alias("depth"), F.col("e.value").alias("v"),
             F.when(F.col("e.key").isNull(), F.col("n.shape")).otherwise(F.try_element_at(below, F.concat_ws(".", F.col("n.owner"), F.col("e.key")))).alias("shape"))
         if few <= FEW:
             level = level.repartition(4 * spark.sparkContext.defaultParallelism, "_key", "node")
-        depth += 1
+    if slides is not None:
+        inside = F.when(F.col("node") == "slides", "slides")
+        lists = levels[0].where("rel = ''").select("_key", F.col("parent").alias("node")).distinct().select(
+            "_key", "node", F.when(inside.isNotNull(), "").alias("parent"), inside.alias("name"), inside.alias("label"), F.when(inside.isNotNull(), "spec").alias("of"), F.lit(None).cast("int").alias("slide"), none.alias("rel"), F.lit(False).alias("cut"),
+            F.when(inside.isNotNull(), 1).otherwise(0).alias("depth"), F.lit("slide").alias("shape"), F.lit("array").alias("kind"), none.alias("value"), F.lit(True).alias("filled"))
+        levels.append(written(lists, "lists")[0])
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
-    return out.select(F.col("_key").alias(key), "node", "parent", "name", "label", "depth", "kind", "value", "of", "shape", "slide", "rel", "filled")
+    cut = F.col("cut") & ~F.coalesce(F.endswith("rel", F.lit(".parts")), F.lit(False))
+    return out.select(F.col("_key").alias(key), "node", "parent", "name", "label", "depth", "kind", "value", "of", "shape", "slide", "rel", "filled", cut.alias("cut"))
 
 
 FEW = 10_000  # rows of a level that may lie in a few tasks
 
 
-def _items(v: str, kind: str) -> Column:
-    """The parts of a variant, one level deep, if it is of this kind (array or object); else null."""
-    return F.expr(f"try_variant_get({v}, '$', '{'array<variant>' if kind == 'array' else 'map<string,variant>'}')")
+def _filled(json: Column) -> Column:
+    return ~json.isin("null", '""', "false", "[]", "{}") & ~F.coalesce(json.try_cast("double") == 0, F.lit(False))
 
 
 def _described(level: DataFrame) -> DataFrame:
-    """A level with what is told of its values. Only of scalars is a schema asked: that of a list goes through all below it."""
-    schema = F.expr("schema_of_variant(v)")
-    kind = F.when(F.col("n_items").isNotNull(), F.when(F.col("is_list"), "array").otherwise("object")).when(schema == "STRING", "text").when(schema == "BOOLEAN", "boolean").when(schema != "VOID", "number")
-    value = F.when(F.col("n_items").isNull(), F.expr("try_variant_get(v, '$', 'string')"))
-    place = r'^(?:slides)?\[([0-9]+)\]\.?(.*)$'
-    rows = level.withColumn("n_list", F.size(_items("v", "array"))).withColumn("is_list", F.col("n_list") >= 0)
-    rows = rows.withColumn("n_items", F.when(F.col("is_list"), F.col("n_list")).otherwise(F.size(_items("v", "object"))))
-    rows = rows.withColumn("n_items", F.when(F.col("n_items") >= 0, F.col("n_items")))
-    rows = rows.withColumn("kind", kind).withColumn("value", value).withColumn("slide", F.regexp_extract("node", place, 1).try_cast("int")).withColumn("rel", F.when(F.col("slide").isNotNull(), F.regexp_extract("node", f"(?s){place}", 2)))
-    scalar = ((F.col("kind") == "text") & (F.col("value") == "")) | ((F.col("kind") == "boolean") & (F.col("value") == "false")) | ((F.col("kind") == "number") & (F.col("value").try_cast("double") == 0))
-    nothing = F.col("kind").isNull() | F.when(F.col("kind").isin("object", "array"), F.col("n_items") == 0).otherwise(scalar)
-    return rows.withColumn("filled", ~F.coalesce(nothing, F.lit(True))).drop("n_list", "is_list", "n_items")
+    """A level with what is told of its values. A list that has parts is known by its first and not written out."""
+    rows = level.withColumn("json", F.when(F.expr("try_variant_get(v, '$[0]', 'variant')").isNotNull(), "[.").otherwise(F.expr("to_json(v)")))
+    json = F.col("json")
+    infinite = json.isin('"Infinity"', '"-Infinity"') & (F.expr("schema_of_variant(v)") == "DOUBLE")
+    kind = F.when(json.startswith("{"), "object").when(json.startswith("["), "array").when(json.isin("true", "false"), "boolean").when(json.startswith('"') & ~infinite, "text").when(json != "null", "number")
+    rows = rows.withColumn("kind", kind).withColumn("filled", F.coalesce(_filled(json), F.lit(False)))
+    return rows.withColumn("value", F.when(~F.coalesce(F.col("kind"), F.lit("")).isin("object", "array"), F.expr("try_variant_get(v, '$', 'string')"))).drop("json")
 
 
 def _known(table: dict[str, list[str]]) -> Column:
@@ -220,62 +240,76 @@ def violations(specs: DataFrame, key: str = "path", text: str = "text") -> DataF
     return found.unionByName(row(bad_acronyms(tree, key), "meta.acronyms", "acronym", F.coalesce("name", F.lit("no mapping"))))
 
 
-def slide_kinds(tree: DataFrame, key: str = "path") -> DataFrame:
-    """(key, slide, kind, has_chart): the kind that is given, else the one that what a slide holds stands for."""
+def _kind() -> list[Column]:
+    """Of a slide's rows: kind, the one that is given, else the one that what a slide holds stands for; has_chart."""
     has = lambda *names: F.coalesce(F.bool_or(F.col("rel").isin(*names) & F.col("filled")), F.lit(False))
     inferred = F.when(has("big", "flow"), "standout").when(has("left", "right"), "columns").when(has("figure", "chart", "diagram"), "figure").when(has("table"), "table").otherwise("content")
-    return tree.where("slide IS NOT NULL").groupBy(key, "slide").agg(F.coalesce(F.max(F.when((F.col("rel") == "kind") & F.col("filled"), F.col("value"))), inferred).alias("kind"), has("chart").alias("has_chart"))
+    return [F.coalesce(F.max(F.when((F.col("rel") == "kind") & F.col("filled"), F.col("value"))), inferred).alias("kind"), has("chart").alias("has_chart")]
 
 
-def _drawn_parts(tree: DataFrame, key: str) -> DataFrame:
-    """Without what a pane holds beside its parts: a pane with parts draws only these."""
-    split = tree.where("name = 'parts' AND filled").select(key, "slide", F.regexp_extract("rel", rf"^({_SIDE})\.parts$", 1).alias("pane")).where("pane <> ''")
-    rows = tree.withColumn("pane", F.regexp_extract("rel", rf"^({_SIDE})\.", 1))
-    return rows.join(split.withColumn("cut", F.lit(True)), [key, "slide", "pane"], "left").where(F.col("cut").isNull() | F.col("rel").rlike(r"\.parts$")).drop("pane", "cut")
+def slide_kinds(tree: DataFrame, key: str = "path") -> DataFrame:
+    """(key, slide, kind, has_chart): the kind that is given, else the one that what a slide holds stands for."""
+    return tree.where("slide IS NOT NULL").groupBy(key, "slide").agg(*_kind())
 
 
 def screen_texts(tree: DataFrame, key: str = "path") -> DataFrame:
     """(key, slide, node, text): every text that a slide shows, in panes and their parts, tables, charts and their panels."""
-    rows = _drawn_parts(tree, key).where(F.col("rel").rlike(SCREEN) & (F.col("value") != ""))
+    rows = tree.where(~F.col("cut")).where(F.col("rel").rlike(SCREEN) & (F.col("value") != ""))
     return rows.select(key, "slide", "node", F.col("value").alias("text"))
 
 
 def figure_words(tree: DataFrame, key: str = "path") -> DataFrame:
     """(key, slide, node, text): texts drawn inside charts and diagrams, by the key they stand under."""
     inside = F.col("rel").rlike(rf"^(?:{_SIDE}\.)?(?:chart|diagram)[.\[]")
-    rows = _drawn_parts(tree, key).where(inside & (F.col("kind") == "text") & F.col("label").isin(*FIGURE_TEXT) & (F.col("value") != ""))
+    rows = tree.where(~F.col("cut")).where(inside & (F.col("kind") == "text") & F.col("label").isin(*FIGURE_TEXT) & (F.col("value") != ""))
     return rows.select(key, "slide", "node", F.col("value").alias("text"))
 
 
 def boxes(tree: DataFrame, key: str = "path") -> DataFrame:
     """(key, slide, diagram, label): names of a diagram's boxes, cells and stages, blank ones left out."""
-    at = r"^(.*?diagram)(?:\.rows\[[0-9]+\])?\.(?:boxes|cells|stages)\[[0-9]+\](\.label)?$"
-    rows = tree.where(F.col("rel").rlike(at)).where((F.regexp_extract("rel", at, 2) != "") | ~F.col("kind").isin("object", "array"))
-    return rows.where(F.trim("value") != "").select(key, "slide", F.regexp_extract("rel", at, 1).alias("diagram"), F.col("value").alias("label"))
+    return tree.where(_is_box()).select(key, "slide", F.regexp_extract("rel", _BOX, 1).alias("diagram"), F.col("value").alias("label"))
+
+
+_BOX = r"^(.*?diagram)(?:\.rows\[[0-9]+\])?\.(?:boxes|cells|stages)\[[0-9]+\](\.label)?$"
+
+
+def _is_box() -> Column:
+    return F.contains("rel", F.lit("diagram")) & F.col("rel").rlike(_BOX) & ((F.regexp_extract("rel", _BOX, 2) != "") | ~F.col("kind").isin("object", "array")) & (F.trim("value") != "")
 
 
 def slide_facts(tree: DataFrame, key: str = "path") -> DataFrame:
     """A row a slide: its kind, tables that are shown (a chart of its own table eats it), charts, diagrams, boxes, chunks
     of panes, whether it has marks, and whether a chart draws a table that stands beside it."""
+    return tree.where(F.col("slide").isNotNull() & F.col(key).isNotNull()).groupBy(key, "slide").agg(*_kind(), *_facts(), F.count_if(_is_box()).alias("n_boxes")).select(
+        key, "slide", "n_charts", "n_diagrams", "n_chunks", "has_marks", *_shown(), "kind", "n_boxes")
+
+
+_SIDES = {"self": "", "left": "left.", "right": "right."}
+
+
+def _has_marks() -> Column:
     rel = F.col("rel")
-    flag = lambda path: F.coalesce(F.bool_or((rel == path) & F.col("filled")), F.lit(False))
-    value = lambda path: F.max(F.when(rel == path, F.col("value")))
     # a mark below a diagram, a chart or a list of big values; cells carry roles and legends explain them
     pointed = rel.rlike(rf"^(?:big\[|(?:{_SIDE}\.)?(?:diagram|chart)\.)") & ~rel.rlike(r"(?:^|\.)(?:cells|legend)(?:\[|\.|$)")
-    marks = pointed & ((F.col("name").isin("mark", "callout") & F.col("filled")) | ((F.col("name") == "mark_at") & F.col("kind").isNotNull()))
-    leaf = rel.rlike(rf"^{_SIDE}$") & (F.col("kind") == "object") & F.col("filled")
-    sides = {"self": "", "left": "left.", "right": "right."}
-    grouped = tree.where("slide IS NOT NULL").groupBy(key, "slide").agg(
-        *[x for s, p in sides.items() for x in (flag(f"{p}table").alias(f"t_{s}"), flag(f"{p}chart").alias(f"c_{s}"), F.coalesce(value(f"{p}chart.from"), F.lit("self")).alias(f"f_{s}"), flag(f"{p}chart.table").alias(f"own_{s}"))],
-        F.count_if(rel.rlike(rf"^(?:{_SIDE}\.)?chart$") & F.col("filled")).alias("n_charts"), F.count_if(rel.rlike(rf"^(?:{_SIDE}\.)?diagram$") & F.col("filled")).alias("n_diagrams"),
-        (F.count_if(leaf) - F.count_if(rel.rlike(rf"^{_SIDE}\.parts$") & F.col("filled"))).alias("n_chunks"), F.coalesce(F.bool_or(marks), F.lit(False)).alias("has_marks"))
+    marks = ((F.col("name").isin("mark", "callout") & F.col("filled")) | ((F.col("name") == "mark_at") & F.col("kind").isNotNull())) & pointed
+    return F.coalesce(F.bool_or(marks), F.lit(False)).alias("has_marks")
+
+
+def _facts() -> list[Column]:
+    rel = F.col("rel")
+    flag = lambda path: F.coalesce(F.bool_or((rel == path) & F.col("filled")), F.lit(False))
+    value = lambda path: F.max(F.when(rel == path, F.col("value")))
+    leaf = (F.col("kind") == "object") & F.col("filled") & rel.rlike(rf"^{_SIDE}$")
+    return [
+        *[x for s, p in _SIDES.items() for x in (flag(f"{p}table").alias(f"t_{s}"), flag(f"{p}chart").alias(f"c_{s}"), F.coalesce(value(f"{p}chart.from"), F.lit("self")).alias(f"f_{s}"), flag(f"{p}chart.table").alias(f"own_{s}"))],
+        F.count_if((F.col("name") == "chart") & F.col("filled") & rel.rlike(rf"^(?:{_SIDE}\.)?chart$")).alias("n_charts"), F.count_if((F.col("name") == "diagram") & F.col("filled") & rel.rlike(rf"^(?:{_SIDE}\.)?diagram$")).alias("n_diagrams"),
+        (F.count_if(leaf) - F.count_if((F.col("name") == "parts") & F.col("filled") & rel.rlike(rf"^{_SIDE}\.parts$"))).alias("n_chunks"), _has_marks()]
+
+
+def _shown() -> list[Column]:
     shown = lambda s: F.col(f"t_{s}") & ~(F.col(f"c_{s}") & (F.col(f"f_{s}") == "self") & ~F.col(f"own_{s}"))
-    have = F.filter(F.array(*[F.when(shown(s), F.lit(s)) for s in sides]), lambda x: x.isNotNull())
-    facts = grouped.withColumn("have", have).select(
-        key, "slide", "n_charts", "n_diagrams", "n_chunks", "has_marks", F.size("have").cast("long").alias("n_tables"),
-        F.greatest(*[F.col(f"c_{s}") & F.array_contains("have", F.col(f"f_{s}")) for s in sides]).alias("same_twice"))
-    counted = boxes(tree, key).groupBy(key, "slide").agg(F.count("*").alias("n_boxes"))
-    return facts.join(slide_kinds(tree, key).drop("has_chart"), [key, "slide"]).join(counted, [key, "slide"], "left").withColumn("n_boxes", F.coalesce("n_boxes", F.lit(0).cast("long")))
+    have = F.filter(F.array(*[F.when(shown(s), F.lit(s)) for s in _SIDES]), lambda x: x.isNotNull())
+    return [F.size(have).cast("long").alias("n_tables"), F.greatest(*[F.col(f"c_{s}") & F.array_contains(have, F.col(f"f_{s}")) for s in _SIDES]).alias("same_twice")]
 
 
 def bad_acronyms(tree: DataFrame, key: str = "path") -> DataFrame:
@@ -307,18 +341,19 @@ def slide_density(tree: DataFrame, key: str = "path") -> DataFrame:
     """A row a slide of what density is counted from: backup, figure, table, columns, standout, emphasis and whether it
     counts, bullets only, a question, directions for the speaker, bullets and their words, rows and columns of its table."""
     rel = F.col("rel")
-    flag = lambda cond: F.coalesce(F.bool_or(cond & F.col("filled")), F.lit(False))
-    value = lambda path: F.max(F.when((rel == path) & F.col("filled") & ~F.col("kind").isin("object", "array"), F.col("value")))
-    bullet = rel.rlike(rf"^(?:{_SIDE}\.)?(?:bullets|steps)\[[0-9]+\]$") & F.col("value").isNotNull()
+    drawn = ~F.col("cut")
+    flag = lambda cond: F.coalesce(F.bool_or(drawn & F.col("filled") & cond), F.lit(False))
+    value = lambda path: F.max(F.when(drawn & (rel == path) & F.col("filled") & ~F.col("kind").isin("object", "array"), F.col("value")))
+    bullet = drawn & F.col("label").isin("bullets", "steps") & rel.rlike(rf"^(?:{_SIDE}\.)?(?:bullets|steps)\[[0-9]+\]$") & F.col("value").isNotNull()
     words = F.size(F.filter(F.split(C.strip_markup(F.when(bullet, F.col("value"))), r"\s+"), lambda w: w != ""))
-    number = lambda pattern: F.max(F.regexp_extract("rel", pattern, 1).try_cast("long") + 1)
-    rows = _drawn_parts(tree.where("slide IS NOT NULL"), key).groupBy(key, "slide").agg(
-        flag(rel == "backup").alias("backup"), flag(rel.rlike(rf"^(?:{_SIDE}\.)?(?:figure|chart|diagram)$|^formula$")).alias("figure"), flag(rel.rlike(rf"^{_SIDE}\.table$")).alias("pane_table"),
+    number = lambda pattern: F.max(F.when(drawn & F.col("label").isin("rows", "header"), F.regexp_extract("rel", pattern, 1).try_cast("long") + 1))
+    rows = tree.where(F.col("slide").isNotNull() & F.col(key).isNotNull()).groupBy(key, "slide").agg(
+        *_kind(), _has_marks(),
+        flag(rel == "backup").alias("backup"), flag(F.col("name").isin("figure", "chart", "diagram", "formula") & rel.rlike(rf"^(?:{_SIDE}\.)?(?:figure|chart|diagram)$|^formula$")).alias("figure"), flag((F.col("name") == "table") & rel.rlike(rf"^{_SIDE}\.table$")).alias("pane_table"),
         flag(rel == "table").alias("t"), flag(rel == "chart").alias("c"), F.coalesce(value("chart.from"), F.lit("self")).alias("f"), flag(rel == "chart.table").alias("own"),
-        F.coalesce(F.bool_or(rel.rlike(EMPHASIS) & C.emphasised(F.col("value"))), F.lit(False)).alias("emphasised"), F.count_if(bullet).alias("n_bullets"), F.coalesce(F.sum(F.when(bullet, words)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce(F.bool_or(drawn & F.col("value").rlike("[*<]") & C.emphasised(F.col("value")) & rel.rlike(EMPHASIS)), F.lit(False)).alias("emphasised"), F.count_if(bullet).alias("n_bullets"), F.coalesce(F.sum(F.when(bullet, words)), F.lit(0)).cast("long").alias("n_words"),
         value("title").alias("title"), value("lead").alias("lead"), value("big").alias("big"), flag(rel.isin("cue", "note") & (F.trim("value") != "")).alias("directed"),
         F.coalesce(number(r"^table\.rows\[([0-9]+)\]"), F.lit(0).cast("long")).alias("n_rows"), F.coalesce(number(r"^table\.(?:rows\[[0-9]+\]|header)\[([0-9]+)\]"), F.lit(0).cast("long")).alias("n_columns"))
-    rows = rows.join(slide_facts(tree, key).select(key, "slide", "kind", "has_marks"), [key, "slide"])
     table = (F.col("t") & ~(F.col("c") & (F.col("f") == "self") & ~F.col("own"))) | F.col("pane_table")
     standout, lead = F.col("kind") == "standout", F.coalesce("lead", F.lit(""))
     asked = F.coalesce("title", F.when(standout, F.col("lead")), F.col("big"), F.lit(""))
@@ -360,13 +395,13 @@ def parts(tree: DataFrame, key: str = "path") -> DataFrame:
     grids, pieces of big values, labels of highlights; at the slide itself, in panes and their parts."""
     rel = F.col("rel")
     what = F.coalesce(*[F.when(rel.rlike(p), F.lit(n)) for n, p in PARTS.items()])
-    rows = _drawn_parts(tree.where("slide IS NOT NULL AND value IS NOT NULL"), key).withColumn("what", what).where("what IS NOT NULL AND value <> ''")
+    rows = tree.where("slide IS NOT NULL AND value IS NOT NULL AND NOT cut").withColumn("what", what).where("what IS NOT NULL AND value <> ''")
     return rows.select(key, "slide", "what", "node", F.col("label").alias("field"), "value")
 
 
 def page_lists(tree: DataFrame, key: str = "path") -> DataFrame:
     """(key, list, slides): slides of the backup part, those with a highlight, those with a chart or diagram, in order."""
-    rows = _drawn_parts(tree.where("slide IS NOT NULL"), key).where("filled")
+    rows = tree.where("slide IS NOT NULL AND NOT cut").where("filled")
     at = F.coalesce(F.when(F.col("rel") == "backup", F.lit("backup")), F.when(F.col("name") == "highlight", F.lit("highlight")), F.when(F.col("rel").rlike(rf"^(?:{_SIDE}\.)?(?:chart|diagram)$"), F.lit("drawn")))
     return rows.withColumn("list", at).where("list IS NOT NULL").groupBy(key, "list").agg(F.array_sort(F.collect_set("slide")).alias("slides"))
 
@@ -374,7 +409,7 @@ def page_lists(tree: DataFrame, key: str = "path") -> DataFrame:
 def flat_diagrams(tree: DataFrame, key: str = "path") -> DataFrame:
     """(key, n_diagrams, n_flat): diagrams, and those in which nothing is marked."""
     at = rf"^((?:{_SIDE}\.)?diagram)(?:\.|$)"
-    rows = _drawn_parts(tree.where("slide IS NOT NULL"), key).where(F.col("rel").rlike(at)).withColumn("diagram", F.regexp_extract("rel", at, 1))
+    rows = tree.where("slide IS NOT NULL AND NOT cut").where(F.col("rel").rlike(at)).withColumn("diagram", F.regexp_extract("rel", at, 1))
     marked = ((F.col("name") == "mark") & F.col("filled")) | ((F.col("name") == "mark_at") & F.col("kind").isNotNull())
     each = rows.groupBy(key, "slide", "diagram").agg(F.coalesce(F.bool_or(marked), F.lit(False)).alias("marked"))
     return each.groupBy(key).agg(F.count("*").alias("n_diagrams"), F.count_if(~F.col("marked")).alias("n_flat"))
